@@ -33,8 +33,7 @@ def anchors(text: Substrings, length: int, gram: int, reach: int) -> tuple[np.nd
     """Of each anchor with windows: its place, and how far before it (least, most) the windows start that belong to it."""
     windows = text.n - length + 1
     place = np.arange(windows + reach - 1)
-    bits = max(20, int(len(place)).bit_length())
-    low = U((1 << bits) - 1)
+    low = U(0xFFFFFFFF)  # ties of the upper 32 bits go to the leftmost, so equal text gives equal anchors
     least = (sliding_min((text.of(place, place + gram) & ~low) | place.astype(U), reach)[:windows] & low).astype(np.int64)
     first = np.flatnonzero(np.diff(least, prepend=-1))
     last = np.append(first[1:], windows) - 1

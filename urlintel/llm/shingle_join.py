@@ -173,10 +173,11 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, threshold: int = THRESHOLD,
     tagged = shared.select("h", "doc_id", "n", "i").join(groups.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     tagged = stash(tagged)
     drop(shared)
-    mixed = tagged.groupBy("h").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("h")
-    rest = tagged.join(mixed, "h", "left_semi")
+    parts = tagged.groupBy("h", "component").agg(F.count("*").alias("c")).groupBy("h").agg(F.count("*").alias("parts"), F.max(F.struct("c", "component")).getField("component").alias("main"))
+    rest = tagged.join(parts.filter("parts > 1").select("h", "main"), "h")  # members of the largest component need not meet one another
     other = rest.select("h", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("component").alias("other"))
-    cross = rest.join(other, "h").filter("component < other").filter(plausible(threshold)).select(F.col("doc_id").alias("a"), "b").distinct()
+    cross = rest.filter("component <> main").join(other, "h").filter("component <> other").filter(plausible(threshold))
+    cross = cross.select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b")).distinct()
     cross = stash(cross)
     ids = cross.select(F.col("a").alias("doc_id")).union(cross.select("b")).distinct()
     more = stash(verified(cross, sets_of(docs, ids, k), threshold))
