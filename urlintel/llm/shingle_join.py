@@ -5,7 +5,7 @@ whole corpus, rare ones first: a bounded summary of the most frequent shingles c
 that reach the threshold must then share a shingle within their prefixes. The prefixes are joined on the shingle in two
 steps that together reach every link without listing all pairs of a group: first each member with the least member of
 its shingle's bucket; then, for buckets whose members are not yet connected, the pairs between different components.
-Length, positional and suffix filters thin the candidates, and each pair left is verified once on the whole sets.
+Length, positional, count and suffix filters thin the candidates, and each pair left is verified once on the whole sets.
 
 Defined results: null or wordless texts are linked with nothing and are their own component; texts of fewer words than
 a shingle count as one; equal sets are linked; an empty table gives an empty table; further columns are ignored; rows
@@ -28,6 +28,7 @@ WORDS, THRESHOLD = 5, 80
 FREQUENT = 1 << 17  # size of the summary that orders frequent shingles last; it bounds what is sent to every task
 LOCAL = 4  # a shingle enters the summary where this many documents of one slice have it
 CELLS = 256  # of the suffix filter
+PACK = 512  # members of a list that are counted together
 
 
 def shingle_set(raw: bytes, k: int) -> np.ndarray:
@@ -103,20 +104,29 @@ def plausible(threshold: int):
     return (F.least(n, m) * 100 >= threshold * F.greatest(n, m)) & ((100 + threshold) * most >= threshold * (n + m))
 
 
+def enough(threshold: int):
+    """Count filter: c shingles shared in the prefixes, of which the one that ends first is compared whole."""
+    n, m = F.col("n").cast("long"), F.col("m").cast("long")
+    rest = F.greatest(F.ceil(n * threshold / 100), F.ceil(m * threshold / 100)) - 1
+    return (100 + threshold) * (F.col("c") + rest) >= threshold * (n + m)
+
+
 def sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """doc_id, shingles (sorted) and cells (how many fall into each cell of the hash range, for the suffix filter)."""
+    """The shingle sets (sorted) of the documents named, with the further columns of ``ids``."""
+    more = [c for c in ids.columns if c != "doc_id"]
 
     def make():
         def do(batch: pa.RecordBatch):
             sets = [shingle_set(raw, k) for raw in utf8(batch.column(1))]
             ends = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
-            return pa.record_batch([batch.column(0), lists], ["doc_id", "shingles"])
+            return pa.record_batch([batch.column(0), lists, *batch.columns[2:]], ["doc_id", "shingles", *more])
 
         return do
 
-    some = docs.join(ids, "doc_id", "left_semi").select("doc_id", "text")
-    return map_slices(some, make, "doc_id long, shingles array<long>").dropDuplicates(["doc_id"])
+    some = docs.join(ids, "doc_id").select("doc_id", "text", *more)
+    types = "".join(f", {c} {t}" for c, t in ids.dtypes if c != "doc_id")
+    return map_slices(some, make, "doc_id long, shingles array<long>" + types).dropDuplicates(["doc_id"])
 
 
 def linked(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
@@ -134,9 +144,13 @@ def linked(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
     return int(np.count_nonzero(large[at] == small)) >= need
 
 
-def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b) that reach the threshold on their whole sets."""
-    full = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
+def verified(pairs: DataFrame, docs: DataFrame, k: int, threshold: int) -> DataFrame:
+    """The pairs (a, b) that reach the threshold on their whole sets. Each set is computed once; only those of b meet the other side's."""
+    ids = pairs.select(F.col("a").alias("doc_id"), F.lit(True).alias("is_a"), F.lit(False).alias("is_b")).union(pairs.select("b", F.lit(False), F.lit(True)))
+    sets = stash(sets_of(docs, ids.groupBy("doc_id").agg(F.max("is_a").alias("is_a"), F.max("is_b").alias("is_b")), k))
+    x = sets.filter("is_a").select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
+    y = sets.filter("is_b").select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
+    full = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
 
     def make():
         def do(batch: pa.RecordBatch):
@@ -148,7 +162,48 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 
         return do
 
-    return map_slices(full, make, "a long, b long")
+    out = stash(map_slices(full, make, "a long, b long"))
+    drop(sets)
+    return out
+
+
+def cross_pairs(tagged: DataFrame, groups: DataFrame, threshold: int) -> DataFrame:
+    """Candidate pairs of different components, by how many prefix shingles they share.
+
+    ``tagged`` has h, doc_id, n, component for each prefix shingle found twice or more. Members of a smaller component
+    (ties by id) ask those of larger ones, in all their buckets that hold several components, so that a pair's shared
+    shingles are all counted on one side and the largest group asks nothing. The members asked come as lists of about
+    PACK documents, cut alike in all buckets, and are counted together without a row a pair.
+    """
+    mixed = tagged.groupBy("h").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("h")
+    sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
+    rest = tagged.join(mixed, "h", "left_semi").join(sizes, "component", "left").withColumn("size", F.coalesce("size", F.lit(1)))
+    cuts = 1 + tagged.select("doc_id").distinct().count() // PACK
+    large = F.struct("size", F.col("component").alias("own"), F.pmod(F.xxhash64("doc_id"), F.expr(f"size div {PACK} + 1")).alias("cut"))
+    small = F.struct(F.lit(None).cast("long").alias("size"), F.lit(None).cast("long").alias("own"), F.pmod(F.xxhash64("component"), F.lit(cuts)).alias("cut"))
+    lists = rest.groupBy("h", F.when(F.col("size") > PACK // 8, large).otherwise(small).alias("pack")).agg(F.collect_list(F.struct("doc_id", "n", "component", "size")).alias("list"))
+    asked = rest.select("h", F.col("doc_id").alias("a"), F.col("n").alias("an"), F.col("component").alias("ac"), F.col("size").alias("az"))
+    larger = F.col("pack.own").isNull() & (F.col("az") <= PACK // 8) | (F.struct("pack.size", "pack.own") > F.struct("az", "ac"))
+    met = asked.join(lists, "h").filter(larger).groupBy("a", "an", "ac", "az", "pack").agg(F.flatten(F.collect_list("list")).alias("list")).select("a", "an", "ac", "az", "list")
+
+    def make():
+        def do(batch: pa.RecordBatch):
+            out_a, out_b = [], []
+            for i in range(batch.num_rows):
+                a, an, ac, az = (batch.column(j)[i].as_py() for j in range(4))
+                ids, n, component, size = (x.to_numpy() for x in batch.column(4)[i].values.flatten())
+                ids, first, shared = np.unique(ids, return_index=True, return_counts=True)
+                n, component, size = n[first].astype(np.int64), component[first], size[first]
+                most = shared + np.maximum(needed(n, threshold), needed(an, threshold)) - 1
+                keep = ((size > az) | (size == az) & (component > ac)) & (np.minimum(n, an) * 100 >= threshold * np.maximum(n, an)) & ((100 + threshold) * most >= threshold * (n + an))
+                out_a.append(np.full(int(keep.sum()), a))
+                out_b.append(ids[keep])
+            a, b = np.concatenate(out_a), np.concatenate(out_b)
+            return pa.record_batch([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
+
+        return do
+
+    return map_slices(met, make, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = WORDS, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -160,27 +215,22 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, threshold: int = THRESHOLD,
     lone = classes.select(F.col("class_id").alias("doc_id"), *name)
     # A posting for each prefix shingle of each class's representative.
     postings = base.join(lone, ["doc_id", *name], "left_semi").dropDuplicates(["doc_id", *name]).select("doc_id", "n", F.posexplode("prefix").alias("i", "h"))
-    postings = stash(postings.withColumn("i", F.col("i").cast("int")))
-    pivots = postings.groupBy("h").agg(F.count("*").alias("members"), F.min(F.struct(F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"))).alias("p")).filter("members > 1")
-    shared = stash(postings.join(pivots, "h").select("h", "doc_id", "n", "i", "p.*"))
-    drop(postings)
-    star = stash(shared.filter(F.col("doc_id") != F.col("b")).filter(plausible(threshold)).select(F.col("doc_id").alias("a"), "b").distinct())
-    ids = star.select(F.col("a").alias("doc_id")).union(star.select("b")).distinct()
-    edges = stash(verified(star, sets_of(docs, ids, k), threshold))
+    postings = postings.select("doc_id", "n", "h", F.col("i").cast("int").alias("i"))
+    met = postings.groupBy("h").agg(F.count("*").alias("members")).filter("members > 1").select("h")
+    shared = stash(postings.join(met, "h", "left_semi"))
+    # Each member with the pivot that it shares most shingles with.
+    pivots = shared.groupBy("h").agg(F.min(F.struct(F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"))).alias("p")).select("h", "p.*")
+    star = shared.join(pivots, "h").filter(F.col("doc_id") != F.col("b")).filter(plausible(threshold)).groupBy(F.col("doc_id").alias("a"), "b").agg(F.count("*").alias("c"), F.max("n").alias("n"), F.max("m").alias("m"))
+    star = stash(star.filter(enough(threshold)).groupBy("a").agg(F.max(F.struct("c", -F.col("b"))).alias("best")).select("a", (-F.col("best.col2")).alias("b")))
+    edges = verified(star, docs, k, threshold)
     drop(star)
     groups = components(edges)
     # Pairs between components that meet in a bucket.
-    tagged = shared.select("h", "doc_id", "n", "i").join(groups.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    tagged = shared.select("h", "doc_id", "n").join(groups.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     tagged = stash(tagged)
     drop(shared)
-    parts = tagged.groupBy("h", "component").agg(F.count("*").alias("c")).groupBy("h").agg(F.count("*").alias("parts"), F.max(F.struct("c", "component")).getField("component").alias("main"))
-    rest = tagged.join(parts.filter("parts > 1").select("h", "main"), "h")  # members of the largest component need not meet one another
-    other = rest.select("h", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("component").alias("other"))
-    cross = rest.filter("component <> main").join(other, "h").filter("component <> other").filter(plausible(threshold))
-    cross = cross.select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b")).distinct()
-    cross = stash(cross)
-    ids = cross.select(F.col("a").alias("doc_id")).union(cross.select("b")).distinct()
-    more = stash(verified(cross, sets_of(docs, ids, k), threshold))
+    cross = stash(cross_pairs(tagged, groups, threshold))
+    more = verified(cross, docs, k, threshold)
     drop(tagged)
     drop(cross)
     groups = components(edges.union(more))

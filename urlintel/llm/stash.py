@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir as the session has it; a local one only where the setting is absent, as in tests."""
@@ -18,10 +20,15 @@ def folder(spark: SparkSession) -> str:
 
 
 def stash(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it back: the lineage is cut there."""
+    """Write a table to the shared folder and read it back: the lineage is cut there, and the shuffle files that led to it go."""
     spark = df.sparkSession
     path = f"{folder(spark)}/stash-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._stashed_at = path
     return out
