@@ -23,6 +23,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from .arrow import map_slices, texts
 
@@ -331,6 +332,22 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     return map_slices(texts(docs, id_col, text_col), make, "doc_id long, ids binary, n_tokens long")
 
 
+def with_ids(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
+    """All columns of the documents, and ids and n_tokens."""
+    at = docs.columns.index(text_col)
+
+    def make():
+        bpe = load(path, pattern)
+
+        def do(batch: pa.RecordBatch) -> pa.RecordBatch:
+            ids = [bpe.encode_bytes(t) if t else b"" for t in batch.column(at).to_pylist()]
+            return pa.record_batch([*batch.columns, pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], [*batch.schema.names, "ids", "n_tokens"])
+
+        return do
+
+    return map_slices(docs, make, StructType([*docs.schema.fields, StructField("ids", BinaryType()), StructField("n_tokens", LongType())]))
+
+
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """The inverse of ``encode``: doc_id, text; ids that don't make UTF-8 give U+FFFD for the broken bytes."""
 

@@ -119,19 +119,30 @@ def report(batch: pa.RecordBatch, known, gram: int) -> pa.RecordBatch:
     return pa.record_batch([batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string()), pa.array(columns[4], pa.bool_())], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
 
+def sent_windows(benchmark: DataFrame, window: int, gram: int, max_sent: int, item_col: str, item_text_col: str):
+    """The item windows as a broadcast, if they are few enough, else as a table."""
+    items = item_windows(benchmark, window, gram, item_col, item_text_col)
+    if items.limit(max_sent + 1).count() > max_sent:
+        return None, items
+    got = items.toPandas()
+    columns = tuple(got[c].to_numpy(np.int64) for c in ("size", "whole", "print")) + (got["item_id"].to_numpy(object),)
+    return benchmark.sparkSession.sparkContext.broadcast(columns), items
+
+
+def received(sent) -> Windows:
+    size, whole, prints, item = sent.value
+    return Windows(size, whole.view(U), prints.view(U), item)
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, max_sent: int = MAX_SENT, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     docs = texts(docs, id_col, text_col)
-    items = item_windows(benchmark, window, gram, item_col, item_text_col)
-    if items.limit(max_sent + 1).count() > max_sent:
+    sent, items = sent_windows(benchmark, window, gram, max_sent, item_col, item_text_col)
+    if sent is None:
         return contamination_at_large(docs, items, gram)
-    got = items.toPandas()
-    columns = tuple(got[c].to_numpy() for c in ("size", "whole", "print")) + (got["item_id"].to_numpy(object),)
-    sent = docs.sparkSession.sparkContext.broadcast(columns)
 
     def make():
-        size, whole, prints, item = sent.value
-        known = Windows(size, whole.astype(np.int64).view(U), prints.astype(np.int64).view(U), item)
+        known = received(sent)
         return lambda batch: report(batch, lambda i: known, gram)
 
     return map_slices(docs, make, OUT)
@@ -179,3 +190,26 @@ def contamination_at_large(docs: DataFrame, items: DataFrame, gram: int) -> Data
         return do
 
     return map_slices(docs.join(near, ["doc_id", "tag"], "left").select("doc_id", "text", "near"), extend, OUT)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, max_sent: int = MAX_SENT, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The documents without a hit word, with all their columns. Items few enough to send need no shuffle of the texts."""
+    sent, items = sent_windows(benchmark, window, gram, max_sent, item_col, item_text_col)
+    if sent is None:
+        found = contamination_at_large(texts(docs, id_col, text_col), items, gram).filter("contaminated").select(F.col("doc_id").alias(id_col)).distinct()
+        return docs.join(found, id_col, "left_anti")
+    at = docs.columns.index(text_col)
+
+    def make():
+        known = received(sent)
+
+        def do(batch: pa.RecordBatch):
+            keep = []
+            for raw in utf8(batch.column(at)):
+                h = words(raw, ALNUM)
+                keep.append(not len(h) or not hits(h, known, gram)[0].any())
+            return batch.filter(pa.array(keep, pa.bool_()))
+
+        return do
+
+    return map_slices(docs, make, docs.schema)

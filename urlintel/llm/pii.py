@@ -310,3 +310,27 @@ def scan(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str =
 
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string" + ", redacted string" * redacted
     return map_slices(docs, make, schema)
+
+
+def cleaned(docs: DataFrame, weights: dict[str, float] | None = None, text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
+    """All columns of the documents, personal data in the text replaced by the name of their kind, and its size anew. Null text stays null."""
+    sent = docs.sparkSession.sparkContext.broadcast(learn(docs.select(F.col(text_col).alias("text"))) if weights is None else weights)
+    at = docs.columns.index(text_col)
+
+    def make():
+        known = sent.value
+
+        def do(batch: pa.RecordBatch) -> pa.RecordBatch:
+            out = []
+            for text in batch.column(at).to_pylist():
+                if text:
+                    base = base_spans(text)
+                    every = base + added_spans(text, base, known)
+                    text = redact(text, every) if every else text
+                out.append(text)
+            return pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(out, pa.string()), *batch.columns[at + 1 :]], schema=batch.schema)
+
+        return do
+
+    out = map_slices(docs, make, docs.schema)
+    return out.withColumn(size_col, F.length(text_col).cast(docs.schema[size_col].dataType)) if size_col in docs.columns else out

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_text, pii, repeats, shingle_join, topk
+from . import bpe, decontaminate, html_text, langid, licenses, pii, repeats, shingle_join, token_counts, topk
 from .arrow import table
 
 
@@ -35,10 +36,30 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and pages in one table; the model is fitted on labelled documents."""
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    none = F.lit(None).cast("long")
+    rows = langid.document_rows(docs).withColumn("page_id", none)
+    languages, known = langid.fit(docs)
+    return langid.identify(rows.unionByName(langid.page_rows(pages).withColumn("doc_id", none)), languages, known)
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(table(spark, sf_dir, "documents"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.lengths(table(spark, sf_dir, "documents"), *bpe.defaults())
+    return token_counts.by_limit(token_counts.histogram(counted))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's directory is its source and language."""
+    docs = table(spark, sf_dir, "documents")
+    return licenses.scan(docs.withColumn("path", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
