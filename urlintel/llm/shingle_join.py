@@ -16,17 +16,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import map_slices, texts, utf8
+from .arrow import map_slices, slices, texts, utf8
 from .components import components
 from .hashing import VISIBLE, U, grams, mix, words
 from .stash import drop, stash
 
 WORDS, THRESHOLD = 5, 80
-FREQUENT = 1 << 17  # size of the summary that orders frequent shingles last; it bounds what is sent to every task
-LOCAL = 4  # a shingle enters the summary where this many documents of one slice have it
+FREQUENT = 1 << 18  # size of the summary that orders frequent shingles last; it bounds what is sent to every task
+LOCAL, COUNTED = 3, 6_000_000  # a shingle enters the summary where so many documents among so many shingles have it
 CELLS = 256  # of the suffix filter
 PACK = 512  # members of a list that are counted together
 
@@ -42,18 +43,25 @@ def shingle_set(raw: bytes, k: int) -> np.ndarray:
 def frequent_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The shingles that most documents have, sorted by hash, and their counts: at most FREQUENT."""
 
-    def make():
-        def do(batch: pa.RecordBatch):
-            sets = [shingle_set(raw, k) for raw in utf8(batch.column(1)) if raw]
-            if not sets:
-                return None
-            got, n = np.unique(np.concatenate(sets), return_counts=True)
-            got, n = got[n >= LOCAL], n[n >= LOCAL]
-            return pa.record_batch([pa.array(got.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
-
-        return do
-
-    top = map_slices(docs, make, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(FREQUENT)
+    def run(batches):
+        sets, size = [], 0
+        for batch in batches:
+            for part in slices(batch):
+                for raw in utf8(part.column(1)):
+                    sets.append(shingle_set(raw, k))
+                    size += len(sets[-1])
+                if size >= COUNTED:
+                    yield often(sets)
+                    sets, size = [], 0
+        if sets:
+            yield often(sets)
+
+    def often(sets):
+        got, n = np.unique(np.concatenate(sets), return_counts=True)
+        got, n = got[n >= LOCAL], n[n >= LOCAL]
+        return pa.record_batch([pa.array(got.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+
+    top = docs.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(FREQUENT)
     found = top.toPandas()
     h, n = found["h"].to_numpy(np.int64).view(U), found["n"].to_numpy(np.int64)
     by = np.argsort(h)
@@ -188,17 +196,18 @@ def cross_pairs(tagged: DataFrame, groups: DataFrame, threshold: int) -> DataFra
 
     def make():
         def do(batch: pa.RecordBatch):
-            out_a, out_b = [], []
-            for i in range(batch.num_rows):
-                a, an, ac, az = (batch.column(j)[i].as_py() for j in range(4))
-                ids, n, component, size = (x.to_numpy() for x in batch.column(4)[i].values.flatten())
-                ids, first, shared = np.unique(ids, return_index=True, return_counts=True)
-                n, component, size = n[first].astype(np.int64), component[first], size[first]
-                most = shared + np.maximum(needed(n, threshold), needed(an, threshold)) - 1
-                keep = ((size > az) | (size == az) & (component > ac)) & (np.minimum(n, an) * 100 >= threshold * np.maximum(n, an)) & ((100 + threshold) * most >= threshold * (n + an))
-                out_a.append(np.full(int(keep.sum()), a))
-                out_b.append(ids[keep])
-            a, b = np.concatenate(out_a), np.concatenate(out_b)
+            a, an, ac, az = (batch.column(j).to_numpy() for j in range(4))
+            row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column(4)).to_numpy())
+            ids, n, component, size = (x.to_numpy() for x in batch.column(4).flatten().flatten())
+            by = np.lexsort((ids, row))
+            row, ids = row[by], ids[by]
+            first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (ids[1:] != ids[:-1])))  # a run is one document asked by one other
+            shared = np.diff(np.append(first, len(row)))
+            row, ids, n, component, size = row[first], ids[first], n[by][first].astype(np.int64), component[by][first], size[by][first]
+            an, ac, az = an[row].astype(np.int64), ac[row], az[row]
+            most = shared + np.maximum(needed(n, threshold), needed(an, threshold)) - 1
+            keep = ((size > az) | (size == az) & (component > ac)) & (np.minimum(n, an) * 100 >= threshold * np.maximum(n, an)) & ((100 + threshold) * most >= threshold * (n + an))
+            a, b = a[row][keep], ids[keep]
             return pa.record_batch([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
 
         return do
