@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import urls
 from ..operators import check, entries, index, lookup, runs
 from ..sources import feeds
+from ..streaming import jobs
 from . import fixtures as x
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -617,3 +618,50 @@ def ttl_of_schedule(s, d):
     t = lambda *p: F.concat(*[F.lit(v) if isinstance(v, str) else v.cast("string") for v in p])
     schedule = F.when(n % 6 == 0, t(n % 24 + 1, "h")).when(n % 6 == 1, t(n % 60, " * * * *")).when(n % 6 == 2, t("5 */", n % 11 + 1, " * * *")).when(n % 6 == 3, t(n % 60, " 3 * * *")).when(n % 6 == 4, t("0 0 * * ", n % 7))
     return x.table(s, d, "events").select("event_id", runs.ttl_of_schedule(schedule).alias("ttl_seconds"))
+
+
+# ---- streams, run to their end over the given tables and compared with the batch answer
+
+
+def _folder(s):
+    import tempfile
+    import uuid
+
+    return f"{(s.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-streams-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+@query("SELECT url AS source_url, 'malware' AS category FROM pages")
+def stream_ingest(s, d):
+    home = _folder(s)
+    pages(s, d).select("url").write.text(f"{home}/landing")
+    jobs.stream_ingest(s, f"{home}/landing", "urlhaus-online", f"{home}/entries", f"{home}/state", f"{home}/index", F.lit(x.NOW), {"availableNow": True}).awaitTermination()
+    return jobs.read_current(s, f"{home}/entries").select("source_url", "category")
+
+
+@query(SQL["entry_keys_stored"].replace("SELECT id, k.type AS type, k.key AS key FROM (SELECT id,", "SELECT DISTINCT 'urlhaus-online' AS source, k.type AS type, k.key AS key FROM (SELECT id,"))
+def stream_index(s, d):
+    home = _folder(s)
+    pages(s, d).select("url").write.text(f"{home}/landing")
+    jobs.stream_ingest(s, f"{home}/landing", "urlhaus-online", f"{home}/entries", f"{home}/state", f"{home}/index", F.lit(x.NOW), {"availableNow": True}).awaitTermination()
+    return jobs.read_current(s, f"{home}/index").select("source", "type", "key")
+
+
+@query(SQL["bulk_check"])
+def stream_check(s, d):
+    """The index is rebuilt from the stored entries first, then a stream of URLs is checked against it."""
+    home = _folder(s)
+    x.checks(s, d).write.parquet(f"{home}/checks")
+    jobs.stream_bootstrap(x.entries(s, d), f"{home}/index")
+    checks = s.readStream.schema("url_id long, url string").parquet(f"{home}/checks")
+    jobs.stream_check(checks, f"{home}/index", f"{home}/out", f"{home}/state", {"availableNow": True}).awaitTermination()
+    return s.read.parquet(f"{home}/out").select("url_id", "likely", "max_depth", F.coalesce(flat("matches"), F.lit("")).alias("matches"))
+
+
+@query(f"WITH {x.MATCHES} SELECT url_id, CAST(ord AS BIGINT) AS ord, type, key, source FROM matches")
+def stream_matches(s, d):
+    home = _folder(s)
+    x.checks(s, d).write.parquet(f"{home}/checks")
+    checks = s.readStream.schema("url_id long, url string").parquet(f"{home}/checks")
+    out = jobs.stream_matches(checks, x.key_index(s, d)).select("url_id", C("ord").cast("long").alias("ord"), "type", "key", "source")
+    out.writeStream.option("checkpointLocation", f"{home}/state").trigger(availableNow=True).start(f"{home}/out").awaitTermination()
+    return s.read.parquet(f"{home}/out")
