@@ -47,3 +47,10 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def utf8(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of each row; null gives b''."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
+def bounded_sample(rows: DataFrame, n: int, text_col: str = "text") -> DataFrame:
+    """At most n rows of different texts, those whose texts have the least hashes. Only hashes are sorted; no text moves before it is chosen."""
+    hashed = rows.withColumn("sample_hash", F.xxhash64(text_col))
+    least = hashed.select("sample_hash").distinct().orderBy("sample_hash").limit(n).agg(F.max("sample_hash")).first()[0]  # one number
+    return hashed.filter(F.col("sample_hash") <= F.lit(least).cast("long")).dropDuplicates(["sample_hash"]).drop("sample_hash")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import map_slices, utf8
+from .arrow import bounded_sample, map_slices, utf8
 from .hashing import LOWER
 from .html_text import main_text
 from .stash import stash
@@ -51,7 +51,7 @@ def trigrams(raw: bytes) -> np.ndarray:
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """Languages in order, and the log-likelihood table (CELLS x languages). ``labelled`` has text and lang."""
-    some = labelled.filter("text is not null and lang is not null").select("lang", "text", F.xxhash64("text").alias("h")).orderBy("h").limit(sample).select("lang", "text")
+    some = bounded_sample(labelled.filter("text is not null and lang is not null").select("lang", "text"), sample).select("lang", "text")
 
     def make():
         def do(batch: pa.RecordBatch):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import map_slices, texts
+from .arrow import bounded_sample, map_slices, texts
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 MAX_TOKENS, MAX_STRETCH, SAMPLE, ROUNDS = 5, 200, 1000, 4
@@ -254,8 +254,8 @@ def train(sample: list[str], rounds: int = ROUNDS) -> dict[str, float]:
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> dict[str, float]:
     """Train on at most ``sample`` documents with something to learn from, taken by a hash of their text."""
-    some = docs.filter(F.col("text").rlike("[0-9@]")).select("text", F.xxhash64("text").alias("h")).orderBy("h").limit(sample)
-    return train([r["text"][:20_000] for r in some.select("text").collect()])
+    some = bounded_sample(docs.filter(F.col("text").rlike("[0-9@]")).select("text"), sample)
+    return train(sorted(r["text"] for r in some.collect()))
 
 
 def added_spans(text: str, base: list[Span], weights: dict[str, float], margin: float = 1.0) -> list[Span]:
