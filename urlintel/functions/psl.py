@@ -8,10 +8,11 @@ import zipfile
 from functools import lru_cache
 
 import pyspark
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LIST = "mozilla/public-suffix-list.txt"
+_tables: dict[int, DataFrame] = {}
 
 
 @lru_cache(maxsize=1)
@@ -35,6 +36,17 @@ def rules() -> list[tuple[str, str, bool]]:
     return out
 
 
+def rule_table(spark: SparkSession) -> DataFrame:
+    """The rules as a table, made once a session: rows of one string each, split by Spark."""
+    made = _tables.get(spark._jsparkSession.hashCode())
+    if made is None:
+        text = "\n".join(f"{a},{b},{int(c)}" for a, b, c in rules())
+        cells = F.split("r", ",")
+        made = spark.createDataFrame([(text,)], "t string").select(F.explode(F.split("t", "\n")).alias("r")).select(cells[0].alias("suffix"), cells[1].alias("kind"), (cells[2] == "1").alias("private"))
+        _tables[spark._jsparkSession.hashCode()] = made
+    return made
+
+
 def registrable(hosts: DataFrame, compat: bool = False) -> DataFrame:
     """host, domain for a table of distinct hosts.
 
@@ -43,7 +55,7 @@ def registrable(hosts: DataFrame, compat: bool = False) -> DataFrame:
     under a private rule (any rule with ``compat``), falls back to its last two labels.
     """
     spark = hosts.sparkSession
-    table = F.broadcast(spark.createDataFrame(rules(), "suffix string, kind string, private boolean"))
+    table = F.broadcast(rule_table(spark))
     labels = F.split("host", r"\.")
     n = F.size(labels)
     cut = hosts.select("host", n.alias("n"), F.explode(F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(i.alias("size"), F.array_join(F.slice(labels, n - i + 1, i), ".").alias("suffix")))).alias("s")).select("host", "n", "s.*")

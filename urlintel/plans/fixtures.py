@@ -19,21 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def blocklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     """source, line, category."""
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    hosts = pages.select(F.regexp_extract("url", "://([^/?#:]*)", 1).alias("host")).distinct()
-    bare = F.regexp_replace("url", BARE, "")
-    parts = [
-        hosts.filter("length(host) % 7 = 0").select(F.lit("oisd-big").alias("source"), F.col("host").alias("line")),
-        pages.agg(F.count("*")).select(F.lit("oisd-nsfw"), F.lit("example.org")),
-        pages.filter("page_id % 5 = 1").select(F.lit("urlhaus-online"), "url"),
-        pages.filter("page_id % 10 = 2").select(F.lit("openphish-feed"), bare),
-        hosts.filter("length(host) % 7 = 1").select(F.lit("phishtank-online-valid"), F.concat(F.lit("https://"), "host", F.lit("/en"))),
-        pages.filter("url like '%.html%' and page_id % 2 = 0").select(F.lit("urlhaus-online"), F.concat(bare, F.lit("?id=1"))),
-        pages.agg(F.count("*")).select(F.lit("urlhaus-online"), F.lit("http://192.168.1.1:8080/malware")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
+    host, bare, n = F.regexp_extract("url", "://([^/?#:]*)", 1), F.regexp_replace("url", BARE, ""), F.col("page_id")
+    line = lambda source, value, when: F.when(when, F.struct(F.lit(source).alias("source"), value.alias("line")))
+    every = F.lit(True)
+    listed = F.array(
+        line("oisd-big", host, F.length(host) % 7 == 0), line("oisd-nsfw", F.lit("example.org"), every), line("urlhaus-online", F.col("url"), n % 5 == 1), line("openphish-feed", bare, n % 10 == 2),
+        line("phishtank-online-valid", F.concat(F.lit("https://"), host, F.lit("/en")), F.length(host) % 7 == 1), line("urlhaus-online", F.concat(bare, F.lit("?id=1")), F.col("url").like("%.html%") & (n % 2 == 0)),
+        line("urlhaus-online", F.lit("http://192.168.1.1:8080/malware"), every),
+    )
+    out = table(spark, sf_dir, "pages").select(F.explode(F.array_compact(listed)).alias("l")).select("l.*")
     category = F.create_map(*[F.lit(x) for s in feeds.SOURCES if s[6] for x in (s[0], s[6])])
     return out.distinct().withColumn("category", category[F.col("source")])
 

@@ -498,7 +498,7 @@ def run_by_id(s, d):
     return runs.run_by_id(live, r, r.filter("run_id % 2 = 0").select("run_id"))
 
 
-TOP = "SELECT link, min(match_type || '|' || id || '|' || matched_value) AS first, count(*) AS n FROM hits GROUP BY link"
+TOP = "SELECT link, f.a || '|' || f.b || '|' || f.c AS first, n FROM (SELECT link, min({'a': match_type, 'b': id, 'c': matched_value}) AS f, count(*) AS n FROM hits GROUP BY link)"
 MIXED = f"""{x.STORED}, act AS (SELECT *, regexp_replace(lower(trim(source_url)), '^([a-z]+://[^/?#]*[^?#]*?)/+([?#]|$)', '\\1\\2') AS norm FROM stored WHERE deleted_at IS NULL),
 ask AS (SELECT * FROM act WHERE page_id % 5 = 0), hits AS (SELECT k.source_url AS link, a.id, 'EXACT_URL' AS match_type, k.norm AS matched_value FROM ask k JOIN act a ON k.norm = a.norm UNION ALL SELECT k.source_url, a.id, 'HOST', k.host FROM ask k JOIN act a ON lower(k.host) = a.host
 UNION ALL SELECT k.source_url, a.id, 'DOMAIN', k.domain FROM ask k JOIN act a ON k.domain = a.domain UNION ALL SELECT k.source_url, a.id, 'PATH', k.path FROM ask k JOIN act a ON k.path = a.path)"""
@@ -574,7 +574,7 @@ def clear_all(s, d):
     return entries.clear_all(x.stored(s, d), 9999).select("id", "deleted_at")
 
 
-@query("WITH ev AS (SELECT user_id AS run_id, event_id AS seq, ts AS at, CASE event_type WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'running' ELSE 'completed' END AS status FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY at DESC, seq DESC) AS rn, min(at) OVER (PARTITION BY run_id) AS start_time FROM ev) SELECT run_id, start_time, status, CASE WHEN status <> 'running' THEN at END AS end_time FROM r WHERE rn = 1")
+@query("WITH ev AS (SELECT user_id AS run_id, event_id AS seq, ts AS tm, CASE event_type WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'running' ELSE 'completed' END AS status FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY tm DESC, seq DESC) AS rn, min(tm) OVER (PARTITION BY run_id) AS start_time FROM ev) SELECT run_id, start_time, status, CASE WHEN status <> 'running' THEN tm END AS end_time FROM r WHERE rn = 1")
 def record_run(s, d):
     status = F.when(C("event_type") == "error", "failed").when(C("event_type") == "signup", "running").otherwise("completed")
     ev = x.table(s, d, "events").select(C("user_id").alias("run_id"), C("event_id").alias("seq"), C("ts").alias("at"), status.alias("status"), F.lit(None).cast("string").alias("error"))
