@@ -107,6 +107,7 @@ def as_batch(parts: list[tuple]) -> pa.RecordBatch | None:
 def merged(level: DataFrame) -> DataFrame:
     """The rows of blocks found more than once, with ``settled``: all members agree on all that their windows cover."""
     blocks = level.groupBy("core").agg(F.count("*").alias("n"), F.min("hull").alias("a"), F.max("hull").alias("b")).filter("n > 1")
+    blocks = stash(blocks)  # so that both sides of the join are dealt anew and Spark can split a core that very many rows share
     return level.join(blocks.select("core", (F.col("a") == F.col("b")).alias("settled")), "core").select("doc_id", "tag", "at", "low", "high", "settled")
 
 
