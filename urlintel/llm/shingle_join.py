@@ -178,7 +178,7 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, threshold: int) -> DataF
 def cross_pairs(tagged: DataFrame, groups: DataFrame, threshold: int) -> DataFrame:
     """Candidate pairs of different components, by how many prefix shingles they share.
 
-    ``tagged`` has h, doc_id, n, component for each prefix shingle found twice or more. Members of a smaller component
+    ``tagged`` has h, doc_id, n, i, component for each prefix shingle found twice or more. Members of a smaller component
     (ties by id) ask those of larger ones, in all their buckets that hold several components, so that a pair's shared
     shingles are all counted on one side and the largest group asks nothing. The members asked come as lists of about
     PACK documents, cut alike in all buckets, and are counted together without a row a pair.
@@ -189,16 +189,25 @@ def cross_pairs(tagged: DataFrame, groups: DataFrame, threshold: int) -> DataFra
     cuts = 1 + tagged.select("doc_id").distinct().count() // PACK
     large = F.struct("size", F.col("component").alias("own"), F.pmod(F.xxhash64("doc_id"), F.expr(f"size div {PACK} + 1")).alias("cut"))
     small = F.struct(F.lit(None).cast("long").alias("size"), F.lit(None).cast("long").alias("own"), F.pmod(F.xxhash64("component"), F.lit(cuts)).alias("cut"))
-    lists = rest.groupBy("h", F.when(F.col("size") > PACK // 8, large).otherwise(small).alias("pack")).agg(F.collect_list(F.struct("doc_id", "n", "component", "size")).alias("list"))
-    asked = rest.select("h", F.col("doc_id").alias("a"), F.col("n").alias("an"), F.col("component").alias("ac"), F.col("size").alias("az"))
+    lists = rest.groupBy("h", F.when(F.col("size") > PACK // 8, large).otherwise(small).alias("pack")).agg(F.collect_list(F.struct("doc_id", "n", "component", "size", F.col("i").alias("j"))).alias("list"))
+    asked = rest.select("h", F.col("doc_id").alias("a"), F.col("n").alias("an"), F.col("component").alias("ac"), F.col("size").alias("az"), "i")
+    an, i = F.col("an").cast("long"), F.col("i").cast("long")
+
+    def fits(e):
+        """Order of components, length filter and positional filter, for one member of a list."""
+        m, j = e["n"].cast("long"), e["j"].cast("long")
+        above = (e["size"] > F.col("az")) | ((e["size"] == F.col("az")) & (e["component"] > F.col("ac")))
+        most = F.least(i, j) + 1 + F.least(an - i - 1, m - j - 1)
+        return above & (F.least(an, m) * 100 >= threshold * F.greatest(an, m)) & ((100 + threshold) * most >= threshold * (an + m))
+
     larger = F.col("pack.own").isNull() & (F.col("az") <= PACK // 8) | (F.struct("pack.size", "pack.own") > F.struct("az", "ac"))
-    met = asked.join(lists, "h").filter(larger).groupBy("a", "an", "ac", "az", "pack").agg(F.flatten(F.collect_list("list")).alias("list")).select("a", "an", "ac", "az", "list")
+    met = asked.join(lists, "h").filter(larger).withColumn("list", F.filter("list", fits)).filter(F.size("list") > 0).groupBy("a", "an", "ac", "az", "pack").agg(F.flatten(F.collect_list("list")).alias("list")).select("a", "an", "ac", "az", "list")
 
     def make():
         def do(batch: pa.RecordBatch):
             a, an, ac, az = (batch.column(j).to_numpy() for j in range(4))
             row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column(4)).to_numpy())
-            ids, n, component, size = (x.to_numpy() for x in batch.column(4).flatten().flatten())
+            ids, n, component, size, _ = (x.to_numpy() for x in batch.column(4).flatten().flatten())
             by = np.lexsort((ids, row))
             row, ids = row[by], ids[by]
             first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (ids[1:] != ids[:-1])))  # a run is one document asked by one other
@@ -235,7 +244,7 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, threshold: int = THRESHOLD,
     drop(star)
     groups = components(edges)
     # Pairs between components that meet in a bucket.
-    tagged = shared.select("h", "doc_id", "n").join(groups.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    tagged = shared.select("h", "doc_id", "n", "i").join(groups.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     tagged = stash(tagged)
     drop(shared)
     cross = stash(cross_pairs(tagged, groups, threshold))
