@@ -29,6 +29,7 @@ WORDS, THRESHOLD = 5, 80
 FREQUENT = 1 << 18  # size of the summary that orders frequent shingles last; it bounds what is sent to every task
 LOCAL, COUNTED = 3, 6_000_000  # a shingle enters the summary where so many documents among so many shingles have it
 CELLS = 256  # of the suffix filter
+FILTER_BITS = 1 << 23  # of the filter that picks the documents to verify
 PACK = 512  # members of a list that are counted together
 
 
@@ -119,22 +120,53 @@ def enough(threshold: int):
     return (100 + threshold) * (F.col("c") + rest) >= threshold * (n + m)
 
 
+def places(ids: np.ndarray) -> np.ndarray:
+    """Three bits of the filter for each id."""
+    h = mix(ids.astype(np.int64).view(U))
+    return np.stack([(h >> U(k)) % U(FILTER_BITS) for k in (0, 20, 40)]).astype(np.int64)
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of the ids: FILTER_BITS bits at most come to the driver, whatever the number of ids."""
+
+    def run(batches):
+        seen = np.zeros(FILTER_BITS, bool)
+        for batch in batches:
+            seen[places(batch.column(0).to_numpy()).ravel()] = True
+        bits = np.packbits(seen).view("<i8")
+        words = np.flatnonzero(bits)
+        yield pa.record_batch([pa.array(words, pa.int64()), pa.array(bits[words], pa.int64())], ["word", "bits"])
+
+    rows = ids.select("doc_id").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    bits = np.zeros(FILTER_BITS // 64, "<i8")
+    bits[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
+    return np.unpackbits(bits.view(np.uint8)).astype(bool)
+
+
 def sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """The shingle sets (sorted) of the documents named, with the further columns of ``ids``."""
-    more = [c for c in ids.columns if c != "doc_id"]
+    """The shingle sets (sorted) of the documents named, with the further columns of ``ids``.
+
+    A Bloom filter passes over the other documents before their texts are read, and the join drops those that it let
+    through, so that sets are shuffled and texts are not.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(id_filter(ids)))
 
     def make():
+        known = np.unpackbits(sent.value).astype(bool)
+
         def do(batch: pa.RecordBatch):
+            batch = batch.filter(pc.is_valid(batch.column(0)))
+            batch = batch.filter(pa.array(known[places(batch.column(0).to_numpy())].all(axis=0), pa.bool_()))
+            if not batch.num_rows:
+                return None
             sets = [shingle_set(raw, k) for raw in utf8(batch.column(1))]
             ends = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
-            return pa.record_batch([batch.column(0), lists, *batch.columns[2:]], ["doc_id", "shingles", *more])
+            return pa.record_batch([batch.column(0), lists], ["doc_id", "shingles"])
 
         return do
 
-    some = docs.join(ids, "doc_id").select("doc_id", "text", *more)
-    types = "".join(f", {c} {t}" for c, t in ids.dtypes if c != "doc_id")
-    return map_slices(some, make, "doc_id long, shingles array<long>" + types).dropDuplicates(["doc_id"])
+    return map_slices(docs, make, "doc_id long, shingles array<long>").join(ids, "doc_id").dropDuplicates(["doc_id"])
 
 
 def linked(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
@@ -155,7 +187,9 @@ def linked(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
 def verified(pairs: DataFrame, docs: DataFrame, k: int, threshold: int) -> DataFrame:
     """The pairs (a, b) that reach the threshold on their whole sets. Each set is computed once; only those of b meet the other side's."""
     ids = pairs.select(F.col("a").alias("doc_id"), F.lit(True).alias("is_a"), F.lit(False).alias("is_b")).union(pairs.select("b", F.lit(False), F.lit(True)))
-    sets = stash(sets_of(docs, ids.groupBy("doc_id").agg(F.max("is_a").alias("is_a"), F.max("is_b").alias("is_b")), k))
+    ids = stash(ids.groupBy("doc_id").agg(F.max("is_a").alias("is_a"), F.max("is_b").alias("is_b")))
+    sets = stash(sets_of(docs, ids, k))
+    drop(ids)
     x = sets.filter("is_a").select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
     y = sets.filter("is_b").select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
     full = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
