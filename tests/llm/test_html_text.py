@@ -41,3 +41,21 @@ def test_cut_is_least():
 
         best = min(cost(x) for x in itertools.product([False, True], repeat=n))
         assert abs(cost(h.min_cut(scores, edges)) - best) < 1e-6
+
+
+def test_inline_element_ends_at_its_end_tag():
+    for mark in ('<span class="share">Share</span>', '<i class="fa fa-share"></i>', '<i class="icon-search"></i>', '<span class="share"><span>Share</span> it</span>'):
+        assert h.main_text(f"<article><h1>T</h1>{mark}<p>Body 1</p><p>Body 2</p></article>").endswith("T\n\nBody 1\n\nBody 2"), mark
+    assert h.main_text('<article><p>Before <i class="icon-share"></i> and after.</p></article>') == "Before and after."
+    assert h.main_text('<article><p>One<span class="share">Share</span>two <b class="ad">Buy<p>Three</b> four</article>') == "One two\n\nThree four"
+    assert h.main_text('<article><b><span class="share">x</b> y</span> z</article>') == "z"
+
+
+def test_words_of_boilerplate_are_outweighed_by_text():
+    text = [f"This is paragraph {i} of a longer text, and it has several words in it." for i in range(4)]
+    body = "".join(f"<p>{t}</p>" for t in text)
+    for name in ("content with-sidebar", "elementor-widget", "post has-comments", "page has-header-image"):
+        assert h.main_text(f'<div class="{name}"><div>{body}</div></div>') == "\n\n".join(text), name
+        assert h.main_text(f'<article class="{name}">{body}<div class="newsletter">Get our letter.</div></article>') == "\n\n".join(text), name
+    for name in ("comments", "sidebar", "cookie-notice", "related"):
+        assert h.main_text(f'<article>{body}</article><div class="{name}"><p>See what others say of it.</p></div>') == "\n\n".join(text), name

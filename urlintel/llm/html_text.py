@@ -3,6 +3,9 @@
 A page is cut into blocks of text. A linear classifier over each block's enclosing elements and wording gives the cost
 of calling it content or boilerplate; these become capacities to the two terminals. Neighbouring blocks, and blocks
 under the same parent, are tied by smoothness edges. The minimum cut, found by max-flow, labels all blocks at once.
+A telling word in a class, id, role or label is a cost for what stands inside, which its text and its edges can
+outweigh; only elements that are boilerplate by their name, and hidden ones, are settled. An inline element with such a
+word is a block of its own up to its end tag; what is kept of a line of text is joined again.
 
 Defined results: null or empty html gives an empty text; a page cut off anywhere is read as far as it goes; white space
 is whatever ``str.split`` splits at, no-break space included; ``<br>`` is white space; any length of page is read whole;
@@ -13,7 +16,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import Counter, deque
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,6 +40,8 @@ CLOSES = {"li": {"li"}, "p": {"p"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}
 
 # Weights of the classifier: costs in favour of content when positive.
 INSIDE_CONTENT, INSIDE_BOILER, HINT = 4.0, -6.0, 1.5
+# A class, id, role or label that only has words of boilerplate, and one that has such a word among others.
+WHOLE, PART = -5.0, -2.0
 BIAS, PER_LOG_WORD, LINKED, SENTENCE, HEADING = -1.6, 0.8, -4.0, 0.6, 0.5
 # Weights of the smoothness edges.
 NEXT, SAME_PARENT, FAR_APART = 0.3, 0.9, 0.05
@@ -51,46 +56,77 @@ class Block:
         self.parent, self.context, self.heading, self.steps = parent, context, heading, steps
 
 
-def context_of(tag: str, attributes: str, above: float) -> float:
-    """What the classifier says of all that stands in an element, from its name, class, id and role; the innermost telling element counts."""
-    hints: set[str] = set()
-    hidden = False
+Context = tuple[float, float]  # for content by elements and words; cost of the words of boilerplate
+
+
+def context_of(tag: str, attributes: str, above: Context) -> Context:
+    """What the classifier says of all that stands in an element, from its name, class, id and role, and from what it stands in."""
+    plain, cost = above
+    hidden, telling, own = False, False, 0.0
     if attributes and tag not in ("html", "body"):
         for name, value in ATTRIBUTE.findall(attributes):
             name, value = name.lower(), value.strip("\"'").lower()
             if name in ("hidden", "aria-hidden") and value != "false" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                 hidden = True
             elif name != "style":
-                hints.update(WORD.findall(value))
-    if hidden or tag in BOILER_TAGS or hints & BOILER_WORDS:
-        return INSIDE_BOILER
-    if tag in CONTENT_TAGS:
-        return max(above, INSIDE_CONTENT) if above > INSIDE_BOILER else above + HINT if tag == "article" else INSIDE_CONTENT
-    if (tag == "header" or "header" in hints) and above < INSIDE_CONTENT:
-        return INSIDE_BOILER
-    if hints & CONTENT_WORDS and above > INSIDE_BOILER:
-        return max(above, HINT)
-    return above
-
-
-def blocks_of(page: str) -> list[Block]:
-    """The page's runs of text between block-level tags, in order."""
+                for token in [value] if name == "aria-label" else value.split():
+                    words = set(WORD.findall(token))
+                    boiler = words & BOILER_WORDS or words & {"header"} and plain + cost < INSIDE_CONTENT
+                    if boiler:
+                        own = min(own, WHOLE if boiler == words else PART)
+                    telling = telling or not boiler and bool(words & CONTENT_WORDS)
+    if hidden or tag in BOILER_TAGS or tag == "header" and plain + cost < INSIDE_CONTENT:
+        return INSIDE_BOILER, 0.0
+    if tag == "main":
+        return INSIDE_CONTENT, own
+    inside = plain <= INSIDE_BOILER or cost <= WHOLE
+    if own <= WHOLE:
+        plain = min(plain, 0.0)
+    cost = min(cost, own)
+    if tag == "article" and plain > INSIDE_BOILER:
+        plain = max(plain, INSIDE_CONTENT if cost > WHOLE else HINT)
+    elif tag == "article":
+        plain += HINT
+    elif telling and not inside:
+        plain = max(plain, HINT)
+    return plain, cost
+
+
+def blocks_of(page: str) -> tuple[list[Block], list[list[tuple[Block, str]]]]:
+    """The page's runs of text between block-level tags and telling inline ones, in order; and the lines between block-level tags, as pieces of these blocks."""
     out: list[Block] = []
-    stack = [("", 0.0, 0)]  # tag, context, number of the element
+    lines: list[list[tuple[Block, str]]] = []
+    stack: list[tuple[str, Context, int, str]] = [("", (0.0, 0.0), 0, "")]  # tag, context, number of the element, attributes
+    spans: list[tuple[str, int, bool, Block | None]] = []  # open inline elements: tag, place in the stack, whether they are on it, the block around
+    opened: Counter[str] = Counter()
     made, links, at, steps = 0, 0, 0, 0
     now: Block | None = None
+    line: list[tuple[Block, str]] | None = None
+    gap = False
     end = len(page)
+
+    def cut(k: int) -> None:
+        del stack[k:]
+        while spans and spans[-1][1] + spans[-1][2] > k:
+            opened[spans.pop()[0]] -= 1
+
     while at < end:
         token = TOKEN.search(page, at)
         stop = token.start() if token else end
         if stop > at:
             piece = page[at:stop]
-            if now is None and not piece.isspace():
-                tag, context, number = stack[-1]
-                now = Block(number, context, tag in ("h1", "h2", "h3", "h4", "h5", "h6"), steps)
+            if now is None and piece.isspace():
+                gap = True
+            elif now is None:
+                tag, context, number, _ = stack[-1]
+                now = Block(number, sum(context), tag in ("h1", "h2", "h3", "h4", "h5", "h6"), steps)
                 out.append(now)
                 steps = 0
             if now is not None:
+                if line is None:
+                    lines.append(line := [])
+                line.append((now, f" {piece}" if gap else piece))
+                gap = False
                 now.parts.append(piece)
                 if links:
                     now.linked += len(piece)
@@ -104,20 +140,51 @@ def blocks_of(page: str) -> list[Block]:
         if tag == "a":
             links = 0 if closing else 1
         if tag in INLINE:
-            if closing or not attributes:
+            if tag == "a" or tag in VOID:
                 continue
-            if context_of(tag, attributes, 0.0) > INSIDE_BOILER or tag == "a":
+            if closing:
+                if not opened[tag]:
+                    continue
+                opened[tag] -= 1
+                k = next(k for k in range(len(spans) - 1, -1, -1) if spans[k][0] == tag)
+                _, place, pushed, around = spans.pop(k)
+                if not pushed:
+                    continue
+                del stack[place]
+                # What was opened inside and is still open stands where the element stood.
+                spans[k:] = [(t, p - 1, x, b) for t, p, x, b in spans[k:]]
+                for i in range(place, len(stack)):
+                    stack[i] = (stack[i][0], context_of(stack[i][0], stack[i][3], stack[i - 1][1]), *stack[i][2:])
+                now = around if place == len(stack) and line is not None and (around is None or any(b is around for b, _ in line)) else None
+                steps += now is None
                 continue
+            context = context_of(tag, attributes, stack[-1][1]) if attributes else stack[-1][1]
+            if attributes.endswith("/"):
+                continue
+            opened[tag] += 1
+            if sum(context) >= sum(stack[-1][1]):
+                spans.append((tag, len(stack), False, None))
+                continue
+            spans.append((tag, len(stack), True, now))
+            made += 1
+            steps += 1
+            stack.append((tag, context, made, attributes))
+            now = None
+            continue
         elif tag == "br":
             if now is not None:
                 now.parts.append(" ")
+                line.append((now, " "))
+            else:
+                gap = True
             continue
-        now = None
+        now = line = None
+        gap = False
         steps += 1
         if closing:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == tag:
-                    del stack[k:]
+                    cut(k)
                     break
             continue
         if tag in RAW and not attributes.endswith("/"):
@@ -130,16 +197,19 @@ def blocks_of(page: str) -> list[Block]:
         if tag in VOID or attributes.endswith("/"):
             continue
         shuts = CLOSES.get(tag, {"p"})
-        if stack[-1][0] in shuts:
-            stack.pop()
+        k = len(stack) - 1
+        while stack[k][0] in INLINE:
+            k -= 1
+        if stack[k][0] in shuts:
+            cut(k)
         made += 1
         links = 0
-        stack.append((tag, context_of(tag, attributes, stack[-1][1]), made))
-    return out
+        stack.append((tag, context_of(tag, attributes, stack[-1][1]), made, attributes))
+    return out, lines
 
 
-def tidy(block: Block) -> str:
-    return " ".join(html.unescape("".join(block.parts)).split())
+def tidy(parts: list[str]) -> str:
+    return " ".join(html.unescape("".join(parts)).split())
 
 
 def score(block: Block, text: str) -> float:
@@ -231,12 +301,14 @@ def smoothness(blocks: list[Block]) -> list[tuple[int, int, float]]:
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    found = [(b, t) for b in blocks_of(page) if (t := tidy(b))]
+    every, lines = blocks_of(page)
+    found = [(b, t) for b in every if (t := tidy(b.parts))]
     if not found:
         return ""
     blocks = [b for b, _ in found]
     content = min_cut([score(b, t) for b, t in found], smoothness(blocks))
-    return "\n\n".join(t for (_, t), keep in zip(found, content, strict=True) if keep)
+    kept = {id(b) for b, keep in zip(blocks, content, strict=True) if keep}
+    return "\n\n".join(t for line in lines if (t := tidy([piece if id(b) in kept else " " for b, piece in line])))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
