@@ -1,14 +1,13 @@
 """Personal data in texts: fixed patterns, and a semi-Markov conditional random field that adds spans.
 
 The field scores whole candidate spans: their shape, digits, checksums and the words before them. Around every token
-that could belong to an entity a short stretch of text is decoded by dynamic programming over segments of at most
+that could belong to an entity (it has a digit or an at sign, or follows a key word and a sign) a stretch of text is decoded by dynamic programming over segments of at most
 MAX_TOKENS tokens, which chooses boundaries and types together. Its weights are learnt here, by averaged structured
 perceptron updates on the stretches of at most SAMPLE documents, with the patterns' matches and quoted credentials after a key word as
 labels. A span that the field finds is added where it meets none of the patterns' spans.
 
-Defined results: null counts as empty; any length of text is read whole; a stretch's length is bounded by its suspicious
-tokens, and longer ones are decoded in consecutive parts of MAX_STRETCH tokens; repeated rows give repeated results; an empty table gives an empty
-table; further columns are ignored.
+Defined results: null counts as empty; any length of text is read whole, and so is any length of stretch; repeated rows
+give repeated results; an empty table gives an empty table; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +23,8 @@ from pyspark.sql import functions as F
 from .arrow import bounded_sample, map_slices, texts
 
 KINDS = ("email", "ip", "card", "phone", "secret")
-MAX_TOKENS, MAX_STRETCH, SAMPLE, ROUNDS = 5, 200, 1000, 4
+MAX_TOKENS, SAMPLE, ROUNDS = 5, 1000, 4
+BEATS = 1.5  # the margin of labelled spans in training: what added_spans asks for and a half
 
 # Fixed patterns. The guards and possessive quantifiers change no match, only the time on long runs.
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -86,20 +86,24 @@ def order(span: Span) -> tuple[int, int, int]:
 
 TOKEN = re.compile(r"[^\s|\"'<>,;]+")
 MARK = re.compile(r"[0-9@]")
+BREAK = re.compile(r"[\s\"']")
 KEYWORD = re.compile(r"(?:token|key|secret|password|passwd|pwd)$", re.I)
+TELLING = r"""[0-9@]|(?i:token|key|secret|password|passwd|pwd)[\s|"'<>,;]*[=:]"""  # texts with a stretch; Spark reads it too
+SOME = re.compile(TELLING)
 
 
 def stretches(text: str) -> list[list[tuple[int, int]]]:
-    """Runs of tokens around those with a digit or an at sign, with two tokens more on the left."""
+    """Runs of tokens around those with a digit or an at sign and those after a key word and a sign, with two tokens more on the left."""
     out: list[list[tuple[int, int]]] = []
-    if not MARK.search(text):
+    if not SOME.search(text):
         return out
     before: list[tuple[int, int]] = []
     now: list[tuple[int, int]] = []
     quiet = 0
     for m in TOKEN.finditer(text):
         where = m.span()
-        if MARK.search(m[0]):
+        left = now or before
+        if MARK.search(m[0]) or keyword(text, left, len(left)) == "key":
             if not now:
                 now = before[-2:]
             now.append(where)
@@ -108,14 +112,11 @@ def stretches(text: str) -> list[list[tuple[int, int]]]:
             quiet += 1
             if quiet > 1:
                 out.append(now)
-                now, before = [], [where]
+                now, before = [], [now[-1], where]
             else:
                 now.append(where)
         else:
             before = [*before[-1:], where]
-        if len(now) >= MAX_STRETCH:
-            out.append(now)
-            now, before = [], []
     if now:
         out.append(now)
     return out
@@ -134,6 +135,10 @@ def trimmed(text: str, start: int, end: int) -> tuple[int, int]:
     return start, end
 
 
+def quoted(text: str, start: int, end: int) -> bool:
+    return text[start - 1 : start] in ("'", '"') and text[end : end + 1] in ("'", '"')
+
+
 def span_features(text: str, start: int, end: int, left: str, count: int) -> list[str]:
     """Features of a whole candidate span; each is paired with the candidate's kind."""
     piece = text[start:end]
@@ -151,6 +156,8 @@ def span_features(text: str, start: int, end: int, left: str, count: int) -> lis
             out.append("phone" if 9 <= digits <= 15 else "no phone")
         if count == 1 and len(piece) >= 8 and piece.isalnum() and piece.isascii():
             out.append(f"mixed run {min(len(piece) // 8, 5)}" if digits < len(piece) else "digit run")
+    elif "@" not in piece:
+        out += [f"{left} {'quoted' if quoted(text, start, end) else 'bare'} word", f"word length {min(len(piece) // 4, 5)}"]
     return out
 
 
@@ -168,19 +175,22 @@ def outside_features(piece: str) -> list[str]:
 
 
 def candidates(text: str, tokens: list[tuple[int, int]], i: int):
-    """Segments that start at token i and begin and end with a marked token (or a plus sign)."""
+    """Segments that start at token i and begin and end with a marked token (or a plus sign); after a key word and a sign, any token, and any run of tokens without white space or quotes."""
+    key = keyword(text, tokens, i) == "key"
     for j in range(i + 1, min(len(tokens), i + MAX_TOKENS) + 1):
         first, last = text[tokens[i][0] : tokens[i][1]], text[tokens[j - 1][0] : tokens[j - 1][1]]
         if j > i + 1 and tokens[j - 1][0] - tokens[j - 2][1] > 3:
             return
-        if MARK.search(first) and MARK.search(last):
-            start, end = trimmed(text, tokens[i][0], tokens[j - 1][1])
+        if MARK.search(first) and MARK.search(last) or key and not BREAK.search(text, tokens[i][0], tokens[j - 1][1]):
+            start, end = tokens[i][0], tokens[j - 1][1]
+            if not (key and quoted(text, start, end)):
+                start, end = trimmed(text, start, end)
             if start < end:
                 yield j, start, end
 
 
-def decode(text: str, tokens: list[tuple[int, int]], weights: dict[str, float], margin: float = 0.0) -> list[tuple[int, int, Span | None]]:
-    """The best segmentation: (from token, to token, span or None), by dynamic programming over segments."""
+def decode(text: str, tokens: list[tuple[int, int]], weights: dict[str, float], margin: float = 0.0, right: frozenset[Span] = frozenset()) -> list[tuple[int, int, Span | None]]:
+    """The best segmentation: (from token, to token, span or None), by dynamic programming over segments. A span must beat "none" by ``margin``, in training the ``right`` ones by BEATS."""
     n = len(tokens)
     best, back = [0.0] + [-1e18] * n, [None] * (n + 1)
     for i in range(n):
@@ -191,7 +201,7 @@ def decode(text: str, tokens: list[tuple[int, int]], weights: dict[str, float],
         for j, start, end in candidates(text, tokens, i):
             features = span_features(text, start, end, keyword(text, tokens, i), j - i)
             for kind in KINDS:
-                value = here - margin + sum(weights.get(f"{kind} {f}", 0.0) for f in features)
+                value = here - (BEATS if (start, end, kind) in right else margin) + sum(weights.get(f"{kind} {f}", 0.0) for f in features)
                 if value > best[j]:
                     best[j], back[j] = value, (i, (start, end, kind))
     out, j = [], n
@@ -240,7 +250,7 @@ def train(sample: list[str], rounds: int = ROUNDS) -> dict[str, float]:
     step = 1
     for _ in range(rounds):
         for text, tokens, want in data:
-            got = decode(text, tokens, weights, margin=-0.5)
+            got = decode(text, tokens, weights, -0.5, frozenset(span for _, _, span in want if span))
             if got != want:
                 change = path_features(text, tokens, want)
                 for f, v in path_features(text, tokens, got).items():
@@ -254,7 +264,7 @@ def train(sample: list[str], rounds: int = ROUNDS) -> dict[str, float]:
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> dict[str, float]:
     """Train on at most ``sample`` documents with something to learn from, taken by a hash of their text."""
-    some = bounded_sample(docs.filter(F.col("text").rlike("[0-9@]")).select("text"), sample)
+    some = bounded_sample(docs.filter(F.col("text").rlike(TELLING)).select("text"), sample)
     return train(sorted(r["text"] for r in some.collect()))
 
 
