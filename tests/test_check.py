@@ -81,3 +81,17 @@ def test_ingest_files(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "e")).count() == 3
     feeds.write_index(index.key_index(got), str(tmp_path / "i"))
     assert spark.read.parquet(str(tmp_path / "i")).count() == 3
+
+
+def test_stream_matches_by_public_suffix(spark, tmp_path):
+    from urlintel.streaming import jobs
+
+    idx = index.key_index(build(spark, [("https://example.co.uk", "a"), ("https://foo.github.io", "a"), ("https://x.www.ck", "a"), ("https://b.example.com/p", "a"), ("https://evil.com", "b")]))
+    hosts = ["https://sub.example.co.uk/x", "https://other.co.uk", "https://foo.github.io/p", "https://a.b.kawasaki.jp", "https://x.www.ck", "https://www.ck", "http://1.2.3.4/", "https://SUB.EXAMPLE.CO.UK", "https://evil.com", "https://evil.com/\x01", "", None, "https://co.uk", "https://b.example.com/p/q"]
+    checks = spark.createDataFrame(list(enumerate(hosts)), "url_id long, url string")
+    checks.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(checks.schema).parquet(str(tmp_path / "in"))
+    jobs.stream_matches(stream, idx).writeStream.format("memory").queryName("suffixes").outputMode("append").trigger(availableNow=True).start().awaitTermination(120)
+    got = {(r["url_id"], r["ord"], r["type"], r["key"], r["source"]) for r in spark.table("suffixes").collect()}
+    want = {(r["url_id"], m["ord"], m["type"], m["key"], m["source"]) for r in check.bulk_check_all(checks, idx).collect() for m in r["matches"] or []}
+    assert got == want and (0, 0, "domain", "example.co.uk", "a") in got and not {10, 9, 1} & {g[0] for g in got}

@@ -8,7 +8,7 @@ import zipfile
 from functools import lru_cache
 
 import pyspark
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LIST = "mozilla/public-suffix-list.txt"
@@ -62,8 +62,40 @@ def registrable(hosts: DataFrame, compat: bool = False) -> DataFrame:
     hit = cut.join(table, F.lower(cut["suffix"]) == table["suffix"]).select("host", "n", "size", "kind", "private")
     length = F.when(F.col("kind") == "wild", F.least(F.col("size") + 1, F.col("n"))).when(F.col("kind") == "except", F.col("size") - 1).otherwise(F.col("size"))
     best = hit.withColumn("length", length).groupBy("host").agg(F.max_by(F.struct("length", "private"), F.struct((F.col("kind") == "except").cast("int").alias("e"), "length")).alias("b"))
-    joined = hosts.join(best, "host", "left")
-    size = F.coalesce("b.length", F.lit(1))
+    return hosts.join(best, "host", "left").select("host", _domain("b", compat).alias("domain"))
+
+
+def _domain(best: str, compat: bool) -> Column:
+    """The domain of ``host`` by its winning rule, a struct of length and private."""
+    labels = F.split("host", r"\.")
+    n = F.size(labels)
+    size = F.coalesce(f"{best}.length", F.lit(1))
     two = F.array_join(F.slice(labels, F.greatest(n - 1, F.lit(1)), 2), ".")
-    naive = (n <= size) | ((n == size + 1) & (F.lit(True) if compat else F.coalesce("b.private", F.lit(False))))
-    return joined.select("host", F.when(n <= 1, F.col("host")).when(naive, two).otherwise(F.array_join(F.slice(labels, n - size, size + 1), ".")).alias("domain"))
+    naive = (n <= size) | ((n == size + 1) & (F.lit(True) if compat else F.coalesce(f"{best}.private", F.lit(False))))
+    return F.when(n <= 1, F.col("host")).when(naive, two).otherwise(F.array_join(F.slice(labels, n - size, size + 1), "."))
+
+
+def _hits(rules_: str, size: int, n: Column) -> Column:
+    """What the rules of a suffix of ``size`` labels say of a host of n; the greatest wins."""
+
+    def hit(r: Column) -> Column:
+        length = F.when(r["kind"] == "wild", F.least(F.lit(size + 1), n)).when(r["kind"] == "except", F.lit(size - 1)).otherwise(F.lit(size))
+        return F.struct((r["kind"] == "except").cast("int").alias("e"), length.alias("length"), r["private"].alias("private"))
+
+    return F.transform(rules_, hit)
+
+
+def with_registrable(df: DataFrame, compat: bool = False) -> DataFrame:
+    """Add domain to rows with a host, as ``registrable`` finds it, without aggregating them: one stream-static join for each number of labels that a rule has."""
+    labels = F.split("host", r"\.")
+    n = F.size(labels)
+    table = rule_table(df.sparkSession).groupBy("suffix").agg(F.collect_list(F.struct("kind", "private")).alias("rules"))
+    found = []
+    out = df
+    for i in range(1, 1 + max(suffix.count(".") + 1 for suffix, _, _ in rules())):
+        one = F.broadcast(table.select(F.col("suffix").alias(f"_suffix{i}"), F.col("rules").alias(f"_rules{i}")))
+        suffix = F.when(n >= i, F.lower(F.array_join(F.slice(labels, F.greatest(n - i + 1, F.lit(1)), i), ".")))
+        out = out.join(one, suffix == F.col(f"_suffix{i}"), "left").drop(f"_suffix{i}")
+        found.append(F.coalesce(_hits(f"_rules{i}", i, n), F.array().cast("array<struct<e:int,length:int,private:boolean>>")))
+    out = out.withColumn("_best", F.array_max(F.concat(*found)))
+    return out.withColumn("domain", F.when(F.col("host").isNotNull(), _domain("_best", compat))).drop("_best", *[f"_rules{k + 1}" for k in range(len(found))])

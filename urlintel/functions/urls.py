@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .psl import registrable
+from .psl import registrable, with_registrable
 
 URL = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?//(?:([^/?#]*)@)?(\[[^\]]*\]|[^/?#:]*)(?::([0-9]*))?([^?#]*)(?:\?([^#]*))?"
 IPV4 = r"^(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])$"
@@ -79,10 +79,10 @@ def full_url(host: Column, path: Column, query: Column) -> Column:
     return F.when(host.isNotNull() & path.isNotNull(), F.concat(host, path, F.coalesce(F.concat(F.lit("?"), query), F.lit(""))))
 
 
-def decompose_urls(df: DataFrame, url_col: str, casefold_host: bool = False, compat: bool = False) -> DataFrame:
+def decompose_urls(df: DataFrame, url_col: str, casefold_host: bool = False, compat: bool = False, stream: bool = False) -> DataFrame:
     """Add scheme, host, domain, sub_domains, path, raw_query, file, host_path, full_url, login, ip and error.
 
-    The registrable domain is found once for each distinct host.
+    The registrable domain is found once for each distinct host; with ``stream`` for each row, without an aggregate.
     """
     url = F.col(url_col)
     host = F.lower(url_host(url)) if casefold_host else url_host(url)
@@ -91,8 +91,11 @@ def decompose_urls(df: DataFrame, url_col: str, casefold_host: bool = False, com
     out = df.withColumns({"error": F.when(F.coalesce(bad, F.lit(True)), "invalid_url"), "scheme": url_scheme(url), "host": host, "path": path_clean(path), "raw_query": url_query(url), "login": url_login(url)})
     out = out.withColumns({c: F.when(F.col("error").isNull(), F.col(c)) for c in ("scheme", "host", "path", "raw_query", "login")})
     out = out.withColumns({"ip": url_ip(F.col("host")), "file": url_file(F.col("path")), "host_path": F.concat("host", "path"), "full_url": full_url(F.col("host"), F.col("path"), F.col("raw_query"))})
-    domains = registrable(out.filter("host is not null and ip is null").select("host").distinct(), compat)
-    out = out.join(domains, "host", "left")
+    if stream:
+        out = with_registrable(out, compat).withColumn("domain", F.when(F.col("ip").isNull(), F.col("domain")))
+    else:
+        domains = registrable(out.filter("host is not null and ip is null").select("host").distinct(), compat)
+        out = out.join(domains, "host", "left")
     n = F.size(F.split("host", r"\.")) - F.size(F.split("domain", r"\."))
     return out.withColumn("sub_domains", F.when((n > 0) & F.col("domain").isNotNull(), F.slice(F.split("host", r"\."), F.lit(1), F.greatest(n, F.lit(1)))))
 

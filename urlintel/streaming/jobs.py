@@ -71,13 +71,8 @@ def stream_check(checks: DataFrame, index_at: str, out: str, checkpoint: str, tr
 
 
 def stream_matches(checks: DataFrame, current: DataFrame) -> DataFrame:
-    """All matches as a plain stream-static join, for append sinks. The domain is that of the last two labels, as the
-    public-suffix look-up aggregates."""
-    host = urls.url_host(F.col("url"))
-    parts = checks.withColumns({"host": host, "path": urls.path_clean(urls.url_path(F.col("url"))), "raw_query": urls.url_query(F.col("url"))})
-    labels = F.split("host", r"\.")
-    parts = parts.withColumns({"ip": urls.url_ip(F.col("host")), "file": urls.url_file(F.col("path")), "full_url": urls.full_url(F.col("host"), F.col("path"), F.col("raw_query"))})
-    parts = parts.withColumn("domain", F.when(F.col("ip").isNull(), F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), ".")))
+    """All matches as plain stream-static joins, for append sinks; the same keys as ``check.bulk_check_all`` probes."""
+    parts = urls.decompose_urls(checks, "url", stream=True).filter("error is null")
     keys = parts.select("url_id", "url", F.posexplode(urls.check_keys()).alias("ord", "k")).select("url_id", "url", "ord", "k.*")
     return keys.join(current, ["type", "key"])
 
