@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import encode
+from .stash import stash
 
 RANGE = 1024
 LIMITS = (512, 1024, 2048, 4096, 8192, 16384, 32768, 131072)
@@ -24,9 +25,9 @@ def lengths(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
 
 
 def histogram(counted: DataFrame, limits: tuple[int, ...] = LIMITS) -> DataFrame:
-    """n_tokens, n_docs; a limit that no document has gets a row of 0 documents."""
+    """n_tokens, n_docs; a limit that no document has gets a row of 0 documents. Written once, as it is read twice: a row a length."""
     asked = counted.sparkSession.createDataFrame([(x, 0) for x in limits], "n_tokens long, n_docs long")
-    return counted.groupBy("n_tokens").agg(F.count("*").alias("n_docs")).union(asked).groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
+    return stash(counted.groupBy("n_tokens").agg(F.count("*").alias("n_docs")).union(asked).groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs")))
 
 
 def by_limit(hist: DataFrame) -> DataFrame:
