@@ -1,26 +1,29 @@
-"""Registrable domains by the public-suffix list that ships with Spark."""
+"""Registrable domains by the public-suffix list.
+
+The rules are those of https://publicsuffix.org, kept whole with their licence notice (Mozilla Public License 2.0) in
+``data/public_suffix_list.txt``; another list may be named by path.
+"""
 
 from __future__ import annotations
 
-import glob
-import os
-import zipfile
 from functools import lru_cache
+from importlib import resources
 
-import pyspark
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LIST = "mozilla/public-suffix-list.txt"
-_tables: dict[int, DataFrame] = {}
+_tables: dict[tuple[int, str | None], DataFrame] = {}
+HIT = "array<struct<e:int,length:int,private:boolean>>"
 
 
-@lru_cache(maxsize=1)
-def rules() -> list[tuple[str, str, bool]]:
+@lru_cache(maxsize=4)
+def rules(path: str | None = None) -> list[tuple[str, str, bool]]:
     """(suffix, kind, private): the list's rules; kind is plain, wild (any label before it) or except. About ten thousand."""
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "httpclient-4*.jar"))
-    with zipfile.ZipFile(jars[0]) as z:
-        text = z.read(LIST).decode()
+    if path is None:
+        text = resources.files(__package__).joinpath("data/public_suffix_list.txt").read_text(encoding="utf-8")
+    else:
+        with open(path, encoding="utf-8") as f:
+            text = f.read()
     out, private = [], False
     for line in text.splitlines():
         private = private or "BEGIN PRIVATE" in line
@@ -36,33 +39,23 @@ def rules() -> list[tuple[str, str, bool]]:
     return out
 
 
-def rule_table(spark: SparkSession) -> DataFrame:
-    """The rules as a table, made once a session: rows of one string each, split by Spark."""
-    made = _tables.get(spark._jsparkSession.hashCode())
-    if made is None:
-        text = "\n".join(f"{a},{b},{int(c)}" for a, b, c in rules())
-        cells = F.split("r", ",")
-        made = spark.createDataFrame([(text,)], "t string").select(F.explode(F.split("t", "\n")).alias("r")).select(cells[0].alias("suffix"), cells[1].alias("kind"), (cells[2] == "1").alias("private"))
-        _tables[spark._jsparkSession.hashCode()] = made
-    return made
-
+def rule_table(spark: SparkSession, path: str | None = None) -> DataFrame:
+    """tail, rules: the rules by the last label or the last two of their suffix, made once a session. Spark splits one text into its rows."""
+    where = (spark._jsparkSession.hashCode(), path)
+    if where not in _tables:
+        groups: dict[str, list[str]] = {}
+        for suffix, kind, private in rules(path):
+            groups.setdefault(".".join(suffix.split(".")[-2:]), []).append(f"{suffix} {kind} {int(private)} {suffix.count('.') + 1}")
+        text = "\n".join(f"{tail},{','.join(r)}" for tail, r in groups.items())
 
-def registrable(hosts: DataFrame, compat: bool = False) -> DataFrame:
-    """host, domain for a table of distinct hosts.
+        def rule(r: Column) -> Column:
+            cells = F.split(r, " ")
+            return F.struct(cells[0].alias("suffix"), cells[1].alias("kind"), (cells[2] == "1").alias("private"), cells[3].cast("int").alias("size"))
 
-    Every suffix of a host is looked up among the rules (a small fixed table, sent to each task); the longest wins,
-    exceptions first, one label where none matches. A host that is a suffix itself, or equals its registrable domain
-    under a private rule (any rule with ``compat``), falls back to its last two labels.
-    """
-    spark = hosts.sparkSession
-    table = F.broadcast(rule_table(spark))
-    labels = F.split("host", r"\.")
-    n = F.size(labels)
-    cut = hosts.select("host", n.alias("n"), F.explode(F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(i.alias("size"), F.array_join(F.slice(labels, n - i + 1, i), ".").alias("suffix")))).alias("s")).select("host", "n", "s.*")
-    hit = cut.join(table, F.lower(cut["suffix"]) == table["suffix"]).select("host", "n", "size", "kind", "private")
-    length = F.when(F.col("kind") == "wild", F.least(F.col("size") + 1, F.col("n"))).when(F.col("kind") == "except", F.col("size") - 1).otherwise(F.col("size"))
-    best = hit.withColumn("length", length).groupBy("host").agg(F.max_by(F.struct("length", "private"), F.struct((F.col("kind") == "except").cast("int").alias("e"), "length")).alias("b"))
-    return hosts.join(best, "host", "left").select("host", _domain("b", compat).alias("domain"))
+        row = F.split("r", ",")
+        lines = spark.createDataFrame([(text,)], "t string").select(F.explode(F.split("t", "\n")).alias("r"))
+        _tables[where] = lines.select(row[0].alias("tail"), F.transform(F.slice(row, F.lit(2), F.size(row) - 1), rule).alias("rules"))
+    return _tables[where]
 
 
 def _domain(best: str, compat: bool) -> Column:
@@ -75,27 +68,31 @@ def _domain(best: str, compat: bool) -> Column:
     return F.when(n <= 1, F.col("host")).when(naive, two).otherwise(F.array_join(F.slice(labels, n - size, size + 1), "."))
 
 
-def _hits(rules_: str, size: int, n: Column) -> Column:
-    """What the rules of a suffix of ``size`` labels say of a host of n; the greatest wins."""
+def _hits(rules_: str, host: Column, n: Column) -> Column:
+    """What the rules that the host ends in say of its suffix; exceptions first, then the longest wins."""
 
     def hit(r: Column) -> Column:
-        length = F.when(r["kind"] == "wild", F.least(F.lit(size + 1), n)).when(r["kind"] == "except", F.lit(size - 1)).otherwise(F.lit(size))
+        length = F.when(r["kind"] == "wild", F.least(r["size"] + 1, n)).when(r["kind"] == "except", r["size"] - 1).otherwise(r["size"])
         return F.struct((r["kind"] == "except").cast("int").alias("e"), length.alias("length"), r["private"].alias("private"))
 
-    return F.transform(rules_, hit)
+    mine = F.filter(rules_, lambda r: (host == r["suffix"]) | F.endswith(host, F.concat(F.lit("."), r["suffix"])))
+    return F.coalesce(F.transform(mine, hit).cast(HIT), F.array().cast(HIT))
 
 
-def with_registrable(df: DataFrame, compat: bool = False) -> DataFrame:
-    """Add domain to rows with a host, as ``registrable`` finds it, without aggregating them: one stream-static join for each number of labels that a rule has."""
-    labels = F.split("host", r"\.")
-    n = F.size(labels)
-    table = rule_table(df.sparkSession).groupBy("suffix").agg(F.collect_list(F.struct("kind", "private")).alias("rules"))
-    found = []
+def with_registrable(df: DataFrame, compat: bool = False, path: str | None = None) -> DataFrame:
+    """Add domain to rows with a host; null where host is null.
+
+    Each row meets the rules for its last label and for its last two, two joins with a fixed table of some thousand rows
+    that go to every task, so nothing is shuffled or aggregated and streams can use it too. One label is the suffix where
+    no rule matches. A host that is a suffix itself, or equals its registrable domain under a private rule (any rule
+    with ``compat``), falls back to its last two labels.
+    """
+    table = rule_table(df.sparkSession, path)
+    host = F.lower("host")
+    n = F.size(F.split("host", r"\."))
     out = df
-    for i in range(1, 1 + max(suffix.count(".") + 1 for suffix, _, _ in rules())):
-        one = F.broadcast(table.select(F.col("suffix").alias(f"_suffix{i}"), F.col("rules").alias(f"_rules{i}")))
-        suffix = F.when(n >= i, F.lower(F.array_join(F.slice(labels, F.greatest(n - i + 1, F.lit(1)), i), ".")))
-        out = out.join(one, suffix == F.col(f"_suffix{i}"), "left").drop(f"_suffix{i}")
-        found.append(F.coalesce(_hits(f"_rules{i}", i, n), F.array().cast("array<struct<e:int,length:int,private:boolean>>")))
-    out = out.withColumn("_best", F.array_max(F.concat(*found)))
-    return out.withColumn("domain", F.when(F.col("host").isNotNull(), _domain("_best", compat))).drop("_best", *[f"_rules{k + 1}" for k in range(len(found))])
+    for i in (1, 2):
+        tail = F.when(n >= i, F.substring_index(host, ".", -i))
+        out = out.join(F.broadcast(table.select(F.col("tail").alias(f"_tail{i}"), F.col("rules").alias(f"_rules{i}"))), tail == F.col(f"_tail{i}"), "left").drop(f"_tail{i}")
+    out = out.withColumn("_best", F.array_max(F.concat(_hits("_rules1", host, n), _hits("_rules2", host, n))))
+    return out.withColumn("domain", F.when(F.col("host").isNotNull(), _domain("_best", compat))).drop("_best", "_rules1", "_rules2")

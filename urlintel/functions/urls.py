@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .psl import registrable, with_registrable
+from .psl import with_registrable
 
 URL = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?//(?:([^/?#]*)@)?(\[[^\]]*\]|[^/?#:]*)(?::([0-9]*))?([^?#]*)(?:\?([^#]*))?"
 IPV4 = r"^(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])$"
 IPV6 = r"^(?=.*:.*:)[0-9A-Fa-f:]{2,39}(?:[0-9]{1,3}(?:\.[0-9]{1,3}){3})?(?:%.+)?$"
 FILE = r"\.[^.]+$"
+# White space in Unicode, control characters included, and the white space at either end of a text.
+SPACE = r"[\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+ENDS = rf"^{SPACE}+|{SPACE}+$"
 
 # Key types, their weights in per cent, and the lower bounds of the levels.
 KEY_TYPES = ("domain", "host", "host_path", "path", "query", "file", "full_url", "login", "ip")
@@ -23,34 +26,51 @@ def some(c: Column) -> Column:
     return F.when(c != "", c)
 
 
+def trimmed(text: Column) -> Column:
+    """Without the white space of Unicode at both ends."""
+    return F.regexp_replace(text, ENDS, "")
+
+
 def url_prepare(url: Column) -> Column:
-    t = F.trim(url)
+    t = trimmed(url)
     return F.when(t.contains("://") | t.startswith("//"), t).otherwise(F.concat(F.lit("//"), t))
 
 
-def part(url: Column, group: int) -> Column:
-    return some(F.regexp_extract(url_prepare(url), URL, group))
+def part(prepared: Column, group: int) -> Column:
+    return some(F.regexp_extract(prepared, URL, group))
+
+
+def _host(prepared: Column) -> Column:
+    return some(F.regexp_replace(F.coalesce(part(prepared, 3), F.lit("")), r"^\[|\]$", ""))
+
+
+def _path(prepared: Column) -> Column:
+    return F.try_url_decode(F.replace(F.coalesce(part(prepared, 5), F.lit("")), F.lit("+"), F.lit("%2B")))
+
+
+def _login(prepared: Column) -> Column:
+    return some(F.try_url_decode(F.replace(F.coalesce(part(prepared, 2), F.lit("")), F.lit("+"), F.lit("%2B"))))
 
 
 def url_scheme(url: Column) -> Column:
-    return part(url, 1)
+    return part(url_prepare(url), 1)
 
 
 def url_host(url: Column) -> Column:
-    return some(F.regexp_replace(F.coalesce(part(url, 3), F.lit("")), r"^\[|\]$", ""))
+    return _host(url_prepare(url))
 
 
 def url_path(url: Column) -> Column:
     """Percent-decoded; a plus sign stays one. A bad escape gives null."""
-    return F.try_url_decode(F.replace(F.coalesce(part(url, 5), F.lit("")), F.lit("+"), F.lit("%2B")))
+    return _path(url_prepare(url))
 
 
 def url_query(url: Column) -> Column:
-    return part(url, 6)
+    return part(url_prepare(url), 6)
 
 
 def url_login(url: Column) -> Column:
-    return some(F.try_url_decode(F.replace(F.coalesce(part(url, 2), F.lit("")), F.lit("+"), F.lit("%2B"))))
+    return _login(url_prepare(url))
 
 
 def url_ip(host: Column) -> Column:
@@ -79,25 +99,25 @@ def full_url(host: Column, path: Column, query: Column) -> Column:
     return F.when(host.isNotNull() & path.isNotNull(), F.concat(host, path, F.coalesce(F.concat(F.lit("?"), query), F.lit(""))))
 
 
-def decompose_urls(df: DataFrame, url_col: str, casefold_host: bool = False, compat: bool = False, stream: bool = False) -> DataFrame:
-    """Add scheme, host, domain, sub_domains, path, raw_query, file, host_path, full_url, login, ip and error.
-
-    The registrable domain is found once for each distinct host; with ``stream`` for each row, without an aggregate.
-    """
-    url = F.col(url_col)
-    host = F.lower(url_host(url)) if casefold_host else url_host(url)
-    path = url_path(url)
-    bad = (F.coalesce(F.trim(url), F.lit("")) == "") | path.isNull() | (host.isNull() & (F.coalesce(path, F.lit("")) == "")) | url.rlike(r"[\x00-\x1F\x7F]") | F.coalesce(host, F.lit("")).contains(" ")
-    out = df.withColumns({"error": F.when(F.coalesce(bad, F.lit(True)), "invalid_url"), "scheme": url_scheme(url), "host": host, "path": path_clean(path), "raw_query": url_query(url), "login": url_login(url)})
-    out = out.withColumns({c: F.when(F.col("error").isNull(), F.col(c)) for c in ("scheme", "host", "path", "raw_query", "login")})
-    out = out.withColumns({"ip": url_ip(F.col("host")), "file": url_file(F.col("path")), "host_path": F.concat("host", "path"), "full_url": full_url(F.col("host"), F.col("path"), F.col("raw_query"))})
-    if stream:
-        out = with_registrable(out, compat).withColumn("domain", F.when(F.col("ip").isNull(), F.col("domain")))
-    else:
-        domains = registrable(out.filter("host is not null and ip is null").select("host").distinct(), compat)
-        out = out.join(domains, "host", "left")
+def url_error(url: Column, host: Column | None = None, path: Column | None = None) -> Column:
+    """'invalid_url' or null. The host, and the path before it is cleaned, may be given where they are known."""
+    text, host, path = trimmed(url), url_host(url) if host is None else host, url_path(url) if path is None else path
+    bad = (F.coalesce(text, F.lit("")) == "") | path.isNull() | (host.isNull() & (F.coalesce(path, F.lit("")) == "")) | text.rlike(r"[\x00-\x1F\x7F]") | F.coalesce(host, F.lit("")).contains(" ")
+    return F.when(F.coalesce(bad, F.lit(True)), "invalid_url")
+
+
+def decompose_urls(df: DataFrame, url_col: str, casefold_host: bool = False, compat: bool = False) -> DataFrame:
+    """Add scheme, host, domain, sub_domains, path, raw_query, file, host_path, full_url, login, ip and error. Nothing is shuffled."""
+    c = F.col
+    out = df.withColumn("_prepared", url_prepare(c(url_col)))
+    out = out.withColumns({"host": F.lower(_host(c("_prepared"))) if casefold_host else _host(c("_prepared")), "_path": _path(c("_prepared"))})
+    out = out.withColumn("error", url_error(c(url_col), c("host"), c("_path")))
+    good = lambda x: F.when(c("error").isNull(), x)
+    out = out.withColumns({"scheme": good(part(c("_prepared"), 1)), "host": good(c("host")), "path": good(path_clean(c("_path"))), "raw_query": good(part(c("_prepared"), 6)), "login": good(_login(c("_prepared")))}).drop("_prepared", "_path")
+    out = out.withColumns({"ip": url_ip(c("host")), "file": url_file(c("path")), "host_path": F.concat("host", "path"), "full_url": full_url(c("host"), c("path"), c("raw_query"))})
+    out = with_registrable(out, compat).withColumn("domain", F.when(c("ip").isNull(), c("domain")))
     n = F.size(F.split("host", r"\.")) - F.size(F.split("domain", r"\."))
-    return out.withColumn("sub_domains", F.when((n > 0) & F.col("domain").isNotNull(), F.slice(F.split("host", r"\."), F.lit(1), F.greatest(n, F.lit(1)))))
+    return out.withColumn("sub_domains", F.when((n > 0) & c("domain").isNotNull(), F.slice(F.split("host", r"\."), F.lit(1), F.greatest(n, F.lit(1)))))
 
 
 def key(kind: str, value: Column) -> Column:
@@ -133,7 +153,7 @@ def keys_for_types(df: DataFrame, types: tuple[str, ...]) -> DataFrame:
 
 def normalize_url(url: Column) -> Column:
     """Lower-case; no trailing slash on the path; port, query and fragment stay."""
-    low = F.lower(F.trim(url))
+    low = F.lower(trimmed(url))
     return F.regexp_replace(low, r"^((?:[^:/?#]+:)?//[^/?#]*[^?#]*?)/+(?=[?#]|$)", "$1")
 
 
@@ -163,7 +183,7 @@ def sub_domains_array(text: Column) -> Column:
 
 def is_http_url(url: Column) -> Column:
     host = url_host(url)
-    return F.coalesce(F.lower(url_scheme(url)).isin("http", "https") & host.isNotNull() & ~F.trim(url).contains("{"), F.lit(False))
+    return F.coalesce(F.lower(url_scheme(url)).isin("http", "https") & host.isNotNull() & ~url.contains("{"), F.lit(False))
 
 
 def resolve_source_url(url: Column, api_key: Column) -> Column:

@@ -14,11 +14,10 @@ from ..sources.feeds import DEFAULT_TRUST
 from .entries import exists_by_type
 
 
-def probe_keys(checks: DataFrame, url_col: str = "url", **options) -> tuple[DataFrame, DataFrame]:
-    """The distinct URLs decomposed (url, error), and their keys (url, ord, type, key)."""
+def probe_keys(checks: DataFrame, url_col: str = "url", **options) -> DataFrame:
+    """url, ord, type, key: the keys of the distinct valid URLs, in the order in which they count."""
     parts = urls.decompose_urls(checks.select(F.col(url_col).alias("url")).distinct(), "url", **options)
-    keys = parts.filter("error is null").select("url", F.posexplode(urls.check_keys()).alias("ord", "k")).select("url", "ord", "k.*")
-    return parts.select("url", "error"), keys
+    return parts.filter("error is null").select("url", F.posexplode(urls.check_keys()).alias("ord", "k")).select("url", "ord", "k.*")
 
 
 def all_matches(keys: DataFrame, index: DataFrame) -> DataFrame:
@@ -26,30 +25,36 @@ def all_matches(keys: DataFrame, index: DataFrame) -> DataFrame:
     return keys.join(index, ["type", "key"]).select("url", "ord", "type", "key", "source")
 
 
+def in_order():
+    """The matches of a URL in order; there are at most as many as it has keys times the sources."""
+    return F.array_sort(F.collect_list(F.struct("ord", "source", "type", "key")))
+
+
 def first_match(matches: DataFrame) -> DataFrame:
     """The match of lowest (ord, source) of each URL."""
     return matches.groupBy("url").agg(F.min(F.struct("ord", "source", "type", "key")).alias("m")).select("url", "m.*")
 
 
-def _back(checks: DataFrame, parts: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """One row for each row checked. null URLs are null-safe to join."""
-    known = parts.withColumnRenamed("url", "u")
-    joined = checks.join(known, checks["url"].eqNullSafe(known["u"]), "left").drop("u")
-    return joined.join(verdicts, "url", "left")
+def _back(checks: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """One row for each row checked. Only URLs with a match have a verdict; the error is told from the URL itself."""
+    return checks.withColumn("error", urls.url_error(F.col("url"))).join(verdicts, "url", "left")
+
+
+def _checked(checks: DataFrame, verdicts: DataFrame) -> DataFrame:
+    depth = F.least(10 * F.coalesce(F.size("matches"), F.lit(0)), F.lit(100))
+    return _back(checks, verdicts).select(*checks.columns, "error", F.col("matches").isNotNull().alias("likely"), depth.alias("max_depth"), "matches")
 
 
 def bulk_check(checks: DataFrame, index: DataFrame, **options) -> DataFrame:
     """All columns of ``checks``, error, likely, max_depth and matches (the first hit, or none)."""
-    parts, keys = probe_keys(checks, **options)
-    first = first_match(all_matches(keys, index)).select("url", F.array(F.struct("source", "type", "key")).alias("matches"))
-    return _back(checks, parts, first).select(*checks.columns, F.coalesce("error", F.lit(None)).alias("error"), F.col("matches").isNotNull().alias("likely"), F.least(10 * F.coalesce(F.size("matches"), F.lit(0)), F.lit(100)).alias("max_depth"), "matches")
+    first = first_match(all_matches(probe_keys(checks, **options), index))
+    return _checked(checks, first.select("url", F.array(F.struct("source", "type", "key")).alias("matches")))
 
 
 def bulk_check_all(checks: DataFrame, index: DataFrame, **options) -> DataFrame:
     """As ``bulk_check`` with every match, in order."""
-    parts, keys = probe_keys(checks, **options)
-    every = all_matches(keys, index).groupBy("url").agg(F.array_sort(F.collect_list(F.struct("ord", "source", "type", "key"))).alias("matches"))
-    return _back(checks, parts, every).select(*checks.columns, "error", F.col("matches").isNotNull().alias("likely"), F.least(10 * F.coalesce(F.size("matches"), F.lit(0)), F.lit(100)).alias("max_depth"), "matches")
+    found = all_matches(probe_keys(checks, **options), index)
+    return _checked(checks, found.groupBy("url").agg(in_order().alias("matches")))
 
 
 def attach_trust(matches: DataFrame, trust: DataFrame) -> DataFrame:
@@ -57,11 +62,12 @@ def attach_trust(matches: DataFrame, trust: DataFrame) -> DataFrame:
     return matches.join(trust, "source", "left").withColumn("trust", F.coalesce("trust", F.lit(DEFAULT_TRUST)))
 
 
-def score_matches(matches: DataFrame) -> DataFrame:
-    """url, n_matches, confidence, level: one match gives its trust; several, the trust-weighted mean of their depth weights."""
+def score_matches(matches: DataFrame, listed: bool = False) -> DataFrame:
+    """url, n_matches, confidence, check_max_depth, level, and with ``listed`` the matches: one match gives its trust; several, the trust-weighted mean of their depth weights."""
     total, weighted = F.sum("trust"), F.sum(F.col("trust") * urls.depth_weight(F.col("type")))
     score = F.when(F.count("*") == 1, F.max("trust")).when(total == 0, F.lit(0.0)).otherwise(weighted / total)
-    return matches.groupBy("url").agg(F.count("*").alias("n_matches"), score.alias("confidence"), F.max(F.floor(urls.depth_weight(F.col("type")) * 100 + F.lit(1e-9))).alias("check_max_depth")).withColumn("level", urls.confidence_level(F.col("confidence")))
+    every = [in_order().alias("matches")] if listed else []
+    return matches.groupBy("url").agg(F.count("*").alias("n_matches"), score.alias("confidence"), F.max(F.floor(urls.depth_weight(F.col("type")) * 100 + F.lit(1e-9))).alias("check_max_depth"), *every).withColumn("level", urls.confidence_level(F.col("confidence")))
 
 
 def score_sources(lists: DataFrame, trust: DataFrame, id_col: str) -> DataFrame:
@@ -73,26 +79,21 @@ def score_sources(lists: DataFrame, trust: DataFrame, id_col: str) -> DataFrame:
 
 def bulk_hit(checks: DataFrame, index: DataFrame, entries: DataFrame, trust: DataFrame, match_mode: str = "first", **options) -> DataFrame:
     """Check, confirm against the active entries, score. Misses come back with blocked = false."""
-    parts, keys = probe_keys(checks, **options)
-    found = all_matches(keys, index)
-    found = exists_by_type(found, entries)
+    found = exists_by_type(all_matches(probe_keys(checks, **options), index), entries)
     if match_mode == "first":
         found = first_match(found)
-    found = attach_trust(found, trust)
-    scored = score_matches(found).join(found.groupBy("url").agg(F.array_sort(F.collect_list(F.struct("ord", "source", "type", "key"))).alias("matches")), "url")
+    scored = score_matches(attach_trust(found, trust), listed=True)
     score = F.coalesce("confidence", F.lit(0.0))
-    return _back(checks, parts, scored).select(*checks.columns, "error", F.col("matches").isNotNull().alias("blocked"), score.alias("confidence"), urls.confidence_level(score).alias("level"), "matches")
+    return _back(checks, scored).select(*checks.columns, "error", F.col("matches").isNotNull().alias("blocked"), score.alias("confidence"), urls.confidence_level(score).alias("level"), "matches")
 
 
 def clean_urls(checks: DataFrame, index: DataFrame) -> DataFrame:
-    parts, keys = probe_keys(checks)
-    return checks.join(all_matches(keys, index).select("url").distinct(), "url", "left_anti")
+    return checks.join(all_matches(probe_keys(checks), index).select("url").distinct(), "url", "left_anti")
 
 
 def covered_by(checks: DataFrame, index: DataFrame, kind: str) -> DataFrame:
     """url, key, source: the URLs that a listed domain (kind 'domain') or path ('host_path') above them covers."""
-    _, keys = probe_keys(checks)
-    return all_matches(keys.filter(F.col("type") == kind), index).select("url", "key", "source")
+    return all_matches(probe_keys(checks).filter(F.col("type") == kind), index).select("url", "key", "source")
 
 
 def prefilter_urls(checks: DataFrame, entries: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls
@@ -27,33 +27,41 @@ def rebuild_source(index: DataFrame, source: str, fresh: DataFrame) -> DataFrame
     return index.filter(F.col("source") != source).unionByName(fresh.filter(F.col("source") == source))
 
 
-def shape(n: int, rate: float = RATE) -> tuple[int, int]:
-    """Bits and hashes of a filter for n keys."""
-    n = max(LEAST_N, n)
-    bits = math.ceil(-n * math.log(rate) / math.log(2) ** 2)
-    return bits, max(1, round(bits / n * math.log(2)))
+def shapes(index: DataFrame, rate: float = RATE) -> DataFrame:
+    """type, bits, hashes: the shape of each type's filters, from the number of its keys; a row a key type."""
+    n = F.greatest(F.count_distinct("key"), F.lit(LEAST_N)).cast("double")
+    bits = F.ceil(n * F.lit(-math.log(rate) / math.log(2) ** 2))
+    sized = index.groupBy("type").agg(n.alias("n"), bits.cast("long").alias("bits"))
+    return sized.select("type", "bits", F.greatest(F.lit(1), F.round(F.col("bits") / F.col("n") * F.lit(math.log(2)))).cast("int").alias("hashes"))
 
 
-def positions(bits: int, hashes: int):
-    """Bit positions of ``key``; both hashes are reduced before they are multiplied."""
-    h1, h2 = F.pmod(F.xxhash64("key"), F.lit(bits)), F.pmod(F.xxhash64("key", F.lit(7)), F.lit(bits))
-    return F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda i: F.pmod(h1 + i * h2, F.lit(bits)))
+def positions() -> Column:
+    """Bit positions of ``key`` among ``bits``; both hashes are reduced before they are multiplied."""
+    bits = F.col("bits")
+    h1, h2 = F.pmod(F.xxhash64("key"), bits), F.pmod(F.xxhash64("key", F.lit(7)), bits)
+    return F.transform(F.sequence(F.lit(0), F.col("hashes") - 1), lambda i: F.pmod(h1 + i * h2, bits))
 
 
-def build_bloom(index: DataFrame, bits: int, hashes: int) -> DataFrame:
-    """type, source, word, mask: 64-bit words of a filter for each (type, source), built and merged by bit_or."""
-    at = index.select("type", "source", F.explode(positions(bits, hashes)).alias("p"))
-    return at.groupBy("type", "source", F.expr("p div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("mask"))
+def build_bloom(index: DataFrame, rate: float = RATE) -> DataFrame:
+    """type, source, bits, hashes, word, mask: 64-bit words of a filter for each (type, source), built and merged by bit_or.
+
+    All filters of a type have one shape, so that they can be merged.
+    """
+    at = index.join(F.broadcast(shapes(index, rate)), "type").select("type", "source", "bits", "hashes", F.explode(positions()).alias("p"))
+    return at.groupBy("type", "source", "bits", "hashes", F.expr("p div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("mask"))
 
 
 def merge_bloom(bloom: DataFrame, without: str | None = None) -> DataFrame:
     """The filter of each type over all sources, or all but one."""
     kept = bloom.filter(F.col("source") != without) if without else bloom
-    return kept.groupBy("type", "word").agg(F.bit_or("mask").alias("mask"))
+    return kept.groupBy("type", "bits", "hashes", "word").agg(F.bit_or("mask").alias("mask"))
 
 
-def bloom_probe(probes: DataFrame, merged: DataFrame, bits: int, hashes: int) -> DataFrame:
-    """The distinct (type, key) of ``probes`` that the filter may hold."""
-    at = probes.select("type", "key").distinct().withColumn("p", F.explode(positions(bits, hashes))).withColumn("word", F.expr("p div 64"))
-    hit = F.coalesce(F.col("mask").bitwiseAND(F.expr("shiftleft(1L, cast(p % 64 as int))")) != 0, F.lit(False))
-    return at.join(merged, ["type", "word"], "left").groupBy("type", "key").agg(F.bool_and(hit).alias("maybe")).filter("maybe").select("type", "key")
+def bloom_probe(probes: DataFrame, bloom: DataFrame) -> DataFrame:
+    """The distinct (type, key) of ``probes`` that a filter may hold: of the merged one, or with source of each source's own."""
+    by = ["type", "key", *[c for c in bloom.columns if c == "source"]]
+    kinds = bloom.select("type", "bits", "hashes").distinct()  # a row a key type, of which there are nine
+    at = probes.select("type", "key").distinct().join(F.broadcast(kinds), "type").withColumn("p", F.explode(F.array_distinct(positions())))
+    at = at.withColumn("wanted", F.size(F.array_distinct(positions()))).withColumn("word", F.expr("p div 64"))
+    hit = at.join(bloom.drop("bits", "hashes"), ["type", "word"]).filter(F.col("mask").bitwiseAND(F.expr("shiftleft(1L, cast(p % 64 as int))")) != 0)
+    return hit.groupBy(*by).agg(F.count("*").alias("n"), F.max("wanted").alias("wanted")).filter("n = wanted").select(*by)

@@ -9,15 +9,23 @@ from pyspark.sql import functions as F
 
 from ..functions import urls
 from .entries import active, url_id_index
+from .index import bloom_probe
 
 COLUMN = {"FULL": "source_url", "HOST": "host", "DOMAIN": "domain", "PATH": "path"}
 
 
-def lookup_cached_ids(checks: DataFrame, cache: DataFrame, entries: DataFrame) -> DataFrame:
-    """url, ids: from the inverted index, else from the table; null where neither lists the URL."""
+def lookup_cached_ids(checks: DataFrame, cache: DataFrame, entries: DataFrame, gate: DataFrame | None = None) -> DataFrame:
+    """url, ids: from the inverted index, else from the table; null where neither lists the URL.
+
+    With a ``gate``, a Bloom filter over keys of type source_url, URLs that it doesn't hold are looked up nowhere.
+    """
+    asked = checks.select("url").distinct()
+    if gate is not None:
+        asked = bloom_probe(asked.select(F.lit("source_url").alias("type"), F.col("url").alias("key")), gate).select(F.col("key").alias("url"))
     cached = cache.select(F.col("source_url").alias("url"), F.col("ids").alias("cached"))
     fallback = url_id_index(entries).select(F.col("source_url").alias("url"), F.col("ids").alias("stored"))
-    return checks.join(cached, "url", "left").join(fallback, "url", "left").select(*checks.columns, F.coalesce("cached", "stored").alias("ids"))
+    found = asked.join(cached, "url", "left").join(fallback, "url", "left").select("url", F.coalesce("cached", "stored").alias("ids")).filter("ids is not null")
+    return checks.join(found, "url", "left").select(*checks.columns, "ids")
 
 
 def query_by_type(links: DataFrame, entries: DataFrame, kind: str) -> DataFrame:
@@ -29,19 +37,30 @@ def query_by_type(links: DataFrame, entries: DataFrame, kind: str) -> DataFrame:
     return links.join(found, "link").select("link", "id", F.lit(kind).alias("match_type"), F.col("link").alias("matched_value"))
 
 
-def query_mixed(links: DataFrame, entries: DataFrame, compat: bool = False) -> DataFrame:
-    """Exact URL (normalised), host, domain and path hits; an id may come once a match type."""
-    parts = urls.decompose_urls(links.select("link", F.lower(F.trim("link")).alias("low")).distinct(), "low")
+def _branches(links: DataFrame, entries: DataFrame, compat: bool):
+    """For each way of matching: its name, the links' values (link, matched_value) and the entries' (id, matched_value)."""
+    parts = urls.decompose_urls(links.select("link", F.lower(urls.trimmed(F.col("link"))).alias("low")).distinct(), "low")
     parts = parts.withColumn("exact", urls.normalize_url(F.col("link")))
     kept = active(entries)
-    branches = []
     for probe, stored, name in (("exact", "source_url" if compat else "norm_url", "EXACT_URL"), ("host", "host", "HOST"), ("domain", "domain", "DOMAIN"), ("path", "path", "PATH")):
         asked = parts.filter(F.col(probe).isNotNull()).select("link", F.col(probe).alias("matched_value"))
-        branches.append(asked.join(kept.select("id", F.col(stored).alias("matched_value")), "matched_value").select("link", "id", F.lit(name).alias("match_type"), "matched_value"))
-    return reduce(DataFrame.unionByName, branches)
+        yield name, asked, kept.select("id", F.col(stored).alias("matched_value"))
+
+
+def query_mixed(links: DataFrame, entries: DataFrame, compat: bool = False) -> DataFrame:
+    """Exact URL (normalised), host, domain and path hits; an id may come once a match type."""
+    found = [asked.join(kept, "matched_value").select("link", "id", F.lit(name).alias("match_type"), "matched_value") for name, asked, kept in _branches(links, entries, compat)]
+    return reduce(DataFrame.unionByName, found)
+
 
+def top_hit(links: DataFrame, entries: DataFrame, compat: bool = False) -> DataFrame:
+    """link, hits (the first of ``query_mixed`` by type and id), count.
 
-def top_hit(hits: DataFrame) -> DataFrame:
-    """link, hits (the first by type and id), count."""
-    every = hits.groupBy("link").agg(F.min(F.struct("match_type", "id", "matched_value")).alias("first"), F.count("*").alias("count"))
+    Entries are counted by value before they meet the links, so that a popular host or domain is one row.
+    """
+    found = []
+    for name, asked, kept in _branches(links, entries, compat):
+        values = kept.groupBy("matched_value").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+        found.append(asked.join(values, "matched_value").select("link", F.struct(F.lit(name).alias("match_type"), "id", "matched_value").alias("hit"), "n"))
+    every = reduce(DataFrame.unionByName, found).groupBy("link").agg(F.min("hit").alias("first"), F.sum("n").alias("count"))
     return every.select("link", F.array("first").alias("hits"), "count")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.urls import trimmed
+
 HOUR, DAY, WEEK, DEFAULT_TTL = 3600, 86_400, 604_800, 21_600
 
 
@@ -46,19 +48,21 @@ def entries_per_run(runs: DataFrame) -> DataFrame:
     return runs.groupBy("provider", "run_id").agg(F.sum("entry_count").alias("processed"), seconds.alias("seconds")).withColumn("rate", F.when(F.col("seconds") > 0, F.col("processed") / F.col("seconds")).otherwise(0.0))
 
 
-def feed_metrics(runs: DataFrame, rejects: DataFrame) -> DataFrame:
-    """Per provider: syncs, successes, failures, last duration, saved, parse errors."""
+def feed_metrics(runs: DataFrame, rejects: DataFrame, entries: DataFrame) -> DataFrame:
+    """Per provider: syncs, successes, failures, last duration, saved, processed (by the last run), parse errors, deleted. ``entries`` has provider and deleted_at."""
+    last = F.struct("start_time", "run_id")
     by = runs.groupBy("provider").agg(
         F.count("*").alias("syncs"), F.count_if(F.col("status") == "completed").alias("successes"), F.count_if(F.col("status") == "failed").alias("failures"),
-        F.max_by(F.unix_timestamp("end_time") - F.unix_timestamp("start_time"), F.struct("start_time", "run_id")).alias("last_seconds"), F.sum("entry_count").alias("saved"),
+        F.max_by(F.unix_timestamp("end_time") - F.unix_timestamp("start_time"), last).alias("last_seconds"), F.sum("entry_count").alias("saved"), F.max_by("entry_count", last).alias("processed"),
     )
     errors = rejects.groupBy("provider").agg(F.count("*").alias("parse_errors"))
-    return by.join(errors, "provider", "left").withColumn("parse_errors", F.coalesce("parse_errors", F.lit(0)))
+    deleted = entries.groupBy("provider").agg(F.count("deleted_at").alias("deleted"))
+    return by.join(errors, "provider", "left").join(deleted, "provider", "left").fillna(0, ["parse_errors", "deleted"])
 
 
 def ttl_of_schedule(schedule: Column) -> Column:
     """Seconds: duration text as it says; the cron forms that feeds use; else hour, day or week by name; else six hours."""
-    s = F.trim(F.coalesce(schedule, F.lit("")))
+    s = trimmed(F.coalesce(schedule, F.lit("")))
     number = lambda unit: F.regexp_extract(s, rf"^([0-9]+){unit}$", 1)
     every = F.regexp_extract(s, r"^[0-9]+ \*/([0-9]+) \* \* \*$", 1)
     low = F.lower(s)

@@ -59,6 +59,15 @@ def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+SUFFIX_HOSTS = ("p{}.example.co.uk", "a.p{}.kawasaki.jp", "p{}.city.kawasaki.jp", "p{}.github.io", "a.p{}.github.io", "a.p{}.unlisted", "github.io")
+
+
+def suffix_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url: hosts under suffixes of all kinds, a row a page."""
+    host = F.element_at(F.array(*[F.format_string(h.replace("{}", "%s"), F.col("page_id").cast("string")) if "{}" in h else F.lit(h) for h in SUFFIX_HOSTS]), (F.col("page_id") % len(SUFFIX_HOSTS) + 1).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("https://"), host, F.lit("/x")).alias("url"))
+
+
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The run log: an event is a run."""
     e = table(spark, sf_dir, "events")
@@ -99,6 +108,12 @@ nullif(regexp_extract(prep, '{_RE}', 6), '') AS raw_query FROM (
 SELECT *, CASE WHEN contains(trim({url}), '://') OR starts_with(trim({url}), '//') THEN trim({url}) ELSE '//' || trim({url}) END AS prep FROM {source}))))"""
 
 
+# The rules that decide on these hosts, and the domain by them.
+SUFFIX_DOMAINS = f"""u AS (SELECT page_id, replace([{', '.join(repr(h) for h in SUFFIX_HOSTS)}][page_id % {len(SUFFIX_HOSTS)} + 1], '{{}}', page_id::VARCHAR) AS host FROM pages),
+rules(suffix, kind, private) AS (VALUES ('uk', 'plain', false), ('co.uk', 'plain', false), ('jp', 'plain', false), ('kawasaki.jp', 'wild', false), ('city.kawasaki.jp', 'except', false), ('io', 'plain', false), ('github.io', 'plain', true)),
+hit AS (SELECT page_id, string_split(host, '.') AS labels, kind = 'except' AS e, private, len(string_split(suffix, '.')) + CASE kind WHEN 'wild' THEN 1 WHEN 'except' THEN -1 ELSE 0 END AS k FROM u LEFT JOIN rules ON host = suffix OR ends_with(host, '.' || suffix)),
+best AS (SELECT *, coalesce(k, 1) AS size FROM hit QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY e DESC NULLS LAST, k DESC NULLS LAST) = 1),
+suffixed AS (SELECT page_id, labels, CASE WHEN len(labels) <= size OR len(labels) = size + 1 AND coalesce(private, false) THEN labels[-2:] ELSE labels[-(size + 1):] END AS tail FROM best)"""
 TARGET = """CASE WHEN ip IS NOT NULL THEN {'type': 'ip', 'key': ip} WHEN file IS NOT NULL AND raw_query IS NOT NULL THEN {'type': 'full_url', 'key': full_url} WHEN file IS NOT NULL THEN {'type': 'file', 'key': file}
 WHEN path IS NOT NULL THEN {'type': 'host_path', 'key': host_path} WHEN host = domain THEN {'type': 'domain', 'key': host} WHEN host IS NOT NULL THEN {'type': 'host', 'key': host} END"""
 CATEGORY = "CASE source WHEN 'oisd-big' THEN 'blocklist' WHEN 'oisd-nsfw' THEN 'nsfw' WHEN 'urlhaus-online' THEN 'malware' WHEN 'openphish-feed' THEN 'phishing' WHEN 'phishtank-online-valid' THEN 'phishing' END"

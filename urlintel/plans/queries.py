@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +44,22 @@ def flat(matches: str):
     return F.array_join(F.transform(matches, lambda m: F.concat_ws("|", m["source"], m["type"], m["key"])), ";")
 
 
+def _folder(s: SparkSession) -> str:
+    """A new folder that the whole cluster sees."""
+    shared = s.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not s.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
+        shared = tempfile.mkdtemp(prefix="spark-shared-")
+    return f"{shared.rstrip('/')}/query-{uuid.uuid4().hex}"
+
+
+def _source_of(provider):
+    """A seeded source for each provider of the run log."""
+    names = (("p0", "oisd-big"), ("p1", "oisd-nsfw"), ("p2", "urlhaus-online"), ("p3", "openphish-feed"), ("p4", "phishtank-online-valid"))
+    return F.create_map(*[F.lit(v) for p in names for v in p])[provider]
+
+
 P = f"WITH p AS (SELECT * FROM {x.parts('pages', 'url')}) "
 S = f"WITH {x.STORED} "
 E = f"WITH {x.ENTRIES} "
@@ -49,19 +68,20 @@ R = f"WITH {x.RUNS} "
 # ---- sources and sinks
 
 
-@query("SELECT page_id, trim(line) AS line FROM (SELECT page_id, url AS line FROM pages UNION ALL SELECT page_id, '# ' || url FROM pages UNION ALL SELECT page_id, '   ' FROM pages UNION ALL SELECT page_id, '  ' || url || ' ' FROM pages WHERE page_id % 3 = 0) WHERE trim(line) <> '' AND NOT starts_with(trim(line), '#')")
+@query("SELECT line FROM (SELECT trim(line, chr(9) || chr(160) || ' ') AS line FROM (SELECT url AS line FROM pages UNION ALL SELECT '# ' || url FROM pages UNION ALL SELECT '   ' FROM pages UNION ALL SELECT chr(9) || chr(160) || url || ' ' FROM pages)) WHERE line <> '' AND NOT starts_with(line, '#')")
 def scan_flat_feed(s, d):
-    p = pages(s, d)
-    lines = p.select("page_id", C("url").alias("line"))
-    lines = lines.union(p.select("page_id", F.concat(F.lit("# "), "url"))).union(p.select("page_id", F.lit("   "))).union(p.filter("page_id % 3 = 0").select("page_id", F.concat(F.lit("  "), "url", F.lit(" "))))
-    return feeds.flat_lines(lines)
+    """Lines as they land: with comments, blank lines, and white space of all kinds around them."""
+    home, url = _folder(s), C("url")
+    lines = F.array(url, F.concat(F.lit("# "), url), F.lit("   "), F.concat(F.lit("\t\u00a0"), url, F.lit(" ")))
+    pages(s, d).select(F.explode(lines).alias("line")).write.text(f"{home}/feed")
+    return feeds.flat_lines(feeds.read_lines(s, f"{home}/feed"))
 
 
-@query("SELECT url AS line, 'phishing' AS category, page_id FROM pages WHERE page_id % 3 = 0")
+@query("SELECT url AS line, 'phishing' AS category FROM pages WHERE page_id % 3 = 0")
 def scan_json_feed(s, d):
-    record = F.to_json(F.struct("url", (C("page_id") % 3 == 0).alias("verified")))
-    read = pages(s, d).select("page_id", F.from_json(record, feeds.JSON_FEED).alias("r")).select("page_id", "r.*")
-    return feeds.verified_urls(read).select("line", F.lit("phishing").alias("category"), "page_id")
+    home = _folder(s)
+    pages(s, d).select("url", (C("page_id") % 3 == 0).alias("verified")).write.json(f"{home}/feed")
+    return feeds.verified_urls(feeds.read_json_lines(s, f"{home}/feed")).select("line", F.lit("phishing").alias("category"))
 
 
 @query(R + "SELECT provider, run_id, age_seconds, age_seconds <= 60 AS fresh FROM (SELECT *, CAST(floor(epoch(TIMESTAMP '2024-02-01')) - floor(epoch(created_at)) AS BIGINT) AS age_seconds FROM (SELECT provider, run_id, start_time AS created_at, row_number() OVER (PARTITION BY provider ORDER BY start_time DESC) AS rn FROM runs) WHERE rn = 1)")
@@ -70,9 +90,59 @@ def scan_landing_fresh(s, d):
     return feeds.landing_fresh(landing, F.lit("2024-02-01").cast("timestamp_ntz"), F.lit(60)).select("provider", "run_id", "age_seconds", "fresh")
 
 
+@query("SELECT 'a' AS provider, 'r2' AS run_id, 60 AS age_seconds, url AS line FROM pages WHERE page_id % 2 = 0")
+def read_landed(s, d):
+    """Two runs of one provider, of which the newer counts, and a stale one of another."""
+    home, p = f"{_folder(s)}/landing", pages(s, d).select("page_id", C("url").alias("line"))
+    for provider, run, rest, at in (("a", "r1", 1, "2024-01-31 23:58:00"), ("a", "r2", 0, "2024-01-31 23:59:00"), ("b", "r1", 1, "2024-01-30 00:00:00")):
+        feeds.write_landed(p.filter(f"page_id % 2 = {rest}"), home, provider, run, F.lit(at))
+    return feeds.read_landed(s, home, F.lit("2024-02-01").cast("timestamp_ntz"), F.lit(3600))
+
+
 @query(E + "SELECT id, source, category, source_url, scheme, host, domain, array_to_string(sub_domains, ',') AS sub_domains, path, raw_query FROM entries")
 def ingest_all_feeds(s, d):
-    return x.entries(s, d).select("id", "source", "category", "source_url", "scheme", "host", "domain", F.array_join("sub_domains", ",").alias("sub_domains"), "path", "raw_query")
+    """The blocklist landed as files of five feeds, and read by all of them at once."""
+    home, paths = _folder(s), {}
+    feeds.register_feed("phishtank-online-valid", "phishing", feeds.read_json_lines, feeds.verified_urls)
+    lines = x.blocklist(s, d)
+    for name in ("oisd-big", "oisd-nsfw", "urlhaus-online", "openphish-feed", "phishtank-online-valid"):
+        own, paths[name] = lines.filter(C("source") == name), f"{home}/{name}"
+        if name == "phishtank-online-valid":
+            own.select(C("line").alias("url"), F.lit(True).alias("verified")).write.json(paths[name])
+        else:
+            own.select("line").write.text(paths[name])
+    found, errors = feeds.ingest_all_feeds(s, paths, f"{home}/entries", "r1", F.lit(x.NOW))
+    if errors:
+        raise RuntimeError(str(errors))
+    return found.select("id", "source", "category", "source_url", "scheme", "host", "domain", F.array_join("sub_domains", ",").alias("sub_domains"), "path", "raw_query")
+
+
+@query(E + "SELECT id, source, source_url FROM entries")
+def write_entries(s, d):
+    """Written, and one source written again: the others stay as they are."""
+    home, e = f"{_folder(s)}/entries", x.entries(s, d)
+    feeds.write_entries(e, home)
+    feeds.write_entries(e.filter("source = 'urlhaus-online'"), home)
+    return s.read.parquet(home).select("id", "source", "source_url")
+
+
+@query(f"WITH {x.INDEX} SELECT type, key, source FROM idx")
+def write_index(s, d):
+    home = f"{_folder(s)}/index"
+    feeds.write_index(x.key_index(s, d), home)
+    return s.read.parquet(home).select("type", "key", "source")
+
+
+OPTIONS = "SELECT provider, count(*) AS n FROM runs GROUP BY provider"
+
+
+@query(R + f", o AS ({OPTIONS}), src(id, provider, ttl, category) AS (VALUES ('oisd-big', 'p0', 86400, 'blocklist'), ('oisd-nsfw', 'p1', 86400, 'nsfw'), ('urlhaus-online', 'p2', 7200, 'malware'), ('openphish-feed', 'p3', 14400, 'phishing'), ('phishtank-online-valid', 'p4', 21600, 'phishing'), ('spamhaus-drop', 'none', 21600, NULL)) SELECT s.id, coalesce(o.n % 2 = 0, true) AS enabled, CAST(CASE WHEN o.n % 3 = 0 THEN o.n ELSE s.ttl END AS BIGINT) AS ttl_seconds, CASE WHEN o.n % 2 = 0 THEN 'own' ELSE s.category END AS category, o.n IS NOT NULL AND s.id = 'phishtank-online-valid' AS keyed FROM src s LEFT JOIN o ON s.provider = o.provider")
+def source_options(s, d):
+    """The seeded sources under options that the run log gives them."""
+    n = C("n")
+    o = x.runs(s, d).groupBy("provider").agg(F.count("*").alias("n"))
+    o = o.select(_source_of(C("provider")).alias("id"), (n % 2 == 0).alias("enabled"), F.when(n % 3 == 0, n).alias("ttl_seconds"), F.when(n % 2 == 0, "own").alias("category"), F.lit("k1").alias("api_key"))
+    return feeds.with_options(feeds.sources(s), o).select("id", "enabled", "ttl_seconds", "category", C("source_url").contains("/k1/").alias("keyed"))
 
 
 @query(f"WITH {x.LINES} SELECT source, line FROM lines WHERE source IN ('oisd-big', 'openphish-feed')")
@@ -122,6 +192,13 @@ def url_domain(s, d):
     return parts(s, d).select("page_id", "domain", F.array_join("sub_domains", ",").alias("sub_domains"))
 
 
+@query(f"WITH {x.SUFFIX_DOMAINS} SELECT page_id, array_to_string(tail, '.') AS domain, coalesce(array_to_string(labels[1:len(labels) - len(tail)], ','), '') AS sub_domains FROM suffixed")
+def url_domain_suffixes(s, d):
+    """Suffixes of one and two labels, wild ones, exceptions, private ones and none."""
+    got = urls.decompose_urls(x.suffix_hosts(s, d), "url")
+    return got.select("page_id", "domain", F.coalesce(F.array_join("sub_domains", ","), F.lit("")).alias("sub_domains"))
+
+
 @query(P + "SELECT page_id, path FROM p")
 def url_path_clean(s, d):
     slashes = F.regexp_replace("url", r"(?<=[a-z])/(?=[a-z])", "/.//")
@@ -157,7 +234,7 @@ def url_parent_paths(s, d):
 @query(f"WITH {x.KEYS} SELECT url_id, ord, type, key FROM keys")
 def url_check_keys(s, d):
     c = x.checks(s, d)
-    return c.join(check.probe_keys(c)[1], "url").select("url_id", C("ord").cast("long").alias("ord"), "type", "key")
+    return c.join(check.probe_keys(c), "url").select("url_id", C("ord").cast("long").alias("ord"), "type", "key")
 
 
 @query(f"WITH {x.ENTRIES} SELECT source, source_url, k.type AS type, k.key AS key FROM (SELECT source, source_url, {x.TARGET} AS k FROM entries)")
@@ -193,7 +270,7 @@ def confidence_level(s, d):
 @query(f"WITH {x.KEYS} SELECT url_id, ord, {x.WEIGHT} AS weight FROM keys")
 def depth_weight(s, d):
     c = x.checks(s, d)
-    return c.join(check.probe_keys(c)[1], "url").select("url_id", C("ord").cast("long").alias("ord"), urls.depth_weight(C("type")).alias("weight"))
+    return c.join(check.probe_keys(c), "url").select("url_id", C("ord").cast("long").alias("ord"), urls.depth_weight(C("type")).alias("weight"))
 
 
 @query("SELECT page_id, url AS source_url, CASE WHEN page_id % 7 = 0 THEN 'invalid_url' END AS reason FROM pages")
@@ -224,8 +301,8 @@ def resolve_source_url(s, d):
 
 @query(f"WITH {x.LINES}, l AS (SELECT DISTINCT line AS url FROM lines) SELECT DISTINCT host FROM (SELECT host FROM {x.parts('l', 'url')} UNION ALL SELECT 'raw.githubusercontent.com') WHERE host IS NOT NULL")
 def source_hosts(s, d):
-    """Hosts of every feed line, as for the feeds' own addresses, and one more."""
-    return x.blocklist(s, d).select(urls.url_host(C("line")).alias("host")).union(feeds.source_hosts(s).filter("host = 'raw.githubusercontent.com'")).filter("host is not null").distinct()
+    """Every feed line as the address of a source."""
+    return feeds.source_hosts(x.blocklist(s, d), "line")
 
 
 # ---- filters and point reads
@@ -275,11 +352,12 @@ def search_scored(s, d):
 
 def _exists(column):
     def f(s, d):
-        probes = parts(s, d).select(C(column).alias("key")).filter("key is not null").distinct()
-        return entries.exists_by(probes, x.stored(s, d).filter("page_id % 3 = 0"), column)
+        """The hosts or domains of all URLs checked, among all entries stored."""
+        probes = urls.decompose_urls(x.checks(s, d), "url").select(C(column).alias("key")).filter("key is not null").distinct()
+        return entries.exists_by(probes, x.stored(s, d), column)
 
     f.__name__ = f"exists_by_{column}"
-    query(S + f"SELECT DISTINCT {column} AS key FROM stored WHERE page_id % 3 = 0 AND deleted_at IS NULL AND {column} IS NOT NULL")(f)
+    query(S + f", {x.CHECKS}, c AS (SELECT * FROM {x.parts('checks', 'url')}) SELECT DISTINCT {column} AS key FROM c WHERE {column} IN (SELECT {column} FROM stored WHERE deleted_at IS NULL)")(f)
 
 
 _exists("host")
@@ -294,7 +372,7 @@ def exists_by_ip(s, d):
 
 @query(f"WITH {x.MATCHES} SELECT DISTINCT k.type, k.key FROM keys k JOIN (SELECT 'host' AS type, host AS key FROM entries UNION ALL SELECT 'domain', domain FROM entries UNION ALL SELECT 'ip', ip FROM entries UNION ALL SELECT 'file', file FROM entries UNION ALL SELECT 'host_path', host_path FROM entries UNION ALL SELECT 'full_url', full_url FROM entries) e ON k.type = e.type AND k.key = e.key")
 def exists_by_type(s, d):
-    keys = check.probe_keys(x.checks(s, d))[1].select("type", "key").distinct()
+    keys = check.probe_keys(x.checks(s, d)).select("type", "key").distinct()
     return entries.exists_by_type(keys, x.entries(s, d))
 
 
@@ -339,31 +417,50 @@ def clean_urls(s, d):
 
 @query(f"WITH {x.TRUST}, {x.MATCHES} SELECT DISTINCT url, ord, m.source, coalesce(trust, 0.5) AS trust FROM matches m LEFT JOIN trust t ON m.source = t.source")
 def attach_trust(s, d):
-    found = check.all_matches(check.probe_keys(x.checks(s, d))[1], x.key_index(s, d))
+    found = check.all_matches(check.probe_keys(x.checks(s, d)), x.key_index(s, d))
     return check.attach_trust(found, feeds.load_trust(s)).select("url", C("ord").cast("long").alias("ord"), "source", "trust")
 
 
-@query(f"WITH {x.MATCHES} SELECT DISTINCT type, key FROM matches")
+def _quality(asked, held, maybe, by):
+    """by, held, missed, within: how many of the keys asked for are there, how many of these the filter denies, and whether at most 3 in 100 others get through."""
+    c = asked.join(held.select(*by, F.lit(1).alias("h")).distinct(), by, "left").join(maybe.select(*by, F.lit(1).alias("m")), by, "left")
+    out = c.groupBy(*by[:-1]).agg(F.count("h").alias("held"), F.count_if(C("h").isNotNull() & C("m").isNull()).alias("missed"), F.count_if(C("h").isNull() & C("m").isNotNull()).alias("wrong"), F.count_if(C("h").isNull()).alias("others"))
+    return out.select(*by[:-1], "held", "missed", (C("wrong") * 100 <= C("others") * 3 + 100).alias("within"))
+
+
+@query(f"WITH {x.INDEX}, {x.KEYS}, k AS (SELECT DISTINCT type, key FROM keys UNION SELECT type, key FROM idx) SELECT type, count(i.key) AS held, 0 AS missed, true AS within FROM k LEFT JOIN (SELECT DISTINCT type, key FROM idx) i USING (type, key) GROUP BY type")
 def bloom_probe(s, d):
-    """The filter's hits, confirmed exactly: the filter may hit more, never fewer."""
+    """The merged filter against the index: no key of the index may be missed, and few others get through."""
+    idx = x.key_index(s, d)
+    asked = check.probe_keys(x.checks(s, d)).select("type", "key").union(idx.select("type", "key")).distinct()
+    maybe = index.bloom_probe(asked, index.merge_bloom(index.build_bloom(idx)))
+    return _quality(asked, idx, maybe, ["type", "key"])
+
+
+@query(f"WITH {x.INDEX}, k AS (SELECT type, source, key FROM (SELECT DISTINCT type, key FROM idx) JOIN (SELECT DISTINCT type, source FROM idx) USING (type)) SELECT type, source, count(i.key) AS held, 0 AS missed, true AS within FROM k LEFT JOIN idx i USING (type, source, key) GROUP BY type, source")
+def bloom_probe_sources(s, d):
+    """Each source's own filter against its own keys, asked for all keys of the index."""
     idx = x.key_index(s, d)
-    keys = check.probe_keys(x.checks(s, d))[1].select("type", "key").distinct()
-    bits, hashes = index.shape(100_000)
-    maybe = index.bloom_probe(keys, index.merge_bloom(index.build_bloom(idx, bits, hashes)), bits, hashes)
-    return maybe.join(idx.select("type", "key").distinct(), ["type", "key"], "left_semi")
+    asked = idx.select("type", "key").distinct().join(idx.select("type", "source").distinct(), "type").select("type", "source", "key")
+    return _quality(asked, idx, index.bloom_probe(idx, index.build_bloom(idx)), ["type", "source", "key"])
 
 
 @query(f"WITH {x.ENTRIES}, {x.CHECKS} SELECT c.url_id, i.ids FROM checks c LEFT JOIN (SELECT source_url, string_agg(id, ',' ORDER BY id) AS ids FROM entries GROUP BY source_url) i ON c.url = i.source_url")
 def lookup_cached_ids(s, d):
     e = x.entries(s, d)
     cache = entries.url_id_index(e.filter("source = 'urlhaus-online'").join(e.filter("source <> 'urlhaus-online'").select("source_url"), "source_url", "left_anti"))
-    return lookup.lookup_cached_ids(x.checks(s, d), cache, e).select("url_id", F.array_join("ids", ",").alias("ids"))
+    listed = e.select(F.lit("source_url").alias("type"), C("source_url").alias("key"), "source")
+    gate = index.merge_bloom(index.build_bloom(listed))
+    return lookup.lookup_cached_ids(x.checks(s, d), cache, e, gate).select("url_id", F.array_join("ids", ",").alias("ids"))
 
 
-@query(S + "SELECT host AS link, id, 'HOST' AS match_type, host AS matched_value FROM stored WHERE deleted_at IS NULL AND length(host) % 3 = 0")
+@query(S + " UNION ALL ".join(f"SELECT {c} AS link, id, '{k}' AS match_type, {c} AS matched_value FROM stored WHERE deleted_at IS NULL AND {c} IS NOT NULL" for k, c in lookup.COLUMN.items()))
 def query_by_type(s, d):
-    links = parts(s, d).filter("length(host) % 3 = 0").select(C("host").alias("link")).distinct()
-    return lookup.query_by_type(links, x.stored(s, d), "host")
+    """All values of each of the four kinds."""
+    p, out = parts(s, d).withColumn("source_url", C("url")), []
+    for kind, column in lookup.COLUMN.items():
+        out.append(lookup.query_by_type(p.select(C(column).alias("link")).filter("link is not null").distinct(), x.stored(s, d), kind))
+    return reduce(DataFrame.unionByName, out)
 
 
 @query(f"WITH {x.LINES}, sp(source, provider) AS (VALUES ('oisd-big', 'OISD'), ('oisd-nsfw', 'OISD'), ('urlhaus-online', 'abuse.ch'), ('openphish-feed', 'OpenPhish'), ('phishtank-online-valid', 'PhishTank')) SELECT l.source, l.line, p.provider FROM lines l JOIN sp p ON l.source = p.source")
@@ -402,12 +499,12 @@ def index_stats(s, d):
 
 @query()
 def build_bloom(s, d):
-    return index.build_bloom(x.key_index(s, d), *index.shape(100_000))
+    return index.build_bloom(x.key_index(s, d))
 
 
 @query()
 def merge_bloom(s, d):
-    return index.merge_bloom(index.build_bloom(x.key_index(s, d), *index.shape(100_000)), without="urlhaus-online")
+    return index.merge_bloom(index.build_bloom(x.key_index(s, d)), without="urlhaus-online")
 
 
 @query(f"WITH {x.INDEX} SELECT type, key, source FROM idx WHERE source <> 'oisd-big' UNION ALL SELECT 'host', 'new-' || key, source FROM idx WHERE source = 'oisd-big'")
@@ -420,7 +517,7 @@ def rebuild_source(s, d):
 @query(f"WITH {x.TRUST}, {x.MATCHES}, m AS (SELECT url, avg(coalesce(trust, 0.5)) AS s FROM (SELECT DISTINCT url, source FROM matches) m LEFT JOIN trust t ON m.source = t.source GROUP BY url) SELECT url, round(coalesce(s, 0), 9) AS confidence, {x.level('coalesce(s, 0)')} AS level FROM (SELECT c.url, m.s FROM (SELECT DISTINCT url FROM checks) c LEFT JOIN m ON c.url = m.url)")
 def score_sources(s, d):
     c = x.checks(s, d).select("url").distinct()
-    found = check.all_matches(check.probe_keys(c)[1], x.key_index(s, d)).groupBy("url").agg(F.collect_set("source").alias("sources"))
+    found = check.all_matches(check.probe_keys(c), x.key_index(s, d)).groupBy("url").agg(F.collect_set("source").alias("sources"))
     return check.score_sources(c.join(found, "url", "left"), feeds.load_trust(s), "url").withColumn("confidence", F.round("confidence", 9))
 
 
@@ -429,20 +526,21 @@ SCORED = f"{x.TRUST}, {x.MATCHES}, u AS (SELECT DISTINCT url, ord, type, key, so
 
 @query(f"WITH {SCORED}, g AS (SELECT url, count(*) AS n_matches, CASE WHEN count(*) = 1 THEN max(trust) ELSE sum(trust * weight) / sum(trust) END AS c FROM w GROUP BY url) SELECT url, n_matches, round(c, 9) AS confidence, {x.level('c')} AS level FROM g")
 def score_matches(s, d):
-    found = check.attach_trust(check.all_matches(check.probe_keys(x.checks(s, d))[1], x.key_index(s, d)), feeds.load_trust(s))
+    found = check.attach_trust(check.all_matches(check.probe_keys(x.checks(s, d)), x.key_index(s, d)), feeds.load_trust(s))
     return check.score_matches(found).select("url", "n_matches", F.round("confidence", 9).alias("confidence"), "level")
 
 
 @query(f"WITH {SCORED} SELECT url, CAST(max(floor(weight * 100 + 1e-9)) AS BIGINT) AS max_depth FROM w GROUP BY url")
 def check_max_depth(s, d):
-    found = check.attach_trust(check.all_matches(check.probe_keys(x.checks(s, d))[1], x.key_index(s, d)), feeds.load_trust(s))
+    found = check.attach_trust(check.all_matches(check.probe_keys(x.checks(s, d)), x.key_index(s, d)), feeds.load_trust(s))
     return check.score_matches(found).select("url", C("check_max_depth").alias("max_depth"))
 
 
-@query(R + "SELECT r.provider, count(*) AS syncs, count(*) FILTER (status = 'completed') AS successes, count(*) FILTER (status = 'failed') AS failures, arg_max(CAST(floor(epoch(end_time)) - floor(epoch(start_time)) AS BIGINT), start_time) FILTER (end_time IS NOT NULL) AS last_seconds, CAST(sum(entry_count) AS BIGINT) AS saved, max(n) AS parse_errors FROM runs r JOIN (SELECT provider, count(*) FILTER (entry_count % 10 = 0) AS n FROM runs GROUP BY provider) b ON r.provider = b.provider WHERE status <> 'running' GROUP BY r.provider")
+@query(f"WITH {x.RUNS}, {x.STORED}" + " SELECT r.provider, count(*) AS syncs, count(*) FILTER (status = 'completed') AS successes, count(*) FILTER (status = 'failed') AS failures, arg_max(CAST(floor(epoch(end_time)) - floor(epoch(start_time)) AS BIGINT), start_time) FILTER (end_time IS NOT NULL) AS last_seconds, CAST(sum(entry_count) AS BIGINT) AS saved, arg_max(entry_count, start_time) AS processed, max(n) AS parse_errors, max(g) AS deleted FROM runs r JOIN (SELECT provider, count(*) FILTER (entry_count % 10 = 0) AS n FROM runs GROUP BY provider) b ON r.provider = b.provider JOIN (SELECT 'p' || (page_id % 5) AS provider, count(deleted_at) AS g FROM stored GROUP BY ALL) e ON r.provider = e.provider WHERE status <> 'running' GROUP BY r.provider")
 def feed_metrics(s, d):
     r = x.runs(s, d)
-    return runs.feed_metrics(r.filter("status <> 'running'"), r.filter("entry_count % 10 = 0").select("provider"))
+    e = x.stored(s, d).select(F.concat(F.lit("p"), (C("page_id") % 5).cast("string")).alias("provider"), "deleted_at")
+    return runs.feed_metrics(r.filter("status <> 'running'"), r.filter("entry_count % 10 = 0").select("provider"), e)
 
 
 @query(f"WITH {x.FIRST} SELECT count(*) AS checked, count(f.url_id) AS listed, count(*) - count(f.url_id) AS not_listed, round(100.0::DOUBLE * count(f.url_id) / count(*), 6) AS hit_percent FROM checks c LEFT JOIN first f ON c.url_id = f.url_id")
@@ -468,7 +566,7 @@ def dedup_batch(s, d):
 
 @query(f"WITH {x.FIRST} SELECT DISTINCT url, CAST(ord AS BIGINT) AS ord, source, type, key FROM first")
 def first_hit(s, d):
-    found = check.first_match(check.all_matches(check.probe_keys(x.checks(s, d))[1], x.key_index(s, d)))
+    found = check.first_match(check.all_matches(check.probe_keys(x.checks(s, d)), x.key_index(s, d)))
     return found.select("url", C("ord").cast("long").alias("ord"), "source", "type", "key")
 
 
@@ -500,24 +598,24 @@ def run_by_id(s, d):
 
 TOP = "SELECT link, f.a || '|' || f.b || '|' || f.c AS first, n FROM (SELECT link, min({'a': match_type, 'b': id, 'c': matched_value}) AS f, count(*) AS n FROM hits GROUP BY link)"
 MIXED = f"""{x.STORED}, act AS (SELECT *, regexp_replace(lower(trim(source_url)), '^([a-z]+://[^/?#]*[^?#]*?)/+([?#]|$)', '\\1\\2') AS norm FROM stored WHERE deleted_at IS NULL),
-ask AS (SELECT * FROM act WHERE page_id % 5 = 0), hits AS (SELECT k.source_url AS link, a.id, 'EXACT_URL' AS match_type, k.norm AS matched_value FROM ask k JOIN act a ON k.norm = a.norm UNION ALL SELECT k.source_url, a.id, 'HOST', k.host FROM ask k JOIN act a ON lower(k.host) = a.host
+ask AS (SELECT * FROM act), hits AS (SELECT k.source_url AS link, a.id, 'EXACT_URL' AS match_type, k.norm AS matched_value FROM ask k JOIN act a ON k.norm = a.norm UNION ALL SELECT k.source_url, a.id, 'HOST', k.host FROM ask k JOIN act a ON lower(k.host) = a.host
 UNION ALL SELECT k.source_url, a.id, 'DOMAIN', k.domain FROM ask k JOIN act a ON k.domain = a.domain UNION ALL SELECT k.source_url, a.id, 'PATH', k.path FROM ask k JOIN act a ON k.path = a.path)"""
 
 
-def _mixed(s, d):
+def _links(s, d):
     e = x.stored(s, d).withColumn("norm_url", urls.normalize_url(C("source_url")))
-    return lookup.query_mixed(entries.active(e).filter("page_id % 5 = 0").select(C("source_url").alias("link")), e)
+    return entries.active(e).select(C("source_url").alias("link")), e
 
 
 @query(f"WITH {MIXED} {TOP}")
 def top_hit(s, d):
-    one = lookup.top_hit(_mixed(s, d))
+    one = lookup.top_hit(*_links(s, d))
     return one.select("link", F.concat_ws("|", C("hits")[0]["match_type"], C("hits")[0]["id"], C("hits")[0]["matched_value"]).alias("first"), C("count").alias("n"))
 
 
 @query(f"WITH {MIXED} SELECT link, id, match_type, matched_value FROM hits")
 def query_mixed(s, d):
-    return _mixed(s, d)
+    return lookup.query_mixed(*_links(s, d))
 
 
 @query(R + "SELECT run_id, status FROM runs WHERE run_id % 3 <> 1 UNION ALL SELECT run_id, 'memory' FROM runs WHERE run_id % 3 = 1 AND run_id % 2 = 0")
@@ -589,9 +687,8 @@ plan AS (SELECT s.name, coalesce(c.n, 0) AS entries, CASE WHEN coalesce(c.n, 0)
 
 
 def _plan(s, d):
-    src = F.create_map(*[F.lit(v) for p in (("p0", "oisd-big"), ("p1", "oisd-nsfw"), ("p2", "urlhaus-online"), ("p3", "openphish-feed"), ("p4", "phishtank-online-valid")) for v in p])
     last = x.runs(s, d).groupBy("provider").agg(F.unix_timestamp(F.max("start_time")).alias("t"))
-    landing = last.select(src[C("provider")].alias("provider"), (C("t") % 2 == 0).alias("fresh"))
+    landing = last.select(_source_of(C("provider")).alias("provider"), (C("t") % 2 == 0).alias("fresh"))
     counts = entries.count_urls_by_source(x.entries(s, d).filter("source <> 'openphish-feed'"))
     return runs.plan_refresh(feeds.sources(s), counts, landing)
 
@@ -623,19 +720,12 @@ def ttl_of_schedule(s, d):
 # ---- streams, run to their end over the given tables and compared with the batch answer
 
 
-def _folder(s):
-    import tempfile
-    import uuid
-
-    return f"{(s.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-streams-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 @query("SELECT url AS source_url, 'malware' AS category FROM pages")
 def stream_ingest(s, d):
     home = _folder(s)
     pages(s, d).select("url").write.text(f"{home}/landing")
     jobs.stream_ingest(s, f"{home}/landing", "urlhaus-online", f"{home}/entries", f"{home}/state", f"{home}/index", F.lit(x.NOW), {"availableNow": True}).awaitTermination()
-    return jobs.read_current(s, f"{home}/entries").select("source_url", "category")
+    return jobs.read_entries(s, f"{home}/entries").select("source_url", "category")
 
 
 @query(SQL["entry_keys_stored"].replace("SELECT id, k.type AS type, k.key AS key FROM (SELECT id,", "SELECT DISTINCT 'urlhaus-online' AS source, k.type AS type, k.key AS key FROM (SELECT id,"))
@@ -643,7 +733,7 @@ def stream_index(s, d):
     home = _folder(s)
     pages(s, d).select("url").write.text(f"{home}/landing")
     jobs.stream_ingest(s, f"{home}/landing", "urlhaus-online", f"{home}/entries", f"{home}/state", f"{home}/index", F.lit(x.NOW), {"availableNow": True}).awaitTermination()
-    return jobs.read_current(s, f"{home}/index").select("source", "type", "key")
+    return jobs.read_index(s, f"{home}/index").select("source", "type", "key")
 
 
 @query(SQL["bulk_check"])
@@ -665,3 +755,21 @@ def stream_matches(s, d):
     out = jobs.stream_matches(checks, x.key_index(s, d)).select("url_id", C("ord").cast("long").alias("ord"), "type", "key", "source")
     out.writeStream.option("checkpointLocation", f"{home}/state").trigger(availableNow=True).start(f"{home}/out").awaitTermination()
     return s.read.parquet(f"{home}/out")
+
+
+@query(f"WITH {x.INDEX} SELECT type, key, source FROM idx")
+def stream_bootstrap(s, d):
+    home = _folder(s)
+    jobs.stream_bootstrap(x.entries(s, d), home)
+    return jobs.read_index(s, home)
+
+
+@query("SELECT DISTINCT 's' || (user_id % 4) AS source, 'u' || (user_id % 50) AS source_url FROM events")
+def stream_distinct(s, d):
+    """Re-sent entries of the whole table, which lies within the delay, go."""
+    home = _folder(s)
+    sent = _batch(s, d).join(x.table(s, d, "events").select(C("event_id").alias("seq"), C("ts").cast("timestamp").alias("ts")), "seq").select("source", "source_url", "ts")
+    sent.write.parquet(f"{home}/sent")
+    out = jobs.distinct_across_batches(s.readStream.schema(sent.schema).parquet(f"{home}/sent"), "ts", "36500 days").select("source", "source_url")
+    out.writeStream.option("checkpointLocation", f"{home}/state").trigger(availableNow=True).start(f"{home}/out").awaitTermination()
+    return s.read.parquet(f"{home}/out")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import urls
+from ..operators.runs import ttl_of_schedule
 
 LONGEST_LINE = 1 << 20
 
@@ -50,18 +51,22 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_json_array(spark: SparkSession, path: str) -> DataFrame:
-    """An array file doesn't split; prefer JSON lines for large feeds."""
-    return spark.read.schema(JSON_FEED).json(path, multiLine=True)
+    """An array file doesn't split; prefer JSON lines for large feeds. A file that isn't JSON is an error of its feed."""
+    return spark.read.schema(JSON_FEED).json(path, multiLine=True, mode="FAILFAST")
+
+
+def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(JSON_FEED).json(path, mode="FAILFAST")
 
 
 def flat_lines(lines: DataFrame) -> DataFrame:
     """Trim; drop blank lines and comments."""
-    line = F.trim("line")
+    line = urls.trimmed(F.col("line"))
     return lines.withColumn("line", line).filter((F.col("line") != "") & ~F.col("line").startswith("#"))
 
 
 def verified_urls(records: DataFrame) -> DataFrame:
-    return records.filter("verified").select(F.trim("url").alias("line"), *[c for c in records.columns if c not in ("url", "line")])
+    return records.filter("verified").select(urls.trimmed(F.col("url")).alias("line"), *[c for c in records.columns if c not in ("url", "line")])
 
 
 for _id, _, _, _kind, _, _, _category, _ in SOURCES:
@@ -80,31 +85,63 @@ def remove_feeds(df: DataFrame, names: list[str]) -> DataFrame:
     return df.filter(~F.col("source").isin(names))
 
 
-def ingest_all_feeds(spark: SparkSession, paths: dict[str, str], run_id: str, now: Column, names: list[str] | None = None) -> tuple[DataFrame, dict[str, str]]:
-    """The entries of every landed feed in one table, and the error of each feed that couldn't be read."""
-    parts, errors = [], {}
+def ingest_all_feeds(spark: SparkSession, paths: dict[str, str], out: str, run_id: str, now: Column, names: list[str] | None = None) -> tuple[DataFrame, dict[str, str]]:
+    """The entries of every landed feed, and the error of each feed that couldn't be planned or read.
+
+    Every feed is a write of its own under ``out``, so that a file that breaks while it is read ends its feed only.
+    """
+    made, errors = [], {}
     for name in names or list(paths):
         try:
             feed = FEEDS[name]
-            lines = feed.transform(feed.reader(spark, paths[name])).withColumns({"source": F.lit(name), "category": F.lit(feed.category)})
-            parts.append(lines.select("line", "source", "category"))
+            lines = feed.transform(feed.reader(spark, paths[name])).select("line", F.lit(name).alias("source"), F.lit(feed.category).alias("category"))
+            make_entries(lines, F.lit(run_id), now)[0].write.mode("overwrite").parquet(f"{out}/{name}")
+            made.append(spark.read.parquet(f"{out}/{name}"))
         except Exception as e:  # one feed's failure leaves the others; the caller gets its reason
-            errors[name] = str(e).splitlines()[0]
-    lines = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "line string, source string, category string")
-    return make_entries(lines, F.lit(run_id), now)[0], errors
+            errors[name] = (str(e).splitlines() or [type(e).__name__])[0]
+    none = spark.createDataFrame([], "line string, source string, category string")
+    return (reduce(DataFrame.unionByName, made) if made else make_entries(none, F.lit(run_id), now)[0]), errors
 
 
-def make_entries(lines: DataFrame, run_id: Column, now: Column) -> tuple[DataFrame, DataFrame]:
-    """``lines`` has line, source, category. Gives the entries, and the rejects with a reason."""
-    parts = urls.decompose_urls(lines.withColumn("long", F.length("line") > LONGEST_LINE), "line")
-    good = parts.filter("error is null and not long")
-    entries = good.select(
-        F.sha2(F.concat_ws("\u0001", "source", "line"), 256).alias("id"), run_id.alias("run_id"), "source", "category", F.col("line").alias("source_url"), urls.normalize_url(F.col("line")).alias("norm_url"),
+def parse_lines(lines: DataFrame, run_id: Column, now: Column) -> DataFrame:
+    """Every line decomposed once: the columns of an entry, and ``reason``, null where the line makes one."""
+    long = F.length("line") > LONGEST_LINE
+    parts = urls.decompose_urls(lines.withColumn("long", long).withColumn("short", F.when(~long, F.col("line"))), "short")
+    return parts.select(
+        F.sha2(F.concat_ws("\u0001", "source", "line"), 256).alias("id"), run_id.alias("run_id"), "source", "category", F.col("line").alias("source_url"), urls.normalize_url(F.col("short")).alias("norm_url"),
         "scheme", "domain", "host", "sub_domains", "path", "raw_query", "file", "host_path", "full_url", "login", "ip",
         F.lit(None).cast("double").alias("confidence"), now.cast("long").alias("created_at"), now.cast("long").alias("updated_at"), F.lit(None).cast("long").alias("deleted_at"),
+        F.when(F.col("long"), "line_too_long").otherwise(F.col("error")).alias("reason"),
     )
-    rejects = parts.filter("error is not null or long").select("source", "line", F.when(F.col("long"), "line_too_long").otherwise(F.col("error")).alias("reason"))
-    return entries, rejects
+
+
+def make_entries(lines: DataFrame, run_id: Column, now: Column) -> tuple[DataFrame, DataFrame]:
+    """``lines`` has line, source, category. Gives the entries, and the rejects with a reason.
+
+    A caller that writes both should write ``parse_lines`` once and tell them apart by ``reason``.
+    """
+    parsed = parse_lines(lines, run_id, now)
+    return parsed.filter("reason is null").drop("reason"), parsed.filter("reason is not null").select("source", F.col("source_url").alias("line"), "reason")
+
+
+def write_landed(lines: DataFrame, landing: str, provider: str, run_id: str, created_at: Column) -> None:
+    """Land one response: its lines, and then its metadata, so that a response without metadata is one that never arrived whole."""
+    lines.select("line").write.mode("overwrite").text(f"{landing}/data/provider={provider}/run_id={run_id}")
+    meta = lines.sparkSession.range(1).select(F.lit(provider).alias("provider"), F.lit(run_id).alias("run_id"), created_at.cast("timestamp_ntz").alias("created_at"))
+    meta.coalesce(1).write.mode("overwrite").json(f"{landing}/meta/{provider}/{run_id}")
+
+
+def read_landing(spark: SparkSession, landing: str) -> DataFrame:
+    """provider, run_id, created_at, path: the metadata of all landed responses."""
+    meta = spark.read.schema("provider string, run_id string, created_at timestamp_ntz").option("recursiveFileLookup", True).json(f"{landing}/meta")
+    return meta.withColumn("path", F.concat(F.lit(f"{landing}/data/provider="), "provider", F.lit("/run_id="), "run_id"))
+
+
+def read_landed(spark: SparkSession, landing: str, now: Column, ttl_seconds: Column) -> DataFrame:
+    """provider, run_id, age_seconds, line: the lines of each provider's newest response, where it is fresh; other runs' files are pruned."""
+    fresh = landing_fresh(read_landing(spark, landing), now, ttl_seconds).filter("fresh").select("provider", "run_id", "age_seconds")
+    data = spark.read.schema("line string, provider string, run_id string").text(f"{landing}/data").select("line", "provider", "run_id")
+    return data.join(fresh, ["provider", "run_id"]).select("provider", "run_id", "age_seconds", "line")
 
 
 def landing_fresh(landing: DataFrame, now: Column, ttl_seconds: Column) -> DataFrame:
@@ -119,7 +156,24 @@ def providers(spark: SparkSession) -> DataFrame:
 
 
 def sources(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SOURCES, "id string, provider_id string, source_url string, type string, trust_score double, update_interval long, category string, schedule string")
+    """The seeded sources, all enabled, with the response lifetime that their schedule gives."""
+    seeded = spark.createDataFrame(SOURCES, "id string, provider_id string, source_url string, type string, trust_score double, update_interval long, category string, schedule string")
+    return seeded.withColumns({"name": F.col("id"), "enabled": F.lit(True), "ttl_seconds": ttl_of_schedule(F.col("schedule"))})
+
+
+def with_options(sources: DataFrame, options: DataFrame) -> DataFrame:
+    """Sources under the options set for them: id, and enabled, source_url, schedule, category, api_key, ttl_seconds, each null where it isn't set.
+
+    The key goes into the address; without a lifetime of its own a source has that of its schedule.
+    """
+    kept = [c for c in options.columns if c != "id"]
+    joined = sources.join(options.select("id", *[F.col(c).alias(f"_{c}") for c in kept]), "id", "left")
+    own = lambda c: F.coalesce(f"_{c}", c) if c in kept else F.col(c)
+    schedule = own("schedule")
+    out = joined.withColumns({"enabled": own("enabled"), "source_url": own("source_url"), "schedule": schedule, "category": own("category"), "ttl_seconds": F.coalesce("_ttl_seconds", ttl_of_schedule(schedule)) if "ttl_seconds" in kept else ttl_of_schedule(schedule)})
+    if "api_key" in kept:
+        out = out.withColumn("source_url", urls.resolve_source_url(F.col("source_url"), F.col("_api_key")))
+    return out.select(*sources.columns)
 
 
 def seed_dimensions(existing: DataFrame, seed: DataFrame) -> DataFrame:
@@ -137,9 +191,10 @@ def load_trust(spark: SparkSession) -> DataFrame:
     return source_provider(spark).select(F.col("id").alias("source"), F.coalesce("trust_score", "provider_trust", F.lit(DEFAULT_TRUST)).alias("trust"))
 
 
-def source_hosts(spark: SparkSession, extra: str = "raw.githubusercontent.com") -> DataFrame:
-    hosts = sources(spark).select(urls.url_host(F.col("source_url")).alias("host"))
-    return hosts.union(spark.createDataFrame([(extra,)], "host string")).filter("host is not null").distinct()
+def source_hosts(sources: DataFrame, url_col: str = "source_url", extra: str = "raw.githubusercontent.com") -> DataFrame:
+    """host: the distinct hosts of the sources' addresses, and one more that feeds redirect to."""
+    hosts = sources.select(urls.url_host(F.col(url_col)).alias("host"))
+    return hosts.union(sources.sparkSession.createDataFrame([(extra,)], "host string")).filter("host is not null").distinct()
 
 
 def write_entries(entries: DataFrame, path: str) -> None:

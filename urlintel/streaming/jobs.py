@@ -1,11 +1,15 @@
 """Structured Streaming: landed lines to entries and index, streams of URLs to verdicts.
 
-Tables that a stream updates are versioned folders: a batch writes ``v=<batch id>`` whole and then its pointer, so a
-batch that is run again after a failure writes the same version and readers never see half of one.
+A table that a stream keeps is a folder of batches. Each micro-batch writes ``batch=<id>`` from its own rows alone, so its
+cost doesn't grow with the table and a batch that is run again after a failure writes the same rows again. A folder counts
+once its _SUCCESS is there; readers never see half of one, and there is no pointer that could be missing. What belongs
+together is merged when it is read; ``compact`` folds the batches so far into ``base=<id>`` now and then.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -14,35 +18,78 @@ from ..functions import urls
 from ..operators import check, entries, index
 from ..sources import feeds
 
-POINTER = "current"
+COMPACT_EVERY = 64  # batches between two compactions
+BOOTSTRAP = -1
+
+
+def _files(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def versions(spark: SparkSession, table: str) -> tuple[int | None, list[int], list[int]]:
+    """The newest whole base, the whole batches after it, and the bases and batches before it, as numbers."""
+    fs, where = _files(spark, table)
+    found: dict[str, list[int]] = {"base": [], "batch": []}
+    if fs.exists(where):
+        for status in fs.listStatus(where):
+            kind, _, number = status.getPath().getName().partition("=")
+            if kind in found and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
+                found[kind].append(int(number))
+    base = max(found["base"], default=None)
+    return base, sorted(n for n in found["batch"] if base is None or n > base), sorted(found["base"])
+
+
+def read_parts(spark: SparkSession, table: str, before: int | None = None) -> DataFrame | None:
+    """All rows of the base and of the batches after it (only those ``before`` a batch), each with the seq of its folder; None while there are none."""
+    base, batches, _ = versions(spark, table)
+    names = ([] if base is None else [f"base={base}"]) + [f"batch={n}" for n in batches if before is None or n < before]
+    parts = [spark.read.parquet(f"{table}/{name}").withColumn("seq", F.lit(int(name.partition("=")[2])).cast("long")) for name in names]
+    return reduce(DataFrame.unionByName, parts) if parts else None
+
+
+def merged_entries(parts: DataFrame) -> DataFrame:
+    """One row a key, as if the batches had been upserted in their order: the first id and created_at, the rest of the last."""
+    rest = [c for c in parts.columns if c not in (*entries.KEY, "id", "created_at", "seq")]
+    one = parts.groupBy(*entries.KEY).agg(F.min_by("id", "seq").alias("id"), F.min_by("created_at", "seq").alias("created_at"), F.max_by(F.struct(*rest), "seq").alias("last"))
+    return one.select(*entries.KEY, "id", "created_at", "last.*")
+
+
+def read_entries(spark: SparkSession, table: str) -> DataFrame | None:
+    parts = read_parts(spark, table)
+    return None if parts is None else merged_entries(parts)
 
 
-def read_current(spark: SparkSession, table: str) -> DataFrame | None:
-    """The version that the pointer names; None before the first."""
-    try:
-        rows = spark.read.text(f"{table}/{POINTER}").collect()  # one line
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e):
-            return None
-        raise
-    return spark.read.parquet(f"{table}/{rows[0][0]}")
+def read_index(spark: SparkSession, table: str) -> DataFrame | None:
+    """An entry's key is told by its address, so an index only ever gains rows until it is rebuilt."""
+    parts = read_parts(spark, table)
+    return None if parts is None else parts.select("type", "key", "source").distinct()
 
 
-def publish(df: DataFrame, table: str, version: int) -> None:
-    df.write.mode("overwrite").parquet(f"{table}/v={version}")
-    df.sparkSession.createDataFrame([(f"v={version}",)], "value string").coalesce(1).write.mode("overwrite").text(f"{table}/{POINTER}")
+def compact(spark: SparkSession, table: str, merge) -> None:
+    """Fold all batches into a base. What the base before it was made of goes now, not at once, so that its readers can end."""
+    base, batches, bases = versions(spark, table)
+    if not batches:
+        return
+    merge(read_parts(spark, table)).write.mode("overwrite").parquet(f"{table}/base={batches[-1]}")
+    fs, where = _files(spark, table)
+    for status in fs.listStatus(where):
+        kind, _, number = status.getPath().getName().partition("=")
+        if base is not None and (kind == "batch" and int(number) <= base or kind == "base" and int(number) < base):
+            fs.delete(status.getPath(), True)
 
 
-def apply_lines(lines: DataFrame, batch_id: int, entries_at: str, index_at: str | None, run_id: Column, now: Column) -> None:
-    """Upsert one batch of lines (line, source, category); the key index follows. A batch done before changes nothing."""
+def apply_lines(lines: DataFrame, batch_id: int, entries_at: str, index_at: str | None, run_id: Column, now: Column, compact_every: int = COMPACT_EVERY) -> None:
+    """Write one batch of lines (line, source, category) as entries, and their keys."""
     spark = lines.sparkSession
     batch, _ = feeds.make_entries(lines, run_id, now)
-    batch = entries.dedup_batch(batch.withColumn("seq", F.lit(0)))
-    old = read_current(spark, entries_at)
-    new = batch if old is None else entries.upsert_batch(old, batch.select(*old.columns))
-    publish(new, entries_at, batch_id)
+    entries.dedup_batch(batch.withColumn("seq", F.lit(0))).write.mode("overwrite").parquet(f"{entries_at}/batch={batch_id}")
     if index_at:
-        publish(index.key_index(read_current(spark, entries_at)), index_at, batch_id)
+        index.key_index(spark.read.parquet(f"{entries_at}/batch={batch_id}")).write.mode("overwrite").parquet(f"{index_at}/batch={batch_id}")
+    if batch_id % compact_every == compact_every - 1:
+        compact(spark, entries_at, merged_entries)
+        if index_at:
+            compact(spark, index_at, lambda parts: parts.select("type", "key", "source").distinct())
 
 
 def stream_ingest(spark: SparkSession, landing: str, source: str, entries_at: str, checkpoint: str, index_at: str | None = None, now: Column | None = None, trigger: dict | None = None, files_per_batch: int = 100) -> StreamingQuery:
@@ -56,15 +103,17 @@ def stream_ingest(spark: SparkSession, landing: str, source: str, entries_at: st
 
 
 def stream_bootstrap(stored: DataFrame, index_at: str) -> None:
-    """Rebuild the whole index from the stored active entries before a stream starts."""
-    publish(index.key_index(stored), index_at, 0)
+    """Build the whole index from the stored active entries before a stream starts."""
+    index.key_index(stored).write.mode("overwrite").parquet(f"{index_at}/base={BOOTSTRAP}")
 
 
 def stream_check(checks: DataFrame, index_at: str, out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Verdicts for a stream of (url_id, url) against the index version current at each batch; no state across batches."""
+    """Verdicts for a stream of (url_id, url) against the index as it is at each batch; no state across batches."""
 
     def work(df: DataFrame, batch_id: int) -> None:
-        current = read_current(df.sparkSession, index_at)
+        current = read_index(df.sparkSession, index_at)
+        if current is None:
+            raise ValueError(f"there is no index at {index_at}: build one with stream_bootstrap")
         check.bulk_check(df, current).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return checks.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "5 seconds"})).start()
@@ -72,7 +121,7 @@ def stream_check(checks: DataFrame, index_at: str, out: str, checkpoint: str, tr
 
 def stream_matches(checks: DataFrame, current: DataFrame) -> DataFrame:
     """All matches as plain stream-static joins, for append sinks; the same keys as ``check.bulk_check_all`` probes."""
-    parts = urls.decompose_urls(checks, "url", stream=True).filter("error is null")
+    parts = urls.decompose_urls(checks, "url").filter("error is null")
     keys = parts.select("url_id", "url", F.posexplode(urls.check_keys()).alias("ord", "k")).select("url_id", "url", "ord", "k.*")
     return keys.join(current, ["type", "key"])
 
