@@ -5,18 +5,19 @@ from urlintel.operators import check, entries, index
 from urlintel.sources import feeds
 
 CASES = [
-    ([("https://malicious.com", "oisd-big")], "https://sub.malicious.com/path", ("domain", "malicious.com")),
-    ([("https://sub.malicious.com", "oisd-big")], "https://sub.malicious.com/anything", ("host", "sub.malicious.com")),
-    ([("https://evil.com/malware", "urlhaus-online")], "https://evil.com/malware", ("host_path", "evil.com/malware")),
-    ([("https://evil.com/a/", "urlhaus-online")], "https://evil.com/a/b/c", ("host_path", "evil.com/a")),
-    ([("https://cdn.evil.com/exploit.exe", "urlhaus-online")], "https://cdn.evil.com/exploit.exe", ("file", "exploit.exe")),
-    ([("https://phish.example.com/login.php?ref=evil", "openphish-feed")], "https://phish.example.com/login.php?ref=evil", ("full_url", "phish.example.com/login.php?ref=evil")),
-    ([("https://phish.example.com/login.php?ref=evil", "openphish-feed")], "https://phish.example.com/login.php?ref=safe", None),
-    ([("http://192.168.1.1:8080/malware", "urlhaus-online")], "http://192.168.1.1:8080/other-path", ("ip", "192.168.1.1")),
-    ([("http://192.168.1.1:8080/malware", "urlhaus-online")], "http://10.0.0.1/test", None),
-    ([("https://evil.com", "oisd-big"), ("https://evil.com/deep-payload", "urlhaus-online")], "https://evil.com/deep-payload", ("domain", "evil.com")),
-    ([("https://evil.com", "oisd-big")], "https://google.com", None),
-    ([("https://sub1.example.com/path", "oisd-big")], "https://sub2.example.com/path", None),
+    ([("https://gull-bank.com", "oisd-big")], "https://pay.gull-bank.com/in", ("domain", "gull-bank.com")),
+    ([("https://pay.gull-bank.com", "oisd-big")], "https://pay.gull-bank.com/any/where", ("host", "pay.gull-bank.com")),
+    ([("https://gull-bank.com/refund", "urlhaus-online")], "https://gull-bank.com/refund", ("host_path", "gull-bank.com/refund")),
+    ([("https://gull-bank.com/x/", "urlhaus-online")], "https://gull-bank.com/x/y/z", ("host_path", "gull-bank.com/x")),
+    ([("https://get.tern-files.org/viewer.apk", "urlhaus-online")], "https://other.tern-files.org/viewer.apk", ("file", "viewer.apk")),
+    ([("https://tern-files.org/auth.jsp?next=home", "openphish-feed")], "https://tern-files.org/auth.jsp?next=home", ("full_url", "tern-files.org/auth.jsp?next=home")),
+    ([("https://tern-files.org/auth.jsp?next=home", "openphish-feed")], "https://tern-files.org/auth.jsp?next=help", None),
+    ([("http://198.51.100.23:9000/bin", "urlhaus-online")], "http://198.51.100.23:9000/else", ("ip", "198.51.100.23")),
+    ([("http://198.51.100.23:9000/bin", "urlhaus-online")], "http://198.51.100.24/bin", None),
+    ([("https://gull-bank.com", "oisd-big"), ("https://gull-bank.com/below/it", "urlhaus-online")], "https://gull-bank.com/below/it", ("domain", "gull-bank.com")),
+    ([("https://gull-bank.com", "oisd-big")], "https://plover.net", None),
+    ([("https://north.plover.net/p", "oisd-big")], "https://south.plover.net/p", None),
+    ([("\tgull-bank.com\u00a0", "oisd-big")], " https://gull-bank.com/z\t", ("domain", "gull-bank.com")),
 ]
 
 
@@ -35,7 +36,13 @@ def test_cases(spark):
         assert r[1]["error"] == "invalid_url" and not r[1]["likely"]
 
 
-SCORES = [([("spamhaus-drop", 0.95, "host")], 0.95, "critical"), ([("a", 0.95, "domain"), ("b", 0.85, "host_path"), ("b", 0.85, "file")], 1.730 / 2.65, "medium"), ([("x", None, "ip")], 0.5, "medium"), ([("a", 1.0, "domain"), ("b", 1.0, "ip")], 0.55, "medium"), ([("a", 0.1, "domain"), ("b", 0.95, "host_path")], 0.98 / 1.05, "critical")]
+SCORES = [
+    ([("a", 0.92, "host")], 0.92, "critical"),
+    ([("a", 0.8, "domain"), ("b", 0.6, "host_path"), ("b", 0.6, "file")], (0.8 * 0.3 + 0.6 * 1.0 + 0.6 * 0.7) / 2.0, "medium"),
+    ([("x", None, "ip")], 0.5, "medium"),
+    ([("a", 1.0, "domain"), ("b", 1.0, "host")], 0.4, "low"),
+    ([("a", 0.0, "domain"), ("b", 0.0, "host_path")], 0.0, "informational"),
+]
 
 
 def test_scores(spark):
@@ -55,13 +62,27 @@ def test_upsert_is_idempotent_and_targets_are_single(spark):
 
 def test_bloom(spark):
     keys = spark.range(20_000).select(F.lit("host").alias("type"), F.concat(F.lit("h"), F.col("id").cast("string")).alias("key"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("source"))
-    bits, hashes = index.shape(20_000)
-    bloom = index.build_bloom(keys, bits, hashes)
-    assert index.bloom_probe(keys, index.merge_bloom(bloom), bits, hashes).count() == 20_000
+    bloom = index.build_bloom(keys).persist()
+    assert bloom.select("bits").distinct().first()[0] == 191_702
+    assert index.bloom_probe(keys, index.merge_bloom(bloom)).count() == 20_000
     absent = spark.range(20_000).select(F.lit("host").alias("type"), F.concat(F.lit("absent"), F.col("id").cast("string")).alias("key"))
-    assert index.bloom_probe(absent, index.merge_bloom(bloom), bits, hashes).count() <= 400
+    assert index.bloom_probe(absent, index.merge_bloom(bloom)).count() <= 400
     odd = keys.filter("source = 'b'")
-    assert index.bloom_probe(odd, index.merge_bloom(bloom, without="a"), bits, hashes).count() == 10_000
+    assert index.bloom_probe(odd, index.merge_bloom(bloom, without="a")).count() == 10_000
+    by = {r["source"]: r["count"] for r in index.bloom_probe(odd, bloom).groupBy("source").count().collect()}
+    assert by["b"] == 10_000 and by.get("a", 0) <= 100
+    assert index.bloom_probe(keys, index.merge_bloom(bloom.limit(0))).count() == 0
+
+
+def test_id_lookup_behind_a_gate(spark):
+    from urlintel.operators import lookup
+
+    e = build(spark, [("https://gull-bank.com", "s"), ("https://plover.net", "s"), ("https://plover.net", "t")])
+    gate = index.merge_bloom(index.build_bloom(e.filter("source = 's'").select(F.lit("source_url").alias("type"), F.col("source_url").alias("key"), "source").filter("key like '%plover%'")))
+    checks = spark.createDataFrame([(1, "https://gull-bank.com"), (2, "https://plover.net"), (3, None), (2, "https://plover.net")], "url_id long, url string")
+    got = sorted((r["url_id"], len(r["ids"] or [])) for r in lookup.lookup_cached_ids(checks, entries.url_id_index(e), e, gate).collect())
+    assert got == [(1, 0), (2, 2), (2, 2), (3, 0)]
+    assert sorted(len(r["ids"] or []) for r in lookup.lookup_cached_ids(checks, entries.url_id_index(e), e).collect()) == [0, 1, 2, 2]
 
 
 def test_unknown_feed(spark):
@@ -71,11 +92,16 @@ def test_unknown_feed(spark):
 
 
 def test_ingest_files(spark, tmp_path):
-    (tmp_path / "a.txt").write_text("# c\n\nhttps://a.example.com/x\n  b.example.com \nhttp://\n")
-    (tmp_path / "b.json").write_text('[{"url":"https://c.example.org/","verified":true},{"url":"https://d.example.org/","verified":false}]')
-    got, errors = feeds.ingest_all_feeds(spark, {"urlhaus-online": str(tmp_path / "a.txt"), "phishtank-online-valid": str(tmp_path / "b.json"), "nope": "x"}, "r1", F.lit(5))
-    assert sorted((r["source"], r["host"]) for r in got.collect()) == [("phishtank-online-valid", "c.example.org"), ("urlhaus-online", "a.example.com"), ("urlhaus-online", "b.example.com")]
-    assert list(errors) == ["nope"]
+    """A feed that isn't known, and one whose file breaks while it is read, leave the others alone."""
+    (tmp_path / "a.txt").write_text("# c\n\nhttps://a.plover.net/x\n\t b.plover.net\u00a0\nhttp://\n")
+    (tmp_path / "b.json").write_text('[{"url":"https://c.plover.net/","verified":true},{"url":"https://d.plover.net/","verified":false}]')
+    (tmp_path / "c.json").write_text('[{"url":"https://c.plover.net/", ')
+    feeds.register_feed("broken", "c", feeds.read_json_array, feeds.verified_urls)
+    feeds.register_feed("phishtank-online-valid", "phishing", feeds.read_json_array, feeds.verified_urls)
+    paths = {"urlhaus-online": str(tmp_path / "a.txt"), "phishtank-online-valid": str(tmp_path / "b.json"), "broken": str(tmp_path / "c.json"), "nope": "x"}
+    got, errors = feeds.ingest_all_feeds(spark, paths, str(tmp_path / "out"), "r1", F.lit(5))
+    assert sorted((r["source"], r["host"]) for r in got.collect()) == [("phishtank-online-valid", "c.plover.net"), ("urlhaus-online", "a.plover.net"), ("urlhaus-online", "b.plover.net")]
+    assert sorted(errors) == ["broken", "nope"] and all(errors.values())
     feeds.write_entries(got, str(tmp_path / "e"))
     feeds.write_entries(got.filter("source = 'urlhaus-online'"), str(tmp_path / "e"))
     assert spark.read.parquet(str(tmp_path / "e")).count() == 3
@@ -83,15 +109,46 @@ def test_ingest_files(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "i")).count() == 3
 
 
+def test_long_lines_are_rejects(spark):
+    rows = [("https://plover.net/" + "x" * (1 << 20), "s", "c"), ("https://plover.net/ok", "s", "c")]
+    good, bad = feeds.make_entries(spark.createDataFrame(rows, "line string, source string, category string"), F.lit("r"), F.lit(1))
+    assert good.count() == 1 and [(r["reason"], r["line"] == rows[0][0]) for r in bad.collect()] == [("line_too_long", True)]
+
+
+def test_options(spark):
+    o = spark.createDataFrame([("oisd-big", False, 60, None), ("phishtank-online-valid", None, None, "k9")], "id string, enabled boolean, ttl_seconds long, api_key string")
+    got = {r["id"]: r for r in feeds.with_options(feeds.sources(spark), o).collect()}
+    assert len(got) == 6 and not got["oisd-big"]["enabled"] and got["oisd-big"]["ttl_seconds"] == 60
+    assert got["phishtank-online-valid"]["enabled"] and "/k9/" in got["phishtank-online-valid"]["source_url"] and got["urlhaus-online"]["ttl_seconds"] == 7200
+
+
+def test_a_hit_needs_few_exchanges_over_stored_tables(spark, tmp_path):
+    e = build(spark, [(f"https://h{i}.plover.net/p{i}/f.exe?x={i % 3}", "s") for i in range(50)])
+    e.write.parquet(str(tmp_path / "e"))
+    index.key_index(e).write.parquet(str(tmp_path / "i"))
+    e.select(F.col("source_url").alias("url")).write.parquet(str(tmp_path / "c"))
+    stored, idx, checks = (spark.read.parquet(str(tmp_path / n)) for n in "eic")
+    trust = spark.createDataFrame([("s", 0.7)], "source string, trust double")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for df in (check.bulk_hit(checks, idx, stored, trust), check.bulk_check(checks, idx), check.bulk_check_all(checks, idx)):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange hashpartitioning") <= 9 and plan.count("FileScan parquet") <= 4
+        assert check.bulk_hit(checks, idx, stored, trust).filter("blocked").count() == 50
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_stream_matches_by_public_suffix(spark, tmp_path):
     from urlintel.streaming import jobs
 
-    idx = index.key_index(build(spark, [("https://example.co.uk", "a"), ("https://foo.github.io", "a"), ("https://x.www.ck", "a"), ("https://b.example.com/p", "a"), ("https://evil.com", "b")]))
-    hosts = ["https://sub.example.co.uk/x", "https://other.co.uk", "https://foo.github.io/p", "https://a.b.kawasaki.jp", "https://x.www.ck", "https://www.ck", "http://1.2.3.4/", "https://SUB.EXAMPLE.CO.UK", "https://evil.com", "https://evil.com/\x01", "", None, "https://co.uk", "https://b.example.com/p/q"]
+    idx = index.key_index(build(spark, [("https://gull.co.uk", "a"), ("https://gull.github.io", "a"), ("https://x.www.ck", "a"), ("https://b.plover.net/p", "a"), ("https://tern.com", "b")]))
+    hosts = ["https://sub.gull.co.uk/x", "https://other.co.uk", "https://gull.github.io/p", "https://a.b.kawasaki.jp", "https://x.www.ck", "https://www.ck", "http://1.2.3.4/", "https://SUB.GULL.CO.UK", "https://tern.com", "https://tern.com/a\x01b", "", None, "https://co.uk", "https://b.plover.net/p/q"]
     checks = spark.createDataFrame(list(enumerate(hosts)), "url_id long, url string")
     checks.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(checks.schema).parquet(str(tmp_path / "in"))
     jobs.stream_matches(stream, idx).writeStream.format("memory").queryName("suffixes").outputMode("append").trigger(availableNow=True).start().awaitTermination(120)
     got = {(r["url_id"], r["ord"], r["type"], r["key"], r["source"]) for r in spark.table("suffixes").collect()}
     want = {(r["url_id"], m["ord"], m["type"], m["key"], m["source"]) for r in check.bulk_check_all(checks, idx).collect() for m in r["matches"] or []}
-    assert got == want and (0, 0, "domain", "example.co.uk", "a") in got and not {10, 9, 1} & {g[0] for g in got}
+    assert got == want and (0, 0, "domain", "gull.co.uk", "a") in got and not {10, 9, 1} & {g[0] for g in got}
