@@ -66,5 +66,28 @@ def test_chain_links_through_members_other_than_the_least(spark):
     assert got == brute(rows)
 
 
+def test_shared_and_missing_ids(spark):
+    """The same rows in two orders: those that share an id keep their sets and are one document; those without one are linked with nothing."""
+    w = [f"w{i}" for i in range(100)]
+    near = lambda k: " ".join(w[:k] + ["new"] + w[k + 1 :])
+    other = [f"v{i}" for i in range(60)]
+    rows = [(1, " ".join(w)), (2, near(0)), (2, " ".join(other)), (3, " ".join(["z", *other[1:]])), (4, near(99)), (4, near(99)), (5, "alone here"), (None, " ".join(w)), (None, None), (6, " ".join(f"u{i}" for i in range(50))), (6, " ".join(f"t{i}" for i in range(50)))]
+    got = []
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string").selectExpr("*", "'x' as node", "1 as n", "2 as component_id").repartition(3, "text")
+        got.append(sorted((tuple(x)[:3] for x in shingle_join.near_duplicates(df).collect()), key=str))
+    assert got[0] == got[1]
+    assert len(got[0]) == len(rows) and {(d, c) for d, _, c in got[0]} == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 5), (None, None), (6, 6)}
+    assert sorted(n for d, n, _ in got[0] if d is None) == [0, 96]
+
+
+def test_very_long_text(spark):
+    r = random.Random(8)
+    long = [f"{r.randrange(10**6)}" for _ in range(150_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(long[:-400])), (3, " ".join(long[:60_000]))]
+    got = {x["doc_id"]: x["component_id"] for x in shingle_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
+
+
 def test_empty(spark):
     assert shingle_join.near_duplicates(spark.createDataFrame([], "doc_id long, text string, n int")).count() == 0

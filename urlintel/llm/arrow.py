@@ -44,6 +44,11 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def row_key(*columns: str) -> list:
+    """k1, k2: 128 bits that tell rows apart by what is in them, null and shared ids included. Rows equal in all of it share a key."""
+    return [F.xxhash64(*columns).alias("k1"), F.xxhash64(F.lit(1), *columns[::-1]).alias("k2")]
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of each row; null gives b''."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .stash import drop, stash
+from .stash import drop, selected, stash
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -28,4 +28,4 @@ def components(edges: DataFrame) -> DataFrame:
         labels = jumped
         if not changed:
             drop(both)
-            return labels.select("id", "component")
+            return selected(labels, "id", "component")

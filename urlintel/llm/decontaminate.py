@@ -1,32 +1,32 @@
 """Benchmark decontamination by winnowing.
 
 Of every run of ``window - gram + 1`` consecutive word k-grams the least hash is a fingerprint, so a span of ``window``
-words that a document shares with a benchmark item always holds a shared fingerprint. Fingerprints of documents and
-items are joined, and each hit is extended: the windows around it are compared whole and the words they cover are
-marked. Items shorter than a window are windows of their own length, with fingerprints to match.
+words that a document shares with a benchmark item always holds a shared fingerprint. Documents are read once: a
+document's fingerprints that the items may have are extended to the windows around them, and these windows are joined
+with the items' on both their hash and their fingerprint, 128 bits in all. Items shorter than a window are windows of
+their own length, with fingerprints to match.
 
-The items' fingerprints go to every task while they number at most MAX_SENT; beyond that the join shuffles.
+What an item may have is told by a Bloom filter of a fixed size, whatever the number of items, which only thins what is
+joined. Nothing else goes through the driver; texts are never shuffled.
 
 Defined results: null or wordless texts have no words; an item without words has no window; equal windows of several
-items hit all of them; empty tables give no hits; further columns are ignored; rows that share a doc_id or an item_id
-stay separate documents, and one item.
+items hit all of them; empty tables give no hits; further columns are ignored; rows that share a doc_id, or have none,
+stay separate documents; rows that share an item_id are one item, as are those without one.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import map_slices, texts, utf8
-from .hashing import ALNUM, U, grams, sliding_min, words
+from .arrow import map_slices, row_key, utf8
+from .hashing import ALNUM, U, grams, mix, sliding_min, words
+from .stash import stash
 
 WINDOW, GRAM = 10, 5
-MAX_SENT = 4_000_000  # item windows that every task may get: about 100 MB
-OUT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+FILTER_BITS = 1 << 26  # of the filter over the items' fingerprints: 8 MB
 
 
 def fingerprints(g: np.ndarray, width: int) -> np.ndarray:
@@ -65,151 +65,99 @@ def item_windows(benchmark: DataFrame, window: int, gram: int, id_col: str, text
     return map_slices(items, make, "size int, whole long, print long, item_id string").distinct()
 
 
-class Windows:
-    """Item windows by size, ready for lookup."""
+def places(prints: np.ndarray, size: int, bits: int) -> np.ndarray:
+    """Three bits of the filter for each fingerprint of windows of ``size`` words."""
+    h = mix(prints ^ U(size * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+    return np.stack([(h >> U(k)) % U(bits) for k in (0, 18, 36)]).astype(np.int64)
+
 
-    def __init__(self, size: np.ndarray, whole: np.ndarray, prints: np.ndarray, items: np.ndarray):
-        self.sizes = {}
-        for n in np.unique(size).tolist():
-            own = size == n
-            by = np.argsort(whole[own], kind="stable")
-            self.sizes[n] = (np.unique(prints[own]), whole[own][by], items[own][by])
+def print_filter(items: DataFrame, size_in_bits: int) -> np.ndarray:
+    """The packed filter over (size, print); so many bits at most come to the driver."""
 
+    def run(batches):
+        seen = np.zeros(size_in_bits, bool)
+        for batch in batches:
+            size, prints = (batch.column(k).to_numpy() for k in range(2))
+            for n in np.unique(size).tolist():
+                seen[places(prints[size == n].view(np.uint64), n, size_in_bits).ravel()] = True
+        bits = np.packbits(seen).view("<i8")
+        filled = np.flatnonzero(bits)
+        yield pa.record_batch([pa.array(filled, pa.int64()), pa.array(bits[filled], pa.int64())], ["word", "bits"])
 
-def inside(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
-    at = np.searchsorted(ordered, values)
-    at[at == len(ordered)] = 0
-    return ordered[at] == values
+    rows = items.select("size", "print").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    bits = np.zeros(size_in_bits // 64, "<i8")
+    bits[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
+    return bits.view(np.uint8)
 
 
-def hits(h: np.ndarray, known: Windows, gram: int) -> tuple[np.ndarray, set]:
-    """Which words are inside an occurrence of a window, and the items whose windows occur."""
-    change, items = np.zeros(len(h) + 1, np.int32), set()
-    for size, (prints, whole, owner) in known.sizes.items():
+def near(h: np.ndarray, shapes: list[int], known: np.ndarray, gram: int) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """size, starts, hashes and fingerprints of a document's windows around the fingerprints that the filter passes."""
+    out = []
+    for size in shapes:
         if len(h) < size:
             continue
         k = min(size, gram)
         g = grams(h, k)
-        at = fingerprints(g, size - k + 1)
-        at = at[inside(g[at], prints)]
+        width = size - k + 1
+        at = fingerprints(g, width)
+        bits = places(g[at], size, 8 * len(known))
+        at = at[((known[bits >> 3] >> (7 - (bits & 7)).astype(np.uint8)) & 1).all(axis=0)]
         if not len(at):
             continue
-        starts = np.unique((at[:, None] - np.arange(size - k + 1)).ravel())  # extend each hit to the windows around it
+        starts = np.unique((at[:, None] - np.arange(width)).ravel())  # extend each hit to the windows around it
         starts = starts[(starts >= 0) & (starts <= len(h) - size)]
-        found = grams(h, size)[starts]
-        real = inside(found, whole)
-        starts, found = starts[real], np.unique(found[real])
-        np.add.at(change, starts, 1)
-        np.add.at(change, starts + size, -1)
-        for a, b in zip(np.searchsorted(whole, found, "left"), np.searchsorted(whole, found, "right"), strict=True):
-            items.update(owner[a:b].tolist())
-    return np.cumsum(change[:-1]) > 0, items
-
-
-def report(batch: pa.RecordBatch, known, gram: int) -> pa.RecordBatch:
-    """The result rows of a batch (doc_id, text, ...); ``known`` gives row i's windows."""
-    rows = []
-    for i, raw in enumerate(utf8(batch.column(1))):
-        h = words(raw, ALNUM)
-        windows = known(i)
-        hit, items = hits(h, windows, gram) if windows is not None and len(h) else (np.zeros(0, bool), set())
-        n = int(np.count_nonzero(hit))
-        rows.append((len(h), n, len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), n > 0))
-    columns = list(zip(*rows, strict=True))
-    return pa.record_batch([batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string()), pa.array(columns[4], pa.bool_())], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
-
-
-def sent_windows(benchmark: DataFrame, window: int, gram: int, max_sent: int, item_col: str, item_text_col: str):
-    """The item windows as a broadcast, if they are few enough, else as a table."""
-    items = item_windows(benchmark, window, gram, item_col, item_text_col)
-    if items.limit(max_sent + 1).count() > max_sent:
-        return None, items
-    got = items.toPandas()
-    columns = tuple(got[c].to_numpy(np.int64) for c in ("size", "whole", "print")) + (got["item_id"].to_numpy(object),)
-    return benchmark.sparkSession.sparkContext.broadcast(columns), items
-
-
-def received(sent) -> Windows:
-    size, whole, prints, item = sent.value
-    return Windows(size, whole.view(U), prints.view(U), item)
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, max_sent: int = MAX_SENT, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """One row a document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    docs = texts(docs, id_col, text_col)
-    sent, items = sent_windows(benchmark, window, gram, max_sent, item_col, item_text_col)
-    if sent is None:
-        return contamination_at_large(docs, items, gram)
-
-    def make():
-        known = received(sent)
-        return lambda batch: report(batch, lambda i: known, gram)
-
-    return map_slices(docs, make, OUT)
+        first = np.argmin(g[starts[:, None] + np.arange(width)] >> U(32), axis=1)
+        out.append((size, starts, grams(h, size)[starts], g[starts + first]))
+    return out
 
 
-def contamination_at_large(docs: DataFrame, items: DataFrame, gram: int) -> DataFrame:
-    """The same where the items are too many to send: fingerprints of both sides meet in a shuffled join."""
+def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", filter_bits: int = FILTER_BITS) -> DataFrame:
+    """``contamination``, and the row's key (k1, k2)."""
+    items = stash(item_windows(benchmark, window, gram, item_col, item_text_col))
     shapes = sorted(r["size"] for r in items.select("size").distinct().collect())  # at most ``window`` values
-    docs = docs.select("doc_id", "text", F.hash("text").alias("tag"))
+    sent = docs.sparkSession.sparkContext.broadcast(print_filter(items, filter_bits))
+    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).select(*row_key("doc_id", "text"), "doc_id", "text")
 
     def make():
-        def do(batch: pa.RecordBatch):
-            parts = []
-            for doc, raw, tag in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                h = words(raw, ALNUM)
-                for size in shapes:
-                    g = grams(h, min(size, gram))
-                    p = np.unique(g[fingerprints(g, size - min(size, gram) + 1)])
-                    parts.append((doc, tag, size, p))
-            n = [len(p) for *_, p in parts]
-            if not sum(n):
-                return None
-            each = np.repeat(np.arange(len(parts)), n)
-            column = lambda k, t: pa.array([p[k] for p in parts], t).take(pa.array(each))
-            return pa.record_batch([column(0, pa.int64()), column(1, pa.int32()), column(2, pa.int32()), pa.array(np.concatenate([p for *_, p in parts]).view(np.int64))], ["doc_id", "tag", "size", "print"])
-
-        return do
+        known = sent.value
 
-    prints = map_slices(docs, make, "doc_id long, tag int, size int, print long")
-    near = prints.join(items, ["size", "print"]).groupBy("doc_id", "tag").agg(F.collect_set(F.struct("size", "whole", "print", "item_id")).alias("near"))
-
-    def extend():
         def do(batch: pa.RecordBatch):
-            near = batch.column(2)
-
-            def known(i):
-                if not near[i].is_valid:
-                    return None
-                v = near[i].values
-                size, whole, prints = (np.asarray(v.field(k)) for k in range(3))
-                return Windows(size, whole.astype(np.int64).view(U), prints.astype(np.int64).view(U), np.array(v.field(3).to_pylist(), object))
-
-            return report(batch, known, gram)
+            n_words, lists = [], []
+            for raw in utf8(batch.column(3)):
+                h = words(raw, ALNUM)
+                n_words.append(len(h))
+                lists.append(near(h, shapes, known, gram))
+            each = np.array([sum(len(s) for _, s, _, _ in found) for found in lists])
+            ends = pa.array(np.append(0, np.cumsum(each)), pa.int32())
+            flat = [part for found in lists for part in found]
+            column = lambda k, t: np.concatenate([p[k] for p in flat]).astype(t) if flat else np.zeros(0, t)
+            size = np.concatenate([np.full(len(p[1]), p[0], np.int32) for p in flat]) if flat else np.zeros(0, np.int32)
+            windows = pa.StructArray.from_arrays([pa.array(size), pa.array(column(1, np.int32)), pa.array(column(2, U).view(np.int64)), pa.array(column(3, U).view(np.int64))], ["size", "start", "whole", "print"])
+            return pa.record_batch([*batch.columns[:3], pa.array(n_words, pa.int64()), pa.ListArray.from_arrays(ends, windows)], ["k1", "k2", "doc_id", "n_words", "windows"])
 
         return do
 
-    return map_slices(docs.join(near, ["doc_id", "tag"], "left").select("doc_id", "text", "near"), extend, OUT)
-
+    read = stash(map_slices(keyed, make, "k1 long, k2 long, doc_id long, n_words long, windows array<struct<size:int,start:int,whole:long,print:long>>"))
+    asked = read.filter(F.size("windows") > 0).select("k1", "k2", F.explode("windows").alias("w")).select("k1", "k2", "w.*").distinct()
+    hit = asked.join(items, ["size", "whole", "print"])
+    # A document's windows and items are no more than it has words, and than there are items.
+    found = stash(hit.groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct("start", "size"))).alias("spans"), F.array_sort(F.collect_set("item_id")).alias("items")))
+    end = lambda s: s["start"] + s["size"]
+    covered = F.aggregate("spans", F.struct(F.lit(0).alias("n"), F.lit(0).alias("upto")), lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0), end(s) - F.greatest(a["upto"], s["start"]))).alias("n"), F.greatest(a["upto"], end(s)).alias("upto")))
+    counted = found.select("k1", "k2", covered["n"].cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
+    joined = read.select("k1", "k2", "doc_id", "n_words").join(counted, ["k1", "k2"], "left")
+    none = F.sha2(F.lit(""), 256)
+    return joined.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("items_sha256", none).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"), "k1", "k2")
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, max_sent: int = MAX_SENT, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The documents without a hit word, with all their columns. Items few enough to send need no shuffle of the texts."""
-    sent, items = sent_windows(benchmark, window, gram, max_sent, item_col, item_text_col)
-    if sent is None:
-        found = contamination_at_large(texts(docs, id_col, text_col), items, gram).filter("contaminated").select(F.col("doc_id").alias(id_col)).distinct()
-        return docs.join(found, id_col, "left_anti")
-    at = docs.columns.index(text_col)
 
-    def make():
-        known = received(sent)
-
-        def do(batch: pa.RecordBatch):
-            keep = []
-            for raw in utf8(batch.column(at)):
-                h = words(raw, ALNUM)
-                keep.append(not len(h) or not hits(h, known, gram)[0].any())
-            return batch.filter(pa.array(keep, pa.bool_()))
+def contamination(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
+    """One row a document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    return report(docs, benchmark, **how).drop("k1", "k2")
 
-        return do
 
-    return map_slices(docs, make, docs.schema)
+def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The documents without a hit word, with all their columns. Only the keys of the others are joined with the texts."""
+    bad = stash(report(docs, benchmark, id_col=id_col, text_col=text_col, **how).filter("contaminated").select("k1", "k2").distinct())
+    k1, k2 = row_key("_doc", "_text")
+    keyed = docs.withColumns({"_doc": F.col(id_col).cast("long"), "_text": F.col(text_col).cast("string")}).withColumns({"k1": k1, "k2": k2})
+    return keyed.join(bad, ["k1", "k2"], "left_anti").select(*docs.columns)

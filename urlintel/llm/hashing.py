@@ -1,7 +1,13 @@
-"""64-bit hashes of substrings and words by prefix sums, in numpy. The values are fixed, so every task agrees."""
+"""64-bit hashes of substrings and words by prefix sums, in numpy. The values are fixed, so every task agrees.
+
+The sums are polynomials modulo 2^64, for which regular texts of about a thousand bytes can be found that collide. So
+substrings of at most SHORT bytes are hashed that way; words longer than that are hashed by BLAKE2.
+"""
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 U = np.uint64
@@ -21,6 +27,7 @@ CODES = mix(np.arange(1, 257, dtype=U) * U(_STEP))
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 LOWER_CODES = CODES[LOWER]
+SHORT = 512
 _powers = {_BASE: np.ones(1, U), _INVERSE: np.ones(1, U)}
 
 
@@ -75,7 +82,11 @@ def words(raw: bytes, is_word: np.ndarray) -> np.ndarray:
         start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         sums = np.zeros(len(part) + 1, U)
         np.cumsum(LOWER_CODES[part] * powers(len(part))[: len(part)], out=sums[1:])
-        out.append(mix((sums[stop] - sums[start]) * powers(len(part), _INVERSE)[start] + (stop - start).astype(U)))
+        found = mix((sums[stop] - sums[start]) * powers(len(part), _INVERSE)[start] + (stop - start).astype(U))
+        for i in np.flatnonzero(stop - start > SHORT).tolist():
+            word = LOWER[part[start[i] : stop[i]]].tobytes()
+            found[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        out.append(found)
     return np.concatenate(out) if out else np.zeros(0, U)
 
 

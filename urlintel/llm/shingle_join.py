@@ -9,7 +9,11 @@ Length, positional, count and suffix filters thin the candidates, and each pair
 
 Defined results: null or wordless texts are linked with nothing and are their own component; texts of fewer words than
 a shingle count as one; equal sets are linked; an empty table gives an empty table; further columns are ignored; rows
-that share a doc_id count as one document for the component.
+that share a doc_id keep their own sets and are linked with each other, whatever the order of the rows; rows without a
+doc_id are counted, linked with nothing and have no component.
+
+A class is known by the least doc_id of its members; where rows that share a doc_id would give two classes one name,
+these have a name of their own (below zero), made from the set.
 """
 
 from __future__ import annotations
@@ -41,6 +45,11 @@ def shingle_set(raw: bytes, k: int) -> np.ndarray:
     return np.unique(grams(hashes, k))
 
 
+def name_of(s: np.ndarray) -> tuple[int, int]:
+    """128 bits that tell a set."""
+    return (int(np.add.reduce(mix(s)).view(np.int64)), int(np.bitwise_xor.reduce(mix(s + U(77))).view(np.int64))) if len(s) else (0, 0)
+
+
 def frequent_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The shingles that most documents have, sorted by hash, and their counts: at most FREQUENT."""
 
@@ -94,8 +103,9 @@ def profiles(docs: DataFrame, k: int, threshold: int, frequent: np.ndarray, coun
             for raw in utf8(batch.column(1)):
                 s = shingle_set(raw, k)
                 n.append(len(s))
-                left.append(int(np.add.reduce(mix(s)).view(np.int64)) if len(s) else 0)
-                right.append(int(np.bitwise_xor.reduce(mix(s + U(77))).view(np.int64)) if len(s) else 0)
+                a, b = name_of(s)
+                left.append(a)
+                right.append(b)
                 prefix.append(rare_first(s, order, count)[: len(s) - needed(len(s), threshold) + 1].view(np.int64) if len(s) else s.view(np.int64))
             ends = np.cumsum([0] + [len(p) for p in prefix]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefix)))
@@ -144,7 +154,7 @@ def id_filter(ids: DataFrame) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """The shingle sets (sorted) of the documents named, with the further columns of ``ids``.
+    """The shingle sets (sorted) of the classes in ``ids`` (node, doc_id, left, right, is_a, is_b), read from a member each.
 
     A Bloom filter passes over the other documents before their texts are read, and the join drops those that it let
     through, so that sets are shuffled and texts are not.
@@ -162,11 +172,14 @@ def sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
             sets = [shingle_set(raw, k) for raw in utf8(batch.column(1))]
             ends = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
-            return pa.record_batch([batch.column(0), lists], ["doc_id", "shingles"])
+            names = [name_of(s) for s in sets]
+            left, right = (pa.array([x[k] for x in names], pa.int64()) for k in range(2))
+            return pa.record_batch([batch.column(0), left, right, lists], ["doc_id", "left", "right", "shingles"])
 
         return do
 
-    return map_slices(docs, make, "doc_id long, shingles array<long>").join(ids, "doc_id").dropDuplicates(["doc_id"])
+    found = map_slices(docs, make, "doc_id long, left long, right long, shingles array<long>")
+    return found.join(ids, ["doc_id", "left", "right"]).dropDuplicates(["node"]).select("node", "is_a", "is_b", "shingles")
 
 
 def linked(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
@@ -184,14 +197,15 @@ def linked(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
     return int(np.count_nonzero(large[at] == small)) >= need
 
 
-def verified(pairs: DataFrame, docs: DataFrame, k: int, threshold: int) -> DataFrame:
-    """The pairs (a, b) that reach the threshold on their whole sets. Each set is computed once; only those of b meet the other side's."""
-    ids = pairs.select(F.col("a").alias("doc_id"), F.lit(True).alias("is_a"), F.lit(False).alias("is_b")).union(pairs.select("b", F.lit(False), F.lit(True)))
-    ids = stash(ids.groupBy("doc_id").agg(F.max("is_a").alias("is_a"), F.max("is_b").alias("is_b")))
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, threshold: int) -> DataFrame:
+    """The pairs (a, b) of classes that reach the threshold on their whole sets. Each set is computed once; only those of b meet the other side's."""
+    ids = pairs.select(F.col("a").alias("node"), F.lit(True).alias("is_a"), F.lit(False).alias("is_b")).union(pairs.select("b", F.lit(False), F.lit(True)))
+    ids = ids.groupBy("node").agg(F.max("is_a").alias("is_a"), F.max("is_b").alias("is_b"))
+    ids = stash(ids.join(classes.select("node", F.col("class_id").alias("doc_id"), "left", "right"), "node"))
     sets = stash(sets_of(docs, ids, k))
     drop(ids)
-    x = sets.filter("is_a").select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
-    y = sets.filter("is_b").select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
+    x = sets.filter("is_a").select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    y = sets.filter("is_b").select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     full = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
 
     def make():
@@ -263,10 +277,13 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, threshold: int = THRESHOLD,
     docs = texts(docs, id_col, text_col)
     base = stash(profiles(docs, k, threshold, *frequent_shingles(docs, k)))
     name = ["n", "left", "right"]
-    classes = stash(base.filter("n > 0").groupBy(*name).agg(F.min("doc_id").alias("class_id")))
-    lone = classes.select(F.col("class_id").alias("doc_id"), *name)
-    # A posting for each prefix shingle of each class's representative.
-    postings = base.join(lone, ["doc_id", *name], "left_semi").dropDuplicates(["doc_id", *name]).select("doc_id", "n", F.posexplode("prefix").alias("i", "h"))
+    classes = base.filter("n > 0 and doc_id is not null").groupBy(*name).agg(F.min("doc_id").alias("class_id"))
+    shared_ids = classes.groupBy("class_id").agg(F.count("*").alias("many")).filter("many > 1").select("class_id", F.lit(True).alias("many"))
+    own = F.when(F.col("many"), -1 - F.xxhash64(*name).bitwiseAND((1 << 62) - 1)).otherwise(F.col("class_id"))
+    classes = stash(classes.join(shared_ids, "class_id", "left").select(*name, "class_id", own.alias("node")))
+    lone = classes.select(F.col("class_id").alias("doc_id"), "node", *name)
+    # A posting for each prefix shingle of each class's representative; doc_id is the class's name from here on.
+    postings = base.join(lone, ["doc_id", *name]).dropDuplicates(["node"]).select(F.col("node").alias("doc_id"), "n", F.posexplode("prefix").alias("i", "h"))
     postings = postings.select("doc_id", "n", "h", F.col("i").cast("int").alias("i"))
     met = postings.groupBy("h").agg(F.count("*").alias("members")).filter("members > 1").select("h")
     shared = stash(postings.join(met, "h", "left_semi"))
@@ -274,7 +291,7 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, threshold: int = THRESHOLD,
     pivots = shared.groupBy("h").agg(F.min(F.struct(F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"))).alias("p")).select("h", "p.*")
     star = shared.join(pivots, "h").filter(F.col("doc_id") != F.col("b")).filter(plausible(threshold)).groupBy(F.col("doc_id").alias("a"), "b").agg(F.count("*").alias("c"), F.max("n").alias("n"), F.max("m").alias("m"))
     star = stash(star.filter(enough(threshold)).groupBy("a").agg(F.max(F.struct("c", -F.col("b"))).alias("best")).select("a", (-F.col("best.col2")).alias("b")))
-    edges = verified(star, docs, k, threshold)
+    edges = verified(star, docs, classes, k, threshold)
     drop(star)
     groups = components(edges)
     # Pairs between components that meet in a bucket.
@@ -282,10 +299,21 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, threshold: int = THRESHOLD,
     tagged = stash(tagged)
     drop(shared)
     cross = stash(cross_pairs(tagged, groups, threshold))
-    more = verified(cross, docs, k, threshold)
+    drop(groups)
+    more = verified(cross, docs, classes, k, threshold)
     drop(tagged)
     drop(cross)
-    groups = components(edges.union(more))
-    member = base.select("doc_id", *name).join(classes, name, "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
-    joined = member.join(groups.withColumnRenamed("id", "class_id"), "class_id", "left")
-    return joined.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "class_id").alias("component_id"), "class_id")
+    # Rows that share a doc_id tie their classes together.
+    member = stash(base.select("doc_id", *name).join(classes, name, "left"))
+    ties = member.filter("doc_id is not null and node is not null").groupBy("doc_id").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most")
+    tied = member.join(ties, "doc_id").filter("node is not null and node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
+    drop(base)
+    groups = components(edges.union(more).union(tied))
+    drop(edges)
+    drop(more)
+    # A component is known by its least class_id; its names may lie below zero.
+    least = classes.join(groups.withColumnRenamed("id", "node"), "node").groupBy("component").agg(F.min("class_id").alias("component_id"))
+    reached = groups.join(least, "component").select(F.col("id").alias("node"), "component_id")
+    joined = member.join(reached, "node", "left")
+    told = lambda c: F.when(F.col("doc_id").isNotNull(), c)
+    return joined.select("doc_id", F.col("n").cast("long").alias("n_shingles"), told(F.coalesce("component_id", "class_id", "doc_id")).alias("component_id"), told(F.coalesce("class_id", "doc_id")).alias("class_id"))

@@ -11,9 +11,11 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the session has it; a local one only where the setting is absent, as in tests."""
+    """spark.checkpoint.dir as the session has it; one of its own only in local mode, where all tasks run on this machine."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         where = tempfile.mkdtemp(prefix="spark-checkpoints-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -39,3 +41,10 @@ def drop(df: DataFrame) -> None:
     jvm = df.sparkSession._jvm
     path = jvm.org.apache.hadoop.fs.Path(df._stashed_at)
     path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def selected(df: DataFrame, *columns: str) -> DataFrame:
+    """Some columns of a stashed table, which can still be dropped."""
+    out = df.select(*columns)
+    out._stashed_at = df._stashed_at
+    return out
