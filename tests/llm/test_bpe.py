@@ -31,16 +31,56 @@ def test_same_ids_as_the_library(coder, library):
         assert coder.encode(text) == library.encode_ordinary(text)
 
 
+def test_transducer_against_merging(coder):
+    """Transitions and what they put out against the definition, with a table so small that it is started again and again."""
+    r = random.Random(2)
+    t = coder.transducer
+    for _ in range(400):
+        piece = "".join(r.choice("aethinos \u00e9\u4e2d.-0") for _ in range(r.randint(1, 40))).encode()
+        assert t.encode(piece) == t.merge(piece)
+        if r.random() < 0.1:
+            t.restart()
+
+
+def test_tokens_go_out_after_bounded_lookahead(coder):
+    t = coder.transducer
+    longest = max(t.length)
+    for piece in (b"x" * 3000, b"international" * 200, bytes(range(256)) * 10):
+        state, held, out = 0, 0, []
+        for byte in piece:
+            state, put = t.step(state, byte)
+            held += 1 - sum(t.length[x] for x in put)
+            out += put
+            assert held <= 2 * longest
+        ends = t.states[state][2]
+        assert out + list(t.path(ends, len(ends))) == t.encode(piece)
+        assert b"".join(t.bytes_of[x] for x in t.encode(piece)) == piece
+
+
+def test_another_pattern():
+    import tiktoken
+
+    path = bpe.defaults()[0]
+    own = bpe.load(path, r"\S+ ?|\s")
+    want = tiktoken.Encoding("other", pat_str=r"\S+ ?|\s", mergeable_ranks=own.transducer.ranks, special_tokens={})
+    for text in ("one two  three", " a b", "don't\n stop"):
+        assert own.encode(text) == want.encode_ordinary(text)
+
+
 def test_stream_decoding(coder):
     for text in samples()[:300]:
         stream = bpe.StreamDecoder(coder)
         ids = coder.encode(text)
         assert "".join(stream.feed([i]) for i in ids) + stream.finish() == text
-        assert coder.well_formed(np.array(ids, np.int64))
-    cut = coder.encode("中")[:1]
-    stream = bpe.StreamDecoder(coder)
-    if len(coder.encode("中")) > 1:
-        assert stream.feed(cut) + stream.finish() == "�" and not coder.well_formed(np.array(cut))
+        assert coder.decode(np.array(ids, np.int64)) == (text, True)
+    ids = coder.encode("\U00020021")
+    assert len(ids) > 1
+    assert coder.decode(np.array(ids[:1])) == ("\ufffd", False)
+    r = random.Random(3)
+    for _ in range(200):  # any bytes at all, against Python's own decoder
+        raw = bytes(r.choice([0x41, 0xC3, 0xA9, 0xE4, 0xB8, 0xAD, 0xF0, 0x9F, 0x98, 0x80, 0xFF]) for _ in range(12))
+        text, ok = coder.decode(np.array(coder.transducer.encode(raw)))
+        assert ok == ("\ufffd" not in raw.decode(errors="replace")) == (text == raw.decode(errors="ignore"))
 
 
 def test_query(spark, library):
@@ -55,4 +95,6 @@ def test_query(spark, library):
     assert got == want
     back = bpe.decode(bpe.encode(df, *bpe.defaults()), *bpe.defaults())
     assert sorted(map(tuple, back.collect())) == sorted((i, t or "") for i, t in rows)
+    kept = bpe.with_ids(spark.createDataFrame(rows, "doc_id long, text string"), *bpe.defaults())
+    assert kept.columns == ["doc_id", "text", "ids", "n_tokens", "decodes"] and all(x["decodes"] for x in kept.collect())
     assert bpe.round_trip(df.limit(0), *bpe.defaults()).count() == 0

@@ -50,6 +50,16 @@ def test_against_brute_force(spark, seed):
     assert got == brute([(i, (t or "").encode()) for i, t in rows])
 
 
+def test_missing_ids_clashing_columns_and_a_long_text(spark):
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    long = " ".join(word() for _ in range(150_000))
+    rows = [(None, "n" * 300), (None, "m" * 199), (1, long), (1, long[5000:5400]), (2, "o" * 260), (2, "p" * 250)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as k1", "'x' as core", "2 as n_removed", "3 as at")
+    got = sorted((str(x["doc_id"]), x["n_bytes"], x["n_removed"], x["n_spans"]) for x in repeats.remove_repeats(df).collect())
+    assert got == [("1", 400, 400, 1), ("1", len(long), 400, 1), ("2", 250, 250, 1), ("2", 260, 260, 1), ("None", 199, 0, 0), ("None", 300, 300, 1)]
+
+
 def test_edges(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert repeats.remove_repeats(empty).count() == 0

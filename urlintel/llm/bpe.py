@@ -1,12 +1,12 @@
 """Byte-level BPE encoding and decoding.
 
 The merge ranks are compiled into a finite-state transducer that is determinised lazily: reading one byte moves to the
-next state and emits the tokens that no longer depend on what follows. A state holds every boundary from which some
-vocabulary token can still grow, with the tokens chosen since the last emission; the lookahead is therefore bounded by
-the longest token. Transitions are computed on first use and kept in a table of bounded size.
+next state and emits the tokens that no longer depend on what follows. A state holds the longest run of bytes just read
+that begins some token, and the tokens chosen since the last emission; the lookahead is therefore bounded by the longest
+token. Transitions, with what they emit, are computed on first use and kept in a table of bounded size.
 
-Decoding joins token bytes; ``StreamDecoder`` gives text as soon as characters are complete, driven by an incremental
-UTF-8 state machine whose moves are memoised per token.
+Decoding is streamed: ``StreamDecoder`` gives text as soon as characters are complete, driven by an incremental UTF-8
+state machine; runs of tokens that are whole characters pass it at once.
 
 Defined results: null text counts as empty (no tokens); any length of text is encoded whole; repeated rows give
 repeated results; an empty table gives an empty table; further columns are ignored.
@@ -23,21 +23,24 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, BooleanType, LongType, StructField, StructType
 
 from .arrow import map_slices, texts
 
 MAX_PIECES = 120_000  # memoised pieces a worker keeps in each generation
 MAX_MOVES = 400_000  # transitions kept; the table is then started again
+PORTION = 1 << 16  # ids decoded at once
 SPACE = re.compile(r" (?=\S)")
 ODD_SPACE = re.compile(r" \s")
 
 
+State = tuple[int, int, tuple[int, ...]]  # node of the run, last token put out (-1: none), tokens that end at each boundary since
+
+
 class MergeTransducer:
-    """A state is the longest run of bytes just read that begins some token; it knows the tokens that may end here,
-    longest first. Reading a byte moves to the next state and picks the one token that ends here and stays apart from
-    the token before it. Only boundaries within the state's run can still matter, so what lies before their common
-    past goes out: the lookahead is bounded by the longest token. Moves are determinised on first use."""
+    """Encodes one piece at a time. Of the tokens that end at a boundary, the longest that stays apart from the token
+    before it is the one that merging gives for the bytes up to there; only boundaries within the run can still be
+    where a later token starts, so what lies before their common past is put out."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
@@ -57,11 +60,18 @@ class MergeTransducer:
                 at = nxt
             self.token_at[at] = rank
         self.length = [len(t) for t in self.bytes_of]
-        self.moves: dict[int, int] = {}
-        self.shorter: dict[int, int] = {0: 0}  # the state for the run without its first byte
-        self.ending: dict[int, tuple[tuple[int, int], ...]] = {0: ()}
+        self.runs: dict[int, int] = {}
+        self.shorter: dict[int, int] = {0: 0}  # the node for the run without its first byte
+        self.ending: dict[int, tuple[tuple[int, int], ...]] = {0: ()}  # tokens that may end here, longest first
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.pairs: dict[int, bool] = {}
+        self.restart()
+
+    def restart(self) -> None:
+        """Forget all transitions; state 0 is the start."""
+        self.states: list[State] = [(0, -1, ())]
+        self.known: dict[State, int] = {self.states[0]: 0}
+        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}  # (state << 8 | byte) -> next state, tokens put out
 
     def merge(self, piece: bytes, keep: int = 1) -> list[int]:
         """The definition: join the adjacent pair of lowest rank, leftmost first, until none is left (or ``keep`` parts)."""
@@ -112,70 +122,72 @@ class MergeTransducer:
         self.pairs[left << 32 | right] = ok
         return ok
 
-    def _move(self, state: int, byte: int) -> int:
-        key = state << 8 | byte
-        got = self.moves.get(key)
+    def _run(self, node: int, byte: int) -> int:
+        """The node of the longest run after one more byte."""
+        key = node << 8 | byte
+        got = self.runs.get(key)
         if got is not None:
             return got
-        node, at, passed = self.child.get(key), state, []
-        while node is None and at:
-            passed.append(at)
+        to, at = self.child.get(key), node
+        while to is None and at:
             at = self.shorter[at]
-            node = self.child.get(at << 8 | byte)
-        if node is None:
-            node = 0
-        if node not in self.shorter:
-            self.shorter[node] = self._move(self.shorter[at], byte) if at else 0
-            own = self.token_at.get(node, -1)
-            self.ending[node] = (((own, self.length[own]),) if own >= 0 else ()) + self.ending[self.shorter[node]]
-        if len(self.moves) > MAX_MOVES:
-            self.moves.clear()
-        self.moves[key] = node
-        return node
-
-    def encode(self, piece: bytes) -> list[int]:
-        out: list[int] = []
-        ends = [-1]  # the token that ends at each boundary; the first stands for what has gone out
-        state, moves, ending, pairs = 0, self.moves, self.ending, self.pairs
-        have = 1
-        for byte in piece:
-            now = moves.get(state << 8 | byte)
-            state = self._move(state, byte) if now is None else now
-            for token, length in ending[state]:
-                if length < have:
-                    left = ends[-length]
-                    ok = pairs.get(left << 32 | token)
-                    if ok or ok is None and self.follows(left, token):
-                        break
-                elif length == have:  # nothing before it
-                    if ends[0] < 0 or self.follows(ends[0], token):
-                        break
-            else:
-                raise ValueError(f"no token covers byte {byte}")
-            ends.append(token)
-            have += 1
-            if have > 4096:
-                ends = self._emit(ends, self.depth[state], out)
-                have = len(ends)
-        return out + self._path(ends, len(ends) - 1)
-
-    def _emit(self, ends: list[int], run: int, out: list[int]) -> list[int]:
-        """Put out what all boundaries within the run have in common; keep the rest."""
-        alive = {*range(max(0, len(ends) - 1 - run), len(ends))}
+            to = self.child.get(at << 8 | byte)
+        if to is None:
+            to = 0
+        if to not in self.shorter:
+            self.shorter[to] = self._run(self.shorter[at], byte) if at else 0
+            own = self.token_at.get(to, -1)
+            self.ending[to] = (((own, self.length[own]),) if own >= 0 else ()) + self.ending[self.shorter[to]]
+        if len(self.runs) > MAX_MOVES:
+            self.runs.clear()
+        self.runs[key] = to
+        return to
+
+    def step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+        """Determinise one transition: the next state, and the tokens put out on the way."""
+        node, left, ends = self.states[state]
+        node = self._run(node, byte)
+        for token, length in self.ending[node]:
+            start = len(ends) + 1 - length
+            if start >= 0 and self.follows(ends[start - 1] if start else left, token):
+                break
+        else:
+            raise ValueError(f"no token covers byte {byte}")
+        ends = (*ends, token)
+        # Boundaries from which a later token may start, back to where their paths meet.
+        alive = {*range(max(0, len(ends) - self.depth[node]), len(ends) + 1)}
         while len(alive) > 1:
             last = max(alive)
             alive.remove(last)
-            alive.add(last - self.length[ends[last]])
+            alive.add(last - self.length[ends[last - 1]])
         (cut,) = alive
-        out += self._path(ends, cut)
-        return ends[cut:]
-
-    def _path(self, ends: list[int], at: int) -> list[int]:
-        path = []
+        after = (node, ends[cut - 1] if cut else left, ends[cut:])
+        out = (self.known.setdefault(after, len(self.states)), self.path(ends, cut))
+        if out[0] == len(self.states):
+            self.states.append(after)
+        self.moves[state << 8 | byte] = out
+        return out
+
+    def path(self, ends: tuple[int, ...], at: int) -> tuple[int, ...]:
+        """The tokens that lead to a boundary."""
+        out = []
         while at > 0:
-            path.append(ends[at])
-            at -= self.length[ends[at]]
-        return path[::-1]
+            out.append(ends[at - 1])
+            at -= self.length[ends[at - 1]]
+        return tuple(out[::-1])
+
+    def encode(self, piece: bytes) -> list[int]:
+        if len(self.moves) > MAX_MOVES:
+            self.restart()
+        out: list[int] = []
+        state, moves = 0, self.moves
+        for byte in piece:
+            move = moves.get(state << 8 | byte)
+            state, put = move or self.step(state, byte)
+            if put:
+                out += put
+        ends = self.states[state][2]
+        return out + list(self.path(ends, len(ends)))
 
 
 class Recent(dict):
@@ -220,34 +232,46 @@ class StreamDecoder:
 
     def __init__(self, bpe: ByteBPE):
         self.bpe, self.state, self.held = bpe, START, b""
+        self.well_formed = True
+
+    def feed(self, ids: np.ndarray) -> str:
+        ids = np.asarray(ids, np.int64)
+        bytes_of = self.bpe.bytes_of
+        cut = np.flatnonzero(~self.bpe.whole[ids])  # tokens that begin or end within a character
+        out, i, n = [], 0, len(ids)
+        while i < n:
+            if self.state == START:
+                j = np.searchsorted(cut, i)
+                end = int(cut[j]) if j < len(cut) else n
+                out.append(b"".join(map(bytes_of.__getitem__, ids[i:end].tolist())).decode())
+                i = end
+                if i == n:
+                    break
+            out.append(self._bytes(bytes_of[ids[i]]))
+            i += 1
+        return "".join(out)
 
-    def feed(self, ids) -> str:
-        out, state, held = [], self.state, self.held
-        for i in ids:
-            token = self.bpe.bytes_of[i]
-            if self.bpe.utf8_after(state, i) == START:  # all complete
-                out.append((held + token).decode())
-                held, state = b"", START
-                continue
-            for b in token:
-                nxt = utf8_step(state, b)
-                if nxt is None and held:
-                    out.append("\ufffd")
-                    held = b""
-                    nxt = utf8_step(START, b)
+    def _bytes(self, token: bytes) -> str:
+        out = ""
+        for b in token:
+            nxt = utf8_step(self.state, b)
+            if nxt is None:
+                self.well_formed = False
+                out += "\ufffd"
+                nxt = utf8_step(START, b) if self.held else None
+                self.held = b""
                 if nxt is None:
-                    out.append("\ufffd")
-                    state = START
+                    self.state = START
                     continue
-                held, state = held + bytes([b]), nxt
-                if state == START:
-                    out.append(held.decode())
-                    held = b""
-        self.state, self.held = state, held
-        return "".join(out)
+            self.held, self.state = self.held + bytes([b]), nxt
+            if nxt == START:
+                out += self.held.decode()
+                self.held = b""
+        return out
 
     def finish(self) -> str:
         rest, self.held, self.state = self.held, b"", START
+        self.well_formed = self.well_formed and not rest
         return "\ufffd" if rest else ""
 
 
@@ -263,47 +287,36 @@ class ByteBPE:
         self.pieces = Recent(lambda piece: array("I", self.transducer.encode(piece.encode())).tobytes())
         by_piece = lambda chunk: b"".join(map(self.pieces.__getitem__, self.split(chunk)))
         self.first, self.rest = Recent(by_piece), Recent(by_piece, " ")
-        self.after: dict[tuple, tuple | None] = {}
-        self.whole = np.array([self.utf8_after(START, i) == START for i in range(len(self.bytes_of))], bool)
-
-    def utf8_after(self, state: tuple[int, int, int], token: int) -> tuple[int, int, int] | None:
-        """Where the UTF-8 machine stands after a token; None: the token doesn't fit."""
-        key = (state, token)
-        if key not in self.after:
-            now: tuple[int, int, int] | None = state
-            for b in self.bytes_of[token]:
-                now = utf8_step(now, b) if now is not None else None
-            self.after[key] = now
-        return self.after[key]
+        self.by_piece, self.chunked = by_piece, pattern == defaults()[1]
+        self.whole = np.array([self._is_whole(t) for t in self.bytes_of], bool)
+
+    @staticmethod
+    def _is_whole(token: bytes) -> bool:
+        """Whether a token is whole characters."""
+        state: tuple[int, int, int] | None = START
+        for b in token:
+            state = utf8_step(state, b) if state is not None else None
+        return state == START
 
     def encode_bytes(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers.
 
-        A piece never goes on over a space that stands before a visible character, so the text is first cut there and
-        the pattern only reads chunks not seen lately.
+        In the usual pattern a piece never goes on over a space that stands before a visible character, so such text is
+        first cut there and the pattern only reads chunks not seen lately.
         """
+        if not self.chunked:
+            return self.by_piece(text)
         chunks = SPACE.split(text) if ODD_SPACE.search(text) else text.split(" ")
         return self.first[chunks[0]] + b"".join(map(self.rest.__getitem__, chunks[1:]))
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_bytes(text), "<u4").tolist()
 
-    def decode_bytes(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
-
-    def well_formed(self, ids: np.ndarray) -> bool:
-        """Whether the decoded bytes are UTF-8: only tokens that cut a character need the machine."""
-        state: tuple[int, int, int] | None = START
-        whole = self.whole[ids]
-        if whole.all():
-            return True
-        near = ~whole  # a whole token may stand only where nothing is wanted, so the one after each cut token is tried too
-        near[1:] |= ~whole[:-1]
-        for i in ids[near].tolist():
-            state = self.utf8_after(state, i)
-            if state is None:
-                return False
-        return state == START
+    def decode(self, ids: np.ndarray) -> tuple[str, bool]:
+        """The text, portion by portion, and whether its bytes were well-formed."""
+        stream = StreamDecoder(self)
+        out = [stream.feed(ids[at : at + PORTION]) for at in range(0, len(ids), PORTION)]
+        return "".join([*out, stream.finish()]), stream.well_formed
 
 
 @lru_cache(maxsize=2)
@@ -333,19 +346,22 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
 
 def with_ids(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
-    """All columns of the documents, and ids and n_tokens."""
+    """All columns of the documents, and ids, n_tokens and decodes: whether decoding the ids gives the text again. Null text has no tokens."""
     at = docs.columns.index(text_col)
 
     def make():
         bpe = load(path, pattern)
 
         def do(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids = [bpe.encode_bytes(t) if t else b"" for t in batch.column(at).to_pylist()]
-            return pa.record_batch([*batch.columns, pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], [*batch.schema.names, "ids", "n_tokens"])
+            ids, same = [], []
+            for text in batch.column(at).to_pylist():
+                ids.append(bpe.encode_bytes(text) if text else b"")
+                same.append(bpe.decode(np.frombuffer(ids[-1], "<u4"))[0] == (text or ""))
+            return pa.record_batch([*batch.columns, pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(same, pa.bool_())], [*batch.schema.names, "ids", "n_tokens", "decodes"])
 
         return do
 
-    return map_slices(docs, make, StructType([*docs.schema.fields, StructField("ids", BinaryType()), StructField("n_tokens", LongType())]))
+    return map_slices(docs, make, StructType([*docs.schema.fields, StructField("ids", BinaryType()), StructField("n_tokens", LongType()), StructField("decodes", BooleanType())]))
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -355,10 +371,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
         bpe = load(path, pattern)
 
         def do(batch: pa.RecordBatch) -> pa.RecordBatch:
-            out = []
-            for raw in batch.column(1).to_pylist():
-                stream = StreamDecoder(bpe)
-                out.append(stream.feed(np.frombuffer(raw or b"", "<u4").tolist()) + stream.finish())
+            out = [bpe.decode(np.frombuffer(raw or b"", "<u4"))[0] for raw in batch.column(1).to_pylist()]
             return pa.record_batch([batch.column(0), pa.array(out, pa.string())], ["doc_id", "text"])
 
         return do
@@ -380,8 +393,9 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 ids = np.frombuffer(raw, "<u4")
                 n.append(len(ids))
                 a.append(sha(raw).hexdigest())
-                b.append(sha(bpe.decode_bytes(ids)).hexdigest())
-                ok.append(bpe.well_formed(ids))
+                back, well_formed = bpe.decode(ids)
+                b.append(sha(back.encode()).hexdigest())
+                ok.append(well_formed)
             return pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(ok, pa.bool_())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "well_formed"])
 
         return do

@@ -10,8 +10,9 @@ statistics cover every row.
 A row is accepted when letters make up enough of its visible bytes and one language has most of the posterior.
 
 Defined results: null, empty or letterless text has the language its other evidence favours and isn't accepted; without
-labelled rows nothing is told or accepted; unknown hosts, suffixes and declarations add nothing; ties go to the first language in order; repeated rows each count; an
-empty table gives an empty table; further columns are ignored.
+labelled rows nothing is told or accepted; unknown hosts, suffixes and declarations add nothing; ties go to the first
+language in order; repeated rows each count; an empty table gives an empty table; a caller's own columns come back as
+they were, whatever their names. The likelihood table has CELLS numbers a language, 256 KB, and goes to every task.
 """
 
 from __future__ import annotations
@@ -76,8 +77,8 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarra
 
 
 def likelihoods(rows: DataFrame, table: np.ndarray) -> DataFrame:
-    """The rows with ``like`` (a tempered log-likelihood a language) and ``letters`` (their share) in place of text."""
-    keep = [c for c in rows.columns if c != "text"]
+    """own, host, suffix, declared, and in place of text: like (a tempered log-likelihood a language), guess (the place of
+    the greatest, the first among equals), sure (letters make up enough) and voted (sure, and no other is as great)."""
     sent = rows.sparkSession.sparkContext.broadcast(table)
 
     def make():
@@ -85,30 +86,51 @@ def likelihoods(rows: DataFrame, table: np.ndarray) -> DataFrame:
         width = known.shape[1]
 
         def do(batch: pa.RecordBatch) -> pa.RecordBatch:
-            like, letters = [], []
-            for raw in utf8(batch.column(len(keep))):
-                total, n = np.zeros(width), 0
+            like, sure = np.zeros((batch.num_rows, width)), np.zeros(batch.num_rows, bool)
+            for i, raw in enumerate(utf8(batch.column(4))):
+                n = 0
                 for at in range(0, len(raw), 1 << 20):  # block by block, so that a long text needs no long arrays
                     cells = trigrams(raw[at : at + (1 << 20)])
-                    total += [known[:, k][cells].sum(dtype=np.float64) for k in range(width)]
+                    like[i] += [known[:, k][cells].sum(dtype=np.float64) for k in range(width)]
                     n += len(cells)
                 a = np.frombuffer(raw, np.uint8)
-                like += (total * (min(n, TEMPER) / n if n else 0.0)).tolist()
-                letters.append(float(LETTER[a].sum() / max(1, VISIBLE[a].sum())))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * width, pa.int32()), pa.array(like, pa.float64()))
-            return pa.record_batch([*batch.columns[: len(keep)], lists, pa.array(letters, pa.float64())], [*keep, "like", "letters"])
+                like[i] *= min(n, TEMPER) / n if n else 0.0
+                sure[i] = LETTER[a].sum() >= LETTERS * max(1, VISIBLE[a].sum())
+            guess = like.argmax(axis=1)
+            voted = sure & ((like == like.max(axis=1, keepdims=True)).sum(axis=1) == 1)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * width, pa.int32()), pa.array(like.ravel(), pa.float64()))
+            return pa.record_batch([*batch.columns[:4], lists, pa.array(guess, pa.int32()), pa.array(sure), pa.array(voted)], READ)
 
         return do
 
-    types = ", ".join(f"`{c}` {t}" for c, t in rows.select(*keep).dtypes)
-    return map_slices(rows.select(*keep, "text"), make, f"{types}, like array<double>, letters double")
+    kind = rows.select("own").dtypes[0][1]
+    return map_slices(rows.select("own", "host", "suffix", "declared", "text"), make, f"own {kind}, host string, suffix string, declared string, like array<double>, guess int, sure boolean, voted boolean")
 
 
-def posterior(scores):
-    """Log scores to probabilities."""
-    top = F.array_max(scores)
-    odds = F.transform(scores, lambda x: F.exp(x - top))
-    return F.transform(odds, lambda x: x / F.aggregate(odds, F.lit(0.0), lambda s, y: s + y))
+READ = ["own", "host", "suffix", "declared", "like", "guess", "sure", "voted"]
+
+
+def fused(like: np.ndarray, guess: np.ndarray, voted: np.ndarray, host: np.ndarray, suffix: np.ndarray, in_host: np.ndarray, in_suffix: np.ndarray, overall: np.ndarray, told: list[tuple[np.ndarray, float]]) -> np.ndarray:
+    """The posterior of every row (rows x languages).
+
+    ``host`` and ``suffix`` are votes in the row's host and suffix, its own among them where in_host and in_suffix; each
+    level without that vote is smoothed towards the one above, the last towards ``overall``. ``told`` has pairs of a
+    language's place a row, -1 for none, and how often that kind of evidence is right.
+    """
+    n, width = like.shape
+    mine = np.zeros((n, width))
+    mine[np.arange(n), guess] = voted
+    prior = np.broadcast_to(overall, (n, width))
+    for votes, inside in ((suffix, in_suffix), (host, in_host)):
+        others = votes - mine * inside[:, None]
+        prior = (others + STRENGTH * prior) / (others.sum(axis=1, keepdims=True) + STRENGTH)
+    score = like + np.log(prior)
+    for place, right in told:
+        odds = np.full((n, width), np.log((1 - right) / max(1, width - 1)))
+        odds[np.arange(n), np.maximum(place, 0)] = np.log(right)
+        score = score + odds * (place >= 0)[:, None]
+    odds = np.exp(score - score.max(axis=1, keepdims=True))
+    return odds / odds.sum(axis=1, keepdims=True)
 
 
 def identify(rows: DataFrame, languages: list[str], table: np.ndarray) -> DataFrame:
@@ -118,37 +140,35 @@ def identify(rows: DataFrame, languages: list[str], table: np.ndarray) -> DataFr
     own = [c for c in rows.columns if c not in ("text", "host", "suffix", "declared")]
     if not n:  # nothing to learn from: nothing can be told
         return rows.select(*own, F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("posterior"), F.lit(False).alias("accepted"))
-    read = stash(likelihoods(rows, table).withColumn("guess", F.array_position("like", F.array_max("like")).cast("int")).withColumns({"sure": F.col("letters") >= LETTERS, "voted": (F.col("letters") >= LETTERS) & (F.size(F.filter("like", lambda x: x == F.array_max("like"))) == 1)}))
+    read = stash(likelihoods(rows.select(F.struct(*own).alias("own"), "host", "suffix", "declared", "text"), table))
     votes = read.filter("voted")
-    count = [F.count_if(F.col("guess") == k + 1).alias(f"n{k}") for k in range(n)]
+    count = [F.count_if(F.col("guess") == k).alias(f"n{k}") for k in range(n)]
     whole = votes.agg(*count).first()  # one row
-    overall = [(whole[f"n{k}"] + 1.0) / (sum(whole) + n) for k in range(n)]
-    by_suffix = votes.filter("suffix is not null").groupBy("suffix").agg(F.array(*count).alias("s"))
-    by_host = votes.filter("host is not null").groupBy("host").agg(F.array(*count).alias("h"))
-    zero = F.array(*[F.lit(0).cast("long")] * n)
-    joined = read.join(by_suffix, "suffix", "left").join(by_host, "host", "left")
-    mine = F.transform(F.array(*map(F.lit, range(1, n + 1))), lambda k: (F.col("voted") & (F.col("guess") == k)).cast("long"))
-
-    def level(counts, name, above):
-        """Counts without the row's own vote, smoothed towards the level above."""
-        others = F.zip_with(F.coalesce(counts, zero), mine, lambda c, m: c - F.when(F.col(name).isNotNull(), m).otherwise(F.lit(0)))
-        total = F.aggregate(others, F.lit(0.0), lambda s, x: s + x)
-        return F.zip_with(others, above, lambda c, p: (c + STRENGTH * p) / (total + STRENGTH))
-
-    prior = level(F.col("h"), "host", level(F.col("s"), "suffix", F.array(*map(F.lit, overall))))
-    names = F.array(*map(F.lit, languages))
-
-    def told(column, right):
-        """Log odds of a declaration; one outside the known languages adds nothing."""
-        wrong = float(np.log((1 - right) / max(1, n - 1)))
-        return F.transform(names, lambda x: F.when(~F.coalesce(F.array_contains(names, column), F.lit(False)), F.lit(0.0)).when(x == column, F.lit(float(np.log(right)))).otherwise(F.lit(wrong)))
-
-    country = F.element_at(F.create_map(*[F.lit(x) for p in SUFFIX_LANGUAGE.items() for x in p]), F.coalesce("suffix", F.lit("")))
-    add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
-    fused = add(add(F.col("like"), F.transform(prior, lambda p: F.log(p))), add(told(F.col("declared"), DECLARED), told(country, COUNTRY)))
-    scored = joined.withColumn("p", posterior(fused))
-    best = F.array_max("p")
-    return scored.select(*own, F.element_at(names, F.array_position("p", best).cast("int")).alias("lang"), F.round(best, 6).alias("posterior"), (F.col("sure") & (best >= ENOUGH)).alias("accepted"))
+    overall = np.array([(whole[f"n{k}"] + 1.0) / (sum(whole) + n) for k in range(n)])
+    by_suffix = votes.filter("suffix is not null").groupBy("suffix").agg(*count).select("suffix", F.array(*[f"n{k}" for k in range(n)]).alias("s"))
+    by_host = votes.filter("host is not null").groupBy("host").agg(*count).select("host", F.array(*[f"n{k}" for k in range(n)]).alias("h"))
+    joined = read.join(by_suffix, "suffix", "left").join(by_host, "host", "left").select(*READ, "s", "h")
+    place_of = {lang: k for k, lang in enumerate(languages)}
+
+    def make():
+        def do(batch: pa.RecordBatch) -> pa.RecordBatch:
+            rows = batch.num_rows
+            column = lambda k: batch.column(k).to_numpy(zero_copy_only=False)
+            known = lambda k: np.asarray(batch.column(k).is_valid())
+            zero = [0] * n
+            counts = lambda k: np.array([x or zero for x in batch.column(k).to_pylist()], np.float64).reshape(rows, n)
+            place = lambda values: np.array([place_of.get(x, -1) for x in values])
+            country = place([SUFFIX_LANGUAGE.get(x) for x in batch.column(2).to_pylist()])
+            p = fused(np.asarray(batch.column(4).flatten()).reshape(rows, n), column(5), column(7), counts(9), counts(8), known(1), known(2), overall, [(place(batch.column(3).to_pylist()), DECLARED), (country, COUNTRY)])
+            best = p.max(axis=1)
+            lang = [languages[k] for k in p.argmax(axis=1)]
+            return pa.record_batch([batch.column(0), pa.array(lang), pa.array(np.round(best, 6)), pa.array(column(6) & (best >= ENOUGH))], ["own", "lang", "posterior", "accepted"])
+
+        return do
+
+    kind = read.select("own").dtypes[0][1]
+    out = map_slices(joined, make, f"own {kind}, lang string, posterior double, accepted boolean")
+    return out.select(*[F.col("own")[c].alias(c) for c in own], "lang", "posterior", "accepted")
 
 
 def document_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:

@@ -9,7 +9,7 @@ counts combine before each shuffle, so a passage in a third of the corpus is no
 
 Defined results: null or short text loses nothing; copies of a long enough document lose everything, the first one too;
 repeats inside one document count; an empty table gives an empty table; further columns are ignored; rows that
-share a doc_id are separate texts, told apart by a tag of their text.
+share a doc_id, or have none, are separate texts. A text needs about 40 bytes of memory a byte while its task reads it.
 """
 
 from __future__ import annotations
@@ -21,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import map_slices, texts, utf8
+from .arrow import map_slices, row_key, texts, utf8
 from .hashing import Substrings, U, sliding_min
 from .stash import drop, stash
 
 LENGTH, GRAM, REACH = 200, 16, 144
-ROWS = "doc_id long, tag int, at int, low short, high short, core long, hull long"
+ROWS = "k1 long, k2 long, at int, low short, high short, core long, hull long"
 
 
 def anchors(text: Substrings, length: int, gram: int, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -56,14 +56,14 @@ def rows(docs: DataFrame, length: int, gram: int, reach: int) -> DataFrame:
     def make():
         def do(batch: pa.RecordBatch):
             out = []
-            for doc, tag, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), strict=True):
+            for k1, k2, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), strict=True):
                 if len(raw) < length:
                     continue
                 text = Substrings(raw)
                 at, low, high = anchors(text, length, gram, reach)
                 zero = np.zeros_like(at)
                 core, hull = names(text, at, low, high, zero, zero + reach - 1, length)
-                out.append((np.full(len(at), doc, np.int64), np.full(len(at), tag, np.int32), at, low, high, core, hull))
+                out.append((np.full(len(at), k1, np.int64), np.full(len(at), k2, np.int64), at, low, high, core, hull))
             return as_batch(out)
 
         return do
@@ -73,12 +73,12 @@ def rows(docs: DataFrame, length: int, gram: int, reach: int) -> DataFrame:
 
 def finer(docs: DataFrame, open_rows: DataFrame, step: int, length: int) -> DataFrame:
     """The windows of the open rows again, in runs of ``step``, on a grid counted from the anchor."""
-    todo = open_rows.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("at", "low", "high")).alias("todo"))
+    todo = open_rows.groupBy("k1", "k2").agg(F.collect_set(F.struct("at", "low", "high")).alias("todo"))
 
     def make():
         def do(batch: pa.RecordBatch):
             out = []
-            for doc, tag, raw, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), batch.column(3), strict=True):
+            for k1, k2, raw, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), batch.column(3), strict=True):
                 items = part.values
                 at, low, high = (np.asarray(items.field(k)).astype(np.int64) for k in range(3))
                 text = Substrings(raw)
@@ -88,33 +88,33 @@ def finer(docs: DataFrame, open_rows: DataFrame, step: int, length: int) -> Data
                 at, least, most = at[row], cell * step, cell * step + step - 1
                 low, high = np.maximum(low[row], least), np.minimum(high[row], most)
                 core, hull = names(text, at, low, high, least, most, length)
-                out.append((np.full(len(at), doc, np.int64), np.full(len(at), tag, np.int32), at, low, high, core, hull))
+                out.append((np.full(len(at), k1, np.int64), np.full(len(at), k2, np.int64), at, low, high, core, hull))
             return as_batch(out)
 
         return do
 
-    return map_slices(docs.join(todo, ["doc_id", "tag"]).select("doc_id", "tag", "text", "todo"), make, ROWS)
+    return map_slices(docs.join(todo, ["k1", "k2"]).select("k1", "k2", "text", "todo"), make, ROWS)
 
 
 def as_batch(parts: list[tuple]) -> pa.RecordBatch | None:
     if not parts:
         return None
-    types = (np.int64, np.int32, np.int32, np.int16, np.int16, np.uint64, np.uint64)
+    types = (np.int64, np.int64, np.int32, np.int16, np.int16, np.uint64, np.uint64)
     columns = [np.concatenate([p[k] for p in parts]).astype(t) for k, t in enumerate(types)]
-    return pa.record_batch([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in columns], ["doc_id", "tag", "at", "low", "high", "core", "hull"])
+    return pa.record_batch([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in columns], ["k1", "k2", "at", "low", "high", "core", "hull"])
 
 
 def merged(level: DataFrame) -> DataFrame:
     """The rows of blocks found more than once, with ``settled``: all members agree on all that their windows cover."""
     blocks = level.groupBy("core").agg(F.count("*").alias("n"), F.min("hull").alias("a"), F.max("hull").alias("b")).filter("n > 1")
     blocks = stash(blocks)  # so that both sides of the join are dealt anew and Spark can split a core that very many rows share
-    return level.join(blocks.select("core", (F.col("a") == F.col("b")).alias("settled")), "core").select("doc_id", "tag", "at", "low", "high", "settled")
+    return level.join(blocks.select("core", (F.col("a") == F.col("b")).alias("settled")), "core").select("k1", "k2", "at", "low", "high", "settled")
 
 
 def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, reach: int = REACH, steps: tuple[int, ...] = (16, 1)) -> DataFrame:
-    """doc_id, tag, at, low, high: the windows that start ``low`` to ``high`` bytes before ``at`` are found elsewhere too.
+    """k1, k2, at, low, high: the windows that start ``low`` to ``high`` bytes before ``at`` are found elsewhere too.
 
-    ``docs`` has doc_id, tag and text. reach + gram may not exceed length, so that a window alone decides on its anchor.
+    ``docs`` has text and the row's key, k1 and k2. reach + gram may not exceed length, so that a window alone decides on its anchor.
     """
     if reach + gram > length:
         raise ValueError("reach + gram must not exceed length")
@@ -123,7 +123,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, re
         level = stash(level)
         blocks = stash(merged(level))
         drop(level)
-        found.append(blocks.filter("settled").select("doc_id", "tag", "at", "low", "high"))
+        found.append(blocks.filter("settled").select("k1", "k2", "at", "low", "high"))
         if step:
             level = finer(docs, blocks.filter("not settled"), step, length)
     out = found[0]
@@ -144,9 +144,9 @@ def without(raw: bytes, start: np.ndarray, end: np.ndarray) -> tuple[bytes, int,
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", keep: bool = False, **how) -> DataFrame:
     """One row a document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with ``keep`` also the bytes kept."""
-    docs = texts(docs, id_col, text_col).select("doc_id", F.hash("text").alias("tag"), "text")
-    windows = repeated_windows(docs, length, **how)
-    spans = windows.groupBy("doc_id", "tag").agg(F.collect_list(F.struct((F.col("at") - F.col("high")).alias("start"), (F.col("at") - F.col("low") + length).alias("end"))).alias("spans"))
+    docs = texts(docs, id_col, text_col).select(*row_key("doc_id", "text"), "doc_id", "text")
+    windows = repeated_windows(docs.select("k1", "k2", "text"), length, **how)
+    spans = windows.groupBy("k1", "k2").agg(F.collect_set(F.struct((F.col("at") - F.col("high")).alias("start"), (F.col("at") - F.col("low") + length).alias("end"))).alias("spans"))
 
     def make():
         sha = hashlib.sha256
@@ -170,4 +170,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         return do
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep
-    return map_slices(docs.join(spans, ["doc_id", "tag"], "left").select("doc_id", "text", "spans"), make, schema)
+    return map_slices(docs.join(spans, ["k1", "k2"], "left").select("doc_id", "text", "spans"), make, schema)
