@@ -171,10 +171,11 @@ def identify(rows: DataFrame, languages: list[str], table: np.ndarray) -> DataFr
     return out.select(*[F.col("own")[c].alias(c) for c in own], "lang", "posterior", "accepted")
 
 
-def document_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """Documents have no markup or address; their source stands for the host."""
+def document_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", keep: tuple[str, ...] | None = None) -> DataFrame:
+    """Documents have no markup or address; their source stands for the host. Their own columns are doc_id, or those to ``keep``."""
     none = F.lit(None).cast("string")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(host_col).cast("string").alias("host"), none.alias("suffix"), none.alias("declared"), F.col(text_col).cast("string").alias("text"))
+    own = [F.col(id_col).cast("long").alias("doc_id")] if keep is None else list(keep)
+    return docs.select(*own, F.col(host_col).cast("string").alias("host"), none.alias("suffix"), none.alias("declared"), F.col(text_col).cast("string").alias("text"))
 
 
 def page_rows(pages: DataFrame) -> DataFrame:

@@ -1,36 +1,47 @@
 """License scans: TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
-Passages that may state a licence (lines and paragraphs with a telling word) become sparse TF-IDF vectors over words;
-document frequencies are counted over all such passages of the corpus. The template of highest cosine, at least
-THRESHOLD, names the passage's licence, and the best passage its file's. A file that is itself a licence text (its whole
-text reaches the threshold) speaks for its directory. Files without a licence take that of the nearest ancestor
-directory that has one, found by joining every directory's ancestors with the directories that licence files speak for.
+What a file says of its licence is looked for in its passages: sentences and paragraphs with a telling word, long ones as
+overlapping windows of WINDOW words; and in the file as a whole, however long. Passages are bags of words, and equal ones,
+of which a corpus has very many, are one row with a count. Document frequencies of all words are counted over all passages
+and joined to the bags, which makes them sparse TF-IDF vectors; the template of highest cosine, at least THRESHOLD, names
+the passage's licence, and the best passage its file's. Templates are usual header wordings and the full texts in
+``license_texts``. A file whose whole text reaches the threshold is a licence file and speaks for its directory. Files
+without a licence take that of the nearest ancestor directory that has one, found by joining every directory's ancestors
+with the directories that licence files speak for.
 
 Defined results: null or empty texts state nothing and may inherit; ties go to the higher score, then to the licence
-first in order; a path without a slash lies in the root directory ""; null paths inherit nothing; repeated rows give
-repeated results; an empty table gives an empty table; further columns are ignored.
+first in order; a path without a slash lies in the root directory ""; null paths inherit nothing; rows are known by what
+is in them, so shared or missing ids keep them apart and repeated rows give repeated results; texts of any length are read
+whole; an empty table gives an empty table; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
+from functools import lru_cache
+from importlib import resources
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import map_slices
+from .arrow import map_slices, row_key
 from .stash import stash
 
 THRESHOLD = 0.6
+WINDOW = 64  # words of a window of a long passage; windows overlap by half
+SALT = 16  # tasks that the files of one directory are dealt to
 WORD = re.compile(r"[a-z0-9][a-z0-9.+-]*[a-z0-9+]|[a-z0-9]")
-TELLING = ("licen", "copyright", "spdx", "warrant", "redistribut", "public domain", "permission is hereby")
-LONGEST = 2000  # words of the longest passage that is compared; a longer paragraph is compared line by line
+SENTENCE = re.compile(r"(?<=[.!?;])\s+|\n")
+PARAGRAPH = re.compile(r"\n[\s#*/;-]*\n")
+TELLING = re.compile("licen|copyright|spdx|warrant|redistribut|public domain|permission is hereby")
 
 # Usual wordings of common licences.
-TEMPLATES = {
+HEADERS = {
     "AGPL-3.0": ["SPDX-License-Identifier: AGPL-3.0", "licensed under the GNU Affero General Public License version 3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."],
     "Apache-2.0": ["SPDX-License-Identifier: Apache-2.0", "Licensed under the Apache License, Version 2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0', 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.'],
     "BSD-3-Clause": ["SPDX-License-Identifier: BSD-3-Clause", "Use of this source code is governed by a BSD-style license", "Released under the 3-clause BSD License", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
@@ -41,99 +52,137 @@ TEMPLATES = {
     "GPL-2.0": ["SPDX-License-Identifier: GPL-2.0", "This work is licensed under the GNU General Public License, version 2", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License"],
     "GPL-3.0": ["SPDX-License-Identifier: GPL-3.0", "This work is licensed under the GNU General Public License, version 3", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"],
     "ISC": ["SPDX-License-Identifier: ISC", "Released under the ISC License", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
+    "LGPL-2.1": ["SPDX-License-Identifier: LGPL-2.1", "licensed under the GNU Lesser General Public License, version 2.1"],
     "LGPL-3.0": ["SPDX-License-Identifier: LGPL-3.0", "licensed under the GNU Lesser General Public License, version 3"],
     "MIT": ["SPDX-License-Identifier: MIT", "Released under the MIT License", "Licensed under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"],
     "MPL-2.0": ["SPDX-License-Identifier: MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
 }
-VOCABULARY = frozenset(w for texts in TEMPLATES.values() for t in texts for w in WORD.findall(t.lower()))
 
 
-def passages(text: str) -> list[str]:
-    """Lower-cased lines and paragraphs with a telling word."""
-    low = text.lower()
-    if not any(t in low for t in TELLING):
-        return []
+@lru_cache(maxsize=1)
+def templates() -> list[tuple[str, Counter]]:
+    """(licence, bag of words) of every header wording and full text, in order."""
+    texts = [(name, t) for name, wordings in HEADERS.items() for t in wordings]
+    for f in resources.files(__package__).joinpath("license_texts").iterdir():
+        if f.name.endswith(".txt"):
+            texts.append((f.name[: -len(".txt")], f.read_text(encoding="utf-8")))
+    return [(name, bag(t.lower())) for name, t in sorted(texts)]
+
+
+def bag(low: str) -> Counter:
+    return Counter(WORD.findall(low))
+
+
+def passages(low: str) -> list[Counter]:
+    """The bags of a lower-cased text's sentences and paragraphs with a telling word."""
     out = []
-    for paragraph in re.split(r"\n\s*\n", low):
-        if any(t in paragraph for t in TELLING):
-            out += [line for line in paragraph.split("\n") if any(t in line for t in TELLING)]
-            if "\n" in paragraph and paragraph.count(" ") < LONGEST:
-                out.append(paragraph)
-    return list(dict.fromkeys(out))
+    for paragraph in PARAGRAPH.split(low):
+        if TELLING.search(paragraph):
+            for part in {paragraph, *SENTENCE.split(paragraph)}:
+                if TELLING.search(part):
+                    words = WORD.findall(part)
+                    last = max(0, -(-2 * (len(words) - WINDOW) // WINDOW))
+                    for k in range(last + 1):
+                        window = words[k * WINDOW // 2 : k * WINDOW // 2 + WINDOW]
+                        if not last or TELLING.search(" ".join(window)):
+                            out.append(Counter(window))
+    return out
+
+
+def name_of(words: list[str], counts: list[int], whole: bool) -> tuple[int, int]:
+    """128 bits that tell a bag."""
+    digest = hashlib.blake2b("\n".join(f"{w} {c}" for w, c in zip(words, counts, strict=True)).encode() + bytes([whole]), digest_size=16).digest()
+    return tuple(np.frombuffer(digest, "<i8").tolist())
+
+
+BAGS = "array<struct<p1:long,p2:long,whole:boolean,words:array<string>,counts:array<int>>>"
 
 
-def frequencies(files: DataFrame) -> tuple[int, dict[str, int]]:
-    """The number of passages in the corpus, and in how many each word of the templates stands (as many rows as the templates have words)."""
+def read(files: DataFrame) -> DataFrame:
+    """k1, k2, doc_id, path and the bags of each file: of its passages, and of the whole."""
+    kind = pa.list_(pa.struct([("p1", pa.int64()), ("p2", pa.int64()), ("whole", pa.bool_()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int32()))]))
 
     def make():
-        def do(batch: pa.RecordBatch):
-            n, seen = 0, Counter()
-            for text in batch.column(0).to_pylist():
-                for p in passages(text or ""):
-                    n += 1
-                    seen.update({*WORD.findall(p)} & VOCABULARY)
-            seen[""] = n
-            return pa.record_batch([pa.array(list(seen)), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+        def do(batch: pa.RecordBatch) -> pa.RecordBatch:
+            rows = []
+            for text in batch.column(4).to_pylist():
+                low = (text or "").lower()
+                found = {}
+                if TELLING.search(low):
+                    for b, whole in [*((b, False) for b in passages(low)), (bag(low), True)]:
+                        words = sorted(b)
+                        counts = [b[w] for w in words]
+                        p1, p2 = name_of(words, counts, whole)
+                        found[p1, p2] = {"p1": p1, "p2": p2, "whole": whole, "words": words, "counts": counts}
+                rows.append(list(found.values()))
+            return pa.record_batch([*batch.columns[:4], pa.array(rows, kind)], ["k1", "k2", "doc_id", "path", "bags"])
 
         return do
 
-    rows = map_slices(files.select("text"), make, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    found = {r["word"]: r["n"] for r in rows}
-    return found.pop("", 0), found
+    return map_slices(files.select(*row_key("doc_id", "path", "text"), "doc_id", "path", "text"), make, f"k1 long, k2 long, doc_id long, path string, bags {BAGS}")
 
 
 class Templates:
-    """Unit TF-IDF vectors of the templates; words of no template count as the rarest."""
-
-    def __init__(self, n: int, df: dict[str, int]):
-        self.n, self.df = n, df
-        self.vectors = [(name, self.vector(t.lower())) for name, texts in sorted(TEMPLATES.items()) for t in texts]
-        self.postings: dict[str, list[tuple[int, float]]] = {}
-        for k, (_, v) in enumerate(self.vectors):
-            for w, x in v.items():
-                self.postings.setdefault(w, []).append((k, x))
-
-    def vector(self, passage: str) -> dict[str, float]:
-        tf = Counter(WORD.findall(passage))
-        # Words common to many licences weigh little in the corpus' own passages; one more count keeps every weight above 0.
-        raw = {w: (1 + math.log(c)) * (math.log((1 + self.n) / (1 + self.df.get(w, 0))) + 1) for w, c in tf.items()}
-        length = math.sqrt(sum(x * x for x in raw.values())) or 1.0
-        return {w: x / length for w, x in raw.items()}
-
-    def best(self, passage: str) -> tuple[float, str]:
-        """The highest cosine (rounded) and its licence; ties go to the first in order."""
+    """Unit TF-IDF vectors of the templates."""
+
+    def __init__(self, idf: dict[str, float]):
+        self.names, self.postings = [], {}
+        for k, (name, words) in enumerate(templates()):
+            raw = {w: (1 + math.log(c)) * idf[w] for w, c in words.items()}
+            length = math.sqrt(sum(x * x for x in raw.values())) or 1.0
+            self.names.append(name)
+            for w, x in raw.items():
+                self.postings.setdefault(w, []).append((k, x / length))
+
+    def best(self, weights: dict[str, float]) -> tuple[float, str]:
+        """The highest cosine (rounded) of a passage's weights, and its licence; ties go to the first in order."""
         scores: dict[int, float] = {}
-        for w, x in self.vector(passage).items():
+        for w, x in weights.items():
             for k, y in self.postings.get(w, ()):
                 scores[k] = scores.get(k, 0.0) + x * y
+        length = math.sqrt(sum(x * x for x in weights.values()))
         if not scores:
             return 0.0, ""
-        return min((-round(s, 6), self.vectors[k][0]) for k, s in scores.items())
-
-
-def statements(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``files`` has doc_id, path, text. Adds license and score of the best passage (null below the threshold), and
-    whether the whole file is a licence text; text goes."""
-    sent = files.sparkSession.sparkContext.broadcast(frequencies(files))
+        least, name = min((-round(s / length, 6), self.names[k]) for k, s in scores.items())
+        return -least, name
+
+
+def scored(bags: DataFrame, threshold: float) -> DataFrame:
+    """p1, p2, license, score: the bags (p1, p2, n, words, counts) that reach the threshold; n says how often a bag occurs."""
+    total = bags.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]  # one number
+    words = bags.select("p1", "p2", "n", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("p1", "p2", "n", F.col("w.words").alias("word"), F.col("w.counts").alias("c"))
+    df = stash(words.groupBy("word").agg(F.sum("n").alias("df")))
+    idf = lambda c: F.log((1 + F.lit(float(total))) / (1 + c)) + 1
+    vocabulary = sorted({w for _, b in templates() for w in b})
+    asked = df.sparkSession.createDataFrame([(w,) for w in vocabulary], "word string").join(df, "word", "left")
+    known = {r["word"]: r["idf"] for r in asked.select("word", idf(F.coalesce("df", F.lit(0))).alias("idf")).collect()}  # as many rows as the templates have words
+    sent = df.sparkSession.sparkContext.broadcast(known)
+    vectors = words.join(df, "word").groupBy("p1", "p2").agg(F.collect_list(F.struct("word", ((1 + F.log("c")) * idf(F.col("df"))).alias("x"))).alias("v"))
 
     def make():
-        known = Templates(*sent.value)
+        against = Templates(sent.value)
 
         def do(batch: pa.RecordBatch) -> pa.RecordBatch:
-            license_, score, whole = [], [], []
-            for text in batch.column(2).to_pylist():
-                found = passages(text or "")
-                top = min((known.best(p) for p in found), default=(0.0, ""))
-                ok = -top[0] >= threshold
-                license_.append(top[1] if ok else None)
-                score.append(-top[0] if ok else None)
-                entire = bool(found) and text.count(" ") < LONGEST and -known.best(text.lower())[0] >= threshold
-                whole.append(entire)
-            return pa.record_batch([*batch.columns[:2], pa.array(license_, pa.string()), pa.array(score, pa.float64()), pa.array(whole, pa.bool_())], ["doc_id", "path", "license", "score", "is_license_file"])
+            top = [against.best({e["word"]: e["x"] for e in sorted(v, key=lambda e: e["word"])}) for v in batch.column(2).to_pylist()]
+            keep = pa.array([s >= threshold for s, _ in top], pa.bool_())
+            return pa.record_batch([*batch.columns[:2], pa.array([n for _, n in top], pa.string()), pa.array([s for s, _ in top], pa.float64())], ["p1", "p2", "license", "score"]).filter(keep)
 
         return do
 
-    return map_slices(files.select("doc_id", "path", "text"), make, "doc_id long, path string, license string, score double, is_license_file boolean")
+    return map_slices(vectors, make, "p1 long, p2 long, license string, score double")
+
+
+def statements(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``files`` has doc_id, path, text. Gives k1, k2, doc_id, path, license and score of the best passage (null below
+    the threshold), and whether the whole file is a licence text."""
+    rows = stash(read(files))
+    each = rows.select("k1", "k2", F.explode("bags").alias("b")).select("k1", "k2", "b.*")
+    bags = stash(each.groupBy("p1", "p2").agg(F.count("*").alias("n"), F.first("words").alias("words"), F.first("counts").alias("counts")))
+    told = stash(scored(bags, threshold))
+    place = F.struct((-F.col("score")).alias("s"), "license")
+    best = each.select("k1", "k2", "p1", "p2", "whole").join(told, ["p1", "p2"]).groupBy("k1", "k2").agg(F.min(place).alias("best"), F.max("whole").alias("is_license_file"))
+    joined = rows.select("k1", "k2", "doc_id", "path").join(best, ["k1", "k2"], "left")
+    return joined.select("k1", "k2", "doc_id", "path", F.col("best.license").alias("license"), (-F.col("best.s")).alias("score"), F.coalesce("is_license_file", F.lit(False)).alias("is_license_file"))
 
 
 def inherited(stated: DataFrame) -> DataFrame:
@@ -145,7 +194,9 @@ def inherited(stated: DataFrame) -> DataFrame:
     steps = F.split("dir", "/")
     chain = dirs.select("dir", F.posexplode(F.transform(F.sequence(F.lit(0), F.size(steps)), lambda i: F.array_join(F.slice(steps, 1, i), "/"))).alias("depth", "ancestor"))
     nearest = chain.join(speaks, "ancestor").groupBy("dir").agg(F.max_by(F.struct("from_license", "from_score", F.col("ancestor").alias("from_dir")), "depth").alias("near"))
-    joined = stated.join(nearest, "dir", "left")
+    # A directory may hold very many files: they are dealt by directory and salt.
+    salted = nearest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))).withColumn("salt", F.col("salt").cast("long"))
+    joined = stated.withColumn("salt", F.pmod("k1", F.lit(SALT))).join(salted, ["dir", "salt"], "left")
     may = F.col("license").isNull() & F.col("path").isNotNull()
     return joined.select(
         "doc_id", "path", F.when(may, F.col("near.from_license")).otherwise(F.col("license")).alias("license"), F.when(may, F.col("near.from_score")).otherwise(F.col("score")).alias("score"),
