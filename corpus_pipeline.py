@@ -2,10 +2,16 @@
 
 1. language_id: documents whose language can't be told (no letters to speak of, or no language with most of the
    posterior) go.
-2. near_duplicates: of each component of near duplicates the document of least id stays.
+2. near_duplicates: of each component of near duplicates the document of least doc_id stays.
 3. decontaminate: documents that hold a passage of a benchmark item go.
 4. pii: personal data give way to the name of their kind; n_chars follows.
-5. byte_bpe: token ids (little-endian unsigned 32-bit integers) and their number join the columns.
+5. byte_bpe: token ids (little-endian unsigned 32-bit integers), their number and whether they decode to the text again
+   join the columns.
+
+Defined results: stages know a row by what is in it, so that rows that share a doc_id, or have none, are documents of
+their own; rows equal in doc_id and text are one document, of which near_duplicates keeps one; a row without doc_id
+comes after those that have one. Null and empty texts have no language and go with the first stage. Columns other than
+those of ``documents`` are left out. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -16,22 +22,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urlintel.llm import bpe, decontaminate, langid, pii, shingle_join
-from urlintel.llm.arrow import table
-from urlintel.llm.stash import folder
+from urlintel.llm.arrow import row_key, table
+from urlintel.llm.stash import folder, stash
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def without(docs: DataFrame, gone: DataFrame, *key: str) -> DataFrame:
+    """The rows whose key isn't among those that go: keys are written first, so that Spark knows how few they are."""
+    return docs.join(stash(gone.select(*key).distinct()), list(key), "left_anti")
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = langid.identify(langid.document_rows(docs), *langid.fit(docs))
-    kept = found.filter("accepted").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi")
+    keyed = docs.select(*COLUMNS).withColumns(dict(zip(("k1", "k2"), row_key("doc_id", "source", "text"), strict=True)))
+    found = langid.identify(langid.document_rows(keyed, keep=("k1", "k2")), *langid.fit(docs))
+    return without(keyed, found.filter("not accepted"), "k1", "k2").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = shingle_join.near_duplicates(docs)
-    kept = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    keyed = docs.select(*COLUMNS).withColumn("k", F.xxhash64("doc_id", "text"))
+    found = shingle_join.near_duplicates(keyed, id_col="k").select(F.col("doc_id").alias("k"), F.col("component_id").alias("component")).distinct()
+    ids = keyed.select("k", "doc_id").distinct()
+    ranked = stash(found.join(ids, "k").select("k", "component", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k").alias("place")))
+    first = ranked.groupBy("component").agg(F.min("place").alias("first"))
+    gone = ranked.join(first, "component").filter(F.col("k") != F.col("first.k"))
+    return without(keyed, gone, "k").dropDuplicates(["k"]).select(*COLUMNS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
