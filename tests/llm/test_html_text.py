@@ -1,5 +1,6 @@
 import itertools
 import random
+from html.parser import HTMLParser
 
 from urlintel.llm import html_text as h
 
@@ -59,3 +60,54 @@ def test_words_of_boilerplate_are_outweighed_by_text():
         assert h.main_text(f'<article class="{name}">{body}<div class="newsletter">Get our letter.</div></article>') == "\n\n".join(text), name
     for name in ("comments", "sidebar", "cookie-notice", "related"):
         assert h.main_text(f'<article>{body}</article><div class="{name}"><p>See what others say of it.</p></div>') == "\n\n".join(text), name
+
+
+def test_unclosed_elements_references_and_words_in_classes():
+    for tag in ("svg", "object data=x", "canvas", "noscript", "math", "video"):
+        assert h.main_text(f"<article><p>One is here.</p><{tag}><p>Two is after it.</p></article>") == "One is here.\n\nTwo is after it.", tag
+    for tag in ("script", "style", "textarea"):
+        assert h.main_text(f"<article><p>One is here.</p><{tag}><p>var x;</p></article>") == "One is here.", tag
+    assert h.main_text("<article><p>x &<b>amp;</b> y &amp;lt; &#8212; &nbsp;z</p></article>") == "x &amp; y &lt; \u2014 z"
+    assert h.main_text('<article><p class="form">Poem of lines.</p><p>More of it.</p></article>') == "Poem of lines.\n\nMore of it."
+    assert h.main_text('<div class="layout with-sidebar"><article><h1>Title</h1><p>Some text.</p></article></div>') == "Title\n\nSome text."
+    assert h.main_text('<article><p>Before <span class="share">S</span> after it.</p><p>Next paragraph here.</p></article>') == "Before after it.\n\nNext paragraph here."
+
+
+class Article(HTMLParser):
+    """The blocks of the article element, by the standard library's tokenizer: the given pages have no boilerplate within it."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.blocks = False, [""]
+
+    def handle_starttag(self, tag, attrs):
+        self.inside = self.inside or tag == "article"
+        if tag == "br":
+            self.blocks[-1] += " "
+        elif tag not in ("b", "i", "a"):
+            self.blocks.append("")
+
+    def handle_endtag(self, tag):
+        if tag == "article":
+            self.inside = False
+        if tag not in ("b", "i", "a"):
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        if self.inside:
+            self.blocks[-1] += data
+
+
+def test_precision_and_recall_on_given_pages(spark):
+    from collections import Counter
+
+    hit = found = wanted = same = n = 0
+    for row in h.extract(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")).join(spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "html"), "page_id").collect():
+        reader = Article()
+        reader.feed(row["html"] or "")
+        blocks = [" ".join(b.split()) for b in reader.blocks]
+        want = "\n\n".join(b for b in blocks if b)
+        a, b = Counter(row["text"].split()), Counter(want.split())
+        hit, found, wanted = hit + (a & b).total(), found + a.total(), wanted + b.total()
+        same, n = same + (want == row["text"]), n + 1
+    assert n > 200 and hit >= 0.995 * found and hit >= 0.995 * wanted and same >= 0.98 * n, (hit / found, hit / wanted, same / n)

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -39,6 +40,10 @@ def test_long_runs_end():
         pii.added_spans(text, pii.base_spans(text), {"O 0": 1.0})
 
 
+def learnt(texts):
+    return pii.train([e for t in texts for e in pii.examples(t)])
+
+
 def prose(r, n):
     return " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 8))) for _ in range(n))
 
@@ -54,7 +59,7 @@ def private(r):
 def test_field_finds_held_out_credentials_and_leaves_clean_text():
     r = random.Random(3)
     make = lambda: [(k, f"{prose(r, 9)} {p} {prose(r, 5)}.", s) for k, p, s in (private(r) for _ in range(400))]
-    weights = pii.train([t for _, t, _ in make()])
+    weights = learnt([t for _, t, _ in make()])
     hit = wrong = total = 0
     for kind, text, secret in make():
         base = pii.base_spans(text)
@@ -89,11 +94,63 @@ def test_credentials_without_a_digit():
     word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(12, 24)))
     make = lambda: [(i % 2, w := word(), f'{prose(r, 6)} password = "{w}" {prose(r, 4)}.' if i % 2 else f"{prose(r, 6)} the key: {prose(r, 5)}.") for i in range(200)]
     odd = 'x password = "correcthorse,battery!" y'
-    assert pii.labelled(odd, pii.stretches(odd)[0]) is not None
-    weights = pii.train([t for _, _, t in make()])
+    assert pii.labelled(odd, pii.stretches(odd)[0], pii.labels(odd)) is not None
+    weights = learnt([t for _, _, t in make()])
     hit = wrong = 0
     for secret, w, text in make():
         got = [text[a:b] for a, b, _ in pii.added_spans(text, pii.base_spans(text), weights)]
         hit += bool(secret) and got == [w]
         wrong += not secret and bool(got)
     assert hit >= 90 and wrong <= 2
+
+
+def segmentations(arcs, i=0, last=pii.START):
+    """All paths through the segments: (segments, features), one by one."""
+    if i == len(arcs):
+        yield [], []
+        return
+    for _, j, label, features, span in arcs[i]:
+        for rest, more in segmentations(arcs, j, label):
+            yield [(i, j, span), *rest], [f"{last}>{label}", *features, *more]
+
+
+def test_dynamic_programmes_against_enumeration():
+    r = random.Random(6)
+    bits = ["12", "a@b.co", "token", "=", '"abcdefgh1"', "+1 (555) 123-4567", "x", "4111 1111", "10.0.0.1"]
+    for _ in range(25):
+        text = " ".join(r.choice(bits) for _ in range(r.randint(1, 5)))
+        for tokens in pii.stretches(text):
+            arcs = pii.arcs_of(text, tokens[:5])
+            every = list(segmentations(arcs))
+            weights = {f: r.gauss(0, 1) for _, fs in every for f in fs}
+            values = [sum(weights[f] for f in fs) for _, fs in every]
+            path = pii.decode(text, tokens[:5], weights)
+            value = max(v for v, (p, _) in zip(values, every) if p == path)
+            assert abs(value - max(values)) < 1e-9
+            total, counts = pii.expected(arcs, weights)
+            top = max(values)
+            assert abs(total - top - math.log(sum(math.exp(v - top) for v in values))) < 1e-6
+            want = {}
+            for v, (_, fs) in zip(values, every):
+                for f in fs:
+                    want[f] = want.get(f, 0.0) + math.exp(v - total)
+            assert all(abs(want[f] - counts[f]) < 1e-6 for f in want)
+            span = {s for p, _ in every for *_, s in p if s}
+            for s in list(span)[:3]:  # a margin that no span beats
+                assert all(x is None for *_, x in pii.decode(text, tokens[:5], weights, 1e6)), s
+
+
+def test_recall_on_given_documents(spark):
+    """Credentials in documents that the field wasn't fitted on; what else it adds stays rare."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    weights = pii.learn(docs.filter("doc_id % 2 = 0"), 600)
+    fitted = {r["text"] for r in docs.filter("doc_id % 2 = 0").collect()}
+    hit = total = wrong = 0
+    for row in docs.filter("doc_id % 2 = 1").collect():
+        text = row["text"] or ""
+        if text in fitted:
+            continue
+        want = {m.span(1) for m in pii.CREDENTIAL.finditer(text)}
+        got = {s[:2] for s in pii.added_spans(text, pii.base_spans(text), weights)}
+        total, hit, wrong = total + len(want), hit + len(want & got), wrong + len(got - want)
+    assert total >= 25 and hit >= 0.9 * total and wrong <= 0.2 * total + 2, (hit, total, wrong)

@@ -7,7 +7,9 @@ A telling word in a class, id, role or label is a cost for what stands inside, w
 outweigh; only elements that are boilerplate by their name, and hidden ones, are settled. An inline element with such a
 word is a block of its own up to its end tag; what is kept of a line of text is joined again.
 
-Defined results: null or empty html gives an empty text; a page cut off anywhere is read as far as it goes; white space
+Defined results: null or empty html gives an empty text; a page cut off anywhere is read as far as it goes; an element that
+holds no text of the page (svg, object, ...) and isn't closed loses its tag only, but a script, style, title, textarea or
+iframe takes the rest of the page; character references are decoded within a run of text, not across tags; white space
 is whatever ``str.split`` splits at, no-break space included; ``<br>`` is white space; any length of page is read whole;
 repeated rows give repeated results; an empty table gives an empty table; further columns are ignored.
 """
@@ -31,10 +33,11 @@ WORD = re.compile(r"[a-z]+")
 # Elements by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template svg math iframe object textarea title head canvas audio video".split())
+TEXT_ONLY = frozenset("script style title textarea iframe".split())  # unclosed, they take the rest of the page
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 BOILER_TAGS = frozenset("nav footer aside form menu dialog button select fieldset".split())
 CONTENT_TAGS = frozenset("article main".split())
-BOILER_WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion promotions banner cookie cookies notice notices consent gdpr alert alerts popup modal overlay nav navbar navigation menu menus breadcrumb breadcrumbs sidebar rail footer masthead topbar comment comments discussion disqus replies reply respond share sharing social related recommended recommendations newsletter subscribe subscription widget widgets toolbar pagination pager login signup register search copyright legal disclaimer complementary contentinfo form".split())
+BOILER_WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion promotions banner cookie cookies notice notices consent gdpr alert alerts popup modal overlay nav navbar navigation menu menus breadcrumb breadcrumbs sidebar rail footer masthead topbar comment comments discussion disqus replies reply respond share sharing social related recommended recommendations newsletter subscribe subscription widget widgets toolbar pagination pager login signup register search copyright legal disclaimer complementary contentinfo".split())
 CONTENT_WORDS = frozenset("article content main post entry story body text articlebody mainentity".split())
 CLOSES = {"li": {"li"}, "p": {"p"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 
@@ -115,6 +118,8 @@ def blocks_of(page: str) -> tuple[list[Block], list[list[tuple[Block, str]]]]:
         stop = token.start() if token else end
         if stop > at:
             piece = page[at:stop]
+            if "&" in piece:
+                piece = html.unescape(piece)
             if now is None and piece.isspace():
                 gap = True
             elif now is None:
@@ -191,7 +196,7 @@ def blocks_of(page: str) -> tuple[list[Block], list[list[tuple[Block, str]]]]:
             shut = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
             if shut:
                 at = shut.end()
-            elif tag != "head":
+            elif tag in TEXT_ONLY:
                 at = end
             continue
         if tag in VOID or attributes.endswith("/"):
@@ -209,7 +214,7 @@ def blocks_of(page: str) -> tuple[list[Block], list[list[tuple[Block, str]]]]:
 
 
 def tidy(parts: list[str]) -> str:
-    return " ".join(html.unescape("".join(parts)).split())
+    return " ".join("".join(parts).split())
 
 
 def score(block: Block, text: str) -> float:

@@ -1,10 +1,12 @@
 """Personal data in texts: fixed patterns, and a semi-Markov conditional random field that adds spans.
 
-The field scores whole candidate spans: their shape, digits, checksums and the words before them. Around every token
-that could belong to an entity (it has a digit or an at sign, or follows a key word and a sign) a stretch of text is decoded by dynamic programming over segments of at most
-MAX_TOKENS tokens, which chooses boundaries and types together. Its weights are learnt here, by averaged structured
-perceptron updates on the stretches of at most SAMPLE documents, with the patterns' matches and quoted credentials after a key word as
-labels. A span that the field finds is added where it meets none of the patterns' spans.
+The field scores whole candidate spans: their shape, digits, checksums and the words before them, and the kinds of
+neighbouring segments. Around every token that could belong to an entity (it has a digit or an at sign, or follows a key
+word and a sign) a stretch of text is decoded by dynamic programming over segments of at most MAX_TOKENS tokens, which
+chooses boundaries and types together. Its weights are learnt here, by gradient steps on the conditional likelihood of at
+most SAMPLE stretches of at most TRAINED tokens, dealt evenly over the kinds of their labels and taken by a hash from all
+places of all documents; labels are the patterns' matches and quoted credentials after a key word. Only these stretches go
+to the driver. A span that the field finds is added where it meets none of the patterns' spans.
 
 Defined results: null counts as empty; any length of text is read whole, and so is any length of stretch; repeated rows
 give repeated results; an empty table gives an empty table; further columns are ignored.
@@ -13,18 +15,22 @@ give repeated results; an empty table gives an empty table; further columns are
 from __future__ import annotations
 
 import hashlib
+import json
+import math
 import re
 from collections import defaultdict
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrow import bounded_sample, map_slices, texts
+from .arrow import map_slices, texts
 
 KINDS = ("email", "ip", "card", "phone", "secret")
-MAX_TOKENS, SAMPLE, ROUNDS = 5, 1000, 4
-BEATS = 1.5  # the margin of labelled spans in training: what added_spans asks for and a half
+OUTSIDE, START = "O", "^"
+MAX_TOKENS = 5
+SAMPLE, TRAINED, ROUNDS = 1500, 40, 6  # stretches and tokens of a stretch in training, and passes over them
+RATE, DECAY = 0.5, 1e-3  # of the gradient steps
 
 # Fixed patterns. The guards and possessive quantifiers change no match, only the time on long runs.
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -33,7 +39,7 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile("[0-9]")
-CREDENTIAL = re.compile(r"\b(?:token|key|secret|password|passwd|pwd)\s*[=:]\s*[\"']([^\"'\s]{8,})[\"']", re.I)
+CREDENTIAL = re.compile(r"\b(?:token|key|secret|password|passwd|pwd|passphrase|credential)\s*[=:]\s*[\"']([^\"'\s]{8,})[\"']", re.I)
 
 Span = tuple[int, int, str]  # start, end, kind
 
@@ -87,8 +93,8 @@ def order(span: Span) -> tuple[int, int, int]:
 TOKEN = re.compile(r"[^\s|\"'<>,;]+")
 MARK = re.compile(r"[0-9@]")
 BREAK = re.compile(r"[\s\"']")
-KEYWORD = re.compile(r"(?:token|key|secret|password|passwd|pwd)$", re.I)
-TELLING = r"""[0-9@]|(?i:token|key|secret|password|passwd|pwd)[\s|"'<>,;]*[=:]"""  # texts with a stretch; Spark reads it too
+KEYWORD = re.compile(r"(?:token|key|secret|password|passwd|pwd|passphrase|credential)$", re.I)
+TELLING = r"""[0-9@]|(?i:token|key|secret|password|passwd|pwd|passphrase|credential)[\s|"'<>,;]*[=:]"""  # texts with a stretch; Spark reads it too
 SOME = re.compile(TELLING)
 
 
@@ -189,46 +195,105 @@ def candidates(text: str, tokens: list[tuple[int, int]], i: int):
                 yield j, start, end
 
 
-def decode(text: str, tokens: list[tuple[int, int]], weights: dict[str, float], margin: float = 0.0, right: frozenset[Span] = frozenset()) -> list[tuple[int, int, Span | None]]:
-    """The best segmentation: (from token, to token, span or None), by dynamic programming over segments. A span must beat "none" by ``margin``, in training the ``right`` ones by BEATS."""
-    n = len(tokens)
-    best, back = [0.0] + [-1e18] * n, [None] * (n + 1)
-    for i in range(n):
-        here = best[i]
-        value = here + sum(weights.get(f, 0.0) for f in outside_features(text[tokens[i][0] : tokens[i][1]]))
-        if value > best[i + 1]:
-            best[i + 1], back[i + 1] = value, (i, None)
+Arc = tuple[int, int, str, list[str], "Span | None"]  # from token, to token, label, features, span
+
+
+def arcs_of(text: str, tokens: list[tuple[int, int]]) -> list[list[Arc]]:
+    """By their first token, all segments that the tokens allow: each token by itself as nothing, and each candidate as every kind."""
+    out: list[list[Arc]] = []
+    for i, (low, high) in enumerate(tokens):
+        here: list[Arc] = [(i, i + 1, OUTSIDE, outside_features(text[low:high]), None)]
+        left = None
         for j, start, end in candidates(text, tokens, i):
-            features = span_features(text, start, end, keyword(text, tokens, i), j - i)
-            for kind in KINDS:
-                value = here - (BEATS if (start, end, kind) in right else margin) + sum(weights.get(f"{kind} {f}", 0.0) for f in features)
-                if value > best[j]:
-                    best[j], back[j] = value, (i, (start, end, kind))
+            left = keyword(text, tokens, i) if left is None else left
+            features = span_features(text, start, end, left, j - i)
+            here += [(i, j, kind, [f"{kind} {f}" for f in features], (start, end, kind)) for kind in KINDS]
+        out.append(here)
+    return out
+
+
+def weigh(weights: dict[str, float], features: list[str]) -> float:
+    return sum(weights.get(f, 0.0) for f in features)
+
+
+def decode(text: str, tokens: list[tuple[int, int]], weights: dict[str, float], margin: float = 0.0) -> list[tuple[int, int, Span | None]]:
+    """The best segmentation: (from token, to token, span or None), by dynamic programming over segments and the kind before. A span must beat "none" by ``margin``."""
+    n = len(tokens)
+    best: list[dict[str, tuple[float, tuple | None]]] = [{} for _ in range(n + 1)]
+    best[0][START] = (0.0, None)
+    for here in arcs_of(text, tokens):
+        i = here[0][0]
+        for _, j, label, features, span in here:
+            own = weigh(weights, features) - (margin if span else 0.0)
+            value, before = max((v + weights.get(f"{last}>{label}", 0.0), last) for last, (v, _) in best[i].items())
+            if label not in best[j] or value + own > best[j][label][0]:
+                best[j][label] = (value + own, (i, before, span))
     out, j = [], n
+    label = max(best[n], key=lambda k: (best[n][k][0], k))
     while j > 0:
-        i, span = back[j]
+        i, before, span = best[j][label][1]
         out.append((i, j, span))
-        j = i
+        j, label = i, before
     return out[::-1]
 
 
-def path_features(text: str, tokens: list[tuple[int, int]], path: list) -> dict[str, float]:
+def add_log(a: float | None, b: float) -> float:
+    if a is None:
+        return b
+    if a < b:
+        a, b = b, a
+    return a + math.log1p(math.exp(b - a))
+
+
+def expected(arcs: list[list[Arc]], weights: dict[str, float]) -> tuple[float, dict[str, float]]:
+    """The logarithm of the sum over all segmentations, and how often each feature is expected, by the forward-backward algorithm."""
+    n = len(arcs)
+    scored = [[(j, label, features, weigh(weights, features)) for _, j, label, features, _ in here] for here in arcs]
+    forth: list[dict[str, float]] = [{} for _ in range(n + 1)]
+    forth[0][START] = 0.0
+    for i, here in enumerate(scored):
+        for j, label, _, own in here:
+            for last, v in forth[i].items():
+                forth[j][label] = add_log(forth[j].get(label), v + own + weights.get(f"{last}>{label}", 0.0))
+    back: list[dict[str, float]] = [{} for _ in range(n + 1)]
+    back[n] = dict.fromkeys(forth[n], 0.0)
+    for i in range(n - 1, -1, -1):
+        for j, label, _, own in scored[i]:
+            for last in forth[i]:
+                back[i][last] = add_log(back[i].get(last), own + weights.get(f"{last}>{label}", 0.0) + back[j][label])
+    total = back[0][START]
     out: dict[str, float] = defaultdict(float)
+    for i, here in enumerate(scored):
+        for j, label, features, own in here:
+            mass = 0.0
+            for last, v in forth[i].items():
+                step = f"{last}>{label}"
+                p = math.exp(v + own + weights.get(step, 0.0) + back[j][label] - total)
+                out[step] += p
+                mass += p
+            for f in features:
+                out[f] += mass
+    return total, out
+
+
+def observed(arcs: list[list[Arc]], path: list) -> dict[str, float]:
+    """How often each feature stands in the labelled segmentation."""
+    out: dict[str, float] = defaultdict(float)
+    last = START
     for i, j, span in path:
-        if span is None:
-            for f in outside_features(text[tokens[i][0] : tokens[i][1]]):
-                out[f] += 1
-        else:
-            for f in span_features(text, span[0], span[1], keyword(text, tokens, i), j - i):
-                out[f"{span[2]} {f}"] += 1
+        label = span[2] if span else OUTSIDE
+        features = next(f for _, to, k, f, _ in arcs[i] if (to, k) == (j, label))
+        out[f"{last}>{label}"] += 1
+        for f in features:
+            out[f] += 1
+        last = label
     return out
 
 
-def labelled(text: str, tokens: list[tuple[int, int]]) -> list | None:
+def labelled(text: str, tokens: list[tuple[int, int]], spans: list[Span]) -> list | None:
     """The segmentation that the labels ask for; None where a label doesn't fit the tokens."""
     low, high = tokens[0][0], tokens[-1][1]
-    spans = [s for s in base_spans(text) if low <= s[0] < high] + [(m.start(1), m.end(1), "secret") for m in CREDENTIAL.finditer(text) if low <= m.start(1) < high]
-    want = {s[:2]: s for s in spans}
+    want = {s[:2]: s for s in spans if low <= s[0] < high}
     path, i = [], 0
     while i < len(tokens):
         for j, start, end in candidates(text, tokens, i):
@@ -242,30 +307,64 @@ def labelled(text: str, tokens: list[tuple[int, int]]) -> list | None:
     return None if want else path
 
 
-def train(sample: list[str], rounds: int = ROUNDS) -> dict[str, float]:
-    """Averaged structured perceptron with a margin, over the stretches of the sample."""
-    data = [(t, s, p) for t in sample for s in stretches(t)[:20] if len(s) <= 40 and (p := labelled(t, s)) is not None]
+def labels(text: str) -> list[Span]:
+    return base_spans(text) + [(m.start(1), m.end(1), "secret") for m in CREDENTIAL.finditer(text)]
+
+
+Example = tuple[str, list[tuple[int, int]], list]  # text, tokens, segmentation
+
+
+def examples(text: str) -> list[Example]:
+    """The labelled stretches of a text, each cut out with a character on either side. Those of more than TRAINED tokens teach nothing."""
+    out: list[Example] = []
+    found = stretches(text)
+    spans = labels(text) if found else []
+    for tokens in found:
+        if len(tokens) <= TRAINED and (path := labelled(text, tokens, spans)) is not None:
+            at = max(0, tokens[0][0] - 1)
+            move = lambda span: (span[0] - at, span[1] - at, span[2]) if span else None
+            out.append((text[at : tokens[-1][1] + 1], [(a - at, b - at) for a, b in tokens], [(i, j, move(s)) for i, j, s in path]))
+    return out
+
+
+def train(data: list[Example], rounds: int = ROUNDS) -> dict[str, float]:
+    """Weights of the field: steps up the gradient of the conditional log-likelihood, each feature's by its own history."""
     weights: dict[str, float] = defaultdict(float)
-    total: dict[str, float] = defaultdict(float)
-    step = 1
+    history: dict[str, float] = defaultdict(float)
+    ready = [(arcs, observed(arcs, path)) for text, tokens, path in data for arcs in [arcs_of(text, tokens)]]
     for _ in range(rounds):
-        for text, tokens, want in data:
-            got = decode(text, tokens, weights, -0.5, frozenset(span for _, _, span in want if span))
-            if got != want:
-                change = path_features(text, tokens, want)
-                for f, v in path_features(text, tokens, got).items():
-                    change[f] -= v
-                for f, v in change.items():
-                    weights[f] += v
-                    total[f] += step * v
-            step += 1
-    return {f: w - total[f] / step for f, w in weights.items() if w}
+        for arcs, seen in ready:
+            _, wanted = expected(arcs, weights)
+            for f, p in wanted.items():
+                slope = seen.get(f, 0.0) - p - DECAY * weights[f]
+                history[f] += slope * slope
+                weights[f] += RATE * slope / math.sqrt(1e-6 + history[f])
+    return dict(weights)
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> dict[str, float]:
-    """Train on at most ``sample`` documents with something to learn from, taken by a hash of their text."""
-    some = bounded_sample(docs.filter(F.col("text").rlike(TELLING)).select("text"), sample)
-    return train(sorted(r["text"] for r in some.collect()))
+    """Train on at most ``sample`` different stretches: by kind of label, those of least hash. They are found in Spark tasks."""
+
+    def make():
+        def do(batch: pa.RecordBatch):
+            rows = []
+            for text in batch.column(0).to_pylist():
+                for example in examples(text):
+                    kinds = sorted({s[2] for _, _, s in example[2] if s}) or ["none"]
+                    rows.append((kinds[0], json.dumps(example)))
+            if not rows:
+                return None
+            return pa.record_batch([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], ["kind", "example"])
+
+        return do
+
+    some = map_slices(docs.filter(F.col("text").rlike(TELLING)).select("text"), make, "kind string, example string").distinct()
+    place = F.row_number().over(Window.partitionBy("kind").orderBy(F.xxhash64("example"), "example"))
+    rows = some.withColumn("place", place).filter(F.col("place") <= max(1, sample // (len(KINDS) + 1))).select("example").collect()
+    as_span = lambda s: tuple(s) if s else None
+    data = [(t, [tuple(x) for x in tokens], [(i, j, as_span(s)) for i, j, s in path]) for t, tokens, path in map(json.loads, sorted(r["example"] for r in rows))]
+    by_hash = lambda e: hashlib.blake2b(e[0].encode(), digest_size=8).digest()
+    return train(sorted(data, key=by_hash))
 
 
 def added_spans(text: str, base: list[Span], weights: dict[str, float], margin: float = 1.0) -> list[Span]:
