@@ -1,11 +1,13 @@
 """Removal of long repeated byte strings, over all documents together.
 
-Every suffix that starts a 200-byte window belongs to an anchor: the least 16-gram at or after it, within 144 bytes. The
-anchors' suffixes are sorted into blocks of equal prefix, each partition on its own, and the partitions' blocks are
-merged by refinement: a block found once in the whole corpus is dropped, a block whose members agree on the whole
-surrounding text is settled, and only the others are refined, to runs of 16 windows and then to single windows. Blocks
-are named by 64-bit hashes of what they have in common, so merging counts names and never sorts suffixes again; the
-counts combine before each shuffle, so a passage in a third of the corpus is no hot spot.
+A window of 200 bytes belongs to an anchor: the least 16-gram that starts at or up to 144 bytes after its start, so equal
+windows have equal anchors at equal places. The anchors' suffixes are put into blocks that agree on the bytes from the
+anchor on that all its windows must hold (the core). A block found once in the whole corpus is dropped. Of the others,
+anchors that agree on all that their windows cover (the hull) are settled. What is left, one anchor for each different hull
+of a block, is refined: to runs of 16 windows around the anchor, and then to single windows.
+
+Blocks are told by 64-bit hashes of their common bytes, so merging the partitions' blocks counts names. The counts combine
+before each shuffle, so a passage in a third of the corpus is no hot spot, and copies go on as one row.
 
 Defined results: null or short text loses nothing; copies of a long enough document lose everything, the first one too;
 repeats inside one document count; an empty table gives an empty table; further columns are ignored; rows that
@@ -15,18 +17,19 @@ share a doc_id, or have none, are separate texts. A text needs about 40 bytes of
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import map_slices, row_key, texts, utf8
+from .arrow import map_slices, texts, utf8
 from .hashing import Substrings, U, sliding_min
 from .stash import drop, stash
 
 LENGTH, GRAM, REACH = 200, 16, 144
-ROWS = "k1 long, k2 long, at int, low short, high short, core long, hull long"
+ROWS = "k1 long, k2 int, at int, low short, high short, known boolean, core long, hull long"
 
 
 def anchors(text: Substrings, length: int, gram: int, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -63,7 +66,7 @@ def rows(docs: DataFrame, length: int, gram: int, reach: int) -> DataFrame:
                 at, low, high = anchors(text, length, gram, reach)
                 zero = np.zeros_like(at)
                 core, hull = names(text, at, low, high, zero, zero + reach - 1, length)
-                out.append((np.full(len(at), k1, np.int64), np.full(len(at), k2, np.int64), at, low, high, core, hull))
+                out.append((np.full(len(at), k1, np.int64), np.full(len(at), k2, np.int32), at, low, high, np.zeros(len(at), bool), core, hull))
             return as_batch(out)
 
         return do
@@ -73,7 +76,7 @@ def rows(docs: DataFrame, length: int, gram: int, reach: int) -> DataFrame:
 
 def finer(docs: DataFrame, open_rows: DataFrame, step: int, length: int) -> DataFrame:
     """The windows of the open rows again, in runs of ``step``, on a grid counted from the anchor."""
-    todo = open_rows.groupBy("k1", "k2").agg(F.collect_set(F.struct("at", "low", "high")).alias("todo"))
+    todo = open_rows.groupBy("k1", "k2").agg(F.collect_set(F.struct("at", "low", "high", "known")).alias("todo"))
 
     def make():
         def do(batch: pa.RecordBatch):
@@ -81,6 +84,7 @@ def finer(docs: DataFrame, open_rows: DataFrame, step: int, length: int) -> Data
             for k1, k2, raw, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), batch.column(3), strict=True):
                 items = part.values
                 at, low, high = (np.asarray(items.field(k)).astype(np.int64) for k in range(3))
+                known = items.field(3).to_numpy(zero_copy_only=False)
                 text = Substrings(raw)
                 cells = high // step - low // step + 1
                 row = np.repeat(np.arange(len(at)), cells)
@@ -88,7 +92,7 @@ def finer(docs: DataFrame, open_rows: DataFrame, step: int, length: int) -> Data
                 at, least, most = at[row], cell * step, cell * step + step - 1
                 low, high = np.maximum(low[row], least), np.minimum(high[row], most)
                 core, hull = names(text, at, low, high, least, most, length)
-                out.append((np.full(len(at), k1, np.int64), np.full(len(at), k2, np.int64), at, low, high, core, hull))
+                out.append((np.full(len(at), k1, np.int64), np.full(len(at), k2, np.int32), at, low, high, known[row], core, hull))
             return as_batch(out)
 
         return do
@@ -99,16 +103,27 @@ def finer(docs: DataFrame, open_rows: DataFrame, step: int, length: int) -> Data
 def as_batch(parts: list[tuple]) -> pa.RecordBatch | None:
     if not parts:
         return None
-    types = (np.int64, np.int64, np.int32, np.int16, np.int16, np.uint64, np.uint64)
+    types = (np.int64, np.int32, np.int32, np.int16, np.int16, bool, np.uint64, np.uint64)
     columns = [np.concatenate([p[k] for p in parts]).astype(t) for k, t in enumerate(types)]
-    return pa.record_batch([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in columns], ["k1", "k2", "at", "low", "high", "core", "hull"])
+    return pa.record_batch([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in columns], ["k1", "k2", "at", "low", "high", "known", "core", "hull"])
+
+
+WHERE = ("k1", "k2", "at", "low", "high")
 
 
-def merged(level: DataFrame) -> DataFrame:
-    """The rows of blocks found more than once, with ``settled``: all members agree on all that their windows cover."""
+def shared(level: DataFrame) -> DataFrame:
+    """The rows of blocks found more than once; ``settled`` where all members agree on the hull, and core and hull where they don't."""
     blocks = level.groupBy("core").agg(F.count("*").alias("n"), F.min("hull").alias("a"), F.max("hull").alias("b")).filter("n > 1")
-    blocks = stash(blocks)  # so that both sides of the join are dealt anew and Spark can split a core that very many rows share
-    return level.join(blocks.select("core", (F.col("a") == F.col("b")).alias("settled")), "core").select("k1", "k2", "at", "low", "high", "settled")
+    blocks = stash(blocks.select("core", (F.col("a") == F.col("b")).alias("settled")))  # so that both sides of the join are dealt anew and Spark can split a core that very many rows share
+    rows = stash(level.join(blocks, "core").select(*WHERE, "known", "settled", *[F.when(~F.col("settled"), F.col(c)).alias(c) for c in ("core", "hull")]))
+    drop(blocks)
+    return rows
+
+
+def by_hull(rows: DataFrame) -> DataFrame:
+    """One row for each different hull of an open block: its core and hull, the member that goes on, and whether its windows are known to be repeated."""
+    one = rows.groupBy("core", "hull").agg(F.count("*").alias("n"), F.min(F.struct(*WHERE, "known")).alias("m"))
+    return stash(one.select("core", "hull", *[F.col(f"m.{c}").alias(c) for c in WHERE], ((F.col("n") > 1) | F.col("m.known")).alias("known"), (F.col("n") > 1).alias("again")))
 
 
 def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, reach: int = REACH, steps: tuple[int, ...] = (16, 1)) -> DataFrame:
@@ -118,17 +133,23 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, re
     """
     if reach + gram > length:
         raise ValueError("reach + gram must not exceed length")
-    level, found = rows(docs, length, gram, reach), []
+    level, found, used = rows(docs, length, gram, reach), [], []
     for step in (*steps, None):
         level = stash(level)
-        blocks = stash(merged(level))
+        block_rows = shared(level)
         drop(level)
-        found.append(blocks.filter("settled").select("k1", "k2", "at", "low", "high"))
+        used.append(block_rows)
+        found.append(block_rows.filter("settled and not known").select(*WHERE))
         if step:
-            level = finer(docs, blocks.filter("not settled"), step, length)
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
+            open_rows = block_rows.filter("not settled")
+            hulls = by_hull(open_rows)
+            used.append(hulls)
+            again = hulls.filter("again").select("core", "hull")
+            found.append(open_rows.filter("not known").join(again, ["core", "hull"]).select(*WHERE))
+            level = finer(docs, hulls, step, length)
+    out = stash(reduce(DataFrame.unionByName, found))
+    for table in used:
+        drop(table)
     return out
 
 
@@ -144,7 +165,7 @@ def without(raw: bytes, start: np.ndarray, end: np.ndarray) -> tuple[bytes, int,
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", keep: bool = False, **how) -> DataFrame:
     """One row a document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with ``keep`` also the bytes kept."""
-    docs = texts(docs, id_col, text_col).select(*row_key("doc_id", "text"), "doc_id", "text")
+    docs = texts(docs, id_col, text_col).select(F.xxhash64("doc_id", "text").alias("k1"), F.hash("text", "doc_id").alias("k2"), "doc_id", "text")  # 96 bits
     windows = repeated_windows(docs.select("k1", "k2", "text"), length, **how)
     spans = windows.groupBy("k1", "k2").agg(F.collect_set(F.struct((F.col("at") - F.col("high")).alias("start"), (F.col("at") - F.col("low") + length).alias("end"))).alias("spans"))
 
