@@ -179,7 +179,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
         return do
 
     found = map_slices(docs, make, "doc_id long, left long, right long, shingles array<long>")
-    return found.join(ids, ["doc_id", "left", "right"]).dropDuplicates(["node"]).select("node", "is_a", "is_b", "shingles")
+    return found.join(ids, ["doc_id", "left", "right"]).dropDuplicates(["doc_id", "left", "right"]).select("node", "is_a", "is_b", "shingles")
 
 
 def linked(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
@@ -283,7 +283,7 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, threshold: int = THRESHOLD,
     classes = stash(classes.join(shared_ids, "class_id", "left").select(*name, "class_id", own.alias("node")))
     lone = classes.select(F.col("class_id").alias("doc_id"), "node", *name)
     # A posting for each prefix shingle of each class's representative; doc_id is the class's name from here on.
-    postings = base.join(lone, ["doc_id", *name]).dropDuplicates(["node"]).select(F.col("node").alias("doc_id"), "n", F.posexplode("prefix").alias("i", "h"))
+    postings = base.join(lone, ["doc_id", *name]).dropDuplicates(["doc_id", *name]).select(F.col("node").alias("doc_id"), "n", F.posexplode("prefix").alias("i", "h"))
     postings = postings.select("doc_id", "n", "h", F.col("i").cast("int").alias("i"))
     met = postings.groupBy("h").agg(F.count("*").alias("members")).filter("members > 1").select("h")
     shared = stash(postings.join(met, "h", "left_semi"))
