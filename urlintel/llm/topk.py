@@ -1,8 +1,9 @@
 """Exact top-k search: tiles of queries against tiles of vectors as matrix products.
 
-Vectors become whole numbers, floor(scale * x), in 64-bit floats where every product is exact. Vectors are packed into
-tiles, queries into blocks; each block meets each tile once (an equi-join on a key that every tile has and every block
-is listed under). A tile gives each query its best k; these lists merge in a tree: by group of tiles, then over all.
+Vectors become whole numbers, floor(scale * x), multiplied as 64-bit floats where every product is exact. Vectors are packed
+into tiles, queries into blocks, with 16 bits a number where that is enough; each block meets each tile once (an equi-join
+on a key that every tile has and every block is listed under). What moves for a pair of tile and block is both matrices,
+so blocks are large, and cut into portions of PORTION queries when they are multiplied. A tile gives each query its best k; these lists merge in a tree: by group of tiles, then over all.
 
 Defined results: vectors that are null, or hold null or non-finite components, take no part; empty vectors take part
 and score 0; only vectors of the same length are compared; ties go to the smaller id; rows that share an id are each a
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .stash import stash
 
-K, SCALE, TILE, BLOCK, FAN = 5, 256, 4096, 1024, 16
+K, SCALE, TILE, BLOCK, PORTION, FAN = 5, 256, 4096, 16384, 1024, 16
 EXACT, LONG = float(1 << 53), 1 << 63
 
 
@@ -29,6 +30,14 @@ def whole_numbers(vectors: DataFrame, scale: int, id_col: str, vector_col: str)
     return vectors.filter(F.col(id_col).isNotNull() & ok).select(F.col(id_col).cast("long").alias("vec_id"), x.alias("v"), F.size(vector_col).alias("dim"))
 
 
+def as_bytes(matrix: np.ndarray) -> bytes:
+    return matrix.astype("<i2" if not matrix.size or np.abs(matrix).max() < 1 << 15 else "<f8").tobytes()
+
+
+def from_bytes(raw: bytes, rows: int, dim: int) -> np.ndarray:
+    return np.frombuffer(raw, "<i2" if len(raw) == 2 * rows * dim else "<f8").reshape(rows, dim).astype(np.float64)
+
+
 def packed(rows: DataFrame, size: int, scale: int) -> DataFrame:
     """Tiles of up to ``size`` vectors of one length: dim, tile, ids, matrix. A task packs what it reads; nothing moves."""
 
@@ -57,7 +66,7 @@ def packed(rows: DataFrame, size: int, scale: int) -> DataFrame:
                 made += 1
 
     def one(dim, tile, ids, matrix):
-        return pa.record_batch([pa.array([dim], pa.int32()), pa.array([tile], pa.int64()), pa.array([ids.astype("<i8").tobytes()], pa.binary()), pa.array([matrix.astype("<f8").tobytes()], pa.binary())], ["dim", "tile", "ids", "matrix"])
+        return pa.record_batch([pa.array([dim], pa.int32()), pa.array([tile], pa.int64()), pa.array([ids.astype("<i8").tobytes()], pa.binary()), pa.array([as_bytes(matrix)], pa.binary())], ["dim", "tile", "ids", "matrix"])
 
     return rows.mapInArrow(run, "dim int, tile long, ids binary, matrix binary")
 
@@ -105,8 +114,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE
             for i in range(batch.num_rows):
                 at, dim, q_ids, q, c_ids, c = (batch.column(j)[i].as_py() for j in range(6))
                 q_ids, c_ids = np.frombuffer(q_ids, "<i8"), np.frombuffer(c_ids, "<i8")
-                a, b, value = best(q_ids, np.frombuffer(q, "<f8").reshape(len(q_ids), dim), c_ids, np.frombuffer(c, "<f8").reshape(len(c_ids), dim), k)
-                yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([max(-LONG, min(LONG - 1, int(x))) for x in value], pa.int64()), pa.array(np.full(len(a), at % FAN), pa.int32())], ["query_id", "vec_id", "score", "limb"])
+                q, c = from_bytes(q, len(q_ids), dim), from_bytes(c, len(c_ids), dim)
+                for j in range(0, len(q_ids), PORTION):
+                    a, b, value = best(q_ids[j : j + PORTION], q[j : j + PORTION], c_ids, c, k)
+                    yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([max(-LONG, min(LONG - 1, int(x))) for x in value], pa.int64()), pa.array(np.full(len(a), at % FAN), pa.int32())], ["query_id", "vec_id", "score", "limb"])
 
     found = pairs.select("at", "dim", "q_ids", "q", "ids", "matrix").mapInArrow(run, "query_id long, vec_id long, score long, limb int")
     order = [F.desc("score"), F.asc("vec_id")]
