@@ -31,16 +31,22 @@ def stash(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
+    fs, where = _place(spark, path)
+    fs.deleteOnExit(where)  # what isn't dropped before goes with the application
     out = spark.read.schema(df.schema).parquet(path)
     out._stashed_at = path
     return out
 
 
+def _place(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
 def drop(df: DataFrame) -> None:
     """Delete a stashed table that nothing needs any more."""
-    jvm = df.sparkSession._jvm
-    path = jvm.org.apache.hadoop.fs.Path(df._stashed_at)
-    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    fs, where = _place(df.sparkSession, df._stashed_at)
+    fs.delete(where, True)
 
 
 def selected(df: DataFrame, *columns: str) -> DataFrame:
