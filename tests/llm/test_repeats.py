@@ -1,7 +1,9 @@
 import hashlib
+import os
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from urlintel.llm import repeats
@@ -50,6 +52,21 @@ def test_against_brute_force(spark, seed):
     assert got == brute([(i, (t or "").encode()) for i, t in rows])
 
 
+def test_sorted_suffixes_against_python():
+    r = random.Random(5)
+    for _ in range(50):
+        texts = [bytes(r.choice(b"ab\0") for _ in range(r.randint(20, 60))) for _ in range(4)]
+        joined = b"".join(t + b"\0" * 20 for t in texts)
+        base = np.cumsum([0] + [len(t) + 20 for t in texts])
+        where = [(k, i) for k, t in enumerate(texts) for i in range(len(t) - 10)]
+        starts, room = np.array([base[k] + i for k, i in where]), np.array([len(texts[k]) - i for k, i in where])
+        order, prefix = repeats.sorted_suffixes(starts, room, np.frombuffer(joined, np.uint8), 20)
+        suffix = [texts[where[j][0]][where[j][1] :][:20] for j in order]
+        assert all(x.ljust(20, b"\0") <= y.ljust(20, b"\0") for x, y in zip(suffix, suffix[1:]))
+        for x, y, n in zip(suffix, suffix[1:], prefix[1:]):
+            assert n == len(os.path.commonprefix([x, y]))
+
+
 def test_missing_ids_clashing_columns_and_a_long_text(spark):
     r = random.Random(9)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))

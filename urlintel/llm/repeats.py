@@ -1,13 +1,18 @@
-"""Removal of long repeated byte strings, over all documents together.
+"""Removal of long repeated byte strings, by merging the shards' sampled suffix arrays and transforms.
 
 A window of 200 bytes belongs to an anchor: the least 16-gram that starts at or up to 144 bytes after its start, so equal
-windows have equal anchors at equal places. The anchors' suffixes are put into blocks that agree on the bytes from the
-anchor on that all its windows must hold (the core). A block found once in the whole corpus is dropped. Of the others,
-anchors that agree on all that their windows cover (the hull) are settled. What is left, one anchor for each different hull
-of a block, is refined: to runs of 16 windows around the anchor, and then to single windows.
-
-Blocks are told by 64-bit hashes of their common bytes, so merging the partitions' blocks counts names. The counts combine
-before each shuffle, so a passage in a third of the corpus is no hot spot, and copies go on as one row.
+windows have equal anchors at equal places, and the suffixes at anchors stand for all. Each shard (a portion of a task's
+texts) sorts its anchors' suffixes once, by the bytes of their text. Of the sorted suffixes it keeps the common prefixes of
+neighbours and, as in a Burrows-Wheeler transform, what stands before each: here the text back to the first window of the
+anchor, under a name. Runs of neighbours with a common prefix of at least CORE bytes, which all windows of an anchor hold, are the
+shard's intervals, and one row each.
+
+The shards' intervals are merged by refining their interleave, in steps of many symbols: intervals of equal prefix form a
+block of the whole corpus; a block of one suffix is done. Where all members of a block agree on the rest of what their
+windows cover, before and behind, their windows are repeated intervals, and so they are where some do; one suffix for each
+different surrounding goes on, to blocks of runs of 16 windows and then of single windows. No suffix is sorted again, as
+deeper blocks are told by names of their bytes: merging counts names. The counts combine before each shuffle, so a
+passage in a third of the corpus is no hot spot.
 
 Defined results: null or short text loses nothing; copies of a long enough document lose everything, the first one too;
 repeats inside one document count; an empty table gives an empty table; further columns are ignored; rows that
@@ -29,7 +34,9 @@ from .hashing import Substrings, U, sliding_min
 from .stash import drop, stash
 
 LENGTH, GRAM, REACH = 200, 16, 144
-ROWS = "k1 long, k2 int, at int, low short, high short, known boolean, core long, hull long"
+SHARD = 1 << 16  # suffixes sorted together at most
+MEMBER = "k1:long,k2:int,at:int,low:short,high:short,known:boolean,hull:long"
+INTERVALS = f"core long, members array<struct<{MEMBER}>>"
 
 
 def anchors(text: Substrings, length: int, gram: int, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -46,19 +53,41 @@ def anchors(text: Substrings, length: int, gram: int, reach: int) -> tuple[np.nd
 
 def names(text: Substrings, at: np.ndarray, low: np.ndarray, high: np.ndarray, core_low: np.ndarray, core_high: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """core: what all windows that start core_low to core_high before an anchor have in common, wherever it stands;
-    hull: all that the windows low to high cover."""
+    hull: all that the windows low to high cover, from what stands before the anchor and what follows it."""
     core = text.of(at - core_low, at - core_high + length)
     core = core * U(0x9FB21C651E98DF25) + core_low.astype(U)
-    hull = text.of(at - high, at - low + length) * U(0x2545F4914F6CDD1D) + high.astype(U)
+    before, behind = text.of(at - high, at), text.of(at, at - low + length)
+    hull = (before * U(0x2545F4914F6CDD1D) + high.astype(U)) ^ (behind * U(0xD1342543DE82EF95) + low.astype(U))
     return core, hull
 
 
-def rows(docs: DataFrame, length: int, gram: int, reach: int) -> DataFrame:
-    """A row for each anchor of each document. The core is the text from the anchor on that all its windows must hold."""
+def sorted_suffixes(starts: np.ndarray, room: np.ndarray, texts_: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """A shard's suffix array (which suffix comes at each place, by ``length`` bytes) and the common prefix of each with the
+    one before it. ``starts`` are places in the shard's joined texts, ``room`` the bytes left in the suffix's own text."""
+    heads = np.lib.stride_tricks.sliding_window_view(texts_, length)[starts]
+    order = np.argsort(heads.view(f"S{length}").ravel(), kind="stable")
+    heads, room = heads[order], np.minimum(room[order], length)
+    differs = heads[1:] != heads[:-1]
+    prefix = np.where(differs.any(axis=1), differs.argmax(axis=1), length)
+    return order, np.append(0, np.minimum(prefix, np.minimum(room[1:], room[:-1])))
+
+
+def as_intervals(first: np.ndarray, core: np.ndarray, members: list[np.ndarray]) -> pa.RecordBatch:
+    """A row for each run of members that starts where ``first`` is true."""
+    heads = np.flatnonzero(first)
+    types = (np.int64, np.int32, np.int32, np.int16, np.int16, bool, np.int64)
+    fields = [pa.array(m.view(np.int64) if m.dtype == np.uint64 else m.astype(t)) for m, t in zip(members, types, strict=True)]
+    lists = pa.ListArray.from_arrays(pa.array(np.append(heads, len(first)), pa.int32()), pa.StructArray.from_arrays(fields, ["k1", "k2", "at", "low", "high", "known", "hull"]))
+    return pa.record_batch([pa.array(core[heads].view(np.int64)), lists], ["core", "members"])
+
+
+def intervals(docs: DataFrame, length: int, gram: int, reach: int) -> DataFrame:
+    """The intervals of the shards at the depth that all windows of an anchor hold: the bytes from the anchor on."""
+    depth = length - reach + 1
 
     def make():
         def do(batch: pa.RecordBatch):
-            out = []
+            parts, joined, base = [], [], 0
             for k1, k2, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), strict=True):
                 if len(raw) < length:
                     continue
@@ -66,16 +95,27 @@ def rows(docs: DataFrame, length: int, gram: int, reach: int) -> DataFrame:
                 at, low, high = anchors(text, length, gram, reach)
                 zero = np.zeros_like(at)
                 core, hull = names(text, at, low, high, zero, zero + reach - 1, length)
-                out.append((np.full(len(at), k1, np.int64), np.full(len(at), k2, np.int32), at, low, high, np.zeros(len(at), bool), core, hull))
-            return as_batch(out)
+                parts.append((np.full(len(at), k1, np.int64), np.full(len(at), k2, np.int32), at, low, high, np.zeros(len(at), bool), hull, core, at + base, len(raw) - at))
+                joined += [raw, b"\0" * length]
+                base += len(raw) + length
+            if not parts:
+                return None
+            flat = [np.concatenate(x) for x in zip(*parts, strict=True)]
+            texts_ = np.frombuffer(b"".join(joined), np.uint8)
+            out = []
+            for i in range(0, len(flat[0]), SHARD):
+                shard = [x[i : i + SHARD] for x in flat]
+                order, prefix = sorted_suffixes(shard[8], shard[9], texts_, length)
+                out.append(as_intervals(prefix < depth, shard[7][order], [x[order] for x in shard[:7]]))
+            return out
 
         return do
 
-    return map_slices(docs, make, ROWS)
+    return map_slices(docs, make, INTERVALS)
 
 
 def finer(docs: DataFrame, open_rows: DataFrame, step: int, length: int) -> DataFrame:
-    """The windows of the open rows again, in runs of ``step``, on a grid counted from the anchor."""
+    """The windows of the open rows again, in runs of ``step``, on a grid counted from the anchor; those of a task that share a core are one row."""
     todo = open_rows.groupBy("k1", "k2").agg(F.collect_set(F.struct("at", "low", "high", "known")).alias("todo"))
 
     def make():
@@ -92,30 +132,26 @@ def finer(docs: DataFrame, open_rows: DataFrame, step: int, length: int) -> Data
                 at, least, most = at[row], cell * step, cell * step + step - 1
                 low, high = np.maximum(low[row], least), np.minimum(high[row], most)
                 core, hull = names(text, at, low, high, least, most, length)
-                out.append((np.full(len(at), k1, np.int64), np.full(len(at), k2, np.int32), at, low, high, known[row], core, hull))
-            return as_batch(out)
+                out.append((np.full(len(at), k1, np.int64), np.full(len(at), k2, np.int32), at, low, high, known[row], hull, core))
+            flat = [np.concatenate(x) for x in zip(*out, strict=True)]
+            order = np.argsort(flat[7], kind="stable")
+            core = flat[7][order]
+            return as_intervals(np.append(True, core[1:] != core[:-1]), core, [x[order] for x in flat[:7]])
 
         return do
 
-    return map_slices(docs.join(todo, ["k1", "k2"]).select("k1", "k2", "text", "todo"), make, ROWS)
-
-
-def as_batch(parts: list[tuple]) -> pa.RecordBatch | None:
-    if not parts:
-        return None
-    types = (np.int64, np.int32, np.int32, np.int16, np.int16, bool, np.uint64, np.uint64)
-    columns = [np.concatenate([p[k] for p in parts]).astype(t) for k, t in enumerate(types)]
-    return pa.record_batch([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in columns], ["k1", "k2", "at", "low", "high", "known", "core", "hull"])
+    return map_slices(docs.join(todo, ["k1", "k2"]).select("k1", "k2", "text", "todo"), make, INTERVALS)
 
 
 WHERE = ("k1", "k2", "at", "low", "high")
 
 
-def shared(level: DataFrame) -> DataFrame:
-    """The rows of blocks found more than once; ``settled`` where all members agree on the hull, and core and hull where they don't."""
-    blocks = level.groupBy("core").agg(F.count("*").alias("n"), F.min("hull").alias("a"), F.max("hull").alias("b")).filter("n > 1")
+def merged(level: DataFrame) -> DataFrame:
+    """The members of blocks of more than one suffix; ``settled`` where all of a block agree on the hull, and core and hull where they don't."""
+    blocks = level.groupBy("core").agg(F.sum(F.size("members")).alias("n"), F.min(F.array_min("members.hull")).alias("a"), F.max(F.array_max("members.hull")).alias("b")).filter("n > 1")
     blocks = stash(blocks.select("core", (F.col("a") == F.col("b")).alias("settled")))  # so that both sides of the join are dealt anew and Spark can split a core that very many rows share
-    rows = stash(level.join(blocks, "core").select(*WHERE, "known", "settled", *[F.when(~F.col("settled"), F.col(c)).alias(c) for c in ("core", "hull")]))
+    members = level.join(blocks, "core").select("core", "settled", F.explode("members").alias("m")).select("core", "settled", "m.*")
+    rows = stash(members.select(*WHERE, "known", "settled", *[F.when(~F.col("settled"), F.col(c)).alias(c) for c in ("core", "hull")]))
     drop(blocks)
     return rows
 
@@ -133,10 +169,10 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, re
     """
     if reach + gram > length:
         raise ValueError("reach + gram must not exceed length")
-    level, found, used = rows(docs, length, gram, reach), [], []
+    level, found, used = intervals(docs, length, gram, reach), [], []
     for step in (*steps, None):
         level = stash(level)
-        block_rows = shared(level)
+        block_rows = merged(level)
         drop(level)
         used.append(block_rows)
         found.append(block_rows.filter("settled and not known").select(*WHERE))
