@@ -8,8 +8,6 @@ together is merged when it is read; ``compact`` folds the batches so far into ``
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -44,8 +42,10 @@ def read_parts(spark: SparkSession, table: str, before: int | None = None) -> Da
     """All rows of the base and of the batches after it (only those ``before`` a batch), each with the seq of its folder; None while there are none."""
     base, batches, _ = versions(spark, table)
     names = ([] if base is None else [f"base={base}"]) + [f"batch={n}" for n in batches if before is None or n < before]
-    parts = [spark.read.parquet(f"{table}/{name}").withColumn("seq", F.lit(int(name.partition("=")[2])).cast("long")) for name in names]
-    return reduce(DataFrame.unionByName, parts) if parts else None
+    if not names:
+        return None
+    number = F.regexp_extract("_metadata.file_path", r"/(?:base|batch)=(-?[0-9]+)/[^/]*$", 1)
+    return spark.read.parquet(*[f"{table}/{name}" for name in names]).withColumn("seq", number.cast("long"))
 
 
 def merged_entries(parts: DataFrame) -> DataFrame:
