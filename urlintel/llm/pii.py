@@ -94,22 +94,28 @@ TOKEN = re.compile(r"[^\s|\"'<>,;]+")
 MARK = re.compile(r"[0-9@]")
 BREAK = re.compile(r"[\s\"']")
 KEYWORD = re.compile(r"(?:token|key|secret|password|passwd|pwd|passphrase|credential)$", re.I)
-TELLING = r"""[0-9@]|(?i:token|key|secret|password|passwd|pwd|passphrase|credential)[\s|"'<>,;]*[=:]"""  # texts with a stretch; Spark reads it too
-SOME = re.compile(TELLING)
+SOME_KEY = re.compile(r"""(?:token|key|secret|password|passwd|pwd|passphrase|credential)[\s|"'<>,;]*[=:]""", re.I)
+
+
+def telling(text: str) -> bool:
+    """Whether a text has a stretch: a digit, an at sign, or a key word and a sign."""
+    return any(c in text for c in "0123456789@") or ("=" in text or ":" in text) and bool(SOME_KEY.search(text))
 
 
 def stretches(text: str) -> list[list[tuple[int, int]]]:
     """Runs of tokens around those with a digit or an at sign and those after a key word and a sign, with two tokens more on the left."""
     out: list[list[tuple[int, int]]] = []
-    if not SOME.search(text):
+    if not telling(text):
         return out
     before: list[tuple[int, int]] = []
     now: list[tuple[int, int]] = []
-    quiet = 0
+    quiet, sign = 0, False
     for m in TOKEN.finditer(text):
-        where = m.span()
-        left = now or before
-        if MARK.search(m[0]) or keyword(text, left, len(left)) == "key":
+        where, piece = m.span(), m[0]
+        # Only a token that ends in a sign can make the next one stand after a key word.
+        marked = not piece.isalpha() and MARK.search(piece) or sign and keyword(text, left := now or before, len(left)) == "key"
+        sign = piece[-1] in "=:"
+        if marked:
             if not now:
                 now = before[-2:]
             now.append(where)
@@ -349,7 +355,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> dict[str, float]:
         def do(batch: pa.RecordBatch):
             rows = []
             for text in batch.column(0).to_pylist():
-                for example in examples(text):
+                for example in examples(text or ""):
                     kinds = sorted({s[2] for _, _, s in example[2] if s}) or ["none"]
                     rows.append((kinds[0], json.dumps(example)))
             if not rows:
@@ -358,7 +364,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> dict[str, float]:
 
         return do
 
-    some = map_slices(docs.filter(F.col("text").rlike(TELLING)).select("text"), make, "kind string, example string").distinct()
+    some = map_slices(docs.select("text"), make, "kind string, example string").distinct()
     place = F.row_number().over(Window.partitionBy("kind").orderBy(F.xxhash64("example"), "example"))
     rows = some.withColumn("place", place).filter(F.col("place") <= max(1, sample // (len(KINDS) + 1))).select("example").collect()
     as_span = lambda s: tuple(s) if s else None
