@@ -18,6 +18,7 @@ import base64
 import hashlib
 import re
 from array import array
+from collections.abc import Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -30,6 +31,7 @@ from .arrow import map_slices, texts
 MAX_PIECES = 120_000  # memoised pieces a worker keeps in each generation
 MAX_MOVES = 400_000  # transitions kept; the table is then started again
 PORTION = 1 << 16  # ids decoded at once
+HELD = 512  # tokens held back at most, besides those of the longest run, where transitions aren't kept
 SPACE = re.compile(r" (?=\S)")
 ODD_SPACE = re.compile(r" \s")
 
@@ -143,32 +145,45 @@ class MergeTransducer:
         self.runs[key] = to
         return to
 
-    def step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """Determinise one transition: the next state, and the tokens put out on the way."""
-        node, left, ends = self.states[state]
-        node = self._run(node, byte)
+    def ends_here(self, node: int, left: int, ends: Sequence[int]) -> int:
+        """The token that ends after one more byte, when the run is at ``node``."""
+        have, pairs = len(ends) + 1, self.pairs
         for token, length in self.ending[node]:
-            start = len(ends) + 1 - length
-            if start >= 0 and self.follows(ends[start - 1] if start else left, token):
-                break
-        else:
-            raise ValueError(f"no token covers byte {byte}")
-        ends = (*ends, token)
-        # Boundaries from which a later token may start, back to where their paths meet.
-        alive = {*range(max(0, len(ends) - self.depth[node]), len(ends) + 1)}
+            start = have - length
+            if start >= 0:
+                before = ends[start - 1] if start else left
+                ok = before < 0 or pairs.get(before << 32 | token)
+                if ok or ok is None and self.follows(before, token):
+                    return token
+        raise ValueError("no token covers a byte")
+
+    def release(self, node: int, left: int, ends: Sequence[int]) -> tuple[tuple[int, ...], int, Sequence[int]]:
+        """What can't change any more: the tokens up to where the paths to all boundaries meet from which a later token may start."""
+        have = len(ends)
+        if self.depth[node] >= have:
+            return (), left, ends
+        alive = {*range(have - self.depth[node], have + 1)}
         while len(alive) > 1:
             last = max(alive)
             alive.remove(last)
             alive.add(last - self.length[ends[last - 1]])
         (cut,) = alive
-        after = (node, ends[cut - 1] if cut else left, ends[cut:])
-        out = (self.known.setdefault(after, len(self.states)), self.path(ends, cut))
-        if out[0] == len(self.states):
+        return (self.path(ends, cut), ends[cut - 1], ends[cut:]) if cut else ((), left, ends)
+
+    def step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+        """Determinise one transition: the next state, and the tokens put out on the way."""
+        node, left, ends = self.states[state]
+        node = self._run(node, byte)
+        put, left, ends = self.release(node, left, (*ends, self.ends_here(node, left, ends)))
+        after = (node, left, ends)
+        number = self.known.get(after)
+        if number is None:
+            number = self.known[after] = len(self.states)
             self.states.append(after)
-        self.moves[state << 8 | byte] = out
+        out = self.moves[state << 8 | byte] = (number, put)
         return out
 
-    def path(self, ends: tuple[int, ...], at: int) -> tuple[int, ...]:
+    def path(self, ends: Sequence[int], at: int) -> tuple[int, ...]:
         """The tokens that lead to a boundary."""
         out = []
         while at > 0:
@@ -177,18 +192,50 @@ class MergeTransducer:
         return tuple(out[::-1])
 
     def encode(self, piece: bytes) -> list[int]:
+        """The tokens of a piece. A piece determinises one transition at most, as the state behind it has none yet; the rest of the piece is run without."""
         if len(self.moves) > MAX_MOVES:
             self.restart()
         out: list[int] = []
-        state, moves = 0, self.moves
-        for byte in piece:
+        state, moves, made = 0, self.moves, False
+        for i, byte in enumerate(piece):
             move = moves.get(state << 8 | byte)
-            state, put = move or self.step(state, byte)
+            if move is None:
+                if made:
+                    return out + self._rest(state, piece[i:])
+                move, made = self.step(state, byte), True
+            state, put = move
             if put:
                 out += put
         ends = self.states[state][2]
         return out + list(self.path(ends, len(ends)))
 
+    def _rest(self, state: int, piece: bytes) -> list[int]:
+        node, left, known = self.states[state]
+        ends, out = [left, *known], []  # the token before the first boundary stands in front
+        runs, ending, pairs = self.runs, self.ending, self.pairs
+        have = len(ends)
+        for byte in piece:
+            to = runs.get(node << 8 | byte)
+            node = self._run(node, byte) if to is None else to
+            for token, length in ending[node]:
+                if length <= have:
+                    before = ends[-length]
+                    if before < 0:
+                        break
+                    ok = pairs.get(before << 32 | token)
+                    if ok or ok is None and self.follows(before, token):
+                        break
+            else:
+                raise ValueError("no token covers a byte")
+            ends.append(token)
+            have += 1
+            if have > HELD:
+                put, left, rest = self.release(node, ends[0], ends[1:])
+                ends = [left, *rest]
+                have = len(ends)
+                out += put
+        return out + list(self.path(ends[1:], have - 1))
+
 
 class Recent(dict):
     """Ids, as little-endian bytes, of the chunks seen lately: two generations, the older one dropped when the newer is full."""
@@ -284,8 +331,13 @@ class ByteBPE:
         self.split = regex.compile(pattern).findall
         self.transducer = MergeTransducer(ranks)
         self.bytes_of = self.transducer.bytes_of
-        self.pieces = Recent(lambda piece: array("I", self.transducer.encode(piece.encode())).tobytes())
-        by_piece = lambda chunk: b"".join(map(self.pieces.__getitem__, self.split(chunk)))
+        encode = lambda piece: array("I", self.transducer.encode(piece.encode())).tobytes()
+        self.pieces = Recent(encode)
+
+        def by_piece(chunk: str) -> bytes:
+            pieces = self.split(chunk)
+            return b"".join(map(self.pieces.__getitem__, pieces)) if len(pieces) != 1 else encode(pieces[0])
+
         self.first, self.rest = Recent(by_piece), Recent(by_piece, " ")
         self.by_piece, self.chunked = by_piece, pattern == defaults()[1]
         self.whole = np.array([self._is_whole(t) for t in self.bytes_of], bool)
