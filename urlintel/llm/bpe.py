@@ -29,7 +29,8 @@ from pyspark.sql.types import BinaryType, BooleanType, LongType, StructField, St
 from .arrow import map_slices, texts
 
 MAX_PIECES = 120_000  # memoised pieces a worker keeps in each generation
-MAX_MOVES = 400_000  # transitions kept; the table is then started again
+MAX_MOVES = 150_000  # transitions kept, some 80 MB; the table is then started again
+MAX_PAIRS = 400_000  # steps between runs kept, and pairs of tokens
 PORTION = 1 << 16  # ids decoded at once
 HELD = 512  # tokens held back at most, besides those of the longest run, where transitions aren't kept
 SPACE = re.compile(r" (?=\S)")
@@ -104,7 +105,7 @@ class MergeTransducer:
         """
         if left < 0:
             return True
-        if len(self.pairs) >= MAX_MOVES:
+        if len(self.pairs) >= MAX_PAIRS:
             self.pairs.clear()
         a, b, ok, bound = left, right, True, len(self.bytes_of)
         while True:
@@ -140,7 +141,7 @@ class MergeTransducer:
             self.shorter[to] = self._run(self.shorter[at], byte) if at else 0
             own = self.token_at.get(to, -1)
             self.ending[to] = (((own, self.length[own]),) if own >= 0 else ()) + self.ending[self.shorter[to]]
-        if len(self.runs) > MAX_MOVES:
+        if len(self.runs) > MAX_PAIRS:
             self.runs.clear()
         self.runs[key] = to
         return to
