@@ -96,10 +96,9 @@ def test_ingest_files(spark, tmp_path):
     (tmp_path / "a.txt").write_text("# c\n\nhttps://a.plover.net/x\n\t b.plover.net\u00a0\nhttp://\n")
     (tmp_path / "b.json").write_text('[{"url":"https://c.plover.net/","verified":true},{"url":"https://d.plover.net/","verified":false}]')
     (tmp_path / "c.json").write_text('[{"url":"https://c.plover.net/", ')
-    feeds.register_feed("broken", "c", feeds.read_json_array, feeds.verified_urls)
-    feeds.register_feed("phishtank-online-valid", "phishing", feeds.read_json_array, feeds.verified_urls)
+    known = {**feeds.FEEDS, "broken": feeds.Feed("broken", "c", feeds.read_json_array, feeds.verified_urls)}
     paths = {"urlhaus-online": str(tmp_path / "a.txt"), "phishtank-online-valid": str(tmp_path / "b.json"), "broken": str(tmp_path / "c.json"), "nope": "x"}
-    got, errors = feeds.ingest_all_feeds(spark, paths, str(tmp_path / "out"), "r1", F.lit(5))
+    got, errors = feeds.ingest_all_feeds(spark, paths, str(tmp_path / "out"), "r1", F.lit(5), known=known)
     assert sorted((r["source"], r["host"]) for r in got.collect()) == [("phishtank-online-valid", "c.plover.net"), ("urlhaus-online", "a.plover.net"), ("urlhaus-online", "b.plover.net")]
     assert sorted(errors) == ["broken", "nope"] and all(errors.values())
     feeds.write_entries(got, str(tmp_path / "e"))

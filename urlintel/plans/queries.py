@@ -103,7 +103,7 @@ def read_landed(s, d):
 def ingest_all_feeds(s, d):
     """The blocklist landed as files of five feeds, and read by all of them at once."""
     home, paths = _folder(s), {}
-    feeds.register_feed("phishtank-online-valid", "phishing", feeds.read_json_lines, feeds.verified_urls)
+    known = {**feeds.FEEDS, "phishtank-online-valid": feeds.Feed("phishtank-online-valid", "phishing", feeds.read_json_lines, feeds.verified_urls)}
     lines = x.blocklist(s, d)
     for name in ("oisd-big", "oisd-nsfw", "urlhaus-online", "openphish-feed", "phishtank-online-valid"):
         own, paths[name] = lines.filter(C("source") == name), f"{home}/{name}"
@@ -111,7 +111,7 @@ def ingest_all_feeds(s, d):
             own.select(C("line").alias("url"), F.lit(True).alias("verified")).write.json(paths[name])
         else:
             own.select("line").write.text(paths[name])
-    found, errors = feeds.ingest_all_feeds(s, paths, f"{home}/entries", "r1", F.lit(x.NOW))
+    found, errors = feeds.ingest_all_feeds(s, paths, f"{home}/entries", "r1", F.lit(x.NOW), known=known)
     if errors:
         raise RuntimeError(str(errors))
     return found.select("id", "source", "category", "source_url", "scheme", "host", "domain", F.array_join("sub_domains", ",").alias("sub_domains"), "path", "raw_query")

@@ -85,15 +85,15 @@ def remove_feeds(df: DataFrame, names: list[str]) -> DataFrame:
     return df.filter(~F.col("source").isin(names))
 
 
-def ingest_all_feeds(spark: SparkSession, paths: dict[str, str], out: str, run_id: str, now: Column, names: list[str] | None = None) -> tuple[DataFrame, dict[str, str]]:
-    """The entries of every landed feed, and the error of each feed that couldn't be planned or read.
+def ingest_all_feeds(spark: SparkSession, paths: dict[str, str], out: str, run_id: str, now: Column, names: list[str] | None = None, known: dict[str, Feed] | None = None) -> tuple[DataFrame, dict[str, str]]:
+    """The entries of every landed feed (of those registered, or ``known``), and the error of each feed that couldn't be planned or read.
 
     Every feed is a write of its own under ``out``, so that a file that breaks while it is read ends its feed only.
     """
     made, errors = [], {}
     for name in names or list(paths):
         try:
-            feed = FEEDS[name]
+            feed = (FEEDS if known is None else known)[name]
             lines = feed.transform(feed.reader(spark, paths[name])).select("line", F.lit(name).alias("source"), F.lit(feed.category).alias("category"))
             make_entries(lines, F.lit(run_id), now)[0].write.mode("overwrite").parquet(f"{out}/{name}")
             made.append(spark.read.parquet(f"{out}/{name}"))
