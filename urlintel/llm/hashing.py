@@ -109,3 +109,25 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
         out = np.minimum(out[:-step], out[step:])
         have += step
     return out
+
+
+def word_spans(data: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where every word starts and ends, and its hash as in ``words``. Sums are taken over BLOCK bytes at a time."""
+    inside = np.zeros(len(data) + 2, np.int8)
+    inside[1:-1] = is_word[data]
+    edge = np.diff(inside)
+    start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    out = np.zeros(len(start), U)
+    short = stop - start <= SHORT
+    for at in range(0, len(data), BLOCK):
+        i, j = np.searchsorted(start, (at, at + BLOCK))
+        own = np.flatnonzero(short[i:j]) + i
+        part = data[at : at + BLOCK + SHORT]
+        sums = np.zeros(len(part) + 1, U)
+        np.cumsum(LOWER_CODES[part] * powers(len(part))[: len(part)], out=sums[1:])
+        a, b = start[own] - at, stop[own] - at
+        out[own] = mix((sums[b] - sums[a]) * powers(len(part), _INVERSE)[a] + (b - a).astype(U))
+    for i in np.flatnonzero(~short).tolist():
+        word = LOWER[data[start[i] : stop[i]]].tobytes()
+        out[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+    return start, stop, out

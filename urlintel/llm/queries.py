@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_text, langid, licenses, pii, repeats, shingle_join, token_counts, topk
+from . import bpe, collocations, conversations, decontaminate, html_text, langid, licenses, mixing, pii, repeats, shingle_join, token_counts, topk
 from .arrow import table
 
 
@@ -60,6 +60,18 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(docs.withColumn("path", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(table(spark, sf_dir, "conversations"))
+
+
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
@@ -90,6 +102,15 @@ o AS (SELECT doc_id, k, j, array_to_string(w[j + 1:j + k], ' ') AS s FROM (SELEC
 m AS (SELECT o.doc_id, o.j, o.k, i.item_id FROM o JOIN i ON o.k = i.k AND o.s = i.s), h AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(j, j + k)) AS p FROM m) GROUP BY doc_id),
 g AS (SELECT doc_id, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS t FROM (SELECT DISTINCT doc_id, item_id FROM m) GROUP BY doc_id)
 SELECT d.doc_id, len(d.w) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(g.n, 0) AS n_items, sha256(coalesce(g.t, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN g ON d.doc_id = g.doc_id""",
+    "op11_collocations": f"""WITH p AS (SELECT lang, regexp_extract_all(piece, '[^ \\t]+') AS w FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(coalesce({LOWER}, ''), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents)),
+t AS (SELECT lang, CAST(sum(len(w)) AS HUGEINT) AS n FROM p GROUP BY lang), g AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, range(1, 6) r(k) WHERE len(w) >= k),
+f AS (SELECT lang, k, w[i:i + k - 1] AS w, CAST(count(*) AS HUGEINT) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT *, unnest(range(1, k)) AS cut FROM f WHERE k > 1),
+s AS (SELECT c.lang, c.w, c.k, c.cut, c.f AS a, l.f AS l, r.f AS r, t.n, (1000 * c.f * t.n) // (l.f * r.f) AS score FROM c JOIN t ON c.lang = t.lang JOIN f l ON l.lang = c.lang AND l.w = c.w[1:cut] JOIN f r ON r.lang = c.lang AND r.w = c.w[cut + 1:]),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, w ORDER BY score, cut) = 1),
+sub AS (SELECT DISTINCT x.lang, x.w[i:i + j - 1] AS w, max(x.f) OVER (PARTITION BY x.lang, x.w[i:i + j - 1]) AS f FROM (SELECT *, unnest(range(1, k - j + 2)) AS i FROM f, range(2, 5) r(j) WHERE j < k) x),
+z AS (SELECT b.*, array_to_string(b.w, ' ') AS phrase FROM b LEFT JOIN sub ON b.lang = sub.lang AND b.w = sub.w WHERE sub.f IS NULL OR sub.f < b.a)
+SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM z) WHERE rank <= 2000""",
 }
 
 
