@@ -32,7 +32,8 @@ from .stash import stash
 
 LONGEST, LEAST, FIRST = 5, 100, 2000
 BUCKETS, BLOCK = 1 << 23, 1 << 15  # places of the summary for each length, and those that travel as one row
-RUN = 1 << 20  # words that are counted at once
+RUN = 1 << 19  # words that are counted at once
+STEP = 60_000  # windows between two looks at counts of 16 bits
 SALTS = 64  # parts of a language that are ranked apart before they are ranked together
 WORD = np.ones(256, bool)
 WORD[list(b" \t.,;:!?\n\x0b\x0c\r")] = False
@@ -103,13 +104,16 @@ def summary(docs: DataFrame, longest: int, least: int, buckets: int) -> np.ndarr
     block = min(BLOCK, buckets)
 
     def count(batches):
-        seen = np.zeros((longest, buckets), np.uint32)
+        seen = np.zeros((longest, buckets), np.uint16)
         for batch in batches:
             for part in slices(batch):
                 runs = Runs(part.column(0).to_pylist(), utf8(part.column(1)), longest)
                 for at, end, prefixes in runs:
                     for j, h in enumerate(prefixes):
-                        np.add.at(seen[j], bucket(h[runs.left[at:end] >= j], buckets), 1)
+                        b = bucket(h[runs.left[at:end] >= j], buckets)
+                        for own in np.array_split(b, len(b) // STEP + 1):
+                            np.add.at(seen[j], own, 1)
+                            seen[j][own] = np.minimum(seen[j][own], 255)
         ids, rows = [], []
         for i, counts in enumerate(seen.reshape(-1, block)):
             if counts.any():
