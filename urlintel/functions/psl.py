@@ -12,13 +12,19 @@ from importlib import resources
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_tables: dict[tuple[int, str | None], DataFrame] = {}
+_tables: dict[tuple[str, int, str | None], DataFrame] = {}
+FEW = 100_000  # rules that go to every task; beyond it Spark decides how to join
 HIT = "array<struct<e:int,length:int,private:boolean>>"
 
 
+def ascii_form(suffix: str) -> str:
+    """A suffix as it stands in an address of ASCII only: each label that isn't ASCII in Punycode."""
+    return ".".join(x if x.isascii() else "xn--" + x.lower().encode("punycode").decode() for x in suffix.split("."))
+
+
 @lru_cache(maxsize=4)
 def rules(path: str | None = None) -> list[tuple[str, str, bool]]:
-    """(suffix, kind, private): the list's rules; kind is plain, wild (any label before it) or except. About ten thousand."""
+    """(suffix, kind, private): the list's rules, international ones in both forms; kind is plain, wild (any label before it) or except. About ten thousand."""
     if path is None:
         text = resources.files(__package__).joinpath("data/public_suffix_list.txt").read_text(encoding="utf-8")
     else:
@@ -36,13 +42,15 @@ def rules(path: str | None = None) -> list[tuple[str, str, bool]]:
             out.append((rule[1:], "except", private))
         else:
             out.append((rule, "plain", private))
-    return out
+    return out + [(ascii_form(s), kind, private) for s, kind, private in out if not s.isascii()]
 
 
 def rule_table(spark: SparkSession, path: str | None = None) -> DataFrame:
     """tail, rules: the rules by the last label or the last two of their suffix, made once a session. Spark splits one text into its rows."""
-    where = (spark._jsparkSession.hashCode(), path)
+    where = (spark.sparkContext.applicationId, spark._jsparkSession.hashCode(), path)
     if where not in _tables:
+        for gone in [k for k in _tables if k[0] != where[0]]:
+            del _tables[gone]  # of applications that have ended
         groups: dict[str, list[str]] = {}
         for suffix, kind, private in rules(path):
             groups.setdefault(".".join(suffix.split(".")[-2:]), []).append(f"{suffix} {kind} {int(private)} {suffix.count('.') + 1}")
@@ -87,12 +95,12 @@ def with_registrable(df: DataFrame, compat: bool = False, path: str | None = Non
     no rule matches. A host that is a suffix itself, or equals its registrable domain under a private rule (any rule
     with ``compat``), falls back to its last two labels.
     """
-    table = rule_table(df.sparkSession, path)
+    table, sent = rule_table(df.sparkSession, path), F.broadcast if len(rules(path)) <= FEW else lambda t: t
     host = F.lower("host")
     n = F.size(F.split("host", r"\."))
     out = df
     for i in (1, 2):
         tail = F.when(n >= i, F.substring_index(host, ".", -i))
-        out = out.join(F.broadcast(table.select(F.col("tail").alias(f"_tail{i}"), F.col("rules").alias(f"_rules{i}"))), tail == F.col(f"_tail{i}"), "left").drop(f"_tail{i}")
+        out = out.join(sent(table.select(F.col("tail").alias(f"_tail{i}"), F.col("rules").alias(f"_rules{i}"))), tail == F.col(f"_tail{i}"), "left").drop(f"_tail{i}")
     out = out.withColumn("_best", F.array_max(F.concat(_hits("_rules1", host, n), _hits("_rules2", host, n))))
     return out.withColumn("domain", F.when(F.col("host").isNotNull(), _domain("_best", compat))).drop("_best", "_rules1", "_rules2")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import urls
@@ -28,6 +28,11 @@ def by_ids(entries: DataFrame, ids: DataFrame) -> DataFrame:
     return entries.join(ids.select("id").distinct(), "id", "left_semi")
 
 
+def by_id(entries: DataFrame, id_: str) -> DataFrame:
+    """Deleted or not."""
+    return entries.filter(F.col("id") == id_)
+
+
 def by_full_url(entries: DataFrame, url: str) -> DataFrame:
     return entries.filter(F.col("source_url") == url).orderBy("source", "id").limit(1)
 
@@ -52,14 +57,14 @@ def search_scored(found: DataFrame) -> DataFrame:
 
 def exists_by(probes: DataFrame, entries: DataFrame, column: str) -> DataFrame:
     """The probes (column ``key``) that any active entry has in ``column``."""
-    return probes.join(active(entries).select(F.col(column).alias("key")).distinct(), "key", "left_semi")
+    return probes.join(active(entries).select(F.col(column).alias("key")), "key", "left_semi")
 
 
 def typed_keys(entries: DataFrame) -> DataFrame:
-    """(type, key) of every active entry, by which a match of that type is confirmed."""
+    """(type, key) of every active entry, by which a match of that type is confirmed; not distinct, as a semi-join needs no more."""
     c = F.col
     pairs = F.array(*[urls.key(t, c(t)) for t in ("host", "domain", "ip", "file", "host_path", "full_url")])
-    return active(entries).select(F.explode(F.filter(pairs, lambda k: k["key"].isNotNull())).alias("k")).select("k.*").distinct()
+    return active(entries).select(F.explode(F.filter(pairs, lambda k: k["key"].isNotNull())).alias("k")).select("k.*")
 
 
 def exists_by_type(probes: DataFrame, entries: DataFrame) -> DataFrame:
@@ -79,9 +84,9 @@ def url_id_index(entries: DataFrame) -> DataFrame:
 
 
 def dedup_batch(batch: DataFrame) -> DataFrame:
-    """The last row of each key by (updated_at, seq) wins; the first one's id and created_at stay."""
+    """The last row of each key by (updated_at, seq) wins; the first one's id and created_at stay. Other ties go by content."""
     rest = [c for c in batch.columns if c not in (*KEY, "id", "created_at", "seq")]
-    at = F.struct("updated_at", "seq")
+    at = F.struct("updated_at", "seq", F.xxhash64(*[c for c in batch.columns if c not in KEY]))
     return batch.groupBy(*KEY).agg(F.min_by("id", at).alias("id"), F.min_by("created_at", at).alias("created_at"), F.max_by(F.struct(*rest), at).alias("last")).select(*KEY, "id", "created_at", "last.*")
 
 
@@ -102,17 +107,53 @@ def _merge(target: DataFrame, batch: DataFrame, wins: Column) -> DataFrame:
     return joined.select(*out)
 
 
-def upsert_batch(target: DataFrame, batch: DataFrame) -> DataFrame:
-    """Insert or overwrite by (source_url, source); the stored id and created_at stay, a deletion mark goes."""
-    return _merge(target, batch, F.lit(True))
-
-
-def upsert_if_newer(target: DataFrame, batch: DataFrame) -> DataFrame:
-    return _merge(target, batch, F.col("b.updated_at") > F.col("t.updated_at"))
-
-
-def insert_ignore(target: DataFrame, batch: DataFrame) -> DataFrame:
-    return target.unionByName(batch.select(*target.columns).join(target.select(*KEY), list(KEY), "left_anti"))
+def one_a_key(batch: DataFrame, order: Column | None = None) -> DataFrame:
+    """The batch as one row a key; rows of one updated_at come in the ``order`` given, else in that of a column seq, if any."""
+    if order is None:
+        order = F.col("seq") if "seq" in batch.columns else F.lit(0)
+    return dedup_batch(batch.withColumn("seq", order))
+
+
+def upsert_batch(target: DataFrame, batch: DataFrame, order: Column | None = None) -> DataFrame:
+    """Insert or overwrite by (source_url, source); the stored id and created_at stay, a deletion mark goes. Repeats in the batch are one row first."""
+    return _merge(target, one_a_key(batch, order), F.lit(True))
+
+
+def upsert_if_newer(target: DataFrame, batch: DataFrame, order: Column | None = None) -> DataFrame:
+    return _merge(target, one_a_key(batch, order), F.col("b.updated_at") > F.col("t.updated_at"))
+
+
+def insert_ignore(target: DataFrame, batch: DataFrame, order: Column | None = None) -> DataFrame:
+    """A stored row stays; of a key's rows in the batch the first comes in."""
+    seq = order if order is not None else F.col("seq") if "seq" in batch.columns else F.lit(0)
+    at = F.struct(F.col("updated_at"), seq.alias("seq"), F.xxhash64(*batch.columns).alias("h"))
+    first = batch.groupBy(*KEY).agg(F.min_by(F.struct(*target.columns), at).alias("r")).select("r.*")
+    return target.unionByName(first.join(target.select(*KEY), list(KEY), "left_anti").select(*target.columns))
+
+
+def upsert_stored(spark: SparkSession, path: str, batch: DataFrame, buckets: int, order: Column | None = None) -> None:
+    """``upsert_batch`` into a table stored by (source, bucket of the source_url): only buckets that the batch hits are read and written again.
+
+    Which these are is a list no longer than the table has partitions. ``buckets`` stays as the table was made with.
+    """
+    own = one_a_key(batch, order).withColumn("bucket", F.pmod(F.xxhash64("source_url"), F.lit(buckets)).cast("int"))
+    hit = [(r["source"], r["bucket"]) for r in own.select("source", "bucket").distinct().collect()]
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    columns = [c for c in own.columns if c != "bucket"]
+    if fs.exists(where):
+        stored = spark.read.schema(own.schema).parquet(path)
+        touched: dict[str, list[int]] = {}
+        for source, bucket in hit:
+            touched.setdefault(source, []).append(bucket)
+        some = F.lit(False)
+        for source, numbers in touched.items():
+            some = some | (F.col("source") == source) & F.col("bucket").isin(numbers)
+        target = stored.filter(some).select(*columns)
+    else:
+        target = own.limit(0).select(*columns)
+    out = upsert_batch(target, own.select(*columns)).withColumn("bucket", F.pmod(F.xxhash64("source_url"), F.lit(buckets)).cast("int"))
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source", "bucket").parquet(path)
 
 
 def expire_stale(entries: DataFrame, source: str, run_id: str, now: int) -> DataFrame:

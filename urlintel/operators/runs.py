@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.urls import trimmed
 
 HOUR, DAY, WEEK, DEFAULT_TTL = 3600, 86_400, 604_800, 21_600
+# The units of duration text, in nanoseconds.
+UNITS = {"ns": 1, "us": 10**3, "\u00b5s": 10**3, "\u03bcs": 10**3, "ms": 10**6, "s": 10**9, "m": 60 * 10**9, "h": 3600 * 10**9}
+NUMBER = r"[0-9]+\.?[0-9]*|\.[0-9]+"
 
 
 def record_run(events: DataFrame) -> DataFrame:
@@ -61,12 +64,15 @@ def feed_metrics(runs: DataFrame, rejects: DataFrame, entries: DataFrame) -> Dat
 
 
 def ttl_of_schedule(schedule: Column) -> Column:
-    """Seconds: duration text as it says; the cron forms that feeds use; else hour, day or week by name; else six hours."""
+    """Seconds: duration text as it says (``1h30m``, ``1.5h``, ``90s``, cut to whole seconds); the cron forms that feeds use; else hour, day or week by name; else six hours."""
     s = trimmed(F.coalesce(schedule, F.lit("")))
-    number = lambda unit: F.regexp_extract(s, rf"^([0-9]+){unit}$", 1)
     every = F.regexp_extract(s, r"^[0-9]+ \*/([0-9]+) \* \* \*$", 1)
     low = F.lower(s)
-    out = F.when(s.rlike(r"^[0-9]+h$"), number("h").try_cast("long") * HOUR).when(s.rlike(r"^[0-9]+m$"), number("m").try_cast("long") * 60).when(s.rlike(r"^[0-9]+s$"), number("s").try_cast("long"))
+    steps = F.regexp_extract_all(s, F.lit(f"({NUMBER})({'|'.join(UNITS)})"), 1), F.regexp_extract_all(s, F.lit(f"({NUMBER})({'|'.join(UNITS)})"), 2)
+    scale = F.create_map(*[F.lit(x) for unit, nanos in UNITS.items() for x in (unit, nanos)])
+    nanos = F.aggregate(F.zip_with(*steps, lambda n, unit: n.try_cast("decimal(28,9)") * scale[unit]), F.lit(0).cast("decimal(38,9)"), lambda a, x: (a + x).cast("decimal(38,9)"))
+    whole = F.when(s.startswith("-"), -nanos).otherwise(nanos) / F.lit(10**9).cast("decimal(10,0)")
+    out = F.when(s.rlike(rf"^[+-]?(?:(?:{NUMBER})(?:{'|'.join(UNITS)}))+$"), whole.cast("long")).when(s.rlike(r"^[+-]?0$"), F.lit(0))
     out = out.when(s.rlike(r"^[0-9]+ \* \* \* \*$"), F.lit(HOUR)).when(every != "", every.try_cast("long") * HOUR)
     out = out.when(s.rlike(r"^[0-9]+ [0-9]+ \* \* \*$"), F.lit(DAY)).when(s.rlike(r"^[0-9]+ [0-9]+ \* \* [0-9]$"), F.lit(WEEK))
     return out.when(low.contains("h"), F.lit(HOUR)).when(low.contains("d"), F.lit(DAY)).when(low.contains("w"), F.lit(WEEK)).otherwise(F.lit(DEFAULT_TTL)).cast("long")

@@ -25,7 +25,7 @@ def blocklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = F.array(
         line("oisd-big", host, F.length(host) % 7 == 0), line("oisd-nsfw", F.lit("example.org"), every), line("urlhaus-online", F.col("url"), n % 5 == 1), line("openphish-feed", bare, n % 10 == 2),
         line("phishtank-online-valid", F.concat(F.lit("https://"), host, F.lit("/en")), F.length(host) % 7 == 1), line("urlhaus-online", F.concat(bare, F.lit("?id=1")), F.col("url").like("%.html%") & (n % 2 == 0)),
-        line("urlhaus-online", F.lit("http://192.168.1.1:8080/malware"), every),
+        line("urlhaus-online", F.lit("http://203.0.113.40:8088/dump"), every),
     )
     out = table(spark, sf_dir, "pages").select(F.explode(F.array_compact(listed)).alias("l")).select("l.*")
     category = F.create_map(*[F.lit(x) for s in feeds.SOURCES if s[6] for x in (s[0], s[6])])
@@ -34,7 +34,7 @@ def blocklist(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    odd = pages.agg(F.count("*")).select(F.explode(F.array(F.struct(F.lit(2_000_000).cast("long").alias("a"), F.lit("http://192.168.1.1/other-path").alias("b")), F.struct(F.lit(2_000_001).cast("long").alias("a"), F.lit("clean.example.edu/x").alias("b")))).alias("s"))
+    odd = pages.agg(F.count("*")).select(F.explode(F.array(F.struct(F.lit(2_000_000).cast("long").alias("a"), F.lit("http://203.0.113.40/rest").alias("b")), F.struct(F.lit(2_000_001).cast("long").alias("a"), F.lit("clean.example.edu/x").alias("b")))).alias("s"))
     more = pages.filter("url like '%.html%'").select(F.col("page_id") + 1_000_000, F.concat(F.regexp_replace("url", BARE, ""), F.lit("?id=1")))
     return pages.union(more).union(odd.select("s.a", "s.b")).toDF("url_id", "url")
 
@@ -59,7 +59,7 @@ def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-SUFFIX_HOSTS = ("p{}.example.co.uk", "a.p{}.kawasaki.jp", "p{}.city.kawasaki.jp", "p{}.github.io", "a.p{}.github.io", "a.p{}.unlisted", "github.io")
+SUFFIX_HOSTS = ("p{}.example.co.uk", "a.p{}.kawasaki.jp", "p{}.city.kawasaki.jp", "p{}.github.io", "a.p{}.github.io", "a.p{}.unlisted", "github.io", "a.p{}.\u516c\u53f8.cn", "a.p{}.xn--55qx5d.cn", "p{}.xn--j6w193g", "xn--55qx5d.cn")
 
 
 def suffix_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,10 +87,10 @@ UNION ALL SELECT 'urlhaus-online', url FROM pages WHERE page_id % 5 = 1
 UNION ALL SELECT 'openphish-feed', regexp_replace(url,'[?#].*$','') FROM pages WHERE page_id % 10 = 2
 UNION ALL SELECT 'phishtank-online-valid', concat('https://', host, '/en') FROM h WHERE length(host) % 7 = 1
 UNION ALL SELECT 'urlhaus-online', concat(regexp_replace(url,'[?#].*$',''),'?id=1') FROM pages WHERE url LIKE '%.html%' AND page_id % 2 = 0
-UNION ALL SELECT 'urlhaus-online', 'http://192.168.1.1:8080/malware'))"""
+UNION ALL SELECT 'urlhaus-online', 'http://203.0.113.40:8088/dump'))"""
 CHECKS = """checks AS (SELECT page_id AS url_id, url FROM pages
 UNION ALL SELECT page_id + 1000000, concat(regexp_replace(url,'[?#].*$',''),'?id=1') FROM pages WHERE url LIKE '%.html%'
-UNION ALL SELECT 2000000, 'http://192.168.1.1/other-path'
+UNION ALL SELECT 2000000, 'http://203.0.113.40/rest'
 UNION ALL SELECT 2000001, 'clean.example.edu/x')"""
 _RE = urls.URL.replace("'", "''")
 _V4 = urls.IPV4.replace("(?:", "(")
@@ -110,7 +110,7 @@ SELECT *, CASE WHEN contains(trim({url}), '://') OR starts_with(trim({url}), '//
 
 # The rules that decide on these hosts, and the domain by them.
 SUFFIX_DOMAINS = f"""u AS (SELECT page_id, replace([{', '.join(repr(h) for h in SUFFIX_HOSTS)}][page_id % {len(SUFFIX_HOSTS)} + 1], '{{}}', page_id::VARCHAR) AS host FROM pages),
-rules(suffix, kind, private) AS (VALUES ('uk', 'plain', false), ('co.uk', 'plain', false), ('jp', 'plain', false), ('kawasaki.jp', 'wild', false), ('city.kawasaki.jp', 'except', false), ('io', 'plain', false), ('github.io', 'plain', true)),
+rules(suffix, kind, private) AS (VALUES ('uk', 'plain', false), ('co.uk', 'plain', false), ('jp', 'plain', false), ('kawasaki.jp', 'wild', false), ('city.kawasaki.jp', 'except', false), ('io', 'plain', false), ('github.io', 'plain', true), ('cn', 'plain', false), ('\u516c\u53f8.cn', 'plain', false), ('xn--55qx5d.cn', 'plain', false), ('xn--j6w193g', 'plain', false)),
 hit AS (SELECT page_id, string_split(host, '.') AS labels, kind = 'except' AS e, private, len(string_split(suffix, '.')) + CASE kind WHEN 'wild' THEN 1 WHEN 'except' THEN -1 ELSE 0 END AS k FROM u LEFT JOIN rules ON host = suffix OR ends_with(host, '.' || suffix)),
 best AS (SELECT *, coalesce(k, 1) AS size FROM hit QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY e DESC NULLS LAST, k DESC NULLS LAST) = 1),
 suffixed AS (SELECT page_id, labels, CASE WHEN len(labels) <= size OR len(labels) = size + 1 AND coalesce(private, false) THEN labels[-2:] ELSE labels[-(size + 1):] END AS tail FROM best)"""

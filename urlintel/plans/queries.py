@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import urls
 from ..operators import check, entries, index, lookup, runs
 from ..sources import feeds
-from ..streaming import jobs
+from ..streaming import jobs, store
 from . import fixtures as x
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -325,7 +325,7 @@ def entries_by_category(s, d):
 
 @query(S + "SELECT id, source_url FROM stored WHERE id = 'e13'")
 def entry_by_id(s, d):
-    return x.stored(s, d).filter(C("id") == "e13").select("id", "source_url")
+    return entries.by_id(x.stored(s, d), "e13").select("id", "source_url")
 
 
 @query(S + "SELECT id, source_url FROM stored WHERE id IN (SELECT 'e' || event_id FROM events WHERE event_type = 'error')")
@@ -336,8 +336,7 @@ def entries_by_ids(s, d):
 
 @query(S + "SELECT id, source_url FROM stored WHERE source_url = (SELECT min(url) FROM pages)")
 def entry_by_full_url(s, d):
-    least = pages(s, d).agg(F.min("url").alias("source_url"))
-    return x.stored(s, d).join(least, "source_url", "left_semi").orderBy("source", "id").limit(1).select("id", "source_url")
+    return entries.by_full_url(x.stored(s, d), pages(s, d).agg(F.min("url")).first()[0]).select("id", "source_url")
 
 
 @query(S + "SELECT id, category, created_at FROM stored WHERE deleted_at IS NULL AND lower(category) LIKE '%cat-1%' AND source = 's0' ORDER BY created_at DESC, id LIMIT 20 OFFSET 3")
@@ -400,6 +399,14 @@ def bulk_hit(s, d):
     return got.select("url_id", "blocked", F.round("confidence", 9).alias("confidence"), "level", F.coalesce(flat("matches"), F.lit("")).alias("matches"))
 
 
+@query(f"WITH {x.TRUST}, {x.MATCHES}, w AS (SELECT m.*, coalesce(trust, 0.5) AS trust, {x.WEIGHT} AS weight FROM matches m LEFT JOIN trust t ON m.source = t.source), g AS (SELECT url_id, CASE WHEN count(*) = 1 THEN max(trust) ELSE sum(trust * weight) / sum(trust) END AS c, string_agg(source || '|' || type || '|' || key, ';' ORDER BY ord, source) AS t FROM w GROUP BY url_id) SELECT c.url_id, g.url_id IS NOT NULL AS blocked, round(coalesce(g.c, 0), 9) AS confidence, {x.level('coalesce(round(g.c, 9), 0)')} AS level, coalesce(g.t, '') AS matches FROM checks c LEFT JOIN g ON c.url_id = g.url_id")
+def bulk_hit_all(s, d):
+    """Every confirmed match counts, by the weighted mean."""
+    got = check.bulk_hit(x.checks(s, d), x.key_index(s, d), x.entries(s, d), feeds.load_trust(s), match_mode="all")
+    score = F.round("confidence", 9)
+    return got.select("url_id", "blocked", score.alias("confidence"), urls.confidence_level(score).alias("level"), F.coalesce(flat("matches"), F.lit("")).alias("matches"))
+
+
 @query(f"WITH {x.MATCHES} SELECT url, key, source FROM (SELECT DISTINCT url, key, source FROM matches WHERE type = 'domain')")
 def subdomain_cover(s, d):
     return check.covered_by(x.checks(s, d), x.key_index(s, d), "domain")
@@ -618,6 +625,18 @@ def query_mixed(s, d):
     return lookup.query_mixed(*_links(s, d))
 
 
+@query(f"WITH {MIXED} SELECT link, match_type, matched_value, count(*) AS n FROM hits GROUP BY ALL")
+def mixed_values(s, d):
+    """What each link shares with how many entries."""
+    return lookup.mixed_values(*_links(s, d))[0]
+
+
+@query(f"WITH {MIXED} SELECT DISTINCT match_type, matched_value, id FROM hits")
+def mixed_value_entries(s, d):
+    """The entries of each value that links have."""
+    return lookup.mixed_values(*_links(s, d))[1]
+
+
 @query(R + "SELECT run_id, status FROM runs WHERE run_id % 3 <> 1 UNION ALL SELECT run_id, 'memory' FROM runs WHERE run_id % 3 = 1 AND run_id % 2 = 0")
 def merge_run_history(s, d):
     r = x.runs(s, d).select("run_id", "status")
@@ -627,14 +646,18 @@ def merge_run_history(s, d):
 # ---- changes
 
 NEW = """b1 AS (SELECT 'a' || page_id AS id, url AS source_url, 'f' AS source, 'one' AS category, page_id AS created_at, page_id AS updated_at, CASE WHEN page_id % 5 = 0 THEN page_id END AS deleted_at FROM pages WHERE page_id % 2 = 0),
-b2 AS (SELECT 'b' || page_id AS id, url AS source_url, 'f' AS source, 'two' AS category, 1000 - page_id AS created_at, 1000 - page_id AS updated_at, CAST(NULL AS BIGINT) AS deleted_at FROM pages WHERE page_id % 3 = 0)"""
+raw AS (SELECT 'b' || page_id || '-' || i AS id, url AS source_url, 'f' AS source, CASE i WHEN 0 THEN 'two' ELSE 'three' END AS category, 1000 - page_id + i AS created_at, 1000 - page_id + i AS updated_at, CAST(NULL AS BIGINT) AS deleted_at, i FROM pages, range(0, 2) r(i) WHERE page_id % 3 = 0 AND i <= page_id % 2),
+b2 AS (SELECT arg_min(id, i) AS id, source_url, 'f' AS source, arg_max(category, i) AS category, min(created_at) AS created_at, max(updated_at) AS updated_at, CAST(NULL AS BIGINT) AS deleted_at FROM raw GROUP BY source_url),
+b3 AS (SELECT id, source_url, source, category, created_at, updated_at, deleted_at FROM raw WHERE i = 0)"""
 
 
 def _two(s, d):
     p = pages(s, d)
     cols = lambda a, cat, at, gone: (F.concat(F.lit(a), C("page_id").cast("string")).alias("id"), C("url").alias("source_url"), F.lit("f").alias("source"), F.lit(cat).alias("category"), at.alias("created_at"), at.alias("updated_at"), gone.cast("long").alias("deleted_at"))
     one = p.filter("page_id % 2 = 0").select(*cols("a", "one", C("page_id"), F.when(C("page_id") % 5 == 0, C("page_id"))))
-    return one, p.filter("page_id % 3 = 0").select(*cols("b", "two", 1000 - C("page_id"), F.lit(None)))
+    again = p.filter("page_id % 3 = 0").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), C("page_id") % 2)))
+    two = again.select(*cols("b", "two", 1000 - C("page_id") + C("i"), F.lit(None)), "i")
+    return one, two.withColumns({"id": F.concat_ws("-", "id", "i"), "category": F.when(C("i") == 0, "two").otherwise("three")}).drop("i")
 
 
 def _merged_sql(wins):
@@ -651,7 +674,7 @@ def upsert_if_newer(s, d):
     return entries.upsert_if_newer(*_two(s, d))
 
 
-@query(f"WITH {NEW} SELECT * FROM b1 UNION ALL SELECT * FROM b2 WHERE source_url NOT IN (SELECT source_url FROM b1)")
+@query(f"WITH {NEW} SELECT * FROM b1 UNION ALL SELECT * FROM b3 WHERE source_url NOT IN (SELECT source_url FROM b1)")
 def insert_ignore(s, d):
     return entries.insert_ignore(*_two(s, d))
 
@@ -709,31 +732,82 @@ def freshness(s, d):
     return x.runs(s, d).select("run_id", age.alias("age"), fresh.alias("fresh"))
 
 
-@query("SELECT event_id, CAST(CASE event_id % 6 WHEN 0 THEN (event_id % 24 + 1) * 3600 WHEN 1 THEN 3600 WHEN 2 THEN (event_id % 11 + 1) * 3600 WHEN 3 THEN 86400 WHEN 4 THEN 604800 ELSE 21600 END AS BIGINT) AS ttl_seconds FROM events")
+@query("SELECT event_id, CAST(CASE event_id % 9 WHEN 0 THEN (event_id % 24 + 1) * 3600 WHEN 1 THEN 3600 WHEN 2 THEN (event_id % 11 + 1) * 3600 WHEN 3 THEN 86400 WHEN 4 THEN 604800 WHEN 5 THEN (event_id % 24) * 3600 + (event_id % 60) * 60 WHEN 6 THEN (event_id % 24) * 3600 + 1800 WHEN 7 THEN (event_id % 24) * 3600 + event_id % 60 ELSE 21600 END AS BIGINT) AS ttl_seconds FROM events")
 def ttl_of_schedule(s, d):
+    """Duration texts of one unit and several, fractions, and the cron forms."""
     n = C("event_id")
     t = lambda *p: F.concat(*[F.lit(v) if isinstance(v, str) else v.cast("string") for v in p])
-    schedule = F.when(n % 6 == 0, t(n % 24 + 1, "h")).when(n % 6 == 1, t(n % 60, " * * * *")).when(n % 6 == 2, t("5 */", n % 11 + 1, " * * *")).when(n % 6 == 3, t(n % 60, " 3 * * *")).when(n % 6 == 4, t("0 0 * * ", n % 7))
+    forms = (t(n % 24 + 1, "h"), t(n % 60, " * * * *"), t("5 */", n % 11 + 1, " * * *"), t(n % 60, " 3 * * *"), t("0 0 * * ", n % 7), t(n % 24, "h", n % 60, "m"), t(n % 24, ".5h"), t(n % 24, "h0m", n % 60, ".9s"))
+    schedule = F.element_at(F.array(*forms, F.lit("")), (n % 9 + 1).cast("int"))
     return x.table(s, d, "events").select("event_id", runs.ttl_of_schedule(schedule).alias("ttl_seconds"))
 
 
 # ---- streams, run to their end over the given tables and compared with the batch answer
 
 
-@query("SELECT url AS source_url, 'malware' AS category FROM pages")
+def _two_feeds(s, d):
+    """Two feeds as streams into one table; the checkpoint of one is lost between two runs, and the table compacted."""
+    home, p, none = _folder(s), pages(s, d), {"availableNow": True}
+    p.select("url").write.text(f"{home}/urlhaus-online")
+    p.select(F.regexp_extract("url", "://([^/?#:]*)", 1).alias("line")).distinct().write.text(f"{home}/oisd-big")
+    for name, state in (("urlhaus-online", "c0"), ("oisd-big", "c1"), ("oisd-big", "c1"), ("urlhaus-online", "c2")):
+        jobs.stream_ingest(s, f"{home}/{name}", name, f"{home}/table", f"{home}/{state}", F.lit(x.NOW), none).awaitTermination()
+        if state == "c1":
+            store.compact(s, f"{home}/table")
+    return f"{home}/table"
+
+
+FED = "fed AS (SELECT 'urlhaus-online' AS source, url AS line FROM pages UNION ALL SELECT DISTINCT 'oisd-big', regexp_extract(url, '://([^/?#:]*)', 1) FROM pages)"
+
+
+@query(f"WITH {FED} SELECT source, line AS source_url, CASE source WHEN 'oisd-big' THEN 'blocklist' ELSE 'malware' END AS category FROM fed")
 def stream_ingest(s, d):
-    home = _folder(s)
-    pages(s, d).select("url").write.text(f"{home}/landing")
-    jobs.stream_ingest(s, f"{home}/landing", "urlhaus-online", f"{home}/entries", f"{home}/state", f"{home}/index", F.lit(x.NOW), {"availableNow": True}).awaitTermination()
-    return jobs.read_entries(s, f"{home}/entries").select("source_url", "category")
+    return store.read_entries(s, _two_feeds(s, d)).select("source", "source_url", "category")
 
 
-@query(SQL["entry_keys_stored"].replace("SELECT id, k.type AS type, k.key AS key FROM (SELECT id,", "SELECT DISTINCT 'urlhaus-online' AS source, k.type AS type, k.key AS key FROM (SELECT id,"))
+@query(f"WITH {FED} SELECT source, k.type AS type, k.key AS key, count(*) AS entries FROM (SELECT source, {x.TARGET} AS k FROM {x.parts('fed', 'line')}) GROUP BY ALL")
 def stream_index(s, d):
-    home = _folder(s)
-    pages(s, d).select("url").write.text(f"{home}/landing")
-    jobs.stream_ingest(s, f"{home}/landing", "urlhaus-online", f"{home}/entries", f"{home}/state", f"{home}/index", F.lit(x.NOW), {"availableNow": True}).awaitTermination()
-    return jobs.read_index(s, f"{home}/index").select("source", "type", "key")
+    return store.read_index(s, _two_feeds(s, d)).select("source", "type", "key", "entries")
+
+
+def _changed(s, d):
+    """A stored table; a new run brings all but every third page of one source; ids go; some come back."""
+    table, e = f"{_folder(s)}/table", x.stored(s, d).withColumn("deleted_at", F.lit(None).cast("long"))
+    store.upsert(s, table, e.drop("page_id"), "a", 0)
+    store.upsert(s, table, e.filter("source = 's1' and page_id % 7 <> 0").withColumn("run_id", F.lit("r9")).drop("page_id"), "a", 1)
+    store.expire_stale(s, table, "s1", "r9", 5000, "x", 0)
+    store.compact(s, table)
+    store.soft_delete_ids(s, table, e.filter("page_id % 8 = 1").select("id"), 6000, "x", 1)
+    store.upsert(s, table, e.filter("page_id % 16 = 1").drop("page_id"), "b", 0)
+    return table
+
+
+CHANGED = f"{x.STORED}, changed AS (SELECT *, CASE WHEN page_id % 16 = 1 THEN NULL WHEN page_id % 8 = 1 THEN 6000 WHEN source = 's1' AND page_id % 7 = 0 THEN 5000 END AS gone FROM stored)"
+
+
+@query(f"WITH {CHANGED} SELECT id, source, source_url, CAST(gone AS BIGINT) AS deleted_at FROM changed")
+def store_entries(s, d):
+    """Upserts, an expiry, deletions by id and revivals over a table of batches."""
+    return store.read_entries(s, _changed(s, d)).select("id", "source", "source_url", "deleted_at")
+
+
+@query(f"WITH {CHANGED} SELECT source_url, string_agg(id, ',' ORDER BY id) AS ids FROM changed WHERE gone IS NULL GROUP BY source_url")
+def store_url_ids(s, d):
+    """The inverted index after the same changes."""
+    return store.read_url_ids(s, _changed(s, d)).select("source_url", F.array_join("ids", ",").alias("ids"))
+
+
+LIVING = f"{CHANGED}, {x.CHECKS}, cparts AS (SELECT * FROM {x.parts('checks', 'url')}), keys AS (SELECT url_id, unnest(range(0, len(p))) AS ord, unnest(p).type AS type, unnest(p).key AS key FROM (SELECT *, {x.PROBES} AS p FROM cparts)), idx AS (SELECT DISTINCT k.type AS type, k.key AS key, source FROM (SELECT {x.TARGET} AS k, source FROM changed WHERE gone IS NULL)), first AS (SELECT k.url_id, i.source, k.type, k.key FROM keys k JOIN idx i ON k.type = i.type AND k.key = i.key QUALIFY row_number() OVER (PARTITION BY url_id ORDER BY ord, source) = 1)"
+
+
+@query(f"WITH {LIVING} SELECT c.url_id, f.url_id IS NOT NULL AS likely, coalesce(f.source || '|' || f.type || '|' || f.key, '') AS matches FROM checks c LEFT JOIN first f ON c.url_id = f.url_id")
+def stream_check_changed(s, d):
+    """A stream of URLs against the table after the same changes: what has expired is no longer reported."""
+    table, home = _changed(s, d), _folder(s)
+    x.checks(s, d).write.parquet(f"{home}/checks")
+    checks = s.readStream.schema("url_id long, url string").parquet(f"{home}/checks")
+    jobs.stream_check(checks, table, f"{home}/out", f"{home}/state", {"availableNow": True}).awaitTermination()
+    return s.read.parquet(f"{home}/out").select("url_id", "likely", F.coalesce(flat("matches"), F.lit("")).alias("matches"))
 
 
 @query(SQL["bulk_check"])
@@ -761,7 +835,7 @@ def stream_matches(s, d):
 def stream_bootstrap(s, d):
     home = _folder(s)
     jobs.stream_bootstrap(x.entries(s, d), home)
-    return jobs.read_index(s, home)
+    return store.read_index(s, home).select("type", "key", "source")
 
 
 @query("SELECT DISTINCT 's' || (user_id % 4) AS source, 'u' || (user_id % 50) AS source_url FROM events")

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import urls
+from ..operators.entries import one_a_key
 from ..operators.runs import ttl_of_schedule
 
 LONGEST_LINE = 1 << 20
@@ -86,19 +88,25 @@ def remove_feeds(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def ingest_all_feeds(spark: SparkSession, paths: dict[str, str], out: str, run_id: str, now: Column, names: list[str] | None = None, known: dict[str, Feed] | None = None) -> tuple[DataFrame, dict[str, str]]:
-    """The entries of every landed feed (of those registered, or ``known``), and the error of each feed that couldn't be planned or read.
+    """The entries of every landed feed (of those registered, or ``known``), one a key, and the error of each feed that couldn't be planned or read.
 
-    Every feed is a write of its own under ``out``, so that a file that breaks while it is read ends its feed only.
+    Every feed is a write of its own under ``out``, side by side with the others, so that a file that breaks while it is
+    read ends its feed only.
     """
-    made, errors = [], {}
-    for name in names or list(paths):
+    asked, errors = names or list(paths), {}
+
+    def ingest(name: str) -> DataFrame | None:
         try:
             feed = (FEEDS if known is None else known)[name]
             lines = feed.transform(feed.reader(spark, paths[name])).select("line", F.lit(name).alias("source"), F.lit(feed.category).alias("category"))
-            make_entries(lines, F.lit(run_id), now)[0].write.mode("overwrite").parquet(f"{out}/{name}")
-            made.append(spark.read.parquet(f"{out}/{name}"))
+            one_a_key(make_entries(lines, F.lit(run_id), now)[0]).write.mode("overwrite").parquet(f"{out}/{name}")
+            return spark.read.parquet(f"{out}/{name}")
         except Exception as e:  # one feed's failure leaves the others; the caller gets its reason
             errors[name] = (str(e).splitlines() or [type(e).__name__])[0]
+            return None
+
+    with ThreadPoolExecutor(max(1, len(asked))) as pool:  # a thread a feed only waits for its write
+        made = [df for df in pool.map(ingest, asked) if df is not None]
     none = spark.createDataFrame([], "line string, source string, category string")
     return (reduce(DataFrame.unionByName, made) if made else make_entries(none, F.lit(run_id), now)[0]), errors
 
@@ -198,8 +206,8 @@ def source_hosts(sources: DataFrame, url_col: str = "source_url", extra: str = "
 
 
 def write_entries(entries: DataFrame, path: str) -> None:
-    """Only the sources present in ``entries`` are overwritten."""
-    entries.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source").parquet(path)
+    """Only the sources present in ``entries`` are overwritten. Repeats are one row."""
+    one_a_key(entries).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source").parquet(path)
 
 
 def write_index(index: DataFrame, path: str) -> None:

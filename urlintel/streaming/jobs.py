@@ -1,119 +1,66 @@
 """Structured Streaming: landed lines to entries and index, streams of URLs to verdicts.
 
-A table that a stream keeps is a folder of batches. Each micro-batch writes ``batch=<id>`` from its own rows alone, so its
-cost doesn't grow with the table and a batch that is run again after a failure writes the same rows again. A folder counts
-once its _SUCCESS is there; readers never see half of one, and there is no pointer that could be missing. What belongs
-together is merged when it is read; ``compact`` folds the batches so far into ``base=<id>`` now and then.
+Streams of any number of feeds write to one table of batches (``store``). Each micro-batch writes its own rows and reads
+nothing of the table, so its cost doesn't grow with it. A stream is known by its checkpoint: a new one is a new stream,
+whose batches count beside those of the old one. The key index is read from the same table, so that it can't differ.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import urls
-from ..operators import check, entries, index
+from ..operators import check
 from ..sources import feeds
+from . import store
 
 COMPACT_EVERY = 64  # batches between two compactions
-BOOTSTRAP = -1
-
-
-def _files(spark: SparkSession, path: str):
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
-
-
-def versions(spark: SparkSession, table: str) -> tuple[int | None, list[int], list[int]]:
-    """The newest whole base, the whole batches after it, and the bases and batches before it, as numbers."""
-    fs, where = _files(spark, table)
-    found: dict[str, list[int]] = {"base": [], "batch": []}
-    if fs.exists(where):
-        for status in fs.listStatus(where):
-            kind, _, number = status.getPath().getName().partition("=")
-            if kind in found and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
-                found[kind].append(int(number))
-    base = max(found["base"], default=None)
-    return base, sorted(n for n in found["batch"] if base is None or n > base), sorted(found["base"])
-
-
-def read_parts(spark: SparkSession, table: str, before: int | None = None) -> DataFrame | None:
-    """All rows of the base and of the batches after it (only those ``before`` a batch), each with the seq of its folder; None while there are none."""
-    base, batches, _ = versions(spark, table)
-    names = ([] if base is None else [f"base={base}"]) + [f"batch={n}" for n in batches if before is None or n < before]
-    if not names:
-        return None
-    number = F.regexp_extract("_metadata.file_path", r"/(?:base|batch)=(-?[0-9]+)/[^/]*$", 1)
-    return spark.read.parquet(*[f"{table}/{name}" for name in names]).withColumn("seq", number.cast("long"))
-
 
-def merged_entries(parts: DataFrame) -> DataFrame:
-    """One row a key, as if the batches had been upserted in their order: the first id and created_at, the rest of the last."""
-    rest = [c for c in parts.columns if c not in (*entries.KEY, "id", "created_at", "seq")]
-    one = parts.groupBy(*entries.KEY).agg(F.min_by("id", "seq").alias("id"), F.min_by("created_at", "seq").alias("created_at"), F.max_by(F.struct(*rest), "seq").alias("last"))
-    return one.select(*entries.KEY, "id", "created_at", "last.*")
 
+def stream_name(spark: SparkSession, checkpoint: str) -> str:
+    """The id that Spark gives a query when it first uses a checkpoint."""
+    return spark.read.json(f"{checkpoint}/metadata").first()["id"]
 
-def read_entries(spark: SparkSession, table: str) -> DataFrame | None:
-    parts = read_parts(spark, table)
-    return None if parts is None else merged_entries(parts)
 
-
-def read_index(spark: SparkSession, table: str) -> DataFrame | None:
-    """An entry's key is told by its address, so an index only ever gains rows until it is rebuilt."""
-    parts = read_parts(spark, table)
-    return None if parts is None else parts.select("type", "key", "source").distinct()
-
-
-def compact(spark: SparkSession, table: str, merge) -> None:
-    """Fold all batches into a base. What the base before it was made of goes now, not at once, so that its readers can end."""
-    base, batches, bases = versions(spark, table)
-    if not batches:
-        return
-    merge(read_parts(spark, table)).write.mode("overwrite").parquet(f"{table}/base={batches[-1]}")
-    fs, where = _files(spark, table)
-    for status in fs.listStatus(where):
-        kind, _, number = status.getPath().getName().partition("=")
-        if base is not None and (kind == "batch" and int(number) <= base or kind == "base" and int(number) < base):
-            fs.delete(status.getPath(), True)
-
-
-def apply_lines(lines: DataFrame, batch_id: int, entries_at: str, index_at: str | None, run_id: Column, now: Column, compact_every: int = COMPACT_EVERY) -> None:
-    """Write one batch of lines (line, source, category) as entries, and their keys."""
+def apply_lines(lines: DataFrame, stream: str, batch_id: int, table: str, run_id: Column, now: Column, compact_every: int = COMPACT_EVERY) -> bool:
+    """Write one batch of lines (line, source, category) as entries with their keys; False where it counts already."""
     spark = lines.sparkSession
     batch, _ = feeds.make_entries(lines, run_id, now)
-    entries.dedup_batch(batch.withColumn("seq", F.lit(0))).write.mode("overwrite").parquet(f"{entries_at}/batch={batch_id}")
-    if index_at:
-        index.key_index(spark.read.parquet(f"{entries_at}/batch={batch_id}")).write.mode("overwrite").parquet(f"{index_at}/batch={batch_id}")
-    if batch_id % compact_every == compact_every - 1:
-        compact(spark, entries_at, merged_entries)
-        if index_at:
-            compact(spark, index_at, lambda parts: parts.select("type", "key", "source").distinct())
+    new = store.upsert(spark, table, batch, stream, batch_id)
+    if new and len(store.snapshot(spark, table)[1]) >= compact_every:
+        store.compact(spark, table)
+    return new
 
 
-def stream_ingest(spark: SparkSession, landing: str, source: str, entries_at: str, checkpoint: str, index_at: str | None = None, now: Column | None = None, trigger: dict | None = None, files_per_batch: int = 100) -> StreamingQuery:
-    """Landed text files of one feed into the entries table, and its key index with every batch."""
+def stream_ingest(spark: SparkSession, landing: str, source: str, table: str, checkpoint: str, now: Column | None = None, trigger: dict | None = None, files_per_batch: int = 100) -> StreamingQuery:
+    """Landed text files of one feed into the table of entries, which other streams may write to as well."""
     feed = feeds.FEEDS[source]
     lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(landing).withColumnRenamed("value", "line")
     lines = feeds.flat_lines(lines).select("line", F.lit(source).alias("source"), F.lit(feed.category).alias("category"))
     at = now if now is not None else F.unix_micros(F.current_timestamp()) * 1000
-    work = lambda df, batch_id: apply_lines(df, batch_id, entries_at, index_at, F.lit(f"{source}-{batch_id}"), at)
+
+    def work(df: DataFrame, batch_id: int) -> None:
+        apply_lines(df, stream_name(df.sparkSession, checkpoint), batch_id, table, F.lit(f"{source}-{batch_id}"), at)
+
     return lines.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "5 seconds"})).start()
 
 
-def stream_bootstrap(stored: DataFrame, index_at: str) -> None:
-    """Build the whole index from the stored active entries before a stream starts."""
-    index.key_index(stored).write.mode("overwrite").parquet(f"{index_at}/base={BOOTSTRAP}")
+def stream_bootstrap(stored: DataFrame, table: str) -> None:
+    """Put stored entries into a table, and so their keys into its index, before streams start."""
+    store.upsert(stored.sparkSession, table, stored, f"bootstrap-{uuid.uuid4().hex}", 0)
 
 
-def stream_check(checks: DataFrame, index_at: str, out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+def stream_check(checks: DataFrame, table: str, out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Verdicts for a stream of (url_id, url) against the index as it is at each batch; no state across batches."""
 
     def work(df: DataFrame, batch_id: int) -> None:
-        current = read_index(df.sparkSession, index_at)
+        current = store.read_index(df.sparkSession, table)
         if current is None:
-            raise ValueError(f"there is no index at {index_at}: build one with stream_bootstrap")
+            raise ValueError(f"there is no table at {table}: fill it with stream_bootstrap")
         check.bulk_check(df, current).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return checks.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "5 seconds"})).start()
