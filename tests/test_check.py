@@ -1,39 +1,59 @@
+from itertools import product
+
 import pytest
 from pyspark.sql import functions as F
 
 from urlintel.operators import check, entries, index
 from urlintel.sources import feeds
 
-CASES = [
-    ([("https://gull-bank.com", "oisd-big")], "https://pay.gull-bank.com/in", ("domain", "gull-bank.com")),
-    ([("https://pay.gull-bank.com", "oisd-big")], "https://pay.gull-bank.com/any/where", ("host", "pay.gull-bank.com")),
-    ([("https://gull-bank.com/refund", "urlhaus-online")], "https://gull-bank.com/refund", ("host_path", "gull-bank.com/refund")),
-    ([("https://gull-bank.com/x/", "urlhaus-online")], "https://gull-bank.com/x/y/z", ("host_path", "gull-bank.com/x")),
-    ([("https://get.tern-files.org/viewer.apk", "urlhaus-online")], "https://other.tern-files.org/viewer.apk", ("file", "viewer.apk")),
-    ([("https://tern-files.org/auth.jsp?next=home", "openphish-feed")], "https://tern-files.org/auth.jsp?next=home", ("full_url", "tern-files.org/auth.jsp?next=home")),
-    ([("https://tern-files.org/auth.jsp?next=home", "openphish-feed")], "https://tern-files.org/auth.jsp?next=help", None),
-    ([("http://198.51.100.23:9000/bin", "urlhaus-online")], "http://198.51.100.23:9000/else", ("ip", "198.51.100.23")),
-    ([("http://198.51.100.23:9000/bin", "urlhaus-online")], "http://198.51.100.24/bin", None),
-    ([("https://gull-bank.com", "oisd-big"), ("https://gull-bank.com/below/it", "urlhaus-online")], "https://gull-bank.com/below/it", ("domain", "gull-bank.com")),
-    ([("https://gull-bank.com", "oisd-big")], "https://plover.net", None),
-    ([("https://north.plover.net/p", "oisd-big")], "https://south.plover.net/p", None),
-    ([("\tgull-bank.com\u00a0", "oisd-big")], " https://gull-bank.com/z\t", ("domain", "gull-bank.com")),
-]
-
-
 def build(spark, rows):
     lines = spark.createDataFrame([(u, s, "c") for u, s in rows], "line string, source string, category string")
     return feeds.make_entries(lines, F.lit("r"), F.lit(1))[0]
 
 
-def test_cases(spark):
-    """Each case under hosts of its own would need its own index; they are run one by one over few rows."""
-    for listed, url, want in CASES:
-        idx = index.key_index(build(spark, listed))
-        r = check.bulk_check(spark.createDataFrame([(1, url), (2, "")], "url_id long, url string"), idx).orderBy("url_id").collect()
-        got = [(m["type"], m["key"]) for m in r[0]["matches"] or []]
-        assert got == ([want] if want else []) and r[0]["max_depth"] == (10 if want else 0), url
-        assert r[1]["error"] == "invalid_url" and not r[1]["likely"]
+def covers(listed, asked):
+    """The first key of ``asked`` that ``listed`` has, by a rule of its own: both are (sub-domain, path segments, file, query) of one domain."""
+    sub, path, file, query = listed
+    name = lambda s: f"{s}.{DOMAIN}" if s else DOMAIN
+    if file and query:
+        return ("full_url", f"{name(sub)}/{'/'.join((*path, file))}?{query}") if asked == listed else None
+    if file:
+        return ("file", file) if asked[2] == file else None
+    if path:
+        whole = (*asked[1], asked[2]) if asked[2] else asked[1]
+        return ("host_path", f"{name(sub)}/{'/'.join(path)}") if asked[0] == sub and whole[: len(path)] == path else None
+    if sub:
+        return ("host", name(sub)) if asked[0] == sub else None
+    return ("domain", DOMAIN)
+
+
+DOMAIN = "brook-{}.org"
+SHAPES = list(product(("", "west", "far.west"), ((), ("in",), ("in", "deep")), (None, "kit-{}.bin"), (None, "v=3")))
+
+
+def test_every_pair_of_shapes(spark):
+    """A URL of each shape listed, and URLs of all shapes checked against it; each listed one has a domain of its own."""
+    url = lambda i, s: "https://" + (s[0] + "." if s[0] else "") + DOMAIN.format(i) + "".join("/" + x for x in s[1]) + ("/" + s[2].format(i) if s[2] else "") + ("?" + s[3] if s[3] else "")
+    idx = index.key_index(build(spark, [(url(i, s), "oisd-big") for i, s in enumerate(SHAPES)]))
+    pairs = [(i, listed, asked) for i, listed in enumerate(SHAPES) for asked in SHAPES]
+    checks = spark.createDataFrame([(n, url(i, asked)) for n, (i, _, asked) in enumerate(pairs)], "url_id long, url string")
+    hits = 0
+    for r in check.bulk_check(checks, idx).collect():
+        i, listed, asked = pairs[r["url_id"]]
+        want = covers(listed, asked)
+        assert [(m["type"], m["key"]) for m in r["matches"] or []] == ([(want[0], want[1].replace("{}", str(i)))] if want else []), (listed, asked)
+        assert r["max_depth"] == (10 if want else 0)
+        hits += want is not None
+    assert 200 < hits < len(pairs) - 200
+
+
+def test_order_of_hits_and_errors(spark):
+    """The broadest key comes first, of sources the least; an address covers all its ports and paths; an empty URL is an error of its own."""
+    idx = index.key_index(build(spark, [("https://reed.net/q/r", "b"), ("https://reed.net/q", "d"), ("https://reed.net/q", "c"), ("ftp://192.0.2.77:21/old", "a")]))
+    asked = ["https://reed.net/q/r/s", "http://192.0.2.77/new", "http://192.0.2.78/old", "", None, "https://reed.net"]
+    rows = check.bulk_check_all(spark.createDataFrame(list(enumerate(asked)), "url_id long, url string"), idx).orderBy("url_id").collect()
+    assert [[(m["source"], m["key"]) for m in r["matches"] or []] for r in rows] == [[("c", "reed.net/q"), ("d", "reed.net/q"), ("b", "reed.net/q/r")], [("a", "192.0.2.77")], [], [], [], []]
+    assert [r["error"] for r in rows] == [None, None, None, "invalid_url", "invalid_url", None]
 
 
 SCORES = [
@@ -151,3 +171,34 @@ def test_stream_matches_by_public_suffix(spark, tmp_path):
     got = {(r["url_id"], r["ord"], r["type"], r["key"], r["source"]) for r in spark.table("suffixes").collect()}
     want = {(r["url_id"], m["ord"], m["type"], m["key"], m["source"]) for r in check.bulk_check_all(checks, idx).collect() for m in r["matches"] or []}
     assert got == want and (0, 0, "domain", "gull.co.uk", "a") in got and not {10, 9, 1} & {g[0] for g in got}
+
+
+def test_upserts_hold_their_key(spark, tmp_path):
+    """Three lines, two of them equal, into an empty table are two rows, whatever brings them in."""
+    e = build(spark, [("https://reed.net", "s"), ("https://reed.net", "s"), ("https://moss.net", "s")])
+    none = e.limit(0)
+    for change in (entries.upsert_batch, entries.upsert_if_newer, entries.insert_ignore):
+        assert sorted(r["source_url"] for r in change(none, e).collect()) == ["https://moss.net", "https://reed.net"]
+    feeds.write_entries(e, str(tmp_path / "w"))
+    assert spark.read.parquet(str(tmp_path / "w")).count() == 2
+    two = spark.createDataFrame([("1", "u", "s", 5, 5, None, 0, "old"), ("2", "u", "s", 6, 5, None, 1, "new")], "id string, source_url string, source string, created_at long, updated_at long, deleted_at long, seq int, category string")
+    target = two.drop("seq").limit(0)
+    assert [(r["id"], r["category"]) for r in entries.upsert_batch(target, two).collect()] == [("1", "new")]
+    assert [(r["id"], r["category"]) for r in entries.upsert_batch(target, two, order=-F.col("seq")).collect()] == [("2", "old")]
+    assert [(r["id"], r["category"]) for r in entries.insert_ignore(target, two).collect()] == [("1", "old")]
+
+
+def test_stored_upserts_write_only_their_buckets(spark, tmp_path):
+    """Files of other buckets keep their names; the rows are those of an upsert of the whole table."""
+    path = str(tmp_path / "t")
+    files = lambda: {str(f.relative_to(path)) for f in (tmp_path / "t").rglob("*.parquet")}
+    first = build(spark, [(f"https://h{i}.reed.net", s) for i in range(60) for s in "ab"])
+    entries.upsert_stored(spark, path, first, 8)
+    before = files()
+    later = build(spark, [("https://h3.reed.net", "a"), ("https://h3.reed.net", "a"), ("https://new.reed.net", "a")]).withColumns({"run_id": F.lit("r2"), "created_at": F.lit(9).cast("long"), "updated_at": F.lit(9).cast("long")})
+    entries.upsert_stored(spark, path, later, 8)
+    kept = {f.rsplit("/", 1)[0] for f in before & files()}
+    assert len({f.rsplit("/", 1)[0] for f in files() - before}) <= 2 and len(kept) >= 14
+    got = spark.read.parquet(path).select(*first.columns)
+    want = entries.upsert_batch(first, later).select(*first.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 121

@@ -1,3 +1,5 @@
+from itertools import product
+
 import pyspark
 import pytest
 from pyspark.sql import functions as F
@@ -5,36 +7,70 @@ from pyspark.sql import functions as F
 from urlintel.functions import psl, urls
 from urlintel.operators import runs
 
-CASES = [
-    # url, host, domain, path, file, ip, target type, target key
-    ("https://dl.harbour-mail.net/setup.msi?from=mail", "dl.harbour-mail.net", "harbour-mail.net", "/setup.msi", "setup.msi", None, "full_url", "dl.harbour-mail.net/setup.msi?from=mail"),
-    ("https://dl.harbour-mail.net/setup.msi", "dl.harbour-mail.net", "harbour-mail.net", "/setup.msi", "setup.msi", None, "file", "setup.msi"),
-    ("https://shop.harbour-mail.net/offers", "shop.harbour-mail.net", "harbour-mail.net", "/offers", None, None, "host_path", "shop.harbour-mail.net/offers"),
-    ("https://shop.harbour-mail.net", "shop.harbour-mail.net", "harbour-mail.net", None, None, None, "host", "shop.harbour-mail.net"),
-    ("https://harbour-mail.net", "harbour-mail.net", "harbour-mail.net", None, None, None, "domain", "harbour-mail.net"),
-    ("http://203.0.113.77:8443/gate", "203.0.113.77", None, "/gate", None, "203.0.113.77", "ip", "203.0.113.77"),
-    ("http://[2001:db8::7]:80/gate", "2001:db8::7", None, "/gate", None, "2001:db8::7", "ip", "2001:db8::7"),
-    ("9.line-4-17.dialup.kestrel-isp.org", "9.line-4-17.dialup.kestrel-isp.org", "kestrel-isp.org", None, None, None, "host", "9.line-4-17.dialup.kestrel-isp.org"),
-    ("quiet-otter.github.io", "quiet-otter.github.io", "github.io", None, None, None, "host", "quiet-otter.github.io"),
-    ("https://harbour.co.uk/", "harbour.co.uk", "harbour.co.uk", None, None, None, "domain", "harbour.co.uk"),
-    ("https://a.b.harbour.co.uk/p//./q/../r/", "a.b.harbour.co.uk", "harbour.co.uk", "/p/r", None, None, "host_path", "a.b.harbour.co.uk/p/r"),
-    ("http://me:pw@old_pc.kestrel-isp.org/back.up.zip?a@b", "old_pc.kestrel-isp.org", "kestrel-isp.org", "/back.up.zip", "back.up.zip", None, "full_url", "old_pc.kestrel-isp.org/back.up.zip?a@b"),
-    ("https://x.kestrel-isp.org/ends.", "x.kestrel-isp.org", "kestrel-isp.org", "/ends.", None, None, "host_path", "x.kestrel-isp.org/ends."),
-    ("https://x.kestrel-isp.org/.profile", "x.kestrel-isp.org", "kestrel-isp.org", "/.profile", ".profile", None, "file", ".profile"),
-    ("https://x.kestrel-isp.org/%7Ez+y?q=1", "x.kestrel-isp.org", "kestrel-isp.org", "/~z+y", None, None, "host_path", "x.kestrel-isp.org/~z+y"),
-    ("intranet/x", "intranet", "intranet", "/x", None, None, "host_path", "intranet/x"),
-    ("\t https://shop.harbour-mail.net/offers \r\n", "shop.harbour-mail.net", "harbour-mail.net", "/offers", None, None, "host_path", "shop.harbour-mail.net/offers"),
-]
+# Every combination of these parts, each with what it means; the suffix of a name is known, as it is put together here.
+HOSTS = [(("", "tidepool", "net"), None), (("k7", "tidepool", "net"), None), (("n4.k7", "tidepool", "net"), None), (("", "tidepool", "co.uk"), None), (("k7.under_score", "tidepool", "co.uk"), None), (("m2", "tidepool", "xn--p1ai"), None), (None, "198.51.100.203"), (None, "2001:db8:5::9")]
+FRONTS = [("", ""), ("ftp://", ""), ("https://", "ann:p%40w@"), ("//", "")]
+STEPS = [(), ("one",), ("one", "two+%C3%A9", "three")]
+FILES = [None, "tool.exe", ".hidden", "a.tar.gz", "ends."]
+QUERIES = [None, "z=9&y=/q.zip"]
+ENDS = ["", "/", "#part"]
+
+
+def meaning(host, address, steps, file, query):
+    """host, sub-domains, domain, path, file, ip, and the key that it is listed under, from the parts alone."""
+    name = address or ".".join(x for x in (host[0], *host[1:]) if x)
+    domain = None if address else f"{host[1]}.{host[2]}"
+    segments = [x.replace("%C3%A9", "\u00e9") for x in steps] + ([file] if file else [])
+    path = "/" + "/".join(segments) if segments else None
+    is_file = file is not None and not file.endswith(".")
+    if address:
+        key = ("ip", address)
+    elif is_file:
+        key = ("full_url", f"{name}{path}?{query}") if query else ("file", file)
+    elif path:
+        key = ("host_path", name + path)
+    else:
+        key = ("host", name) if host[0] else ("domain", name)
+    return name, host[0].split(".") if host and host[0] else None, domain, path, file if is_file else None, address, key
+
+
+def written(front, host, address, steps, file, query, end):
+    name = (f"[{address}]:81" if ":" in address else address) if address else ".".join(x for x in host if x)
+    path = "".join("/" + x for x in steps) + (f"/{file}" if file else "") + ("/" if end == "/" else "")
+    return front[0] + front[1] + name + path + (f"?{query}" if query else "") + (end if end == "#part" else "")
 
 
 def test_decomposition(spark):
-    df = spark.createDataFrame([(c[0],) for c in CASES], "url string")
-    got = {r["url"]: r for r in urls.decompose_urls(df, "url").withColumn("t", urls.entry_target()).collect()}
-    for url, host, domain, path, file, ip, kind, key in CASES:
-        r = got[url]
-        assert (r["host"], r["domain"], r["path"], r["file"], r["ip"], tuple(r["t"])) == (host, domain, path, file, ip, (kind, key)), url
-    assert got[CASES[7][0]]["sub_domains"] == ["9", "line-4-17", "dialup"]
-    assert len(got[CASES[8][0]]["sub_domains"]) == 1 and got[CASES[11][0]]["login"] == "me:pw"
+    cases = {}
+    for front, (host, address), steps, file, query, end in product(FRONTS, HOSTS, STEPS, FILES, QUERIES, ENDS):
+        if not (address and ":" in address and front[0] == ""):  # a bare [v6] needs no scheme either, but is no usual form
+            cases[written(front, host, address, steps, file, query, end)] = meaning(host, address, steps, file, query)
+    df = spark.createDataFrame([(u,) for u in cases], "url string")
+    for r in urls.decompose_urls(df, "url").withColumn("t", urls.entry_target()).collect():
+        got = (r["host"], r["sub_domains"], r["domain"], r["path"], r["file"], r["ip"], tuple(r["t"]))
+        assert got == cases[r["url"]], r["url"]
+        assert r["login"] == ("ann:p@w" if "ann" in r["url"] else None)
+    assert len(cases) > 2000
+
+
+ODD = {
+    # clean paths, hosts that are suffixes, and white space around
+    "https://o.tidepool.co.uk/p//./q/../r/": ("tidepool.co.uk", "/p/r"), "https://o.tidepool.net/../x": ("tidepool.net", "/x"), "pear-tree.github.io": ("github.io", None), "z.pear-tree.github.io": ("pear-tree.github.io", None),
+    "office/x": ("office", "/x"), "\u3000 https://o.tidepool.net/y \r\n": ("tidepool.net", "/y"), "https://o.tidepool.net/~z?a@b": ("tidepool.net", "/~z"),
+}
+
+
+def test_odd_forms(spark):
+    df = spark.createDataFrame([(u,) for u in ODD], "url string")
+    assert {r["url"]: (r["domain"], r["path"]) for r in urls.decompose_urls(df, "url").collect()} == ODD
+
+
+def test_international_suffixes(spark):
+    """Both forms of a suffix are known; private rules and names without a rule as well."""
+    want = {"a.example.xn--55qx5d.cn": "example.xn--55qx5d.cn", "a.example.\u516c\u53f8.cn": "example.\u516c\u53f8.cn", "xn--55qx5d.cn": "xn--55qx5d.cn", "q.r.xn--p1ai": "r.xn--p1ai", "q.r.\u0440\u0444": "r.\u0440\u0444", "a.b.xn--nosuch": "b.xn--nosuch"}
+    df = spark.createDataFrame([(h,) for h in want], "host string")
+    assert {r["host"]: r["domain"] for r in psl.with_registrable(df).collect()} == want
+    assert psl.ascii_form("b\u00fccher.example") == "xn--bcher-kva.example"
 
 
 def test_suffixes_need_no_jar(spark, monkeypatch, tmp_path):
