@@ -1,5 +1,6 @@
 import itertools
 import random
+from collections import Counter
 from html.parser import HTMLParser
 
 from urlintel.llm import html_text as h
@@ -99,8 +100,6 @@ class Article(HTMLParser):
 
 
 def test_precision_and_recall_on_given_pages(spark):
-    from collections import Counter
-
     hit = found = wanted = same = n = 0
     for row in h.extract(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")).join(spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "html"), "page_id").collect():
         reader = Article()
@@ -111,3 +110,47 @@ def test_precision_and_recall_on_given_pages(spark):
         hit, found, wanted = hit + (a & b).total(), found + a.total(), wanted + b.total()
         same, n = same + (want == row["text"]), n + 1
     assert n > 200 and hit >= 0.995 * found and hit >= 0.995 * wanted and same >= 0.98 * n, (hit / found, hit / wanted, same / n)
+
+
+BOX_NAMES = (
+    'class="comment-list"', 'class="commentlist"', 'id="disqus_thread"', 'class="related-posts"', 'class="ad-container"', 'class="widget-area"', 'class="cookie-bar"', 'class="user-reviews"', 'class="comments"', 'id=comments',
+    'class="relatedPosts"', 'class="post-comments clearfix"', 'itemprop="comment"', 'class="adsbygoogle"', 'class="sponsored-links"', 'class="share-buttons"', 'class="newsletter-box"', 'id="right-sidebar"', 'class="promo-banner"', 'class="customer_reviews"',
+)
+KEPT_NAMES = ('class="content with-sidebar"', 'class="post has-comments"', 'class="elementor-widget"', 'class="category-social tag-ads"', 'id="story"', 'class="no-comments"', 'class="review"')
+
+
+def composed(shape, box, long, at):
+    """A page of one kind of markup with a box in some place, and its article."""
+    text = [f"The {w} paragraph of this piece says something of its own, and it ends here." for w in ("first", "second", "third", "fourth", "fifth")]
+    own = " ".join(["I have thought about this for a long time, and I agree with all that was said here."] * (12 if long else 1))
+    tags = {"ul": f"<ul {box}><li><p>Ann</p><p>{own}</p></li><li>{own}</li></ul>", "div": f"<div {box}><h3>More</h3><p>{own}</p><p>{own}</p></div>", "section": f"<section {box}><article><p>{own}</p></article></section>"}
+    piece = tags[("ul", "div", "section")[len(box) % 3]]
+    body = [f"<p>{t}</p>" for t in text]
+    inside, beside = ("".join([*body[:3], piece, *body[3:]]), "") if at == "middle" else ("".join([*body, piece]), "") if at == "end" else ("".join(body), piece)
+    pages = {
+        "article": f"<body><nav><a href=/>Home</a></nav><article><h1>A title</h1>{inside}</article>{beside}<footer>Imprint</footer></body>",
+        "main": f"<body><header>Site</header><main><h1>A title</h1>{inside}</main>{beside}</body>",
+        "divs": f"<body><div class=top><a href=/>Home</a></div><div id=page><div class=entry><h1>A title</h1>{inside}</div>{beside}</div></body>",
+        "section": f"<body><section class='post'><h1>A title</h1>{inside}</section>{beside}</body>",
+    }
+    return pages[shape], "\n\n".join(["A title", *text])
+
+
+def test_composed_pages():
+    """Boxes of all names go from pages of all kinds, short and long, inside the article and beside it; other names stay."""
+    hit = found = wanted = same = n = 0
+    cases = itertools.product(("article", "main", "divs", "section"), BOX_NAMES, (False, True), ("middle", "end", "beside"))
+    for shape, box, long, at in cases:
+        page, want = composed(shape, box, long, at)
+        got = h.main_text(page)
+        a, b = Counter(got.split()), Counter(want.split())
+        hit, found, wanted = hit + (a & b).total(), found + a.total(), wanted + b.total()
+        same, n = same + (got == want), n + 1
+        if shape == "article":
+            assert got == want, (box, long, at)
+    assert n == 480 and hit >= 0.99 * found and hit >= 0.98 * wanted and same >= 0.95 * n, (hit / found, hit / wanted, same / n)
+    text = "".join(f"<p>This is paragraph {i} of a longer text, and it has several words in it.</p>" for i in range(4))
+    for name in KEPT_NAMES:
+        assert h.main_text(f"<div {name}>{text}</div>").count("paragraph") == 4, name
+        assert h.main_text(f"<article {name}>{text}</article>").count("paragraph") == 4, name
+    assert h.main_text(f'<body class="comments"><article>{text}</article></body>').count("paragraph") == 4

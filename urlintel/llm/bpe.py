@@ -28,9 +28,10 @@ from pyspark.sql.types import BinaryType, BooleanType, LongType, StructField, St
 
 from .arrow import map_slices, texts
 
-MAX_PIECES = 120_000  # memoised pieces a worker keeps in each generation
+KEPT_BYTES = 14 << 20  # memoised chunks and pieces that a worker keeps in each generation of each of its three tables
+SHORT = 64  # characters of a chunk that is kept; longer ones hardly come again
 MAX_MOVES = 150_000  # transitions kept, some 80 MB; the table is then started again
-MAX_PAIRS = 400_000  # steps between runs kept, and pairs of tokens
+MAX_PAIRS = 250_000  # steps between runs kept, and pairs of tokens
 PORTION = 1 << 16  # ids decoded at once
 HELD = 512  # tokens held back at most, besides those of the longest run, where transitions aren't kept
 SPACE = re.compile(r" (?=\S)")
@@ -239,18 +240,21 @@ class MergeTransducer:
 
 
 class Recent(dict):
-    """Ids, as little-endian bytes, of the chunks seen lately: two generations, the older one dropped when the newer is full."""
+    """Ids, as little-endian bytes, of the short chunks seen lately: two generations of a bounded number of bytes, the older one dropped when the newer is full."""
 
     def __init__(self, encode, prefix: str = ""):
         super().__init__()
-        self.compute, self.prefix, self.older = encode, prefix, {}
+        self.compute, self.prefix, self.older, self.room = encode, prefix, {}, KEPT_BYTES
 
     def __missing__(self, chunk: str) -> bytes:
+        if len(chunk) > SHORT:
+            return self.compute(self.prefix + chunk)
         got = self.older.get(chunk)
         if got is None:
             got = self.compute(self.prefix + chunk)
-        if len(self) >= MAX_PIECES:
-            self.older = dict(self)
+        self.room -= 4 * len(chunk) + len(got) + 180  # with what Python needs for two objects and a place
+        if self.room < 0:
+            self.older, self.room = dict(self), KEPT_BYTES
             self.clear()
         self[chunk] = got
         return got

@@ -4,7 +4,10 @@ A page is cut into blocks of text. A linear classifier over each block's enclosi
 of calling it content or boilerplate; these become capacities to the two terminals. Neighbouring blocks, and blocks
 under the same parent, are tied by smoothness edges. The minimum cut, found by max-flow, labels all blocks at once.
 A telling word in a class, id, role or label is a cost for what stands inside, which its text and its edges can
-outweigh; only elements that are boilerplate by their name, and hidden ones, are settled. An inline element with such a
+outweigh; elements that are boilerplate by their name, hidden ones, and boxes are settled. A box is a block-level element
+with a class, id or itemprop that names comments, adverts, related pages, cookies or the like and besides only says what
+part or place of the page that is (``comment-list``, ``relatedPosts``, but not ``has-comments`` or ``category-social``);
+however long its text is, it is not the article's. An inline element with a telling
 word is a block of its own up to its end tag; what is kept of a line of text is joined again.
 
 Defined results: null or empty html gives an empty text; a page cut off anywhere is read as far as it goes; an element that
@@ -39,10 +42,15 @@ BOILER_TAGS = frozenset("nav footer aside form menu dialog button select fieldse
 CONTENT_TAGS = frozenset("article main".split())
 BOILER_WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion promotions banner cookie cookies notice notices consent gdpr alert alerts popup modal overlay nav navbar navigation menu menus breadcrumb breadcrumbs sidebar rail footer masthead topbar comment comments discussion disqus replies reply respond share sharing social related recommended recommendations newsletter subscribe subscription widget widgets toolbar pagination pager login signup register search copyright legal disclaimer complementary contentinfo".split())
 CONTENT_WORDS = frozenset("article content main post entry story body text articlebody mainentity".split())
+COMMENT_BOXES = frozenset("comment comments commenter commenters commentlist disqus replies respond livefyre giscus utterances guestbook".split())
+BOXES = COMMENT_BOXES | frozenset("ad ads advert adverts advertisement advertisements advertising adsbygoogle sponsor sponsored sponsors promo taboola outbrain related recommended recommendations cookie cookies gdpr consent sidebar newsletter subscribe share sharing social widget widgets breadcrumb breadcrumbs pagination pager popup".split())
+PLACES = frozenset("a article articles area bar banner block blog body bottom box button buttons by col column container content count cta desktop entry feed footer for form google grid group head header heading holder icons id in inner item items label left link links list message mobile module more new news notice of on outer overlay page pages panel post posts region right row section site slot space sticky stories story strip text the thread title to top unit view wrap wrapper you your zone".split())
+READERS = frozenset("buyer buyers customer customers guest guests reader readers user users visitor visitors".split())
+BOX_JOINED = re.compile(r"\A(comments?|ads?|related|cookies?|share|social|newsletter|sponsored)(area|articles|banner|bar|block|body|box|buttons?|consent|container|content|form|links|lists?|notice|pages|popup|posts|section|slot|stories|threads?|units?|wrap|wrapper)\Z")
 CLOSES = {"li": {"li"}, "p": {"p"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 
 # Weights of the classifier: costs in favour of content when positive.
-INSIDE_CONTENT, INSIDE_BOILER, HINT = 4.0, -6.0, 1.5
+INSIDE_CONTENT, INSIDE_BOILER, INSIDE_BOX, HINT = 4.0, -6.0, -9.0, 1.5
 # A class, id, role or label that only has words of boilerplate, and one that has such a word among others.
 WHOLE, PART = -5.0, -2.0
 BIAS, PER_LOG_WORD, LINKED, SENTENCE, HEADING = -1.6, 0.8, -4.0, 0.6, 0.5
@@ -59,16 +67,28 @@ class Block:
         self.parent, self.context, self.heading, self.steps = parent, context, heading, steps
 
 
+def boxed(token: str) -> tuple[bool, bool]:
+    """Whether a class, id or itemprop names a box, and one of comments."""
+    words = set(WORD.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", token).lower()))
+    words = {part for w in words for part in BOX_JOINED.sub(r"\1 \2", w).split()}
+    reviews = bool(words & {"review", "reviews"} and words & READERS)
+    rest = words - BOXES - PLACES - READERS - ({"review", "reviews"} if reviews else set())
+    return not rest and (reviews or bool(words & BOXES)), not rest and (reviews or bool(words & COMMENT_BOXES))
+
+
 Context = tuple[float, float]  # for content by elements and words; cost of the words of boilerplate
 
 
 def context_of(tag: str, attributes: str, above: Context) -> Context:
     """What the classifier says of all that stands in an element, from its name, class, id and role, and from what it stands in."""
     plain, cost = above
-    hidden, telling, own = False, False, 0.0
+    hidden, box, telling, own = False, False, False, 0.0
     if attributes and tag not in ("html", "body"):
         for name, value in ATTRIBUTE.findall(attributes):
-            name, value = name.lower(), value.strip("\"'").lower()
+            name, value = name.lower(), value.strip("\"'")
+            if name in ("class", "id", "itemprop") and tag not in INLINE and tag != "main":
+                box = box or any(boxed(t)[tag == "article"] for t in value.split())
+            value = value.lower()
             if name in ("hidden", "aria-hidden") and value != "false" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                 hidden = True
             elif name != "style":
@@ -78,6 +98,8 @@ def context_of(tag: str, attributes: str, above: Context) -> Context:
                     if boiler:
                         own = min(own, WHOLE if boiler == words else PART)
                     telling = telling or not boiler and bool(words & CONTENT_WORDS)
+    if box or plain <= INSIDE_BOX:
+        return INSIDE_BOX, 0.0
     if hidden or tag in BOILER_TAGS or tag == "header" and plain + cost < INSIDE_CONTENT:
         return INSIDE_BOILER, 0.0
     if tag == "main":
