@@ -40,13 +40,17 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    keyed = docs.select(*COLUMNS).withColumn("k", F.xxhash64("doc_id", "text"))
+    """Rows are known by 128 bits. The join takes one number a row: the first half of them, or where different rows share it another."""
+    k1, k2 = row_key("doc_id", "text")
+    keyed = docs.select(*COLUMNS).withColumns({"k": k1, "k2": k2})
+    shared = stash(keyed.select("k", "k2").distinct().groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").select("k", F.lit(True).alias("shared")))
+    keyed = keyed.join(shared, "k", "left").withColumn("k", F.when(F.col("shared"), F.xxhash64(F.lit(2), "k2", "k")).otherwise(F.col("k"))).drop("shared")
     found = shingle_join.near_duplicates(keyed, id_col="k").select(F.col("doc_id").alias("k"), F.col("component_id").alias("component")).distinct()
     ids = keyed.select("k", "doc_id").distinct()
     ranked = stash(found.join(ids, "k").select("k", "component", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k").alias("place")))
     first = ranked.groupBy("component").agg(F.min("place").alias("first"))
     gone = ranked.join(first, "component").filter(F.col("k") != F.col("first.k"))
-    return without(keyed, gone, "k").dropDuplicates(["k"]).select(*COLUMNS)
+    return without(keyed, gone, "k").dropDuplicates(["k", "k2"]).select(*COLUMNS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
