@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,8 +26,15 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, rows)
 
 
-def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | list[pa.RecordBatch] | None]], schema: str | StructType) -> DataFrame:
-    """mapInArrow where ``make`` builds the per-task function, called on bounded slices of each batch."""
+def give_back() -> None:
+    """Return to the system what a task has freed: the worker stays for other tasks, beside busy ones."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # other C libraries than glibc do so by themselves
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | list[pa.RecordBatch] | None]], schema: str | StructType, after: Callable[[], None] = lambda: None) -> DataFrame:
+    """mapInArrow where ``make`` builds the per-task function, called on bounded slices of each batch; ``after`` is called at a task's end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         do = make()
@@ -35,6 +44,9 @@ def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.R
                 if out is None:
                     continue
                 yield from out if isinstance(out, list) else [out]
+        del do
+        after()
+        give_back()
 
     return df.mapInArrow(run, schema)
 
