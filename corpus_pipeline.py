@@ -40,17 +40,27 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows are known by 128 bits. The join takes one number a row: the first half of them, or where different rows share it another."""
+    """Rows are known by 128 bits. The join takes one number a row: its doc_id where no other row has that, else one below zero made from the row.
+
+    By their doc_ids the copies of a text meet its first form, so that a group of copies is a star.
+    """
     k1, k2 = row_key("doc_id", "text")
-    keyed = docs.select(*COLUMNS).withColumns({"k": k1, "k2": k2})
-    shared = stash(keyed.select("k", "k2").distinct().groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").select("k", F.lit(True).alias("shared")))
-    keyed = keyed.join(shared, "k", "left").withColumn("k", F.when(F.col("shared"), F.xxhash64(F.lit(2), "k2", "k")).otherwise(F.col("k"))).drop("shared")
+    keyed = docs.select(*COLUMNS).withColumns({"k1": k1, "k2": k2})
+    below = lambda k: -1 - F.col(k).bitwiseAND(F.lit((1 << 63) - 1))
+    rows = keyed.select("doc_id", "k1", "k2").distinct()
+    shared = stash(rows.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id >= 0").select("doc_id", F.lit(True).alias("shared")))
+    known = rows.join(shared, "doc_id", "left")
+    others = known.filter("shared or doc_id is null or doc_id < 0").select(below("k1").alias("k"), "k2")
+    twice = stash(others.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").select("k", F.lit(True).alias("twice")))
+    own = F.col("shared").isNull() & (F.col("doc_id") >= 0)
+    keyed = keyed.join(shared, "doc_id", "left").withColumn("k", F.when(own, F.col("doc_id")).otherwise(below("k1")))
+    keyed = keyed.join(twice, "k", "left").withColumn("k", F.when(F.col("twice"), below("k2")).otherwise(F.col("k")))
     found = shingle_join.near_duplicates(keyed, id_col="k").select(F.col("doc_id").alias("k"), F.col("component_id").alias("component")).distinct()
     ids = keyed.select("k", "doc_id").distinct()
     ranked = stash(found.join(ids, "k").select("k", "component", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k").alias("place")))
     first = ranked.groupBy("component").agg(F.min("place").alias("first"))
     gone = ranked.join(first, "component").filter(F.col("k") != F.col("first.k"))
-    return without(keyed, gone, "k").dropDuplicates(["k", "k2"]).select(*COLUMNS)
+    return without(keyed, gone, "k").dropDuplicates(["k1", "k2"]).select(*COLUMNS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
