@@ -28,7 +28,7 @@ from pyspark.sql.types import BinaryType, BooleanType, LongType, StructField, St
 
 from .arrow import map_slices, texts
 
-KEPT_BYTES = 24 << 20  # memoised chunks and pieces that a worker keeps in each generation of each of its three tables
+KEPT_BYTES = 40 << 20  # memoised chunks and pieces that a worker keeps in each generation of each of its three tables
 SHORT = 20  # characters of a chunk that is kept; longer ones hardly come again
 MAX_MOVES = 150_000  # transitions kept, some 80 MB; the table is then started again
 MAX_PAIRS = 400_000  # steps between runs kept, and pairs of tokens
@@ -347,12 +347,6 @@ class ByteBPE:
         self.by_piece, self.chunked = by_piece, pattern == defaults()[1]
         self.whole = np.array([self._is_whole(t) for t in self.bytes_of], bool)
 
-    def forget(self) -> None:
-        """Let go of the chunks and pieces seen; the transducer stays."""
-        for seen in (self.first, self.rest, self.pieces):
-            seen.clear()
-            seen.older, seen.room = {}, KEPT_BYTES
-
     @staticmethod
     def _is_whole(token: bytes) -> bool:
         """Whether a token is whole characters."""
@@ -405,7 +399,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
         return do
 
-    return map_slices(texts(docs, id_col, text_col), make, "doc_id long, ids binary, n_tokens long", lambda: load(path, pattern).forget())
+    return map_slices(texts(docs, id_col, text_col), make, "doc_id long, ids binary, n_tokens long")
 
 
 def with_ids(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
@@ -424,7 +418,7 @@ def with_ids(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -
 
         return do
 
-    return map_slices(docs, make, StructType([*docs.schema.fields, StructField("ids", BinaryType()), StructField("n_tokens", LongType()), StructField("decodes", BooleanType())]), lambda: load(path, pattern).forget())
+    return map_slices(docs, make, StructType([*docs.schema.fields, StructField("ids", BinaryType()), StructField("n_tokens", LongType()), StructField("decodes", BooleanType())]))
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -463,4 +457,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
         return do
 
-    return map_slices(texts(docs), make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, well_formed boolean", lambda: load(path, pattern).forget())
+    return map_slices(texts(docs), make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, well_formed boolean")

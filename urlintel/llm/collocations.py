@@ -32,7 +32,7 @@ from .stash import stash
 
 LONGEST, LEAST, FIRST = 5, 100, 2000
 BUCKETS, BLOCK = 1 << 23, 1 << 15  # places of the summary for each length, and those that travel as one row
-RUN = 1 << 19  # words that are counted at once
+RUN = 1 << 20  # words that are counted at once
 STEP = 60_000  # windows between two looks at counts of 16 bits
 SALTS = 64  # parts of a language that are ranked apart before they are ranked together
 WORD = np.ones(256, bool)
@@ -186,7 +186,8 @@ def frequencies(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, buc
     rolled = windows(rows, longest, least, buckets).rollup("lang", *names).agg(F.sum("c").alias("f"), F.grouping_id().alias("g"))
     k = F.lit(longest) - F.bit_count("g")  # the columns that the ROLLUP left out are bits
     padded = F.element_at(F.array(F.lit("-"), *names), (k + 1).cast("int")) == ""
-    kept = rolled.filter((k == 0) | (k > 0) & (F.col("f") >= least) & ~padded)
+    real = rolled.filter((k >= 0) & ~padded)  # of grouping columns alone, so that padded prefixes go before they are summed
+    kept = real.filter((k == 0) | (F.col("f") >= least))
     return kept.select("lang", k.cast("int").alias("k"), F.concat_ws(" ", *names).alias("phrase"), "f")
 
 
