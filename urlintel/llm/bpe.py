@@ -30,7 +30,7 @@ from .arrow import map_slices, texts
 
 KEPT_BYTES = 40 << 20  # memoised chunks and pieces that a worker keeps in each generation of each of its three tables
 SHORT = 20  # characters of a chunk that is kept; longer ones hardly come again
-MAX_MOVES = 150_000  # transitions kept, some 80 MB; the table is then started again
+MAX_MOVES = 300_000  # transitions kept, some 150 MB; the table is then started again
 MAX_PAIRS = 400_000  # steps between runs kept, and pairs of tokens
 PORTION = 1 << 16  # ids decoded at once
 HELD = 512  # tokens held back at most, besides those of the longest run, where transitions aren't kept
