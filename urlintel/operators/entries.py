@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from ..functions import urls
 
 MAX_LIMIT, DEFAULT_LIMIT = 1000, 100
 KEY = ("source_url", "source")
+SKETCH = 14  # log2 of the registers of a sketch
 
 
 def active(entries: DataFrame) -> DataFrame:
@@ -79,6 +82,21 @@ def count_urls_by_source(entries: DataFrame) -> DataFrame:
     return active(entries).groupBy("source").agg(F.count_distinct("source_url").alias("urls"))
 
 
+def url_sketches(batch: DataFrame, *by: str) -> DataFrame:
+    """by, sketch: an HLL sketch of the active source_urls of a batch; sketches of any batches unite, so a new batch reads only its own rows."""
+    return active(batch).groupBy(*by).agg(F.hll_sketch_agg("source_url", F.lit(SKETCH)).alias("sketch"))
+
+
+def add_sketches(batch: DataFrame, path: str, stream: str, number: int) -> None:
+    """Store a batch's sketch of each source; the same batch again takes its own place."""
+    url_sketches(batch, "source").write.mode("overwrite").parquet(f"{path}/stream={quote(stream, safe='')}/batch={number}")
+
+
+def count_urls_approx(sketches: DataFrame, *by: str) -> DataFrame:
+    """Distinct source_urls by united sketches, with a standard error of 0.8 %; what was deleted since counts until the sketches are made anew."""
+    return sketches.groupBy(*by).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("urls"))
+
+
 def url_id_index(entries: DataFrame) -> DataFrame:
     return active(entries).groupBy("source_url").agg(F.array_sort(F.collect_list("id")).alias("ids"))
 

@@ -7,11 +7,11 @@ import uuid
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls
-from ..operators import check, entries, index, lookup, runs
+from ..operators import check, entries, filters, index, lookup, runs
 from ..sources import feeds
 from ..streaming import jobs, store
 from . import fixtures as x
@@ -84,6 +84,19 @@ def scan_json_feed(s, d):
     return feeds.verified_urls(feeds.read_json_lines(s, f"{home}/feed")).select("line", F.lit("phishing").alias("category"))
 
 
+@query("SELECT url, page_id % 3 = 0 AS verified FROM pages UNION ALL SELECT html AS url, true AS verified FROM pages WHERE html IS NOT NULL")
+def scan_json_array(s, d):
+    """Arrays of every page's address and html, which has quotes and braces of all kinds, cut among tasks."""
+    home, p = f"{_folder(s)}/feed", x.table(s, d, "pages")
+    record = lambda text, verified: F.to_json(F.struct(text.alias("url"), verified.alias("verified")))
+    each = p.select("page_id", F.posexplode(F.array(record(C("url"), C("page_id") % 3 == 0), F.when(C("html").isNotNull(), record(C("html"), F.lit(True)))))).filter("col is not null")
+    w = Window.partitionBy("part").orderBy("page_id", "pos")
+    rows = each.withColumn("part", C("page_id") % 8).withColumns({"first": F.row_number().over(w) == 1, "last": F.lead("pos").over(w).isNull()})
+    rows = rows.select("part", "page_id", "pos", F.concat(F.when(C("first"), "[").otherwise(","), "col", F.when(C("last"), "]").otherwise("")).alias("value"))
+    rows.repartition("part").sortWithinPartitions("part", "page_id", "pos").select("part", "value").write.partitionBy("part").text(home)
+    return feeds.read_json_array(s, home).select("url", "verified")
+
+
 @query(R + "SELECT provider, run_id, age_seconds, age_seconds <= 60 AS fresh FROM (SELECT *, CAST(floor(epoch(TIMESTAMP '2024-02-01')) - floor(epoch(created_at)) AS BIGINT) AS age_seconds FROM (SELECT provider, run_id, start_time AS created_at, row_number() OVER (PARTITION BY provider ORDER BY start_time DESC) AS rn FROM runs) WHERE rn = 1)")
 def scan_landing_fresh(s, d):
     landing = x.runs(s, d).select("provider", "run_id", C("start_time").alias("created_at"), F.lit("").alias("path"))
@@ -380,6 +393,16 @@ def prefilter_urls(s, d):
     return check.prefilter_urls(x.checks(s, d), x.entries(s, d)).select("url_id", "url")
 
 
+@query(f"WITH {x.ENTRIES}, {x.CHECKS} SELECT (SELECT count(*) FROM (SELECT DISTINCT url FROM checks WHERE url IN (SELECT source_url FROM entries))) AS held, 0 AS missed, true AS within")
+def prefilter_urls_gated(s, d):
+    """The stored filter of source_urls, a layer a feed, before an exact lookup: none that is listed is missing, few others get through."""
+    home, e, c = f"{_folder(s)}/urls", x.entries(s, d), x.checks(s, d)
+    for source in ("oisd-big", "oisd-nsfw", "urlhaus-online", "openphish-feed", "phishtank-online-valid"):
+        feeds.write_url_filter(e.filter(C("source") == source), home)
+    may = check.prefilter_urls_gated(c, filters.read_layers(s, home)).select("url").distinct()
+    return _quality(c.select("url").filter("url is not null").distinct(), e.select(C("source_url").alias("url")), may, ["url"])
+
+
 # ---- joins
 
 
@@ -444,6 +467,16 @@ def bloom_probe(s, d):
     return _quality(asked, idx, maybe, ["type", "key"])
 
 
+@query(f"WITH {x.INDEX}, {x.KEYS}, k AS (SELECT DISTINCT type, key FROM keys UNION SELECT type, key FROM idx) SELECT type, count(i.key) AS held, 0 AS missed, true AS within FROM k LEFT JOIN (SELECT DISTINCT type, key FROM idx) i USING (type, key) GROUP BY type")
+def filter_layers(s, d):
+    """The stored filter of the index, grown by a layer of each source's new keys, asked for all keys of checks and index."""
+    home, idx = f"{_folder(s)}/keys", x.key_index(s, d)
+    for source in ("urlhaus-online", "openphish-feed", "oisd-big", "urlhaus-online", "oisd-nsfw", "phishtank-online-valid"):
+        feeds.write_key_filter(idx.filter(C("source") == source), home)
+    asked = check.probe_keys(x.checks(s, d)).select("type", "key").union(idx.select("type", "key")).distinct()
+    return _quality(asked, idx, filters.probe(asked, filters.read_layers(s, home), ["type", "key"]), ["type", "key"])
+
+
 @query(f"WITH {x.INDEX}, k AS (SELECT type, source, key FROM (SELECT DISTINCT type, key FROM idx) JOIN (SELECT DISTINCT type, source FROM idx) USING (type)) SELECT type, source, count(i.key) AS held, 0 AS missed, true AS within FROM k LEFT JOIN idx i USING (type, source, key) GROUP BY type, source")
 def bloom_probe_sources(s, d):
     """Each source's own filter against its own keys, asked for all keys of the index."""
@@ -484,6 +517,17 @@ def count_urls(s, d):
     return entries.count_urls(x.stored(s, d))
 
 
+@query(S + "SELECT source, count(DISTINCT source_url) AS urls, true AS within FROM stored WHERE deleted_at IS NULL GROUP BY source")
+def count_urls_approx(s, d):
+    """Stored sketches of two batches of each source, united, within 3 % of the exact count."""
+    home, e = f"{_folder(s)}/sketches", x.stored(s, d)
+    for number, run in enumerate(("r1", "r2", "r2")):
+        entries.add_sketches(e.filter(C("run_id") == run), home, "feeds", min(number, 1))
+    about = entries.count_urls_approx(s.read.parquet(home), "source").withColumnRenamed("urls", "about")
+    exact = entries.count_urls_by_source(e)
+    return exact.join(about, "source", "left").select("source", "urls", (F.abs(C("about") - C("urls")) * 100 <= C("urls") * 3).alias("within"))
+
+
 @query(S + "SELECT source, count(DISTINCT source_url) AS urls FROM stored WHERE deleted_at IS NULL GROUP BY source")
 def count_urls_by_source(s, d):
     return entries.count_urls_by_source(x.stored(s, d))

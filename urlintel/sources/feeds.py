@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 from concurrent.futures import ThreadPoolExecutor
@@ -11,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import urls
-from ..operators.entries import one_a_key
+from ..operators import filters
+from ..operators.entries import active, one_a_key
 from ..operators.runs import ttl_of_schedule
 
 LONGEST_LINE = 1 << 20
@@ -27,6 +29,9 @@ SOURCES = [
     ("spamhaus-drop", "spamhaus", "https://www.spamhaus.org/drop/drop.txt", "text", None, 86400, None, None),
 ]
 DEFAULT_TRUST = 0.5
+HEAD, TAIL = 4096, 256
+COMPRESSED = (".gz", ".bz2", ".zst", ".lz4", ".snappy", ".deflate", ".xz")
+ARRAY_START = re.compile(r'\ufeff?[ \t\r\n]*\[[ \t\r\n]*(\{[ \t\r\n]*"(?:[^"\\]|\\.)*"[ \t\r\n]*:)')
 JSON_FEED = "url string, verified boolean, verification_time string"
 
 
@@ -52,11 +57,75 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).withColumnRenamed("value", "line")
 
 
-def read_json_array(spark: SparkSession, path: str) -> DataFrame:
-    """An array file doesn't split; prefer JSON lines for large feeds. A file that isn't JSON is an error of its feed."""
+def read_json_whole(spark: SparkSession, path: str) -> DataFrame:
+    """Array files that are read by a task each, as compressed ones must be."""
     return spark.read.schema(JSON_FEED).json(path, multiLine=True, mode="FAILFAST")
 
 
+def _ends(spark: SparkSession, path: str) -> list[tuple[str, bytes, bytes]]:
+    """Each file with its first and last bytes; array feeds are few files, and no more of them is read here."""
+    out = []
+    for name in spark.read.text(path).inputFiles():
+        where = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(name))
+        fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        stream, size = fs.open(where), fs.getFileStatus(where).getLen()
+        try:
+            head = bytes(stream.readNBytes(HEAD))
+            stream.seek(max(0, size - TAIL))
+            out.append((where.toString(), head, bytes(stream.readNBytes(TAIL))))
+        finally:
+            stream.close()
+    return out
+
+
+def json_pieces(spark: SparkSession, path: str) -> DataFrame | None:
+    """piece: the records of array files, each as an array of its own; None where a file can't be cut and is to be read whole.
+
+    The record separator is how the first record opens, with its first name (``{"phish_id":``). Within a text its quotes
+    would be escaped, so it is found at the start of an object only, and every task can begin at the next one. A record
+    that opens otherwise stays with the one before it, in one piece. A file that doesn't open and close as an array is an error.
+    """
+    by_opening: dict[str, list[str]] = {}
+    for name, head, tail in _ends(spark, path):
+        if name.endswith(COMPRESSED):
+            return None
+        start = ARRAY_START.match(head.decode("utf-8", "replace"))
+        if not head.lstrip(b"\xef\xbb\xbf \t\r\n").startswith(b"[") or not tail.rstrip(b" \t\r\n").endswith(b"]"):
+            raise ValueError(f"not a whole JSON array: {name}")
+        if not start:
+            return None
+        by_opening.setdefault(start[1], []).append(name)
+    pieces = []
+    for opening, names in by_opening.items():
+        text = spark.read.option("lineSep", opening).text(names).select(F.regexp_replace("value", r"[ \t\r\n]+$", "").alias("value"))
+        rest = text.filter(~F.col("value").rlike(r"^\x{FEFF}?[ \t\r\n]*\[$")).select(F.regexp_replace("value", r"[,\]]$", "").alias("value"))
+        pieces.append(rest.select(F.concat(F.lit("[" + opening), "value", F.lit("]")).alias("piece")))
+    return reduce(DataFrame.unionByName, pieces) if pieces else None
+
+
+def read_json_array(spark: SparkSession, path: str) -> DataFrame:
+    """The records of array files, cut so that one file goes to many tasks. A file that isn't JSON is an error of its feed."""
+    pieces = json_pieces(spark, path)
+    if pieces is None:
+        return read_json_whole(spark, path)
+    return pieces.select(F.inline(F.from_json("piece", f"array<struct<{_struct(JSON_FEED)}>>", {"mode": "FAILFAST"})))
+
+
+def split_json_array(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The records of array files, and as rejects (line, reason) the pieces that aren't JSON; files of which the ends are wrong stay errors."""
+    pieces = json_pieces(spark, path)
+    if pieces is None:
+        return read_json_whole(spark, path), spark.createDataFrame([], "line string, reason string")
+    valid = F.try_parse_json("piece").isNotNull()
+    records = pieces.filter(valid).select(F.inline(F.from_json("piece", f"array<struct<{_struct(JSON_FEED)}>>")))
+    return records, pieces.filter(~valid).select(F.col("piece").alias("line"), F.lit("invalid_json").alias("reason"))
+
+
+def _struct(ddl: str) -> str:
+    """``a string, b long`` as the fields of a struct."""
+    return ", ".join(":".join(f.split()) for f in ddl.split(","))
+
+
 def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(JSON_FEED).json(path, mode="FAILFAST")
 
@@ -214,5 +283,15 @@ def write_index(index: DataFrame, path: str) -> None:
     index.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("type").parquet(path)
 
 
+def write_url_filter(entries: DataFrame, path: str) -> int:
+    """Add a batch's active source_urls to the stored filter that gates exact lookups."""
+    return filters.add_layer(entries.sparkSession, path, active(entries), ["source_url"])
+
+
+def write_key_filter(index: DataFrame, path: str) -> int:
+    """Add the keys of (a batch of) the index to its stored filter."""
+    return filters.add_layer(index.sparkSession, path, index, ["type", "key"])
+
+
 def results_json(verdicts: DataFrame) -> DataFrame:
     return verdicts.select(F.to_json(F.struct(*[F.col(c) for c in verdicts.columns])).alias("record"))
