@@ -76,6 +76,7 @@ class MergeTransducer:
         self.states: list[State] = [(0, -1, ())]
         self.known: dict[State, int] = {self.states[0]: 0}
         self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}  # (state << 8 | byte) -> next state, tokens put out
+        self.asked: set[int] = set()  # transitions asked for once
 
     def merge(self, piece: bytes, keep: int = 1) -> list[int]:
         """The definition: join the adjacent pair of lowest rank, leftmost first, until none is left (or ``keep`` parts)."""
@@ -164,12 +165,11 @@ class MergeTransducer:
         have = len(ends)
         if self.depth[node] >= have:
             return (), left, ends
-        alive = {*range(have - self.depth[node], have + 1)}
-        while len(alive) > 1:
-            last = max(alive)
-            alive.remove(last)
-            alive.add(last - self.length[ends[last - 1]])
-        (cut,) = alive
+        length, alive = self.length, (2 << self.depth[node]) - 1 << have - self.depth[node]  # a bit a boundary
+        while alive & (alive - 1):
+            last = alive.bit_length() - 1
+            alive = alive ^ 1 << last | 1 << last - length[ends[last - 1]]
+        cut = alive.bit_length() - 1
         return (self.path(ends, cut), ends[cut - 1], ends[cut:]) if cut else ((), left, ends)
 
     def step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
@@ -194,15 +194,20 @@ class MergeTransducer:
         return tuple(out[::-1])
 
     def encode(self, piece: bytes) -> list[int]:
-        """The tokens of a piece. A piece determinises one transition at most, as the state behind it has none yet; the rest of the piece is run without."""
+        """The tokens of a piece. A transition is determinised when it is asked for the second time, one a piece at most, as the state behind it has none yet; the rest of the piece is run without."""
         if len(self.moves) > MAX_MOVES:
             self.restart()
         out: list[int] = []
-        state, moves, made = 0, self.moves, False
+        state, moves, asked, made = 0, self.moves, self.asked, False
         for i, byte in enumerate(piece):
             move = moves.get(state << 8 | byte)
             if move is None:
-                if made:
+                key = state << 8 | byte
+                if made or key not in asked:
+                    if not made:
+                        if len(asked) >= MAX_MOVES:
+                            asked.clear()
+                        asked.add(key)
                     return out + self._rest(state, piece[i:])
                 move, made = self.step(state, byte), True
             state, put = move
