@@ -202,3 +202,87 @@ def test_stored_upserts_write_only_their_buckets(spark, tmp_path):
     got = spark.read.parquet(path).select(*first.columns)
     want = entries.upsert_batch(first, later).select(*first.columns)
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 121
+
+
+def exchanges_over_bucketed_scans(plan):
+    """For each bucketed scan, the exchanges between it and the first join above it."""
+    out = []
+
+    def walk(node, since):
+        name = node.nodeName()
+        if "AdaptiveSparkPlan" in name:
+            return walk(node.inputPlan(), since)
+        since = 0 if "Join" in name else since + ("Exchange" in name)
+        if "Bucketed: true" in node.simpleString(1000) and "Scan" in name:
+            out.append(since)
+        for i in range(node.children().size()):
+            walk(node.children().apply(i), since)
+
+    walk(plan, 0)
+    return out
+
+
+def test_an_index_by_key_is_not_shuffled(spark, tmp_path):
+    """Fewer or more shuffle partitions than buckets: one shuffle by key for the probes, of which half share a domain, none above the stored tables; the answer of the plain join."""
+    listed = [(f"https://h{i}.plover.net/p{i}", s) for i in range(40) for s in "ab"] + [("https://tern.com", "a")]
+    e = build(spark, listed)
+    idx = index.key_index(e)
+    stored, confirmed = feeds.write_keys(e.filter("source_url <> 'https://h3.plover.net/p3'"), idx, str(tmp_path / "k'e y"), 4)
+    urls = [u for u, _ in listed] + [f"https://w{i}.tern.com/x" for i in range(90)] + ["", None, "https://miss.org", "https://miss.org"]
+    spark.createDataFrame(list(enumerate(urls)), "url_id long, url string").write.parquet(str(tmp_path / "c"))
+    checks = spark.read.parquet(str(tmp_path / "c"))
+    trust = spark.createDataFrame([("a", 0.7)], "source string, trust double")
+    plain, rows = check.bulk_check_all(checks, idx).collect(), lambda found: sorted(map(str, found))
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "2"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for parts in (2, 4, 32):
+            for k, v in {**settings, "spark.sql.shuffle.partitions": str(parts)}.items():
+                spark.conf.set(k, v)
+            df = check.bulk_check_all(checks, stored, find=check.matches_by_key)
+            assert rows(df.collect()) == rows(plain)
+            found = check.matches_by_key(check.probe_keys(checks), stored, confirmed)
+            assert exchanges_over_bucketed_scans(found._jdf.queryExecution().executedPlan()) == [0, 0]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    hits = check.bulk_hit_by_key(checks, stored, confirmed, trust)
+    assert rows(hits.collect()) == rows(check.bulk_hit(checks, idx, e.filter("source_url <> 'https://h3.plover.net/p3'"), trust).collect())
+    assert hits.filter("blocked").count() == 2 * 39 + 1 + 90
+    again = index.open_by_key(spark, str(tmp_path / "k'e y") + "/index", 4)
+    assert rows(again.collect()) == rows(idx.select(*again.columns).collect())
+    with pytest.raises(Exception):
+        index.open_by_key(spark, str(tmp_path / "k'e y") + "/index", 8)
+
+
+def test_one_pass_for_entries_rejects_and_counts(spark, tmp_path):
+    """One scan and one shuffle of the lines; the counts of the log are those of the tables, whatever a line is; an empty feed counts nothing."""
+    bad, long = "two words", "https://moss.net/" + "x" * (1 << 20)
+    lines = ["https://moss.net/a", "https://moss.net/a", "https://reed.net", bad, bad, bad, "http://", long, long]
+    spark.createDataFrame([(x,) for x in lines], "value string").write.text(str(tmp_path / "in"))
+    shaped = lambda path: feeds.flat_lines(feeds.read_lines(spark, path)).select("line", F.lit("s").alias("source"), F.lit("c").alias("category"))
+    got = feeds.write_lines(shaped(str(tmp_path / "in")), str(tmp_path / "out"), F.lit("r"), F.lit(1))
+    assert got == {"lines": 9, "parsed": 3, "entries": 2, "rejected": 6, "rejects": 3, "longest": len(long), "reasons": {"invalid_url": 4, "line_too_long": 2}}
+    entries_, rejects = feeds.read_written(spark, str(tmp_path / "out"))
+    assert entries_.count() == got["entries"] and {(r["line"], r["reason"], r["times"]) for r in rejects.collect()} == {(bad, "invalid_url", 3), ("http://", "invalid_url", 1), (long, "line_too_long", 2)}
+    assert set(entries_.columns) == set(feeds.make_entries(shaped(str(tmp_path / "in")), F.lit("r"), F.lit(1))[0].columns)
+    plan = feeds.parsed_once(shaped(str(tmp_path / "in")), F.lit("r"), F.lit(1))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 1
+    (tmp_path / "none.txt").write_text("# nothing\n")
+    assert feeds.write_lines(shaped(str(tmp_path / "none.txt")), str(tmp_path / "empty"), F.lit("r"), F.lit(1))["lines"] == 0
+    assert [df.count() for df in feeds.read_written(spark, str(tmp_path / "empty"))] == [0, 0]
+
+
+def test_runs_are_logged_failed_ones_too(spark, tmp_path):
+    from urlintel.operators import runs
+
+    (tmp_path / "a.txt").write_text("https://reed.net\nhttp://\n")
+    paths = {"urlhaus-online": str(tmp_path / "a.txt"), "oisd-big": str(tmp_path / "not-there")}
+    for run in ("r1", "r2"):
+        _, errors = feeds.ingest_all_feeds(spark, paths, str(tmp_path / run), run, F.lit(1), run_log=str(tmp_path / "log"))
+        assert list(errors) == ["oisd-big"]
+    log = runs.read_log(spark, str(tmp_path / "log"))
+    assert sorted((r["source"], r["status"], r["entries"], bool(r["error"])) for r in log.collect()) == [("oisd-big", "failed", None, True)] * 2 + [("urlhaus-online", "completed", 1, False)] * 2
+    by = {r["source"]: r.asDict() for r in runs.logged_metrics(log).collect()}
+    assert by["urlhaus-online"] | {"last_seconds": 0} == {"source": "urlhaus-online", "syncs": 2, "successes": 2, "failures": 0, "last_seconds": 0, "saved": 2, "processed": 2, "parse_errors": 2}
+    assert by["oisd-big"]["failures"] == 2 and by["oisd-big"]["saved"] == 0 and by["oisd-big"]["processed"] is None

@@ -1,7 +1,8 @@
 """Bulk checks of URLs against the key index, confirmation and scores.
 
 Equal URLs are checked once. Each is exploded to its probe keys; one equi-join finds the listed ones, whatever their
-type. The size of the index decides how Spark joins; it is never sent by force.
+type. The size of the index decides how Spark joins; it is never sent by force. An index stored by key
+(``index.write_by_key``) is read as it lies by ``matches_by_key``: it isn't shuffled, whatever is checked.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from ..sources.feeds import DEFAULT_TRUST
 from . import filters
 from .entries import exists_by_type
 
+SALTS = 64  # shares of the URLs of one key
+
 
 def probe_keys(checks: DataFrame, url_col: str = "url", **options) -> DataFrame:
     """url, ord, type, key: the keys of the distinct valid URLs, in the order in which they count."""
@@ -26,6 +29,19 @@ def all_matches(keys: DataFrame, index: DataFrame) -> DataFrame:
     return keys.join(index, ["type", "key"]).select("url", "ord", "type", "key", "source")
 
 
+def matches_by_key(keys: DataFrame, index: DataFrame, confirmed: DataFrame | None = None, salts: int = SALTS) -> DataFrame:
+    """``all_matches`` over an index stored by key, and only those that ``confirmed``, typed keys stored in as many buckets, has too.
+
+    The keys of the URLs are shuffled once, by key and a share of its URLs, so that a popular domain is no single task. Each
+    share asks once; these questions alone go to the buckets, and the answers come back to where the keys are.
+    """
+    shares = keys.withColumn("share", F.pmod(F.xxhash64("url"), F.lit(salts))).repartition("type", "key", "share")
+    listed = shares.select("type", "key", "share").distinct().join(index.select("type", "key", "source"), ["type", "key"])
+    if confirmed is not None:
+        listed = listed.join(confirmed, ["type", "key"], "left_semi")
+    return shares.join(listed, ["type", "key", "share"]).select("url", "ord", "type", "key", "source")
+
+
 def in_order():
     """The matches of a URL in order; there are at most as many as it has keys times the sources."""
     return F.array_sort(F.collect_list(F.struct("ord", "source", "type", "key")))
@@ -46,15 +62,15 @@ def _checked(checks: DataFrame, verdicts: DataFrame) -> DataFrame:
     return _back(checks, verdicts).select(*checks.columns, "error", F.col("matches").isNotNull().alias("likely"), depth.alias("max_depth"), "matches")
 
 
-def bulk_check(checks: DataFrame, index: DataFrame, **options) -> DataFrame:
-    """All columns of ``checks``, error, likely, max_depth and matches (the first hit, or none)."""
-    first = first_match(all_matches(probe_keys(checks, **options), index))
+def bulk_check(checks: DataFrame, index: DataFrame, find=all_matches, **options) -> DataFrame:
+    """All columns of ``checks``, error, likely, max_depth and matches (the first hit, or none). For an index stored by key ``find`` is ``matches_by_key``."""
+    first = first_match(find(probe_keys(checks, **options), index))
     return _checked(checks, first.select("url", F.array(F.struct("source", "type", "key")).alias("matches")))
 
 
-def bulk_check_all(checks: DataFrame, index: DataFrame, **options) -> DataFrame:
+def bulk_check_all(checks: DataFrame, index: DataFrame, find=all_matches, **options) -> DataFrame:
     """As ``bulk_check`` with every match, in order."""
-    found = all_matches(probe_keys(checks, **options), index)
+    found = find(probe_keys(checks, **options), index)
     return _checked(checks, found.groupBy("url").agg(in_order().alias("matches")))
 
 
@@ -80,7 +96,15 @@ def score_sources(lists: DataFrame, trust: DataFrame, id_col: str) -> DataFrame:
 
 def bulk_hit(checks: DataFrame, index: DataFrame, entries: DataFrame, trust: DataFrame, match_mode: str = "first", **options) -> DataFrame:
     """Check, confirm against the active entries, score. Misses come back with blocked = false."""
-    found = exists_by_type(all_matches(probe_keys(checks, **options), index), entries)
+    return _hits(checks, exists_by_type(all_matches(probe_keys(checks, **options), index), entries), trust, match_mode)
+
+
+def bulk_hit_by_key(checks: DataFrame, index: DataFrame, confirmed: DataFrame, trust: DataFrame, match_mode: str = "first", **options) -> DataFrame:
+    """``bulk_hit`` over tables stored by key, the index and the ``typed_keys`` of the entries: neither is shuffled, and no entry is read."""
+    return _hits(checks, matches_by_key(probe_keys(checks, **options), index, confirmed), trust, match_mode)
+
+
+def _hits(checks: DataFrame, found: DataFrame, trust: DataFrame, match_mode: str) -> DataFrame:
     if match_mode == "first":
         found = first_match(found)
     scored = score_matches(attach_trust(found, trust), listed=True)

@@ -101,11 +101,11 @@ def url_id_index(entries: DataFrame) -> DataFrame:
     return active(entries).groupBy("source_url").agg(F.array_sort(F.collect_list("id")).alias("ids"))
 
 
-def dedup_batch(batch: DataFrame) -> DataFrame:
-    """The last row of each key by (updated_at, seq) wins; the first one's id and created_at stay. Other ties go by content."""
+def dedup_batch(batch: DataFrame, times: str | None = None) -> DataFrame:
+    """The last row of each key by (updated_at, seq) wins; the first one's id and created_at stay. Other ties go by content. ``times`` names a column for the rows that a key had."""
     rest = [c for c in batch.columns if c not in (*KEY, "id", "created_at", "seq")]
     at = F.struct("updated_at", "seq", F.xxhash64(*[c for c in batch.columns if c not in KEY]))
-    return batch.groupBy(*KEY).agg(F.min_by("id", at).alias("id"), F.min_by("created_at", at).alias("created_at"), F.max_by(F.struct(*rest), at).alias("last")).select(*KEY, "id", "created_at", "last.*")
+    return batch.groupBy(*KEY).agg(F.min_by("id", at).alias("id"), F.min_by("created_at", at).alias("created_at"), F.max_by(F.struct(*rest), at).alias("last"), F.count("*").alias("n")).select(*KEY, "id", "created_at", "last.*", *([F.col("n").alias(times)] if times else []))
 
 
 def _merge(target: DataFrame, batch: DataFrame, wins: Column) -> DataFrame:
@@ -125,11 +125,11 @@ def _merge(target: DataFrame, batch: DataFrame, wins: Column) -> DataFrame:
     return joined.select(*out)
 
 
-def one_a_key(batch: DataFrame, order: Column | None = None) -> DataFrame:
+def one_a_key(batch: DataFrame, order: Column | None = None, times: str | None = None) -> DataFrame:
     """The batch as one row a key; rows of one updated_at come in the ``order`` given, else in that of a column seq, if any."""
     if order is None:
         order = F.col("seq") if "seq" in batch.columns else F.lit(0)
-    return dedup_batch(batch.withColumn("seq", order))
+    return dedup_batch(batch.withColumn("seq", order), times)
 
 
 def upsert_batch(target: DataFrame, batch: DataFrame, order: Column | None = None) -> DataFrame:

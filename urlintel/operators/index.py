@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import urls
@@ -27,6 +28,33 @@ def rebuild_source(index: DataFrame, source: str, fresh: DataFrame) -> DataFrame
     return index.filter(F.col("source") != source).unionByName(fresh.filter(F.col("source") == source))
 
 
+def write_by_key(keys: DataFrame, path: str, buckets: int) -> DataFrame:
+    """Store rows with type and key by bucket of these, a file a bucket, and give the table that ``open_by_key`` gives.
+
+    A join by (type, key) then reads it as it lies. What was there is replaced; let readers end first, or take a new path.
+    """
+    spark, folder = keys.sparkSession, f"{path.rstrip('/')}/buckets-{buckets}"
+    name = _by_key_table(spark, folder, keys.schema.simpleString()[7:-1].replace(":", " "), buckets)
+    keys.repartition(buckets, "type", "key").sortWithinPartitions("type", "key").write.insertInto(name, overwrite=True)
+    return spark.table(name)
+
+
+def open_by_key(spark: SparkSession, path: str, buckets: int) -> DataFrame:
+    """A table that ``write_by_key`` stored, in this session or another; ``buckets`` as it was made with."""
+    folder = f"{path.rstrip('/')}/buckets-{buckets}"
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in spark.read.parquet(folder).schema)  # an error where there is none
+    return spark.table(_by_key_table(spark, folder, columns, buckets))
+
+
+def _by_key_table(spark: SparkSession, folder: str, columns: str, buckets: int) -> str:
+    """Only the catalog knows buckets, so each folder is a table there, under a name that its path gives."""
+    name = "by_key_" + hashlib.sha256(folder.encode()).hexdigest()[:32]
+    where = folder.replace("\\", "\\\\").replace("'", "\\'")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet CLUSTERED BY (type, key) SORTED BY (type, key) INTO {buckets} BUCKETS LOCATION '{where}'")
+    spark.catalog.refreshTable(name)
+    return name
+
+
 def shapes(index: DataFrame, rate: float = RATE) -> DataFrame:
     """type, bits, hashes: the shape of each type's filters, from the number of its keys; a row a key type."""
     n = F.greatest(F.count_distinct("key"), F.lit(LEAST_N)).cast("double")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from datetime import UTC, datetime
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.urls import trimmed
@@ -13,6 +15,30 @@ UNITS = {"ns": 1, "us": 10**3, "\u00b5s": 10**3, "\u03bcs": 10**3, "ms": 10**6,
 NUMBER = r"[0-9]+\.?[0-9]*|\.[0-9]+"
 
 
+# A row of the log that an ingest leaves: what became of one feed's lines.
+LOGGED = "source string, run_id string, status string, start_time timestamp, end_time timestamp, error string, lines long, parsed long, entries long, rejected long, rejects long, longest long, reasons map<string,long>"
+
+
+def log_runs(spark: SparkSession, rows: list[dict], path: str) -> None:
+    """Add the rows of one ingest, one a feed, to the log; the columns are those of ``LOGGED``, times are in epoch seconds. Counts of failed feeds are null."""
+    names = [c.split()[0] for c in LOGGED.split(", ")]
+    at = lambda c, v: datetime.fromtimestamp(v, UTC) if c.endswith("_time") else v
+    spark.createDataFrame([tuple(at(c, r.get(c)) for c in names) for r in rows], LOGGED).coalesce(1).write.mode("append").parquet(path)
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(LOGGED).parquet(path)
+
+
+def logged_metrics(logged: DataFrame) -> DataFrame:
+    """``feed_metrics`` from the log alone, by source, without reading entries or rejects: saved and parse_errors over all runs, processed by the last completed one."""
+    last, done = F.struct("start_time", "run_id"), F.col("status") == "completed"
+    return logged.groupBy("source").agg(
+        F.count("*").alias("syncs"), F.count_if(done).alias("successes"), F.count_if(~done).alias("failures"), F.max_by(F.unix_timestamp("end_time") - F.unix_timestamp("start_time"), last).alias("last_seconds"),
+        F.coalesce(F.sum("entries"), F.lit(0)).alias("saved"), F.max_by("lines", F.when(done, last)).alias("processed"), F.coalesce(F.sum("rejected"), F.lit(0)).alias("parse_errors"),
+    )
+
+
 def record_run(events: DataFrame) -> DataFrame:
     """The latest state of each run from its append-only events (run_id, seq, status, at, error)."""
     at = F.struct("at", "seq")

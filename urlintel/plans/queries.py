@@ -19,6 +19,7 @@ from . import fixtures as x
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 C = F.col
+BUCKETS = 16
 
 
 def query(sql: str | None = None):
@@ -130,6 +131,43 @@ def ingest_all_feeds(s, d):
     return found.select("id", "source", "category", "source_url", "scheme", "host", "domain", F.array_join("sub_domains", ",").alias("sub_domains"), "path", "raw_query")
 
 
+def _logged(s, d):
+    """Two runs of one feed, one of another and one of a feed that isn't there; every page's address comes twice, and a line that isn't one."""
+    home, p = _folder(s), pages(s, d)
+    lines = F.array(C("url"), C("url"), F.concat(F.lit("bad host "), (C("page_id") % 5).cast("string")), F.lit("# c"))
+    p.select(F.explode(lines)).write.text(f"{home}/urlhaus-online")
+    p.select(F.regexp_extract("url", "://([^/?#:]*)", 1)).write.text(f"{home}/oisd-big")
+    p.filter("page_id % 2 = 0").select("url").write.text(f"{home}/second")
+    first = {name: f"{home}/{name}" for name in ("urlhaus-online", "oisd-big", "openphish-feed")}
+    feeds.ingest_all_feeds(s, first, f"{home}/r1", "r1", F.lit(x.NOW), run_log=f"{home}/log")
+    feeds.ingest_all_feeds(s, {"urlhaus-online": f"{home}/second"}, f"{home}/r2", "r2", F.lit(x.NOW), run_log=f"{home}/log")
+    return home
+
+
+LANDED = """landed AS (SELECT 'urlhaus-online' AS source, 'r1' AS run_id, line, good FROM (SELECT url AS line, true AS good FROM pages UNION ALL SELECT url, true FROM pages UNION ALL SELECT 'bad host ' || (page_id % 5), false FROM pages)
+UNION ALL SELECT 'oisd-big', 'r1', regexp_extract(url, '://([^/?#:]*)', 1), true FROM pages UNION ALL SELECT 'urlhaus-online', 'r2', url, true FROM pages WHERE page_id % 2 = 0),
+log AS (SELECT source, run_id, 'completed' AS status, count(*) AS lines, count(*) FILTER (good) AS parsed, count(DISTINCT line) FILTER (good) AS entries, count(*) FILTER (NOT good) AS rejected, count(DISTINCT line) FILTER (NOT good) AS rejects, CAST(max(length(line)) AS BIGINT) AS longest FROM landed GROUP BY source, run_id
+UNION ALL SELECT 'openphish-feed', 'r1', 'failed', NULL, NULL, NULL, NULL, NULL, NULL)"""
+
+
+@query(f"WITH {LANDED} SELECT *, nullif(rejected, 0) AS invalid FROM log")
+def ingest_run_log(s, d):
+    """The log of an ingest, by counts that its writes took themselves."""
+    found = runs.read_log(s, f"{_logged(s, d)}/log")
+    return found.select("source", "run_id", "status", "lines", "parsed", "entries", "rejected", "rejects", "longest", C("reasons")["invalid_url"].alias("invalid"))
+
+
+@query(f"WITH {LANDED} SELECT source, count(*) AS syncs, count(*) FILTER (status = 'completed') AS successes, count(*) FILTER (status = 'failed') AS failures, CAST(coalesce(sum(entries), 0) AS BIGINT) AS saved, arg_max(lines, run_id) AS processed, CAST(coalesce(sum(rejected), 0) AS BIGINT) AS parse_errors FROM log GROUP BY source")
+def ingest_run_metrics(s, d):
+    return runs.logged_metrics(runs.read_log(s, f"{_logged(s, d)}/log")).drop("last_seconds")
+
+
+@query("SELECT 'urlhaus-online' AS source, 'bad host ' || (page_id % 5) AS line, 'invalid_url' AS reason, count(*) AS times FROM pages GROUP BY ALL")
+def ingest_rejects(s, d):
+    """What the same write left of lines that aren't addresses."""
+    return feeds.read_written(s, f"{_logged(s, d)}/r1/urlhaus-online")[1]
+
+
 @query(E + "SELECT id, source, source_url FROM entries")
 def write_entries(s, d):
     """Written, and one source written again: the others stay as they are."""
@@ -430,6 +468,21 @@ def bulk_hit_all(s, d):
     return got.select("url_id", "blocked", score.alias("confidence"), urls.confidence_level(score).alias("level"), F.coalesce(flat("matches"), F.lit("")).alias("matches"))
 
 
+@query(SQL["bulk_check_all"])
+def bulk_check_by_key(s, d):
+    """Against an index that lies by key and isn't shuffled."""
+    stored = index.write_by_key(x.key_index(s, d), f"{_folder(s)}/index", BUCKETS)
+    got = check.bulk_check_all(x.checks(s, d), stored, find=check.matches_by_key)
+    return got.select("url_id", "url", C("max_depth").cast("long").alias("max_depth"), F.coalesce(flat("matches"), F.lit("")).alias("matches"))
+
+
+@query(SQL["bulk_hit"])
+def bulk_hit_by_key(s, d):
+    stored = feeds.write_keys(x.entries(s, d), x.key_index(s, d), _folder(s), BUCKETS)
+    got = check.bulk_hit_by_key(x.checks(s, d), *stored, feeds.load_trust(s))
+    return got.select("url_id", "blocked", F.round("confidence", 9).alias("confidence"), "level", F.coalesce(flat("matches"), F.lit("")).alias("matches"))
+
+
 @query(f"WITH {x.MATCHES} SELECT url, key, source FROM (SELECT DISTINCT url, key, source FROM matches WHERE type = 'domain')")
 def subdomain_cover(s, d):
     return check.covered_by(x.checks(s, d), x.key_index(s, d), "domain")

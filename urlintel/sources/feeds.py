@@ -3,20 +3,23 @@
 from __future__ import annotations
 
 import re
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import urls
-from ..operators import filters
-from ..operators.entries import active, one_a_key
+from ..operators import filters, runs
+from ..operators.entries import active, one_a_key, typed_keys
+from ..operators.index import write_by_key
 from ..operators.runs import ttl_of_schedule
 
 LONGEST_LINE = 1 << 20
+REASONS = ("invalid_url", "line_too_long")  # of ``parse_lines``
 
 # The seeded providers and sources.
 PROVIDERS = [("oisd", "OISD", 0.65), ("abuse-ch", "abuse.ch", 0.9), ("openphish", "OpenPhish", 0.75), ("phishtank", "PhishTank", 0.7), ("spamhaus", "Spamhaus", 0.95), ("alienvault", "AlienVault", 0.8)]
@@ -156,30 +159,67 @@ def remove_feeds(df: DataFrame, names: list[str]) -> DataFrame:
     return df.filter(~F.col("source").isin(names))
 
 
-def ingest_all_feeds(spark: SparkSession, paths: dict[str, str], out: str, run_id: str, now: Column, names: list[str] | None = None, known: dict[str, Feed] | None = None) -> tuple[DataFrame, dict[str, str]]:
+def ingest_all_feeds(spark: SparkSession, paths: dict[str, str], out: str, run_id: str, now: Column, names: list[str] | None = None, known: dict[str, Feed] | None = None, run_log: str | None = None) -> tuple[DataFrame, dict[str, str]]:
     """The entries of every landed feed (of those registered, or ``known``), one a key, and the error of each feed that couldn't be planned or read.
 
     Every feed is a write of its own under ``out``, side by side with the others, so that a file that breaks while it is
-    read ends its feed only.
+    read ends its feed only. With ``run_log`` a row a feed, failed ones too, is added there, with the counts of its write.
     """
     asked, errors = names or list(paths), {}
 
-    def ingest(name: str) -> DataFrame | None:
+    def ingest(name: str) -> tuple[DataFrame | None, dict]:
+        began, said = time.time(), {}
         try:
             feed = (FEEDS if known is None else known)[name]
             lines = feed.transform(feed.reader(spark, paths[name])).select("line", F.lit(name).alias("source"), F.lit(feed.category).alias("category"))
-            one_a_key(make_entries(lines, F.lit(run_id), now)[0]).write.mode("overwrite").parquet(f"{out}/{name}")
-            return spark.read.parquet(f"{out}/{name}")
+            said = write_lines(lines, f"{out}/{name}", F.lit(run_id), now)
+            made = read_written(spark, f"{out}/{name}")[0]
         except Exception as e:  # one feed's failure leaves the others; the caller gets its reason
-            errors[name] = (str(e).splitlines() or [type(e).__name__])[0]
-            return None
+            errors[name], made = (str(e).splitlines() or [type(e).__name__])[0], None
+        return made, {"source": name, "run_id": run_id, "status": "failed" if name in errors else "completed", "start_time": began, "end_time": time.time(), "error": errors.get(name), **said}
 
     with ThreadPoolExecutor(max(1, len(asked))) as pool:  # a thread a feed only waits for its write
-        made = [df for df in pool.map(ingest, asked) if df is not None]
+        done = list(pool.map(ingest, asked))
+    made = [df for df, _ in done if df is not None]
+    if run_log:
+        runs.log_runs(spark, [row for _, row in done], run_log)
     none = spark.createDataFrame([], "line string, source string, category string")
     return (reduce(DataFrame.unionByName, made) if made else make_entries(none, F.lit(run_id), now)[0]), errors
 
 
+def parsed_once(lines: DataFrame, run_id: Column, now: Column) -> DataFrame:
+    """Entries and rejects of a batch of lines, parsed once and one row a (source, line): the columns of an entry, reason, times (lines that were alike), kind.
+
+    What becomes of a line follows from its text, so alike lines are entries or rejects together.
+    """
+    one = one_a_key(parse_lines(lines, run_id, now), times="times")
+    return one.withColumn("kind", F.when(F.col("reason").isNull(), "entries").otherwise("rejects"))
+
+
+def write_lines(lines: DataFrame, path: str, run_id: Column, now: Column) -> dict:
+    """Write the entries and the rejects of a batch, and count them, in one pass: lines, parsed, entries, rejected, rejects, longest, and lines by reason.
+
+    ``lines`` are read and parsed once. The counts are observed behind the last shuffle, in the tasks that write: a task
+    that is run again there counts once, which isn't so before a shuffle.
+    """
+    seen, good = Observation(), F.col("reason").isNull()
+    total = lambda when: F.coalesce(F.sum(F.when(when, F.col("times"))), F.lit(0)).cast("long")
+    counted = parsed_once(lines, run_id, now).observe(
+        seen, total(F.lit(True)).alias("lines"), total(good).alias("parsed"), F.count_if(good).alias("entries"), total(~good).alias("rejected"), F.count_if(~good).alias("rejects"),
+        F.coalesce(F.max(F.length("source_url")), F.lit(0)).cast("long").alias("longest"), *[total(F.col("reason") == r).alias(r) for r in REASONS],
+    )
+    counted.write.mode("overwrite").partitionBy("kind").parquet(path)
+    got = seen.get
+    return {k: v for k, v in got.items() if k not in REASONS} | {"reasons": {r: got[r] for r in REASONS if got[r]}}
+
+
+def read_written(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The entries, and the rejects (source, line, reason, times), that ``write_lines`` left; each reads its own files only."""
+    every = spark.read.schema(WRITTEN).parquet(path)
+    entries = every.filter("kind = 'entries'").drop("kind", "reason", "times")
+    return entries, every.filter("kind = 'rejects'").select("source", F.col("source_url").alias("line"), "reason", "times")
+
+
 def parse_lines(lines: DataFrame, run_id: Column, now: Column) -> DataFrame:
     """Every line decomposed once: the columns of an entry, and ``reason``, null where the line makes one."""
     long = F.length("line") > LONGEST_LINE
@@ -192,10 +232,17 @@ def parse_lines(lines: DataFrame, run_id: Column, now: Column) -> DataFrame:
     )
 
 
+# The columns that ``write_lines`` writes.
+WRITTEN = (
+    "source_url string, source string, id string, created_at long, run_id string, category string, norm_url string, scheme string, domain string, host string, sub_domains array<string>, path string, raw_query string, file string, "
+    "host_path string, full_url string, login string, ip string, confidence double, updated_at long, deleted_at long, reason string, times long, kind string"
+)
+
+
 def make_entries(lines: DataFrame, run_id: Column, now: Column) -> tuple[DataFrame, DataFrame]:
     """``lines`` has line, source, category. Gives the entries, and the rejects with a reason.
 
-    A caller that writes both should write ``parse_lines`` once and tell them apart by ``reason``.
+    A caller that writes both should use ``write_lines``, which parses them once.
     """
     parsed = parse_lines(lines, run_id, now)
     return parsed.filter("reason is null").drop("reason"), parsed.filter("reason is not null").select("source", F.col("source_url").alias("line"), "reason")
@@ -283,6 +330,11 @@ def write_index(index: DataFrame, path: str) -> None:
     index.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("type").parquet(path)
 
 
+def write_keys(entries: DataFrame, index: DataFrame, path: str, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """Store an index, and the typed keys that confirm its matches, by key; for ``check.bulk_hit_by_key``."""
+    return write_by_key(index, f"{path}/index", buckets), write_by_key(typed_keys(entries).distinct(), f"{path}/confirmed", buckets)
+
+
 def write_url_filter(entries: DataFrame, path: str) -> int:
     """Add a batch's active source_urls to the stored filter that gates exact lookups."""
     return filters.add_layer(entries.sparkSession, path, active(entries), ["source_url"])
