@@ -348,7 +348,12 @@ class ByteBPE:
             pieces = self.split(chunk)
             return b"".join(map(self.pieces.__getitem__, pieces)) if len(pieces) != 1 else encode(pieces[0])
 
-        self.first, self.rest = Recent(by_piece), Recent(by_piece, " ")
+        def shared(chunk: str) -> bytes:
+            """A piece that opens with a space is a chunk of its own, as the pattern leaves it whole, and is kept as such."""
+            pieces = self.split(chunk)
+            return b"".join([self.rest[p[1:]] if p[0] == " " else self.pieces[p] for p in pieces]) if len(pieces) != 1 else encode(pieces[0])
+
+        self.first, self.rest = Recent(by_piece), Recent(shared, " ")
         self.by_piece, self.chunked = by_piece, pattern == defaults()[1]
         self.whole = np.array([self._is_whole(t) for t in self.bytes_of], bool)
 
