@@ -1,5 +1,5 @@
 from collections import Counter
-from itertools import product
+from itertools import permutations, product
 
 import pytest
 from pyspark.sql import functions as F
@@ -298,3 +298,11 @@ def test_links_asked_twice_are_answered_twice(spark):
     assert got == want
     assert {(r["link"][-1], r["match_type"]): r["n"] for r in lookup.mixed_values(links, e)[0].collect()} == want
     assert {r["link"][-1]: r["count"] for r in lookup.top_hit(links, e).collect()} == {"x": 12, "y": 6}
+
+
+def test_mean_trust_knows_no_order(spark):
+    """0.65, 0.7 and 0.75 add up to a mean just below, at or above 0.7, by the order of their sum."""
+    lists = [(i, list(p)) for i, p in enumerate(permutations(("a", "b", "c")))]
+    trust = spark.createDataFrame([("a", 0.65), ("b", 0.7), ("c", 0.75)], "source string, trust double")
+    got = check.score_sources(spark.createDataFrame(lists, "url int, sources array<string>").coalesce(1), trust, "url").collect()
+    assert {(r["confidence"], r["level"]) for r in got} == {(0.7, "high")} and len(got) == 6
