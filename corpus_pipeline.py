@@ -72,7 +72,7 @@ def pii_removed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.with_ids(docs.select(*COLUMNS), *bpe.defaults())
+    return bpe.with_ids(docs.select(*COLUMNS), *bpe.defaults(), share=0.5)  # beside executors that the stages before have filled
 
 
 STAGES = [("language_id", language_id), ("near_duplicates", near_duplicates), ("decontaminate", decontaminated), ("pii", pii_removed), ("byte_bpe", encoded)]

@@ -2,10 +2,12 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 
 from urlintel.llm import bpe
+from urlintel.llm.arrow import map_slices
 
 
 @pytest.fixture(scope="module")
@@ -98,3 +100,16 @@ def test_query(spark, library):
     kept = bpe.with_ids(spark.createDataFrame(rows, "doc_id long, text string"), *bpe.defaults())
     assert kept.columns == ["doc_id", "text", "ids", "n_tokens", "decodes"] and all(x["decodes"] for x in kept.collect())
     assert bpe.round_trip(df.limit(0), *bpe.defaults()).count() == 0
+
+
+def test_tables_go_with_other_work(spark):
+    """A worker that has encoded serves other operators too, without the tables; smaller tables give the same ids."""
+    docs = spark.range(64).selectExpr("id as doc_id", "concat('some words, ', id, ' of a text') as text").repartition(8).localCheckpoint()
+    assert bpe.encode(docs, *bpe.defaults()).count() == 64
+
+    def make():
+        return lambda batch: pa.record_batch([pa.array([bpe.load.cache_info().currsize], pa.int64())], ["tables"])
+
+    assert {r["tables"] for r in map_slices(docs, make, "tables long").collect()} == {0}
+    text = " ".join(f"word{i} and more" for i in range(200))
+    assert bpe.load(*bpe.defaults(), 0.001).encode(text) == bpe.load(*bpe.defaults()).encode(text)

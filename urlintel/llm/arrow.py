@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Callable, Iterator
 from contextlib import suppress
 
@@ -13,6 +14,8 @@ from pyspark.sql.types import StructType
 
 #: Texts that a Python worker holds at once are cut into slices of about this many bytes.
 SLICE_BYTES = 8 << 20
+#: What operators keep in a worker between their tasks, by owner: functions that let go of it and say whether there was any.
+KEPT: dict[str, Callable[[], bool]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,10 +36,18 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | list[pa.RecordBatch] | None]], schema: str | StructType) -> DataFrame:
-    """mapInArrow where ``make`` builds the per-task function, called on bounded slices of each batch."""
+def take_over(owner: str = "") -> None:
+    """At the start of a task: what other operators keep in this worker goes, as a worker serves the tasks of all."""
+    if any([let_go() for name, let_go in KEPT.items() if name != owner]):
+        gc.collect()
+        give_back()
+
+
+def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | list[pa.RecordBatch] | None]], schema: str | StructType, owner: str = "") -> DataFrame:
+    """mapInArrow where ``make`` builds the per-task function, called on bounded slices of each batch. Tasks of an ``owner`` leave what it keeps in KEPT."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over(owner)
         do = make()
         for batch in batches:
             for part in slices(batch):

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType, BooleanType, LongType, StructField, StructType
 
-from .arrow import map_slices, texts
+from .arrow import KEPT, map_slices, texts
 
 KEPT_BYTES = 40 << 20  # memoised chunks and pieces that a worker keeps in each generation of each of its three tables
 SHORT = 20  # characters of a chunk that is kept; longer ones hardly come again
@@ -46,8 +46,8 @@ class MergeTransducer:
     before it is the one that merging gives for the bytes up to there; only boundaries within the run can still be
     where a later token starts, so what lies before their common past is put out."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], share: float = 1):
+        self.ranks, self.share = ranks, share
         self.bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
         self.child: dict[int, int] = {}  # (node << 8 | byte) -> node; node 0 is the root
         self.token_at: dict[int, int] = {}
@@ -195,7 +195,8 @@ class MergeTransducer:
 
     def encode(self, piece: bytes) -> list[int]:
         """The tokens of a piece. A transition is determinised when it is asked for the second time, one a piece at most, as the state behind it has none yet; the rest of the piece is run without."""
-        if len(self.moves) > MAX_MOVES:
+        most = MAX_MOVES * self.share
+        if len(self.moves) > most:
             self.restart()
         out: list[int] = []
         state, moves, asked, made = 0, self.moves, self.asked, False
@@ -205,7 +206,7 @@ class MergeTransducer:
                 key = state << 8 | byte
                 if made or key not in asked:
                     if not made:
-                        if len(asked) >= MAX_MOVES:
+                        if len(asked) >= most:
                             asked.clear()
                         asked.add(key)
                     return out + self._rest(state, piece[i:])
@@ -247,9 +248,10 @@ class MergeTransducer:
 class Recent(dict):
     """Ids, as little-endian bytes, of the short chunks seen lately: two generations of a bounded number of bytes, the older one dropped when the newer is full."""
 
-    def __init__(self, encode, prefix: str = ""):
+    def __init__(self, encode, prefix: str = "", share: float = 1):
         super().__init__()
-        self.compute, self.prefix, self.older, self.room = encode, prefix, {}, KEPT_BYTES
+        self.compute, self.prefix, self.older, self.share = encode, prefix, {}, share
+        self.room = KEPT_BYTES * share
 
     def __missing__(self, chunk: str) -> bytes:
         if len(chunk) > SHORT:
@@ -259,7 +261,7 @@ class Recent(dict):
             got = self.compute(self.prefix + chunk)
         self.room -= 4 * len(chunk) + len(got) + 180  # with what Python needs for two objects and a place
         if self.room < 0:
-            self.older, self.room = dict(self), KEPT_BYTES
+            self.older, self.room = dict(self), KEPT_BYTES * self.share
             self.clear()
         self[chunk] = got
         return got
@@ -333,16 +335,18 @@ class StreamDecoder:
 
 
 class ByteBPE:
-    def __init__(self, path: str, pattern: str):
+    """``share`` is that of the usual tables' size, for work beside which there is less memory; ids don't depend on it."""
+
+    def __init__(self, path: str, pattern: str, share: float = 1):
         import regex
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.split = regex.compile(pattern).findall
-        self.transducer = MergeTransducer(ranks)
+        self.transducer = MergeTransducer(ranks, share)
         self.bytes_of = self.transducer.bytes_of
         encode = lambda piece: array("I", self.transducer.encode(piece.encode())).tobytes()
-        self.pieces = Recent(encode)
+        self.pieces = Recent(encode, share=share)
 
         def by_piece(chunk: str) -> bytes:
             pieces = self.split(chunk)
@@ -353,7 +357,7 @@ class ByteBPE:
             pieces = self.split(chunk)
             return b"".join([self.rest[p[1:]] if p[0] == " " else self.pieces[p] for p in pieces]) if len(pieces) != 1 else encode(pieces[0])
 
-        self.first, self.rest = Recent(by_piece), Recent(shared, " ")
+        self.first, self.rest = Recent(by_piece, share=share), Recent(shared, " ", share)
         self.by_piece, self.chunked = by_piece, pattern == defaults()[1]
         self.whole = np.array([self._is_whole(t) for t in self.bytes_of], bool)
 
@@ -387,8 +391,18 @@ class ByteBPE:
 
 
 @lru_cache(maxsize=2)
-def load(path: str, pattern: str) -> ByteBPE:
-    return ByteBPE(path, pattern)
+def load(path: str, pattern: str, share: float = 1) -> ByteBPE:
+    return ByteBPE(path, pattern, share)
+
+
+def let_go() -> bool:
+    """Forget the tables, which stay between tasks of this module alone."""
+    any_there = load.cache_info().currsize > 0
+    load.cache_clear()
+    return any_there
+
+
+KEPT["bpe"] = let_go
 
 
 def defaults() -> tuple[str, str]:
@@ -409,15 +423,15 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
         return do
 
-    return map_slices(texts(docs, id_col, text_col), make, "doc_id long, ids binary, n_tokens long")
+    return map_slices(texts(docs, id_col, text_col), make, "doc_id long, ids binary, n_tokens long", "bpe")
 
 
-def with_ids(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
+def with_ids(docs: DataFrame, path: str, pattern: str, text_col: str = "text", share: float = 1) -> DataFrame:
     """All columns of the documents, and ids, n_tokens and decodes: whether decoding the ids gives the text again. Null text has no tokens."""
     at = docs.columns.index(text_col)
 
     def make():
-        bpe = load(path, pattern)
+        bpe = load(path, pattern, share)
 
         def do(batch: pa.RecordBatch) -> pa.RecordBatch:
             ids, same = [], []
@@ -428,7 +442,7 @@ def with_ids(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -
 
         return do
 
-    return map_slices(docs, make, StructType([*docs.schema.fields, StructField("ids", BinaryType()), StructField("n_tokens", LongType()), StructField("decodes", BooleanType())]))
+    return map_slices(docs, make, StructType([*docs.schema.fields, StructField("ids", BinaryType()), StructField("n_tokens", LongType()), StructField("decodes", BooleanType())]), "bpe")
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -443,7 +457,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 
         return do
 
-    return map_slices(encoded.select("doc_id", "ids"), make, "doc_id long, text string")
+    return map_slices(encoded.select("doc_id", "ids"), make, "doc_id long, text string", "bpe")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -467,4 +481,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
         return do
 
-    return map_slices(texts(docs), make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, well_formed boolean")
+    return map_slices(texts(docs), make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, well_formed boolean", "bpe")

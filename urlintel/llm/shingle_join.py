@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import map_slices, slices, texts, utf8
+from .arrow import give_back, map_slices, slices, take_over, texts, utf8
 from .components import components
 from .hashing import VISIBLE, U, grams, mix, words
 from .stash import drop, stash
@@ -54,6 +54,7 @@ def frequent_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The shingles that most documents have, sorted by hash, and their counts: at most FREQUENT."""
 
     def run(batches):
+        take_over()
         sets, size = [], 0
         for batch in batches:
             for part in slices(batch):
@@ -65,10 +66,16 @@ def frequent_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
                     sets, size = [], 0
         if sets:
             yield often(sets)
+        sets = None
+        give_back()
 
     def often(sets):
-        got, n = np.unique(np.concatenate(sets), return_counts=True)
-        got, n = got[n >= LOCAL], n[n >= LOCAL]
+        every = np.concatenate(sets)
+        sets.clear()  # and sorted in place, so that the shingles stand here once
+        every.sort()
+        first = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.zeros(0, np.int64)
+        n = np.diff(np.append(first, len(every)))
+        got, n = every[first[n >= LOCAL]], n[n >= LOCAL]
         return pa.record_batch([pa.array(got.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
     top = docs.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(FREQUENT)
