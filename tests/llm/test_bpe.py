@@ -59,6 +59,30 @@ def test_tokens_go_out_after_bounded_lookahead(coder):
         assert b"".join(t.bytes_of[x] for x in t.encode(piece)) == piece
 
 
+def test_groups_of_texts(library, monkeypatch):
+    """New pieces of many texts go through the transducer together: same ids, few of them alone, with tables that are full all the time too."""
+    texts = [*samples(), None, " \n a", "b ", "b", "  b  c ", "x\x00 x\x00\x00 x", "\x00", *(f"w{i}rd,  thing{i}\n" for i in range(500))]
+    want = [library.encode_ordinary(t or "") for t in texts]
+    alone = []
+    for share, group in ((1, bpe.GROUP), (1, 1), (0.00001, 2000)):
+        monkeypatch.setattr(bpe, "GROUP", group)
+        own = bpe.load(*bpe.defaults(), share)
+        monkeypatch.setattr(own.transducer, "encode", lambda p, f=own.transducer.encode: alone.append(p) or f(p))
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.encode_texts(texts)] == want
+    assert {len(p) > bpe.WIDE for p in alone} == {True}
+    assert own.encode_texts([]) == []
+    odd = bpe.load(bpe.defaults()[0], r"\S+ ?|\s")
+    assert odd.encode_texts(texts) == [odd.encode_bytes(t or "") for t in texts]
+
+
+def test_lockstep_against_merging(coder):
+    r = random.Random(4)
+    pieces = {bytes(r.choice(b"aethinos .-0\xc3\xa9\x00") for _ in range(r.randint(1, bpe.WIDE))) for _ in range(3000)}
+    found = coder.lockstep.encode(list(pieces))
+    assert all(np.frombuffer(found[p], "<u4").tolist() == coder.transducer.merge(p) for p in pieces)
+    assert coder.lockstep.encode(list(pieces)) == found
+
+
 def test_another_pattern():
     import tiktoken
 

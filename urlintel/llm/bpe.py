@@ -5,6 +5,10 @@ next state and emits the tokens that no longer depend on what follows. A state h
 that begins some token, and the tokens chosen since the last emission; the lookahead is therefore bounded by the longest
 token. Transitions, with what they emit, are computed on first use and kept in a table of bounded size.
 
+The short pieces of a group of texts that aren't kept from before pass the transducer together, byte by byte: at each
+byte the transitions that some piece takes are determinised at once, in numpy, one for all pieces that share them. What a
+transition rests on (the next run, whether two tokens stay apart) is kept from group to group in two tables of fixed size.
+
 Decoding is streamed: ``StreamDecoder`` gives text as soon as characters are complete, driven by an incremental UTF-8
 state machine; runs of tokens that are whole characters pass it at once.
 
@@ -19,6 +23,7 @@ import hashlib
 import re
 from array import array
 from collections.abc import Sequence
+from contextlib import suppress
 from functools import lru_cache
 
 import numpy as np
@@ -32,6 +37,10 @@ KEPT_BYTES = 40 << 20  # memoised chunks and pieces that a worker keeps in each
 SHORT = 20  # characters of a chunk that is kept; longer ones hardly come again
 MAX_MOVES = 300_000  # transitions kept, some 150 MB; the table is then started again
 MAX_PAIRS = 400_000  # steps between runs kept, and pairs of tokens
+WIDE = 32  # bytes of a piece that goes with others; nothing need be put out before its end
+TOGETHER = 1 << 14  # pieces that go together
+GROUP = 1 << 20  # characters of the texts whose new pieces are found together
+STEPS, PAIRS = 1 << 17, 1 << 19  # places for steps between runs, and for pairs of tokens
 PORTION = 1 << 16  # ids decoded at once
 HELD = 512  # tokens held back at most, besides those of the longest run, where transitions aren't kept
 SPACE = re.compile(r" (?=\S)")
@@ -245,6 +254,142 @@ class MergeTransducer:
         return out + list(self.path(ends[1:], have - 1))
 
 
+def spread(key: np.ndarray, places: int) -> np.ndarray:
+    """The place of a key in a table of ``places``, a power of two."""
+    return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(65 - places.bit_length())).astype(np.int64)
+
+
+class Lockstep:
+    """Many short pieces through one transducer. Pieces are sorted, so that those with a prefix in common, which have a state in common, stand together."""
+
+    def __init__(self, t: MergeTransducer):
+        self.transducer, self.none = t, len(t.bytes_of)
+        n = len(t.depth)
+        self.depth, self.length = np.array(t.depth, np.int32), np.array(t.length, np.int32)
+        self.token = np.full(n, -1, np.int32)
+        self.token[np.fromiter(t.token_at, np.int64, len(t.token_at))] = np.fromiter(t.token_at.values(), np.int64, len(t.token_at))
+        edges, to = np.fromiter(t.child, np.int64, len(t.child)), np.fromiter(t.child.values(), np.int64, len(t.child))
+        order = np.argsort(edges)
+        self.edges, self.to = edges[order], to[order]
+        self.steps, self.apart = np.full(STEPS, -1, np.int64), np.full(PAIRS, -1, np.int64)  # key and what it gives, in one number
+        at, byte = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        at[to], byte[to] = edges >> 8, edges & 255
+        self.shorter, self.last = np.zeros(n, np.int64), np.zeros(n, np.int64)  # last: the longest suffix of the run that is a token
+        by_depth = np.argsort(self.depth, kind="stable")
+        for nodes in np.split(by_depth, np.flatnonzero(np.diff(self.depth[by_depth])) + 1)[1:]:
+            if self.depth[nodes[0]] > 1:
+                self.shorter[nodes] = self._run(self.shorter[at[nodes]], byte[nodes])
+            self.last[nodes] = np.where(self.token[nodes] >= 0, nodes, self.last[self.shorter[nodes]])
+        ranks = t.ranks
+        joins = {ranks[x[:i]] << 32 | ranks[x[i:]]: rank for x, rank in ranks.items() for i in range(1, len(x)) if x[:i] in ranks and x[i:] in ranks}
+        keys, values = np.fromiter(joins, np.int64, len(joins)), np.fromiter(joins.values(), np.int64, len(joins))
+        order = np.argsort(keys)
+        self.joins, self.joined = np.append(keys[order], -1), np.append(values[order], self.none)
+        self.left, self.right = np.full(self.none, -2, np.int64), np.full(self.none, -2, np.int64)  # -2: not asked yet, -1: a byte
+
+    def _run(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        out, live, node = np.zeros(len(node), np.int64), np.arange(len(node)), node.copy()
+        while len(live) and len(self.edges):
+            key = node[live] << 8 | byte[live]
+            at = np.minimum(np.searchsorted(self.edges, key), len(self.edges) - 1)
+            found = self.edges[at] == key
+            out[live[found]] = self.to[at[found]]
+            live = live[~found & (node[live] > 0)]
+            node[live] = self.shorter[node[live]]
+        return out
+
+    def run(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The nodes of the longest runs after one more byte each."""
+        key = node << 8 | byte
+        place = spread(key, STEPS)
+        got = self.steps[place]
+        out, new = got & 0xFFFFFF, np.flatnonzero(got >> 24 != key)
+        if len(new):
+            out[new] = self._run(node[new], byte[new])
+            self.steps[place[new]] = key[new] << 24 | out[new]
+        return out
+
+    def _halves(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        for token in np.unique(tokens[self.left[tokens] == -2]).tolist():
+            self.left[token], self.right[token] = self.transducer.split(token) or (-1, -1)
+        return self.left[tokens], self.right[tokens]
+
+    def _follows(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """``MergeTransducer.follows`` for many pairs."""
+        a, b, bound, ok, live = left.copy(), right.copy(), np.full(len(left), self.none), np.ones(len(left), bool), np.arange(len(left))
+        while len(live):
+            key = a[live] << 32 | b[live]
+            at = np.searchsorted(self.joins[:-1], key)
+            bad = (self.joins[at] == key) & (self.joined[at] < bound[live])
+            ok[live[bad]] = False
+            live = live[~bad]
+            (_, x), (y, _) = self._halves(a[live]), self._halves(b[live])
+            whole = (x < 0) & (y < 0)
+            live, x, y = live[~whole], x[~whole], y[~whole]
+            first = (y < 0) | (x >= 0) & (a[live] > b[live])
+            one, other = live[first], live[~first]
+            bound[one], bound[other] = a[one], b[other] + 1
+            a[one], b[other] = x[first], y[~first]
+        return ok
+
+    def follows(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left << 32 | right
+        place = spread(key, PAIRS)
+        got = self.apart[place]
+        out, new = (got & 1).astype(bool), np.flatnonzero(got >> 1 != key)
+        if len(new):
+            some, back = np.unique(key[new], return_inverse=True)
+            out[new] = self._follows(some >> 32, some & 0xFFFFFFFF)[back]
+            self.apart[place[new]] = key[new] << 1 | out[new]
+        return out
+
+    def ends_here(self, node: np.ndarray, ends: np.ndarray, have: int) -> np.ndarray:
+        """The token that ends after ``have`` bytes, by state; ``ends`` holds those that end at each boundary before, and -1 at the start."""
+        out, at, live = np.empty(len(node), np.int64), self.last[node], np.arange(len(node))
+        while len(live):
+            if not at.all():
+                raise ValueError("no token covers a byte")
+            token = self.token[at].astype(np.int64)
+            before = ends[live, have - self.depth[at]].astype(np.int64)
+            ok = before < 0
+            some = np.flatnonzero(~ok)
+            ok[some] = self.follows(before[some], token[some])
+            out[live[ok]] = token[ok]
+            live, at = live[~ok], self.last[self.shorter[at[~ok]]]
+        return out
+
+    def encode(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        """Ids, as little-endian bytes, of different pieces of 1 to WIDE bytes."""
+        pieces = sorted(pieces)
+        n, lengths = len(pieces), np.array([len(p) for p in pieces])
+        width = int(lengths.max())
+        data = np.frombuffer(b"".join([p.ljust(width, b"\0") for p in pieces]), np.uint8).reshape(n, width).astype(np.int64)
+        other, state, rows = np.arange(n) == 0, np.zeros(n, np.int64), np.arange(n)  # other: not the prefix of the piece before
+        node, ends, last = np.zeros(1, np.int64), np.full((1, width + 1), -1, np.int32), np.empty((n, width + 1), np.int32)
+        for have in range(1, width + 1):
+            other[1:] |= data[1:, have - 1] != data[:-1, have - 1]
+            rows = rows[lengths[rows] >= have]
+            prefix = np.cumsum(other)[rows]
+            new = np.append(True, prefix[1:] != prefix[:-1])
+            before = state[rows[new]]
+            node, ends = self.run(node[before], data[rows[new], have - 1]), ends.take(before, 0)
+            ends[:, have] = self.ends_here(node, ends, have)
+            state[rows] = np.cumsum(new) - 1
+            whole = rows[lengths[rows] == have]
+            last[whole] = ends[state[whole]]
+        out, at, rows = np.full((n, width), -1, np.int32), lengths.copy(), np.arange(n)
+        for back in range(1, width + 1):  # the tokens that lead to the end, from there
+            token = last[rows, at[rows]]
+            out[rows, width - back] = token
+            at[rows] -= self.length[token]
+            rows = rows[at[rows] > 0]
+            if not len(rows):
+                break
+        real = out >= 0
+        raw, stops = out[real].astype("<u4").tobytes(), (4 * np.cumsum(real.sum(1))).tolist()
+        return {p: raw[a:b] for p, a, b in zip(pieces, [0, *stops], stops, strict=False)}
+
+
 class Recent(dict):
     """Ids, as little-endian bytes, of the short chunks seen lately: two generations of a bounded number of bytes, the older one dropped when the newer is full."""
 
@@ -252,19 +397,43 @@ class Recent(dict):
         super().__init__()
         self.compute, self.prefix, self.older, self.share = encode, prefix, {}, share
         self.room = KEPT_BYTES * share
+        self.long: dict[str, bytes] = {}  # the longer chunks of the group of texts at hand
 
     def __missing__(self, chunk: str) -> bytes:
         if len(chunk) > SHORT:
-            return self.compute(self.prefix + chunk)
+            got = self.long.get(chunk)
+            return self.compute(self.prefix + chunk) if got is None else got
         got = self.older.get(chunk)
         if got is None:
             got = self.compute(self.prefix + chunk)
+        self.make_room()
+        self.keep(chunk, got)
+        return got
+
+    def keep(self, chunk: str, got: bytes) -> None:
         self.room -= 4 * len(chunk) + len(got) + 180  # with what Python needs for two objects and a place
+        self[chunk] = got
+
+    def make_room(self) -> None:
         if self.room < 0:
             self.older, self.room = dict(self), KEPT_BYTES * self.share
             self.clear()
-        self[chunk] = got
-        return got
+
+    def missing(self, chunks: set[str]) -> set[str]:
+        """Those that aren't there. What the older generation has comes over."""
+        new = chunks.difference(self)
+        old = {c: self.older[c] for c in new if c in self.older}
+        new.difference_update(old)
+        self.put(old)
+        return new
+
+    def put(self, found: dict[str, bytes]) -> None:
+        long = {c: x for c, x in found.items() if len(c) > SHORT}
+        self.long |= long
+        for c in long:
+            del found[c]
+        self.room -= 4 * sum(map(len, found)) + sum(map(len, found.values())) + 180 * len(found)
+        self.update(found)
 
 
 def utf8_step(state: tuple[int, int, int], byte: int) -> tuple[int, int, int] | None:
@@ -296,13 +465,16 @@ class StreamDecoder:
     def feed(self, ids: np.ndarray) -> str:
         ids = np.asarray(ids, np.int64)
         bytes_of = self.bpe.bytes_of
+        if self.state == START:
+            with suppress(UnicodeDecodeError):  # mostly all of it is whole characters
+                return self.bpe.joined(ids).decode()
         cut = np.flatnonzero(~self.bpe.whole[ids])  # tokens that begin or end within a character
         out, i, n = [], 0, len(ids)
         while i < n:
             if self.state == START:
                 j = np.searchsorted(cut, i)
                 end = int(cut[j]) if j < len(cut) else n
-                out.append(b"".join(map(bytes_of.__getitem__, ids[i:end].tolist())).decode())
+                out.append(self.bpe.joined(ids[i:end]).decode())
                 i = end
                 if i == n:
                     break
@@ -352,6 +524,8 @@ class ByteBPE:
             pieces = self.split(chunk)
             return b"".join(map(self.pieces.__getitem__, pieces)) if len(pieces) != 1 else encode(pieces[0])
 
+        self.lockstep = Lockstep(self.transducer)
+
         def shared(chunk: str) -> bytes:
             """A piece that opens with a space is a chunk of its own, as the pattern leaves it whole, and is kept as such."""
             pieces = self.split(chunk)
@@ -360,6 +534,8 @@ class ByteBPE:
         self.first, self.rest = Recent(by_piece, share=share), Recent(shared, " ", share)
         self.by_piece, self.chunked = by_piece, pattern == defaults()[1]
         self.whole = np.array([self._is_whole(t) for t in self.bytes_of], bool)
+        self.lengths = np.array([len(t) for t in self.bytes_of], np.int64)
+        self.starts, self.flat = np.cumsum(self.lengths) - self.lengths, np.frombuffer(b"".join(self.bytes_of), np.uint8)
 
     @staticmethod
     def _is_whole(token: bytes) -> bool:
@@ -377,12 +553,79 @@ class ByteBPE:
         """
         if not self.chunked:
             return self.by_piece(text)
-        chunks = SPACE.split(text) if ODD_SPACE.search(text) else text.split(" ")
+        chunks = self.chunks(text)
         return self.first[chunks[0]] + b"".join(map(self.rest.__getitem__, chunks[1:]))
 
+    @staticmethod
+    def chunks(text: str) -> list[str]:
+        return SPACE.split(text) if ODD_SPACE.search(text) else text.split(" ")
+
+    def encode_texts(self, texts: list[str | None]) -> list[bytes]:
+        """``encode_bytes`` of many texts, where new pieces of a group go together. Null gives b""."""
+        out: list[bytes] = []
+        at = 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and size < GROUP:
+                size += len(texts[end] or "")
+                end += 1
+            out += self._group(texts[at:end])
+            at = end
+        return out
+
+    def _group(self, texts: list[str | None]) -> list[bytes]:
+        for table in (self.first, self.rest, self.pieces):
+            table.make_room()
+        if not self.chunked:
+            pieces = [self.split(t) if t else [] for t in texts]
+            ids = self._learn({p for own in pieces for p in own})
+            out = [b"".join([ids[p] for p in own]) for own in pieces]
+        else:
+            chunks = [self.chunks(t) if t else [] for t in texts]
+            self._learn_chunks(self.first, {own[0] for own in chunks if own})
+            self._learn_chunks(self.rest, set().union(*[own[1:] for own in chunks]))
+            out = [self.first[own[0]] + b"".join(map(self.rest.__getitem__, own[1:])) if own else b"" for own in chunks]
+        for table in (self.first, self.rest, self.pieces):
+            table.long = {}
+        return out
+
+    def _learn_chunks(self, table: Recent, chunks: set[str]) -> None:
+        """Put the chunks into their table. Those after a space are read as one text, which the pattern cuts at each of them."""
+        new = list(table.missing(chunks))
+        pieces = self.split(" " + " ".join(new)) if table.prefix else []
+        stops = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        wanted = np.cumsum(np.fromiter(map(len, new), np.int64, len(new)) + 1)
+        places = np.searchsorted(stops, wanted)
+        if not len(stops) or len(new) and not np.array_equal(stops[np.minimum(places, len(stops) - 1)], wanted):
+            own = [self.split(table.prefix + c) for c in new]
+            pieces, places = [p for x in own for p in x], np.cumsum([len(x) for x in own], dtype=np.int64) - 1
+        ids = list(map(self._learn(set(pieces)).__getitem__, pieces))
+        ends = (places + 1).tolist()
+        table.put({c: ids[a] if b - a == 1 else b"".join(ids[a:b]) for c, a, b in zip(new, [0, *ends], ends, strict=False)})
+
+    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """The ids of pieces, which are kept."""
+        new = list(self.pieces.missing(pieces))
+        raw = [p.encode() for p in new]
+        found: dict[bytes, bytes] = {}
+        short = [x for x in raw if 0 < len(x) <= WIDE]
+        for at in range(0, len(short), TOGETHER):
+            found |= self.lockstep.encode(short[at : at + TOGETHER])
+        ids = {p: found[x] if x in found else array("I", self.transducer.encode(x)).tobytes() for p, x in zip(new, raw, strict=True)}
+        self.pieces.put(dict(ids))
+        for p in pieces.difference(ids):
+            ids[p] = self.pieces[p]
+        return ids
+
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_bytes(text), "<u4").tolist()
 
+    def joined(self, ids: np.ndarray) -> bytes:
+        """The bytes of the tokens."""
+        n = self.lengths[ids]
+        shift = self.starts[ids] - (np.cumsum(n) - n)
+        return self.flat[np.repeat(shift, n) + np.arange(n.sum())].tobytes()
+
     def decode(self, ids: np.ndarray) -> tuple[str, bool]:
         """The text, portion by portion, and whether its bytes were well-formed."""
         stream = StreamDecoder(self)
@@ -418,7 +661,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         bpe = load(path, pattern)
 
         def do(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids = [bpe.encode_bytes(t) if t else b"" for t in batch.column(1).to_pylist()]
+            ids = bpe.encode_texts(batch.column(1).to_pylist())
             return pa.record_batch([batch.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], ["doc_id", "ids", "n_tokens"])
 
         return do
@@ -434,10 +677,9 @@ def with_ids(docs: DataFrame, path: str, pattern: str, text_col: str = "text", s
         bpe = load(path, pattern, share)
 
         def do(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids, same = [], []
-            for text in batch.column(at).to_pylist():
-                ids.append(bpe.encode_bytes(text) if text else b"")
-                same.append(bpe.decode(np.frombuffer(ids[-1], "<u4"))[0] == (text or ""))
+            texts = batch.column(at).to_pylist()
+            ids = bpe.encode_texts(texts)
+            same = [bpe.decode(np.frombuffer(raw, "<u4"))[0] == (text or "") for text, raw in zip(texts, ids, strict=True)]
             return pa.record_batch([*batch.columns, pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(same, pa.bool_())], [*batch.schema.names, "ids", "n_tokens", "decodes"])
 
         return do
@@ -469,8 +711,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
         def do(batch: pa.RecordBatch) -> pa.RecordBatch:
             n, a, b, ok = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                raw = bpe.encode_bytes(text) if text else b""
+            for raw in bpe.encode_texts(batch.column(1).to_pylist()):
                 ids = np.frombuffer(raw, "<u4")
                 n.append(len(ids))
                 a.append(sha(raw).hexdigest())
