@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from urlintel.llm import collocations
@@ -64,3 +65,53 @@ def test_exact_beyond_64_bits(spark):
 
 def test_empty(spark):
     assert collocations.collocations(spark.createDataFrame([], "lang string, text string")).collect() == []
+
+
+def test_windows_grow_with_phrases_not_with_partitions(spark, monkeypatch):
+    """Five times the rows, in five times the partitions, send each window once a task, of which there is one a core."""
+    rows, real = [], collocations.windows
+
+    def windows(*args):
+        out = real(*args)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(collocations, "windows", windows)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        docs = [("en", f"a{i} b{i} c{i}. d{i}") for i in range(10)]
+        for copies in (40, 200):
+            df = spark.createDataFrame(docs * copies, "lang string, text string").repartition(copies // 5)
+            found = collocations.frequencies(df, 5, 20, 1 << 16).collect()
+            assert {x.f for x in found if x.k} == {copies} and len(found) == 1 + 10 * (4 + 2 + 1)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert all(n <= 40 * spark.sparkContext.defaultParallelism for n in rows), rows
+
+
+@pytest.mark.parametrize("held, piece", [(1 << 20, 1 << 24), (50, 1 << 16), (1, 1)])
+def test_held_windows(monkeypatch, held, piece):
+    """All windows with their counts, whatever a task holds before it sends them and however much leaves at once."""
+    monkeypatch.setattr(collocations, "RUN", 7)
+    monkeypatch.setattr(collocations, "HELD", held)
+    monkeypatch.setattr(collocations, "PIECE", piece)
+    docs, kept, got, expected = random_docs(random.Random(5), 80), collocations.Held(5), Counter(), Counter()
+
+    def take():
+        for batch in kept.give():
+            for row in batch.to_pylist():
+                got[(row["lang"], *(row[f"w{j}"] for j in range(1, 6)))] += row["c"]
+
+    for lang, text in docs:
+        runs = collocations.Runs([lang], [text.encode()], 5)
+        for at, end, prefixes in runs:
+            size = runs.left[at:end] + 1
+            key, first, n = np.unique(np.choose(size - 1, prefixes) + size.astype(np.uint64), return_index=True, return_counts=True)
+            kept.add(runs, first + at, size[first], key, n)
+            if kept.full():
+                take()
+        for part in re.split(r"[.,;:!?\x0A-\x0D]", lower(text)):
+            w = re.findall(r"[^\x20\x09]+", part)
+            expected.update(("und" if lang is None else lang, *(w[i : i + 5] + [""] * 5)[:5]) for i in range(len(w)))
+    take()
+    assert got == expected and not len(kept.key)

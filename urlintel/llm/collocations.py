@@ -9,7 +9,9 @@ a summary of fixed size, in which each prefix of every window adds to the count
 length: a place below the threshold holds no frequent phrase. The summary saves work only; where it is full, windows
 are simply longer. Its bits (a threshold reached or not), BUCKETS / 8 bytes a length, are all that goes through the driver.
 
-Words are told apart by 64-bit hashes inside a task, while windows are counted there; from then on they are strings.
+Words are told apart by 64-bit hashes inside a task, while windows are counted there; from then on they are strings. A
+task counts all of its rows before it sends a window, and tasks are as few as keep all cores busy, so that the windows
+sent are at most tasks times phrases that pass the summary, or past a bound on memory one a word.
 
 Defined results: null or empty texts have no words; a null language is ``und``; repeated rows each count; an empty table
 gives an empty table; ties in score go by frequency and then by the phrase in UTF-8 byte order; further columns are
@@ -26,13 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrow import map_slices, slices, utf8
+from .arrow import give_back, slices, take_over, utf8
 from .hashing import LOWER, U, mix, word_spans
 from .stash import stash
 
 LONGEST, LEAST, FIRST = 5, 100, 2000
 BUCKETS, BLOCK = 1 << 23, 1 << 15  # places of the summary for each length, and those that travel as one row
 RUN = 1 << 20  # words that are counted at once
+HELD, HELD_BYTES = 1 << 20, 64 << 20  # windows that a task holds before it sends them, and bytes of their words
+PIECE = 16 << 20  # bytes of windows that leave a task at once
+JOINED = 32  # partitions of the table that one task reads at most
 STEP = 60_000  # windows between two looks at counts of 16 bits
 SALTS = 64  # parts of a language that are ranked apart before they are ranked together
 WORD = np.ones(256, bool)
@@ -141,49 +146,118 @@ def summary(docs: DataFrame, longest: int, least: int, buckets: int) -> np.ndarr
     return out.reshape(longest, buckets // 8)
 
 
+class Held:
+    """The padded windows that a task has met, each once with its count. Texts are kept of their words only.
+
+    What is held is bounded: when ``full``, it is given out and counting starts afresh.
+    """
+
+    def __init__(self, longest: int):
+        self.longest = longest
+        self.langs: dict[str, int] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.key, self.n = np.zeros(0, U), np.zeros(0, np.int64)
+        self.lang, self.bytes = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.words = np.zeros((0, self.longest), np.int32)  # one more than the place in texts, 0 where padded
+        self.known, self.place, self.texts = np.zeros(0, U), np.zeros(0, np.int32), []  # hashes of words in order, and where each is in texts
+
+    def full(self) -> bool:
+        return len(self.key) >= HELD or int(self.bytes.sum()) >= HELD_BYTES
+
+    def add(self, runs: Runs, first: np.ndarray, size: np.ndarray, key: np.ndarray, n: np.ndarray) -> None:
+        """Windows by first word and length; keys are in order and different."""
+        hit, at = among(self.key, key)
+        self.n[at[hit]] += n[hit]
+        first, size, key, n = first[~hit], size[~hit], key[~hit], n[~hit]
+        inside = [np.flatnonzero(size > j) for j in range(self.longest)]
+        met = np.concatenate([first[own] + j for j, own in enumerate(inside)])
+        hashes, one = np.unique(runs.hash[met], return_index=True)
+        fresh = ~among(self.known, hashes)[0]
+        spans = met[one[fresh]]
+        known = np.concatenate([self.known, hashes[fresh]])
+        place = np.concatenate([self.place, np.arange(len(self.texts), len(self.texts) + len(spans), dtype=np.int32)])
+        order = np.argsort(known, kind="stable")
+        self.known, self.place = known[order], place[order]
+        self.texts += [LOWER[runs.data[s:e]].tobytes() for s, e in zip(runs.start[spans].tolist(), runs.stop[spans].tolist(), strict=True)]
+        words, length = np.zeros((len(key), self.longest), np.int32), np.zeros(len(key), np.int64)
+        for j, own in enumerate(inside):
+            words[own, j] = self.place[np.searchsorted(self.known, runs.hash[first[own] + j])] + 1
+            length[own] += runs.stop[first[own] + j] - runs.start[first[own] + j]
+        codes = np.array([self.langs.setdefault(x, len(self.langs)) for x in runs.names], np.int32)
+        order = np.argsort(np.concatenate([self.key, key]), kind="stable")
+        both = lambda old, own: np.concatenate([old, own])[order]
+        self.lang, self.bytes = both(self.lang, codes[runs.lang[first]]), both(self.bytes, length)
+        self.key, self.n, self.words = both(self.key, key), both(self.n, n), both(self.words, words)
+
+    def give(self) -> Iterator[pa.RecordBatch]:
+        """All windows, in batches of bounded size."""
+        names = ["lang", *(f"w{j + 1}" for j in range(self.longest)), "c"]
+        part = np.cumsum(self.bytes + PIECE // 65_536) // PIECE
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+        texts, langs = pa.array([b"", *self.texts], pa.binary()).view(pa.string()), pa.array(list(self.langs), pa.string())
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a < b:
+                columns = [texts.take(pa.array(self.words[a:b, j])) for j in range(self.longest)]
+                yield pa.record_batch([langs.take(pa.array(self.lang[a:b])), *columns, pa.array(self.n[a:b])], names)
+        self.clear()
+
+
+def among(have: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the hashes asked for are among those at hand, which are in order, and where."""
+    if not len(have):
+        return np.zeros(len(asked), bool), np.zeros(len(asked), np.int64)
+    at = np.minimum(np.searchsorted(have, asked), len(have) - 1)
+    return have[at] == asked, at
+
+
 def windows(docs: DataFrame, longest: int, least: int, buckets: int) -> DataFrame:
-    """lang, w1 .. w<longest>, c: the padded longest windows, counted within slices of a task."""
+    """lang, w1 .. w<longest>, c: the padded longest windows, counted within a task."""
     sent = docs.sparkSession.sparkContext.broadcast(summary(docs, longest, least, buckets))
     names = [f"w{j + 1}" for j in range(longest)]
 
-    def make():
-        known = sent.value
-
-        def counted(runs: Runs, at: int, end: int, prefixes: list[np.ndarray]) -> pa.RecordBatch:
-            size, top = np.zeros(end - at, np.int8), mix(runs.seed[runs.lang[at:end]])  # a window without words counts for its language
-            passed = np.ones(end - at, bool)
-            for j, h in enumerate(prefixes):
-                b = bucket(h, len(known[j]) * 8)
-                passed = passed & (runs.left[at:end] >= j) & ((known[j][b >> 3] >> (7 - (b & 7)).astype(np.uint8)) & 1).astype(bool)
-                size[passed] = j + 1
-                top = np.where(passed, h, top)
-            top = mix(top + size.astype(U))
-            _, first, n = np.unique(top, return_index=True, return_counts=True)
-            size, word = size[first], first + at
-            hashes, places = np.unique(runs.hash[np.concatenate([word[size > j] + j for j in range(longest)])], return_index=True)
-            places = np.concatenate([word[size > j] + j for j in range(longest)])[places]
-            texts = pa.array([b"", *(LOWER[runs.data[s:e]].tobytes() for s, e in zip(runs.start[places].tolist(), runs.stop[places].tolist(), strict=True))], pa.binary()).view(pa.string())
-            columns = [pa.array(runs.names).take(pa.array(runs.lang[word]))]
-            for j in range(longest):
-                ids = np.zeros(len(word), np.int32)
-                ids[size > j] = np.searchsorted(hashes, runs.hash[word[size > j] + j]) + 1
-                columns.append(texts.take(pa.array(ids)))
-            return pa.record_batch([*columns, pa.array(n.astype(np.int64))], ["lang", *names, "c"])
-
-        def do(batch: pa.RecordBatch):
-            runs = Runs(batch.column(0).to_pylist(), utf8(batch.column(1)), longest)
-            return [counted(runs, at, end, prefixes) for at, end, prefixes in runs]
-
-        return do
-
-    return map_slices(docs, make, ", ".join(["lang string", *(f"{w} string" for w in names), "c long"]))
-
-
-def frequencies(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, buckets: int = BUCKETS, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+    def count(batches):
+        take_over()
+        known, held = sent.value, Held(longest)
+        for batch in batches:
+            for part in slices(batch):
+                runs = Runs(part.column(0).to_pylist(), utf8(part.column(1)), longest)
+                for at, end, prefixes in runs:
+                    size, top = np.zeros(end - at, np.int8), mix(runs.seed[runs.lang[at:end]])  # a window without words counts for its language
+                    passed = np.ones(end - at, bool)
+                    for j, h in enumerate(prefixes):
+                        b = bucket(h, len(known[j]) * 8)
+                        passed = passed & (runs.left[at:end] >= j) & ((known[j][b >> 3] >> (7 - (b & 7)).astype(np.uint8)) & 1).astype(bool)
+                        size[passed] = j + 1
+                        top = np.where(passed, h, top)
+                    key, first, n = np.unique(mix(top + size.astype(U)), return_index=True, return_counts=True)
+                    held.add(runs, first + at, size[first], key, n)
+                    if held.full():
+                        yield from held.give()
+        yield from held.give()
+        del held
+        give_back()
+
+    return docs.mapInArrow(count, ", ".join(["lang string", *(f"{w} string" for w in names), "c long"]))
+
+
+def together(rows: DataFrame, tasks: int | None = None) -> DataFrame:
+    """The rows in as many partitions as there are cores (or ``tasks``), but no more than JOINED of the table's to one.
+
+    Each task sends what it has counted once, however many rows it read, so that more tasks than can run at a time only
+    make more partial counts of the same phrases.
+    """
+    if tasks is None:
+        tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.rdd.getNumPartitions() // JOINED))
+    return rows.coalesce(tasks)
+
+
+def frequencies(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, buckets: int = BUCKETS, lang_col: str = "lang", text_col: str = "text", tasks: int | None = None) -> DataFrame:
     """lang, k, phrase, f: every phrase of 1 to ``longest`` words that comes ``least`` times in a language; for k = 0 the language's words."""
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("text <> ''")
     names = [f"w{j + 1}" for j in range(longest)]
-    rolled = windows(rows, longest, least, buckets).rollup("lang", *names).agg(F.sum("c").alias("f"), F.grouping_id().alias("g"))
+    rolled = windows(together(rows, tasks), longest, least, buckets).rollup("lang", *names).agg(F.sum("c").alias("f"), F.grouping_id().alias("g"))
     k = F.lit(longest) - F.bit_count("g")  # the columns that the ROLLUP left out are bits
     padded = F.element_at(F.array(F.lit("-"), *names), (k + 1).cast("int")) == ""
     real = rolled.filter((k >= 0) & ~padded)  # of grouping columns alone, so that padded prefixes go before they are summed
@@ -218,12 +292,12 @@ def scored(found: DataFrame) -> DataFrame:
     return with_n.select("lang", "phrase", "a", "n", best.alias("b")).select("lang", "phrase", "a", "b.l", "b.r", "n", "b.score")
 
 
-def collocations(docs: DataFrame, least: int = LEAST, first: int = FIRST, buckets: int = BUCKETS, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+def collocations(docs: DataFrame, least: int = LEAST, first: int = FIRST, buckets: int = BUCKETS, lang_col: str = "lang", text_col: str = "text", tasks: int | None = None) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the ``first`` phrases of every language.
 
     A language is ranked in parts first, so that what meets in one task for it is no more than SALTS times ``first`` rows.
     """
-    found = stash(frequencies(docs, LONGEST, least, buckets, lang_col, text_col))
+    found = stash(frequencies(docs, LONGEST, least, buckets, lang_col, text_col, tasks))
     every = scored(found)
     order = [F.desc("score"), F.desc("a"), "phrase"]
     part = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(SALTS))).orderBy(*order)
