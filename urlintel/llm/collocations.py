@@ -35,7 +35,7 @@ from .stash import stash
 LONGEST, LEAST, FIRST = 5, 100, 2000
 BUCKETS, BLOCK = 1 << 23, 1 << 15  # places of the summary for each length, and those that travel as one row
 RUN = 1 << 20  # words that are counted at once
-HELD, HELD_BYTES = 1 << 20, 64 << 20  # windows that a task holds before it sends them, and bytes of their words
+HELD, HELD_BYTES = 1 << 19, 64 << 20  # windows that a task holds before it sends them, and bytes of their words
 PIECE = 16 << 20  # bytes of windows that leave a task at once
 JOINED = 32  # partitions of the table that one task reads at most
 STEP = 60_000  # windows between two looks at counts of 16 bits
@@ -172,8 +172,12 @@ class Held:
         self.n[at[hit]] += n[hit]
         first, size, key, n = first[~hit], size[~hit], key[~hit], n[~hit]
         inside = [np.flatnonzero(size > j) for j in range(self.longest)]
-        met = np.concatenate([first[own] + j for j, own in enumerate(inside)])
-        hashes, one = np.unique(runs.hash[met], return_index=True)
+        low, high = (int(first.min()), int(first.max()) + self.longest) if len(first) else (0, 0)
+        used = np.zeros(high - low, bool)
+        for j, own in enumerate(inside):
+            used[first[own] + j - low] = True
+        met = np.flatnonzero(used) + low
+        hashes, one, back = np.unique(runs.hash[met], return_index=True, return_inverse=True)
         fresh = ~among(self.known, hashes)[0]
         spans = met[one[fresh]]
         known = np.concatenate([self.known, hashes[fresh]])
@@ -181,9 +185,11 @@ class Held:
         order = np.argsort(known, kind="stable")
         self.known, self.place = known[order], place[order]
         self.texts += [LOWER[runs.data[s:e]].tobytes() for s, e in zip(runs.start[spans].tolist(), runs.stop[spans].tolist(), strict=True)]
+        word = np.zeros(high - low, np.int32)
+        word[met - low] = self.place[among(self.known, hashes)[1]][back] + 1
         words, length = np.zeros((len(key), self.longest), np.int32), np.zeros(len(key), np.int64)
         for j, own in enumerate(inside):
-            words[own, j] = self.place[np.searchsorted(self.known, runs.hash[first[own] + j])] + 1
+            words[own, j] = word[first[own] + j - low]
             length[own] += runs.stop[first[own] + j] - runs.start[first[own] + j]
         codes = np.array([self.langs.setdefault(x, len(self.langs)) for x in runs.names], np.int32)
         order = np.argsort(np.concatenate([self.key, key]), kind="stable")
